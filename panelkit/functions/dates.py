@@ -42,6 +42,9 @@ def parse_time(c, strftime_fmt: str) -> Column:
     if "%y" in strftime_fmt:
         tries.append(F.try_to_timestamp(txt, F.lit(spark_pattern(strftime_fmt.replace("%y", "%Y")))))
     parsed = F.coalesce(*tries).cast("timestamp_ntz")
+    if "%y" in strftime_fmt:
+        # two-digit years 69..99 belong to the 1900s (POSIX pivot); Spark reads 20yy
+        parsed = F.when(F.year(tries[0]) >= 2069, parsed - F.expr("INTERVAL 100 YEARS")).otherwise(parsed)
     sentinel = F.when(txt.rlike(r"\d"), F.lit("1970-01-01 00:00:00")).otherwise(F.lit("2000-01-01 00:00:00"))
     return (F.when(txt.isNull() | txt.isin(NAT_TEXTS), F.lit(None).cast("timestamp_ntz"))
             .otherwise(F.coalesce(parsed, sentinel.cast("timestamp_ntz"))))

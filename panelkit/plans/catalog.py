@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import clean_queries as cq
 from . import window_queries as wq
 
 QUERIES = {
@@ -13,4 +14,22 @@ QUERIES = {
     "donor_copy": wq.donor_copy,
     "donor_fill": wq.donor_fill,
     "repair_union": wq.repair_union,
+    "typed_csv_scan": cq.typed_csv_scan,
+    "file_name_keys": cq.file_name_keys,
+    "batch_union": cq.batch_union,
+    "reject_split": cq.reject_split,
+    "header_synonyms": cq.header_synonyms,
+    "columns_by_regex": cq.columns_by_regex,
+    "optional_filter": cq.optional_filter,
+    "name_filters": cq.name_filters,
+    "sentinel_filter": cq.sentinel_filter,
+    "dropna_cast": cq.dropna_cast,
+    "null_aware_flag": cq.null_aware_flag,
+    "scalar_clean": cq.scalar_clean,
+    "duration_minutes": cq.duration_minutes,
+    "outer_join_clean_key": cq.outer_join_clean_key,
+    "crosswalk_join": cq.crosswalk_join,
+    "left_enrich": cq.left_enrich,
+    "join_integrity": cq.join_integrity,
+    "sibling_impute": cq.sibling_impute_q,
 }

@@ -134,3 +134,129 @@ FROM donors d JOIN cls c ON c.row_id = d.row_id AND c.completeness IN ('missing'
 JOIN win w ON w.row_id = d.donor_row_id
 UNION ALL
 SELECT * FROM ({_FILL_SELECT.replace('FROM win o JOIN donors d', 'FROM win o JOIN cls c2 ON c2.row_id = o.row_id AND c2.completeness = ' + "'has_nulls'" + ' JOIN donors d')}) f"""
+
+# --- sources, cleaning rules, filters, simple joins -----------------------
+
+SQL["typed_csv_scan"] = "SELECT c_custkey, c_name, c_acctbal FROM customer"
+
+SQL["file_name_keys"] = """SELECT o_orderkey, o_totalprice, o_orderpriority,
+       CAST(year(o_orderdate) AS INTEGER) AS order_year FROM orders"""
+
+# expected values straight from the rendering rule: the parsed time is the
+# rendered time, and the 'n/a' text (no digit) becomes the 2000-01-01 sentinel
+SQL["batch_union"] = """SELECT o_orderkey, CAST(o_orderkey % 3 AS INTEGER) AS batch,
+       CASE WHEN o_orderkey % 3 = 1 THEN o_orderpriority END AS o_orderpriority,
+       CASE WHEN o_orderkey % 3 = 2 THEN o_orderstatus END AS o_orderstatus,
+       CASE WHEN o_orderstatus = 'P' THEN '2000-01-01 00:00:00'
+            ELSE strftime(o_orderdate + INTERVAL 7 HOUR + INTERVAL 5 MINUTE, '%Y-%m-%d %H:%M:%S') END
+         AS start_time
+FROM orders"""
+
+SQL["reject_split"] = """SELECT d.doc_id, d.lang, l.quality, l.toxic,
+       CASE WHEN l.quality IS NOT NULL THEN 'labelled' ELSE 'rejected' END AS status
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
+
+SQL["header_synonyms"] = """SELECT p_partkey AS part_key, p_name AS part_name, p_type AS part_type,
+       p_size AS communities, p_brand AS brand FROM part"""
+
+SQL["columns_by_regex"] = "SELECT c_custkey, c_nationkey FROM customer"
+
+SQL["optional_filter"] = """SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
+WHERE upper(l_linestatus) = 'F'"""
+
+_SUP_NAME = """regexp_replace(upper(replace(s_name, '#', ' ')) ||
+    CASE WHEN s_suppkey % 7 = 0 THEN ' LINE' WHEN s_suppkey % 5 = 0 THEN ' TAP &' || chr(13) || chr(10) || ' 2'
+         ELSE ' NO.  1' END, '[\\r\\n\\s]+', ' ', 'g')"""
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+SQL["name_filters"] = f"""WITH n AS (SELECT s_suppkey, {_SUP_NAME} AS name FROM supplier)
+SELECT s_suppkey, name,
+       {_strip("regexp_replace(replace(replace(name, '.', ''), ' NO', ''), '\\d', '', 'g')")} AS key_left,
+       {_strip("replace(regexp_replace(name, '[\\d&]', '', 'g'), ' TAP', '')")} AS key_right
+FROM n WHERE upper(name) <> 'UNKNOWN' AND NOT regexp_matches(upper(name), '^\\d')
+  AND NOT suffix(upper(name), 'LINE')"""
+
+SQL["sentinel_filter"] = """SELECT o_orderkey, o_totalprice AS total,
+       round(1440e0 + (o_orderkey % 1440), 6) AS time_out_min
+FROM orders
+WHERE o_orderstatus <> 'P' AND o_orderdate > TIMESTAMP '2000-01-01 00:00:00'
+  AND o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0"""
+
+SQL["dropna_cast"] = """SELECT c_custkey, c_acctbal AS acctbal,
+       CAST(floor(abs(c_acctbal)) * 100 AS DOUBLE) AS income, c_nationkey AS nation
+FROM customer WHERE c_custkey % 13 <> 0 AND c_custkey % 11 <> 0"""
+
+SQL["null_aware_flag"] = """SELECT d.doc_id, l.label_name, (l.label_name IS DISTINCT FROM 'MISSING') AS label_present
+FROM documents d LEFT JOIN (SELECT doc_id, CASE WHEN quality = 0 THEN 'MISSING' ELSE 'OK' END AS label_name
+                            FROM labels) l ON l.doc_id = d.doc_id"""
+
+_CIRCUIT = ("(upper(p_name) || ' ' || CAST(p_partkey + 1000 AS VARCHAR) || "
+            "CASE WHEN p_partkey % 2 = 0 THEN '*' ELSE '' END)")
+
+SQL["scalar_clean"] = f"""SELECT p_partkey,
+  CASE WHEN regexp_matches({_CIRCUIT}, '\\s\\d{{4,}}')
+       THEN {_strip(f"regexp_extract({_CIRCUIT}, '(.*?)\\s\\d{{4,}}', 1)")} ELSE {_CIRCUIT} END AS circuit,
+  coalesce(list_max(list_transform(regexp_extract_all(p_brand, '(\\d)', 1), lambda x: CAST(x AS INTEGER))), 0) AS tier,
+  -abs(-123e0 + ((p_partkey * 7) % 400) / 100e0) AS longitude,
+  regexp_extract('ZCTA5 ' || CAST(p_partkey + 90000 AS VARCHAR), '\\d{{5}}', 0) AS zip5,
+  {_strip("regexp_replace(p_type || '-' || CAST(p_size AS VARCHAR), '-?\\d+$', '')")} AS stem,
+  split_part(p_type || ',' || p_name, ',', 2) AS second,
+  upper(p_name) AS name_upper,
+  round_even(p_retailprice, 0) AS price_round,
+  round(sqrt(abs(p_retailprice - 1000)), 6) AS price_sqrt
+FROM part"""
+
+SQL["duration_minutes"] = """SELECT l_orderkey, l_linenumber,
+  date_diff('microsecond', o_orderdate, l_shipdate) / 6e7 AS minutes,
+  CAST(dayofyear(l_shipdate) AS INTEGER) AS ship_doy,
+  CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS INTEGER) AS days_between,
+  CAST(l_shipdate AS DATE) - 5 AS ship_minus5
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+
+SQL["outer_join_clean_key"] = """WITH cs AS (SELECT 'NATION' || CAST(c_nationkey AS VARCHAR) AS k, count(*) AS n_customers,
+                   round(sum(c_acctbal), 2) AS customer_balance FROM customer GROUP BY 1),
+ss AS (SELECT 'NATION' || CAST(s_nationkey + 3 AS VARCHAR) AS k, count(*) AS n_suppliers,
+              round(sum(s_acctbal), 2) AS supplier_balance FROM supplier GROUP BY 1)
+SELECT coalesce(cs.k, ss.k) AS nation_key, n_customers, customer_balance, n_suppliers, supplier_balance
+FROM cs FULL OUTER JOIN ss ON cs.k = ss.k"""
+
+SQL["crosswalk_join"] = """SELECT c_custkey, printf('%05d', c_custkey) AS zip, printf('%05d', c_nationkey) AS zcta,
+       n_name, r_name
+FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey"""
+
+SQL["left_enrich"] = """SELECT o_orderkey, o_custkey, c_mktsegment,
+       round(o_totalprice / nullif(c_acctbal, 0), 6) AS price_ratio
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey"""
+
+SQL["join_integrity"] = """SELECT count(*) AS n_rows,
+       count_if(l_orderkey IS NOT DISTINCT FROM o_orderkey) AS n_key_agree,
+       count_if(CAST(l_shipdate AS DATE) >= CAST(o_orderdate AS DATE)) AS n_date_agree,
+       bool_and(l_orderkey IS NOT DISTINCT FROM o_orderkey AND CAST(l_shipdate AS DATE) >= CAST(o_orderdate AS DATE)) AS all_agree
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+
+SQL["sibling_impute"] = f"""WITH r AS (
+  SELECT p_partkey, p_type || '-' || CAST(p_size AS VARCHAR) AS name,
+         CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01' + to_hours(p_size) END AS start_time,
+         CASE WHEN p_partkey % 10 = 0 THEN NULL
+              ELSE TIMESTAMP '2024-01-01' + to_hours(p_size) + to_minutes(p_partkey % 500 + 30) END AS end_time,
+         CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE CAST(p_partkey % 500 + 30 AS DOUBLE) END AS minutes,
+         p_brand AS communities
+  FROM part),
+d AS (SELECT *, {_strip("regexp_replace(name, '-?\\d+$', '')")} AS stem FROM r),
+st AS (SELECT stem, avg(epoch_us(start_time)) AS s, avg(epoch_us(end_time)) AS e,
+              round_even(avg(minutes), 0) AS dd,
+              array_to_string(list_sort(list_distinct(list(communities))), ', ') AS t
+       FROM d WHERE start_time > TIMESTAMP '2000-01-01' GROUP BY stem),
+j AS (SELECT d.*, st.s, st.e, st.dd, st.t, (d.start_time IS NULL AND st.s IS NOT NULL) AS miss
+      FROM d LEFT JOIN st ON st.stem = d.stem)
+SELECT p_partkey, stem,
+  strftime(CASE WHEN miss THEN make_timestamp(CAST(round(s) AS BIGINT)) ELSE start_time END, '%Y-%m-%d %H:%M:%S.%f') AS start_time,
+  strftime(CASE WHEN miss THEN make_timestamp(CAST(round(e) AS BIGINT)) ELSE end_time END, '%Y-%m-%d %H:%M:%S.%f') AS end_time,
+  CASE WHEN miss THEN dd ELSE minutes END AS minutes,
+  CASE WHEN miss THEN t ELSE communities END AS communities,
+  miss AS imputed
+FROM j"""
