@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import clean_queries as cq
+from . import match_geo_queries as mg
 from . import window_queries as wq
 
 QUERIES = {
@@ -32,4 +33,8 @@ QUERIES = {
     "left_enrich": cq.left_enrich,
     "join_integrity": cq.join_integrity,
     "sibling_impute": cq.sibling_impute_q,
+    "fuzzy_best_match": mg.fuzzy_best_match_q,
+    "geo_nearest_donor": mg.geo_nearest_donor,
+    "point_in_polygon": mg.point_in_polygon_q,
+    "region_total": mg.region_total,
 }

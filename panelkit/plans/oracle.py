@@ -260,3 +260,87 @@ SELECT p_partkey, stem,
   CASE WHEN miss THEN t ELSE communities END AS communities,
   miss AS imputed
 FROM j"""
+
+# --- fuzzy match, geo-nearest, point in polygon ----------------------------
+
+def _tsort(x: str) -> str:
+    """Token-sort normal form (same rule as functions.text.token_sort_key)."""
+    return ("array_to_string(list_sort(list_filter(string_split_regex(lower(regexp_replace("
+            f"regexp_replace({x}, '[^\\x00-\\x7F]', '', 'g'), '[^A-Za-z0-9_]', ' ', 'g')), '\\s+'), "
+            "lambda t: t <> '')), ' ')")
+
+
+_LEFT_TXT = _strip("regexp_replace(replace(replace(upper(p_name), '.', ''), ' NO', ''), '\\d', '', 'g')")
+_RIGHT_TXT = _strip("replace(regexp_replace(upper(p_name), '[\\d&]', '', 'g'), ' TAP', '')")
+
+SQL["fuzzy_best_match"] = f"""WITH RECURSIVE
+l AS (SELECT p_partkey, {_LEFT_TXT} AS match_text FROM part),
+ln AS (SELECT DISTINCT match_text, {_tsort('match_text')} AS a FROM l),
+r AS (SELECT p_partkey AS match_partkey, p_name AS match_name, {_tsort(_RIGHT_TXT)} AS b FROM part),
+rb AS (SELECT DISTINCT b FROM r),
+pairs AS (SELECT DISTINCT a, b FROM ln, rb WHERE length(a) > 0 AND length(b) > 0 AND a <> b),
+dp(a, b, i, v) AS (
+  SELECT a, b, 0, list_transform(range(0, length(b) + 1), lambda x: 0) FROM pairs
+  UNION ALL
+  SELECT a, b, i + 1,
+         list_reduce(range(1, length(b) + 1),
+           lambda acc, j: list_append(acc, CASE WHEN substring(b, j, 1) = substring(a, i + 1, 1)
+                                            THEN v[j] + 1 ELSE greatest(v[j + 1], acc[j]) END), [0])
+  FROM dp WHERE i < length(a)),
+sc AS (SELECT a, b, CAST(round_even(200e0 * v[length(b) + 1] / (length(a) + length(b)), 0) AS INTEGER) AS s
+       FROM dp WHERE i = length(a)),
+cand AS (SELECT ln.match_text, sc.s, r.match_partkey, r.match_name
+         FROM ln JOIN sc ON sc.a = ln.a JOIN r ON r.b = sc.b WHERE sc.s >= 80),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_text ORDER BY s DESC, match_partkey) AS rn
+                        FROM cand) t WHERE rn = 1)
+SELECT l.p_partkey, l.match_text, best.s AS match_score, best.match_partkey, best.match_name
+FROM l LEFT JOIN best ON best.match_text IS NOT DISTINCT FROM l.match_text"""
+
+_CUST_PT = ("36e0 + (c_custkey % 500) / 100e0 AS lat, -123e0 + ((c_custkey * 7) % 400) / 100e0 AS lon")
+_SUPP_PT = ("36e0 + ((s_suppkey * 13) % 500) / 100e0 AS lat, -123e0 + ((s_suppkey * 29) % 400) / 100e0 AS lon")
+
+SQL["geo_nearest_donor"] = f"""WITH c AS (SELECT c_custkey, c_nationkey, {_CUST_PT} FROM customer),
+s AS (SELECT s_suppkey, s_nationkey, {_SUPP_PT} FROM supplier),
+p AS (SELECT c.c_custkey, s.s_suppkey, {lambert_sql('c.lat', 'c.lon', 's.lat', 's.lon')} AS d
+      FROM c JOIN s ON s.s_nationkey = c.c_nationkey),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY d, s_suppkey) AS rn
+                     FROM p WHERE d <= 60e0) t WHERE rn = 1)
+SELECT c.c_custkey, b.s_suppkey, round(b.d, 6) AS distance_mi,
+       CASE WHEN b.s_suppkey IS NULL THEN 'rejected' ELSE 'matched' END AS status
+FROM c LEFT JOIN b ON b.c_custkey = c.c_custkey"""
+
+
+def _poly_sql() -> tuple[str, str]:
+    from .match_geo_queries import POLYGONS
+    edges, names = [], []
+    for pid, name, ring in POLYGONS:
+        names.append(f"({pid}, '{name}')")
+        for i, (x1, y1) in enumerate(ring):
+            x2, y2 = ring[(i + 1) % len(ring)]
+            edges.append(f"({pid}, {x1}e0, {y1}e0, {x2}e0, {y2}e0)")
+    e = "edges(poly_id, x1, y1, x2, y2) AS (VALUES " + ", ".join(edges) + ")"
+    n = "names(poly_id, county) AS (VALUES " + ", ".join(names) + ")"
+    return e, n
+
+
+_EDGES, _NAMES = _poly_sql()
+_PIP = f"""{_EDGES}, {_NAMES},
+pts AS (SELECT c_custkey, c_acctbal, 36e0 + (c_custkey % 500) / 100e0 + 0.003e0 AS lat,
+               -123e0 + ((c_custkey * 7) % 400) / 100e0 + 0.003e0 AS lon FROM customer),
+cr AS (SELECT pts.c_custkey, edges.poly_id FROM pts JOIN edges
+         ON (edges.y1 > pts.lat) <> (edges.y2 > pts.lat)
+        WHERE pts.lon < edges.x1 + (pts.lat - edges.y1) * (edges.x2 - edges.x1) / nullif(edges.y2 - edges.y1, 0e0)),
+ins AS (SELECT c_custkey, min(poly_id) AS poly_id FROM
+          (SELECT c_custkey, poly_id FROM cr GROUP BY 1, 2 HAVING count(*) % 2 = 1) t GROUP BY c_custkey),
+lab AS (SELECT pts.c_custkey, pts.c_acctbal, CAST(ins.poly_id AS INTEGER) AS poly_id
+        FROM pts LEFT JOIN ins ON ins.c_custkey = pts.c_custkey)"""
+
+SQL["point_in_polygon"] = f"""WITH {_PIP}
+SELECT lab.c_custkey, lab.poly_id, names.county FROM lab LEFT JOIN names ON names.poly_id = lab.poly_id"""
+
+SQL["region_total"] = f"""WITH {_PIP},
+sums AS (SELECT poly_id, count(*) AS n_points, round(sum(c_acctbal), 2) AS total_balance
+         FROM lab WHERE poly_id IS NOT NULL GROUP BY poly_id)
+SELECT CAST(names.poly_id AS INTEGER) AS poly_id, names.county, sums.n_points, sums.total_balance,
+       max(sums.total_balance) OVER () AS max_total
+FROM names LEFT JOIN sums ON sums.poly_id = names.poly_id"""
