@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import clean_queries as cq
 from . import match_geo_queries as mg
+from . import model_queries as mq
 from . import window_queries as wq
 
 QUERIES = {
@@ -37,4 +38,21 @@ QUERIES = {
     "geo_nearest_donor": mg.geo_nearest_donor,
     "point_in_polygon": mg.point_in_polygon_q,
     "region_total": mg.region_total,
+    "hash_split": mq.hash_split_q,
+    "kfold_assign": mq.kfold_assign,
+    "one_hot": mq.one_hot_q,
+    "unseen_share": mq.unseen_share,
+    "zscore": mq.zscore,
+    "simple_ols": mq.simple_ols,
+    "residuals": mq.residuals_q,
+    "regression_metrics": mq.regression_metrics_q,
+    "leaderboard": mq.leaderboard,
+    "worst_decile": mq.worst_decile,
+    "worst_row": mq.worst_row,
+    "value_shares": mq.value_shares_q,
+    "share_lift": mq.share_lift_q,
+    "median_contrast": mq.median_contrast_q,
+    "histogram": mq.histogram_q,
+    "category_count": mq.category_count,
+    "null_profile": mq.null_profile_q,
 }

@@ -344,3 +344,127 @@ sums AS (SELECT poly_id, count(*) AS n_points, round(sum(c_acctbal), 2) AS total
 SELECT CAST(names.poly_id AS INTEGER) AS poly_id, names.county, sums.n_points, sums.total_balance,
        max(sums.total_balance) OVER () AS max_total
 FROM names LEFT JOIN sums ON sums.poly_id = names.poly_id"""
+
+# --- features, evaluation, residual contrast -------------------------------
+
+def _hb(key: str, seed: int, buckets: int) -> str:
+    return f"(CAST(('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{seed}'), 1, 8)) AS BIGINT) % {buckets})"
+
+
+_MT = f"""mt0 AS (
+  SELECT CAST(('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 15)) AS BIGINT) AS row_id,
+         l_suppkey, l_quantity, l_discount, l_tax, l_extendedprice,
+         l_returnflag, l_linestatus, CAST(l_shipdate AS DATE) AS ship_date,
+         l_orderkey, l_linenumber, l_partkey
+  FROM lineitem),
+mt AS (SELECT *, CASE WHEN {_hb('row_id', 229, 100)} < 80 THEN 'train' ELSE 'test' END AS part FROM mt0),
+coef AS (SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS b,
+                round(regr_intercept(l_extendedprice, l_quantity), 6) AS a FROM mt WHERE part = 'train'),
+pred AS (SELECT mt.*, coef.a + coef.b * mt.l_quantity AS prediction FROM mt, coef),
+res AS (SELECT *, l_extendedprice - prediction AS residual, abs(l_extendedprice - prediction) AS abs_residual
+        FROM pred WHERE part = 'test'),
+flag AS (SELECT *, row_number() OVER (ORDER BY abs_residual DESC, row_id) <= (SELECT CAST(floor(0.1e0 * count(*)) AS BIGINT) FROM res) AS is_extreme
+         FROM res)"""
+
+SQL["hash_split"] = f"""SELECT o_orderkey, CASE WHEN {_hb('o_orderkey', 229, 100)} < 80 THEN 'train' ELSE 'test' END AS part,
+       {_hb('o_orderkey', 229, 100)} AS bucket FROM orders"""
+
+SQL["kfold_assign"] = f"SELECT o_orderkey, CAST({_hb('o_orderkey', 229, 5)} AS INTEGER) AS fold FROM orders"
+
+SQL["one_hot"] = f"""WITH c AS (SELECT c_custkey, c_mktsegment,
+   CASE WHEN {_hb('c_custkey', 229, 100)} < 80 THEN 'train' ELSE 'test' END AS part FROM customer)
+SELECT c_custkey, part,
+  CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 1 ELSE 0 END AS seg_is_AUTOMOBILE,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS seg_is_BUILDING,
+  CASE WHEN c_mktsegment = 'FURNITURE' THEN 1 ELSE 0 END AS seg_is_FURNITURE,
+  CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 1 ELSE 0 END AS seg_is_HOUSEHOLD,
+  CASE WHEN c_mktsegment = 'MACHINERY' THEN 1 ELSE 0 END AS seg_is_MACHINERY
+FROM c"""
+
+SQL["unseen_share"] = f"""WITH p AS (SELECT p_partkey, p_name || '/' || p_brand AS cat,
+   CASE WHEN {_hb('p_partkey', 229, 100)} < 80 THEN 'train' ELSE 'test' END AS part FROM part),
+t AS (SELECT p.*, p.cat NOT IN (SELECT cat FROM p WHERE part = 'train') AS unseen FROM p WHERE part = 'test')
+SELECT count(*) AS n_test, count_if(unseen) AS n_unseen, round(avg(CASE WHEN unseen THEN 1 ELSE 0 END), 6) AS unseen_share
+FROM t"""
+
+SQL["zscore"] = f"""WITH {_MT},
+s AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(l_discount) AS md, stddev_pop(l_discount) AS sd,
+             avg(l_tax) AS mt_, stddev_pop(l_tax) AS st FROM mt WHERE part = 'train')
+SELECT row_id, part,
+  round((l_quantity - mq) / CASE WHEN sq = 0 OR sq IS NULL THEN 1e0 ELSE sq END, 6) AS z_l_quantity,
+  round((l_discount - md) / CASE WHEN sd = 0 OR sd IS NULL THEN 1e0 ELSE sd END, 6) AS z_l_discount,
+  round((l_tax - mt_) / CASE WHEN st = 0 OR st IS NULL THEN 1e0 ELSE st END, 6) AS z_l_tax
+FROM mt, s"""
+
+SQL["simple_ols"] = f"""WITH {_MT}
+SELECT count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope,
+       round(regr_intercept(l_extendedprice, l_quantity), 6) AS intercept,
+       round(regr_r2(l_extendedprice, l_quantity), 6) AS r2
+FROM mt WHERE part = 'train'"""
+
+SQL["residuals"] = f"""WITH {_MT}
+SELECT row_id, l_extendedprice, prediction, residual FROM res"""
+
+SQL["regression_metrics"] = f"""WITH {_MT},
+r AS (SELECT part, l_extendedprice AS y, prediction AS p FROM pred)
+SELECT part, count(*) AS n,
+  round(1e0 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2,
+  round(sqrt(sum((y - p) * (y - p)) / count(*)), 6) AS rmse,
+  round(avg(abs(y - p)), 6) AS mae,
+  round(avg(abs(y - p) / greatest(abs(y), 2.220446049250313e-16)), 6) AS mape
+FROM r GROUP BY part"""
+
+SQL["leaderboard"] = f"""WITH {_MT},
+gm AS (SELECT l_returnflag, round(avg(l_extendedprice), 2) AS p FROM mt WHERE part = 'train' GROUP BY l_returnflag),
+long AS (SELECT 'ols_quantity' AS model, l_extendedprice AS y, prediction AS p FROM pred WHERE part = 'test'
+         UNION ALL
+         SELECT 'mean_by_flag', mt.l_extendedprice, gm.p FROM mt JOIN gm ON gm.l_returnflag = mt.l_returnflag
+         WHERE mt.part = 'test')
+SELECT model, count(*) AS n,
+  round(1e0 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2,
+  round(sqrt(sum((y - p) * (y - p)) / count(*)), 6) AS rmse,
+  round(avg(abs(y - p)), 6) AS mae
+FROM long GROUP BY model"""
+
+SQL["worst_decile"] = f"""WITH {_MT}
+SELECT row_id, round(abs_residual, 6) AS abs_residual, is_extreme FROM flag"""
+
+SQL["worst_row"] = f"""WITH {_MT}
+SELECT row_id, l_quantity, l_returnflag, round(residual, 6) AS residual FROM res
+ORDER BY abs_residual DESC, row_id LIMIT 1"""
+
+_SHARES = """sh AS (
+  SELECT {col}, count_if(is_extreme) AS n_extreme, count(*) AS n_all,
+         count_if(is_extreme) / (SELECT CAST(count_if(is_extreme) AS DOUBLE) FROM flag) AS share_extreme,
+         count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM flag) AS share_all
+  FROM flag GROUP BY {col} HAVING count_if(is_extreme) > 0)"""
+
+SQL["value_shares"] = f"""WITH {_MT}, {_SHARES.format(col='ship_date')}
+SELECT ship_date, n_extreme, n_all, round(share_extreme, 6) AS share_extreme, round(share_all, 6) AS share_all FROM sh"""
+
+SQL["share_lift"] = f"""WITH {_MT}, {_SHARES.format(col='l_suppkey')}
+SELECT l_suppkey, n_extreme, n_all, round(share_extreme / share_all, 6) AS lift FROM sh
+ORDER BY share_extreme / share_all DESC, l_suppkey LIMIT 25"""
+
+_MED = """SELECT '{f}' AS feature, round(median({f}) FILTER (WHERE is_extreme), 4) AS e,
+       round(median({f}) FILTER (WHERE NOT is_extreme), 4) AS o FROM flag"""
+
+SQL["median_contrast"] = f"""WITH {_MT},
+m AS ({' UNION ALL '.join(_MED.format(f=f) for f in ('l_quantity', 'l_discount', 'l_tax', 'l_extendedprice'))})
+SELECT feature, e AS extreme, o AS others, round((e - o) / nullif(o, 0e0), 6) AS pct_diff FROM m"""
+
+SQL["histogram"] = f"""WITH {_MT},
+b AS (SELECT min(residual) AS lo, max(residual) AS hi FROM res),
+w AS (SELECT lo, CASE WHEN hi > lo THEN (hi - lo) / 20 ELSE 1e0 END AS w FROM b),
+h AS (SELECT CAST(least(floor((residual - w.lo) / w.w), 19) AS INTEGER) AS bin, count(*) AS n FROM res, w GROUP BY 1)
+SELECT h.bin, round(w.lo + h.bin * w.w, 6) AS lo, round(w.lo + (h.bin + 1) * w.w, 6) AS hi, h.n FROM h, w"""
+
+SQL["category_count"] = "SELECT p_type, count(*) AS n FROM part GROUP BY p_type"
+
+SQL["null_profile"] = """WITH j AS (SELECT d.doc_id, d.lang, d.n_chars, l.quality, l.toxic
+           FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
+SELECT 'doc_id' AS column_name, 'bigint' AS dtype, count(doc_id) AS non_null, count(*) - count(doc_id) AS nulls FROM j
+UNION ALL SELECT 'lang', 'string', count(lang), count(*) - count(lang) FROM j
+UNION ALL SELECT 'n_chars', 'bigint', count(n_chars), count(*) - count(n_chars) FROM j
+UNION ALL SELECT 'quality', 'int', count(quality), count(*) - count(quality) FROM j
+UNION ALL SELECT 'toxic', 'int', count(toxic), count(*) - count(toxic) FROM j"""
