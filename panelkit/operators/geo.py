@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import KM_PER_MILE, geodesic_miles
+from ..session import cut_lineage
 
 # Smallest meridional radius of curvature of WGS-84 (at the equator), km.
 _MIN_MERIDIAN_RADIUS_KM = 6335.439
@@ -90,8 +91,10 @@ def nearest_within(left: DataFrame, right: DataFrame, *, left_id: str, right_id:
         if lvl == 0:
             out = pending.select("_lid").join(best, "_lid", "left")
         else:
-            out = best
-            pending = pending.join(best.select("_lid"), "_lid", "left_anti")
+            # materialise each level in the shared checkpoint folder: later
+            # levels then do not recompute earlier ones
+            out = cut_lineage(best)
+            pending = cut_lineage(pending.join(out.select("_lid"), "_lid", "left_anti"))
         settled.append(out)
     res = settled[0]
     for s in settled[1:]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import clean_queries as cq
 from . import match_geo_queries as mg
+from . import ml_queries as ml
 from . import model_queries as mq
 from . import window_queries as wq
 
@@ -55,4 +56,18 @@ QUERIES = {
     "histogram": mq.histogram_q,
     "category_count": mq.category_count,
     "null_profile": mq.null_profile_q,
+    "knn_predict": ml.knn_predict,
+    "knn_cv": ml.knn_cv,
+    "multiple_ols": ml.multiple_ols,
+    "ridge_cv": ml.ridge_cv,
+    "lasso_cv": ml.lasso_cv,
+    "elastic_net_cv": ml.elastic_net_cv,
+    "forest_search": ml.forest_search,
+    "forest_predict": ml.forest_predict,
+    "gbt_baseline": ml.gbt_baseline,
+    "gbt_search": ml.gbt_search,
+    "learning_curve": ml.learning_curve,
+    "feature_importance": ml.feature_importance,
+    "permutation_importance": ml.permutation_importance,
+    "trial_best": ml.trial_best,
 }

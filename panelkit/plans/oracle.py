@@ -468,3 +468,40 @@ UNION ALL SELECT 'lang', 'string', count(lang), count(*) - count(lang) FROM j
 UNION ALL SELECT 'n_chars', 'bigint', count(n_chars), count(*) - count(n_chars) FROM j
 UNION ALL SELECT 'quality', 'int', count(quality), count(*) - count(quality) FROM j
 UNION ALL SELECT 'toxic', 'int', count(toxic), count(*) - count(toxic) FROM j"""
+
+# --- KNN and least squares --------------------------------------------------
+
+_KNN_Z = f"""c AS (SELECT c_custkey, c_acctbal, 36e0 + (c_custkey % 500) / 100e0 AS lat,
+              -123e0 + ((c_custkey * 7) % 400) / 100e0 AS lon,
+              CASE WHEN {_hb('c_custkey', 229, 100)} < 80 THEN 'train' ELSE 'test' END AS part FROM customer),
+s AS (SELECT avg(lat) AS ml, stddev_pop(lat) AS sl, avg(lon) AS mo, stddev_pop(lon) AS so FROM c WHERE part = 'train'),
+z AS (SELECT c.*, round((lat - ml) / CASE WHEN sl = 0 THEN 1e0 ELSE sl END, 6) AS zl,
+             round((lon - mo) / CASE WHEN so = 0 THEN 1e0 ELSE so END, 6) AS zo FROM c, s)"""
+
+SQL["knn_predict"] = f"""WITH {_KNN_Z},
+p AS (SELECT q.c_custkey, r.c_acctbal AS y,
+             row_number() OVER (PARTITION BY q.c_custkey
+                                ORDER BY (q.zl - r.zl) * (q.zl - r.zl) + (q.zo - r.zo) * (q.zo - r.zo), r.c_custkey) AS rk
+      FROM z q JOIN z r ON r.part = 'train' WHERE q.part = 'test')
+SELECT c_custkey, round(avg(y), 6) AS prediction, count(*) AS n_neighbours FROM p WHERE rk <= 5 GROUP BY c_custkey"""
+
+SQL["knn_cv"] = f"""WITH {_KNN_Z},
+t AS (SELECT *, CAST({_hb('c_custkey', 42, 5)} AS INTEGER) AS fold FROM z WHERE part = 'train'),
+p AS (SELECT q.c_custkey, q.fold, q.c_acctbal AS y, r.c_acctbal AS y_ref,
+             row_number() OVER (PARTITION BY q.c_custkey
+                                ORDER BY (q.zl - r.zl) * (q.zl - r.zl) + (q.zo - r.zo) * (q.zo - r.zo), r.c_custkey) AS rk
+      FROM t q JOIN t r ON r.fold <> q.fold),
+run AS (SELECT *, sum(y_ref) OVER (PARTITION BY c_custkey ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / rk AS pred
+        FROM p WHERE rk <= 50),
+pf AS (SELECT fold, rk AS k, avg((y - pred) * (y - pred)) AS mse FROM run
+       WHERE rk IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 15, 20, 25, 40, 50) GROUP BY fold, rk),
+cv AS (SELECT CAST(k AS INTEGER) AS k, round(avg(mse), 2) AS cv_mse FROM pf GROUP BY k)
+SELECT k, cv_mse, k = first(k ORDER BY cv_mse, k) OVER () AS is_best FROM cv"""
+
+SQL["multiple_ols"] = f"""WITH {_MT},
+t AS (SELECT l_quantity AS x1, l_discount AS x2, l_extendedprice AS y FROM mt WHERE part = 'train'),
+s AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, covar_pop(x1, x1) AS s11, covar_pop(x2, x2) AS s22,
+             covar_pop(x1, x2) AS s12, covar_pop(x1, y) AS s1y, covar_pop(x2, y) AS s2y FROM t),
+b AS (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1,
+             (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM s)
+SELECT round(my - b1 * m1 - b2 * m2, 4) AS intercept, round(b1, 4) AS b_l_quantity, round(b2, 4) AS b_l_discount FROM b"""
