@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .rank import exact_medians, top_k_flag
 
 
@@ -17,8 +18,10 @@ def flag_worst_fraction(df: DataFrame, score: str, key: str, fraction: float = 0
                         flag: str = "is_extreme") -> DataFrame:
     """Flag the ``floor(fraction * n)`` rows with the largest ``score``, ties by
     smallest ``key``; the others (true complement) are the contrast group."""
-    n = df.where(F.col(score).isNotNull()).count()
-    return top_k_flag(df, score, key, int(fraction * n), flag)
+    narrow = cut_lineage(df.select(F.col(key).alias("_k"), F.col(score).alias("_s"))
+                           .where(F.col("_s").isNotNull()))
+    n = narrow.count()
+    return top_k_flag(df, score, key, int(fraction * n), flag, narrow=narrow)
 
 
 def value_shares(df: DataFrame, col: str, flag: str) -> DataFrame:
@@ -45,13 +48,13 @@ def median_contrast(df: DataFrame, features: list[str], flag: str, round_to: int
     Medians are rounded to ``round_to`` places before the ratio when given."""
     stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in features)
     long = df.selectExpr(f"stack({len(features)}, {stack}) AS (feature, value)", f"`{flag}` AS ext")
-    long = long.where(F.col("value").isNotNull())
+    long = cut_lineage(long.where(F.col("value").isNotNull()))
     counts = {(r["feature"], r["ext"]): r["n"] for r in
               long.groupBy("feature", "ext").agg(F.count(F.lit(1)).alias("n")).collect()}
     for c in features:
         for e in (True, False):
             counts.setdefault((c, e), 0)
-    med = exact_medians(long, ["feature", "ext"], "value", counts)
+    med = exact_medians(long, ["feature", "ext"], "value", counts, materialize=False)
     rows = []
     for c in features:
         a, b = med[(c, True)], med[(c, False)]

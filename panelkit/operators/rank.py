@@ -16,16 +16,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 _STEPS = 1000
 
 
 def exact_order_stats(df: DataFrame, value: str, targets: list[tuple], group_cols: list[str] | None = None,
-                      exact_limit: int = 200_000, accuracy: int = 20_000) -> dict:
+                      exact_limit: int = 200_000, accuracy: int = 20_000, materialize: bool = True) -> dict:
     """``targets``: list of (target_id, group_values_tuple, rank). Returns
     {target_id: value}. NULL values are ignored; a rank outside 1..n gives None."""
     spark = df.sparkSession
     group_cols = group_cols or []
     data = df.select(*group_cols, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    if materialize:
+        # several passes follow: read the narrow (group, value) rows from the
+        # shared checkpoint folder instead of recomputing their lineage
+        data = cut_lineage(data)
     # state: target -> (lo exclusive or None, hi inclusive or None, rank within band)
     state = {t: [None, None, r, g] for t, g, r in targets}
     result = {}
@@ -113,25 +119,31 @@ def _band(data: DataFrame, sdf: DataFrame, group_cols: list[str], extra: list[st
     return j.where(cond).select("_t", "_v", *extra)
 
 
-def top_k_flag(df: DataFrame, score: str, key: str, k: int, flag: str = "is_extreme") -> DataFrame:
+def top_k_flag(df: DataFrame, score: str, key: str, k: int, flag: str = "is_extreme",
+               narrow: DataFrame | None = None) -> DataFrame:
     """Flag the ``k`` rows with the largest ``score`` (ties: smallest ``key``),
-    exactly, without ordering the whole table."""
+    exactly, without ordering the whole table. ``narrow`` may hold the already
+    materialised ``(_k, _s)`` = (key, score) rows."""
     if k <= 0:
         return df.withColumn(flag, F.lit(False))
-    neg = df.select((-F.col(score)).alias("_ns"), F.col(key).alias("_k"))
-    v = exact_order_stats(neg, "_ns", [("k", (), k)]).get("k")
+    if narrow is None:
+        narrow = cut_lineage(df.select(F.col(key).alias("_k"), F.col(score).alias("_s"))
+                               .where(F.col("_s").isNotNull()))
+    neg = narrow.select((-F.col("_s")).alias("_ns"))
+    v = exact_order_stats(neg, "_ns", [("k", (), k)], materialize=False).get("k")
     if v is None:  # fewer rows than k: everything is extreme
         return df.withColumn(flag, F.col(score).isNotNull())
     thr = -v
-    above = df.where(F.col(score) > F.lit(thr)).count()
+    above = narrow.where(F.col("_s") > F.lit(thr)).count()
     m = k - above
-    ties = df.where(F.col(score) == F.lit(thr)).select(F.col(key).cast("double").alias("_kk"))
-    kmax = exact_order_stats(ties, "_kk", [("m", (), m)]).get("m")
+    ties = narrow.where(F.col("_s") == F.lit(thr)).select(F.col("_k").cast("double").alias("_kk"))
+    kmax = exact_order_stats(ties, "_kk", [("m", (), m)], materialize=False).get("m")
     is_top = (F.col(score) > F.lit(thr)) | ((F.col(score) == F.lit(thr)) & (F.col(key) <= F.lit(kmax)))
     return df.withColumn(flag, F.coalesce(is_top, F.lit(False)))
 
 
-def exact_medians(df: DataFrame, group_cols: list[str], value: str, counts: dict) -> dict:
+def exact_medians(df: DataFrame, group_cols: list[str], value: str, counts: dict,
+                  materialize: bool = True) -> dict:
     """Median per group (mean of the two middle values when n is even), exact.
     ``counts``: {group_tuple: n non-null}. Returns {group_tuple: median}."""
     targets = []
@@ -141,7 +153,7 @@ def exact_medians(df: DataFrame, group_cols: list[str], value: str, counts: dict
         lo_r, hi_r = (n + 1) // 2, n // 2 + 1
         targets.append((f"{'|'.join(map(str, g))}|lo", g, lo_r))
         targets.append((f"{'|'.join(map(str, g))}|hi", g, hi_r))
-    vals = exact_order_stats(df, value, targets, group_cols) if targets else {}
+    vals = exact_order_stats(df, value, targets, group_cols, materialize=materialize) if targets else {}
     out = {}
     for g, n in counts.items():
         if not n:

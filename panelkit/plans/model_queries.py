@@ -46,9 +46,14 @@ def _ols_coef(train: DataFrame, x: str, y: str) -> tuple[float, float]:
     return r["a"], r["b"]
 
 
-def _ols_predictions(mt: DataFrame) -> DataFrame:
+def _ols_prediction_col(mt: DataFrame):
+    """The fitted model as a column expression (coefficients are two literals)."""
     a, b = _ols_coef(mt.where(F.col("part") == fe.TRAIN), "l_quantity", Y)
-    return mt.select(*JOIN_KEY, (F.lit(a) + F.lit(b) * F.col("l_quantity")).alias("prediction"))
+    return F.lit(a) + F.lit(b) * F.col("l_quantity")
+
+
+def _ols_predictions(mt: DataFrame) -> DataFrame:
+    return mt.select(*JOIN_KEY, _ols_prediction_col(mt).alias("prediction"))
 
 
 def _group_mean_predictions(mt: DataFrame) -> DataFrame:
@@ -112,24 +117,30 @@ def residuals_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _test_residuals(spark, sf_dir):
+    """Test rows with prediction and residual. The prediction is a function of
+    the row's own columns, so it is a projection -- no join back."""
     mt = model_table(spark, sf_dir)
+    pred = _ols_prediction_col(mt)
     test = mt.where(F.col("part") == fe.TEST)
-    r = ev.residuals(test, _ols_predictions(mt), JOIN_KEY, Y)
-    return r.withColumn("abs_residual", F.abs("residual"))
+    return (test.withColumn("prediction", pred)
+                .withColumn("residual", F.col(Y) - F.col("prediction"))
+                .withColumn("abs_residual", F.abs("residual")))
 
 
 def regression_metrics_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     mt = model_table(spark, sf_dir)
-    r = ev.residuals(mt, _ols_predictions(mt), JOIN_KEY, Y)
+    r = mt.withColumn("prediction", _ols_prediction_col(mt))
     m = ev.regression_metrics(r, Y, "prediction", ["part"])
     return m.select("part", "n", *[F.round(c, 6).alias(c) for c in ("r2", "rmse", "mae", "mape")])
 
 
 def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     mt = model_table(spark, sf_dir)
-    test = mt.where(F.col("part") == fe.TEST).select(*JOIN_KEY, Y)
-    long = (test.join(_ols_predictions(mt), JOIN_KEY).withColumn("model", F.lit("ols_quantity"))
-            .unionByName(test.join(_group_mean_predictions(mt), JOIN_KEY).withColumn("model", F.lit("mean_by_flag"))))
+    test = mt.where(F.col("part") == fe.TEST)
+    ols = test.select(Y, _ols_prediction_col(mt).alias("prediction"), F.lit("ols_quantity").alias("model"))
+    gm = (test.select(*JOIN_KEY, Y).join(_group_mean_predictions(mt), JOIN_KEY)
+              .select(Y, "prediction", F.lit("mean_by_flag").alias("model")))
+    long = ols.unionByName(gm)
     m = ev.regression_metrics(long, Y, "prediction", ["model"])
     return m.select("model", "n", *[F.round(c, 6).alias(c) for c in ("r2", "rmse", "mae")])
 
