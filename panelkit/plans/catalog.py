@@ -6,6 +6,7 @@ from . import clean_queries as cq
 from . import match_geo_queries as mg
 from . import ml_queries as ml
 from . import model_queries as mq
+from . import stream_queries as sq
 from . import window_queries as wq
 
 QUERIES = {
@@ -70,4 +71,5 @@ QUERIES = {
     "feature_importance": ml.feature_importance,
     "permutation_importance": ml.permutation_importance,
     "trial_best": ml.trial_best,
+    "stream_clean_enrich": sq.stream_clean_enrich,
 }

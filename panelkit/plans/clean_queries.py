@@ -119,7 +119,7 @@ def name_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
                          tx.match_key_right("name").alias("key_right")))
 
 
-def _report_times(o: DataFrame) -> DataFrame:
+def _report_times(o: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     start_txt = F.when(F.col("o_orderstatus") == "P", F.lit("n/a")).otherwise(
         F.date_format("o_orderdate", "M/d/yy H:mm"))
     end_ts = F.col("o_orderdate") + F.make_dt_interval(F.lit(1), F.lit(0), F.pmod("o_orderkey", F.lit(1440)))
@@ -127,7 +127,7 @@ def _report_times(o: DataFrame) -> DataFrame:
         F.date_format(end_ts, "M/d/yyyy H:mm"))
     total = F.when(F.pmod("o_orderkey", F.lit(19)) == 0, F.lit(None).cast("double")).otherwise(
         F.col("o_totalprice"))
-    return o.select("o_orderkey", parse_time(start_txt, "%m/%d/%y %H:%M").alias("start_time"),
+    return o.select("o_orderkey", *keep, parse_time(start_txt, "%m/%d/%y %H:%M").alias("start_time"),
                     parse_time(end_txt, "%m/%d/%y %H:%M").alias("end_time"), total.alias("total"))
 
 

@@ -505,3 +505,11 @@ s AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, covar_pop(x1, x1) AS s1
 b AS (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1,
              (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM s)
 SELECT round(my - b1 * m1 - b2 * m2, 4) AS intercept, round(b1, 4) AS b_l_quantity, round(b2, 4) AS b_l_discount FROM b"""
+
+# --- streaming --------------------------------------------------------------
+
+SQL["stream_clean_enrich"] = """SELECT o_orderkey, o_totalprice AS total, c_mktsegment,
+       round(1440e0 + (o_orderkey % 1440), 6) AS time_out_min
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey
+WHERE o_orderstatus <> 'P' AND o_orderdate > TIMESTAMP '2000-01-01 00:00:00'
+  AND o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0"""
