@@ -60,19 +60,27 @@ def window_profile(anchors: DataFrame, daily: DataFrame, *, entity: str, anchor_
                    value_cols: list[str], days: int = 5, day: str = "day",
                    with_lags: bool = True) -> DataFrame:
     """Per distinct (entity, anchor_date): day count, null-day count, class and
-    (optionally) the ``{col}_lag{k}`` pivot -- one aggregation pass."""
+    (optionally) the ``{col}_lag{k}`` pivot.
+
+    Plan: distinct keys -> explode the ``days`` offsets -> LEFT equi-join to
+    the daily rows on (entity, day) -> one grouped aggregation. The daily
+    side is already hash-partitioned on (entity, day) by its own rollup, so
+    the join only shuffles the exploded keys."""
     keys = _keys(anchors, entity, anchor_date)
-    w = window_rows(keys, daily, entity, anchor_date, days, day)
+    ex = (keys.withColumn("offset", F.explode(F.sequence(F.lit(1), F.lit(days))))
+              .withColumn(day, F.date_sub(F.col(anchor_date), F.col("offset"))))
+    j = ex.join(daily.withColumn("_present", F.lit(1)), [entity, day], "left")
     null_any = F.greatest(*[F.col(c).isNull() for c in value_cols]) if len(value_cols) > 1 \
         else F.col(value_cols[0]).isNull()
-    aggs = [F.count(F.col(day)).alias("n_days"),
-            F.coalesce(F.sum(F.when(F.col(day).isNotNull() & null_any, 1).otherwise(0)),
+    present = F.col("_present").isNotNull()
+    aggs = [F.count(F.col("_present")).alias("n_days"),
+            F.coalesce(F.sum(F.when(present & null_any, 1).otherwise(0)),
                        F.lit(0)).cast("long").alias("n_null_days")]
     if with_lags:
         # absent day -> NULL; (entity, day) is unique in a daily rollup, so max picks the one value
         aggs += [F.max(F.when(F.col("offset") == k, F.col(c))).alias(f"{c}_lag{k}")
                  for c in value_cols for k in range(days, 0, -1)]
-    prof = keys.join(w, [entity, anchor_date], "left").groupBy(entity, anchor_date).agg(*aggs)
+    prof = j.groupBy(entity, anchor_date).agg(*aggs)
     return prof.withColumn("completeness", _class_col(F.col("n_days"), F.col("n_null_days"), days))
 
 

@@ -15,7 +15,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,14 +59,14 @@ def lasso_path(train: DataFrame, zfeatures: list[str], label: str, n_alphas: int
 
 
 def cross_validate_linear(train: DataFrame, zfeatures: list[str], label: str, settings: list[dict],
-                          fold_col: str = "fold", parallelism: int = 4) -> tuple[list[dict], object]:
+                          fold_col: str = "fold", parallelism: int = 4,
+                          categorical: list[str] | None = None) -> tuple[list[dict], object]:
     """5-fold (by ``fold_col``) RMSE of every (regParam, elasticNetParam) setting;
     returns the per-setting table and the refit best model."""
     lr = LinearRegression(featuresCol="features", labelCol=label, standardization=False)
-    grid = ParamGridBuilder().build()
     grid = [{lr.regParam: s["regParam"], lr.elasticNetParam: s["elasticNetParam"]} for s in settings]
     ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse")
-    data = Pipeline(stages=assembler(zfeatures)).fit(train).transform(train)
+    data = Pipeline(stages=assembler(zfeatures, categorical)).fit(train).transform(train)
     cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col,
                         parallelism=parallelism)
     model = cv.fit(data.withColumn(fold_col, F.col(fold_col).cast("int")))

@@ -13,7 +13,7 @@ from ..operators.impute import sibling_impute
 from ..session import scratch_dir
 from ..sources import csv as csvsrc
 from ..sources.batches import load_batches
-from ..sources.sinks import with_status
+from ..sources.sinks import write_split
 from .common import synth_lon, table
 
 
@@ -75,11 +75,15 @@ def batch_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reject_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S7 + P7: documents left join labels; unlabelled rows are the rejects."""
+    """S7 + P7: documents left join labels; labelled rows go to the main table,
+    unlabelled rows to the reject table; both are read back with a status."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
     lab = table(spark, sf_dir, "labels")
     j = d.join(lab, "doc_id", "left")
-    return with_status(j, F.col("quality").isNotNull(), "labelled", "rejected")
+    base = scratch_dir(spark, "reject_split")
+    write_split(j, F.col("quality").isNotNull(), f"{base}/main", f"{base}/rejects")
+    return (spark.read.parquet(f"{base}/main").withColumn("status", F.lit("labelled"))
+            .unionByName(spark.read.parquet(f"{base}/rejects").withColumn("status", F.lit("rejected"))))
 
 
 # Messy report headers and their canonical names.

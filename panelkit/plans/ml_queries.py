@@ -93,7 +93,7 @@ def ridge_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     alphas = [1e-3, 1.0, 1e3]
     settings = [{"alpha": a, "regParam": md.ridge_reg_param(a, st["sd"], st["n"]), "elasticNetParam": 0.0}
                 for a in alphas]
-    rows, _ = md.cross_validate_linear(tr, zf, Y, settings)
+    rows, _ = md.cross_validate_linear(tr, zf, Y, settings, categorical=["l_returnflag"])
     return _cv_table(spark, rows)
 
 
