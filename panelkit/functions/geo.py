@@ -17,19 +17,21 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def geodesic_miles(lat1, lon1, lat2, lon2) -> Column:
-    """Ellipsoidal distance in miles by Lambert's formula for long lines.
+def point_terms(lat, lon) -> tuple[Column, Column, Column]:
+    """Per-point parts of the distance: reduced latitude beta, cos(beta) and the
+    longitude in radians. Computing them once per point (before a join) keeps
+    the per-pair work to the terms that really depend on both points."""
+    f = F.lit(WGS84_F)
+    beta = F.atan((1 - f) * F.tan(F.radians(_c(lat))))
+    return beta, F.cos(beta), F.radians(_c(lon))
 
-    Reduced latitudes beta = atan((1-f) tan phi); sigma is the central angle
-    (haversine on the reduced latitudes); the flattening correction uses
-    P = (b1+b2)/2 and Q = (b2-b1)/2. Error is far below a metre at the
-    distances the donor cap uses. Identical points give 0.
-    """
+
+def geodesic_from_terms(b1, cb1, l1, b2, cb2, l2) -> Column:
+    """Lambert's long-line formula from precomputed point terms (see
+    ``geodesic_miles``)."""
+    b1, cb1, l1, b2, cb2, l2 = (_c(x) for x in (b1, cb1, l1, b2, cb2, l2))
     f = F.lit(WGS84_F)
-    b1 = F.atan((1 - f) * F.tan(F.radians(_c(lat1))))
-    b2 = F.atan((1 - f) * F.tan(F.radians(_c(lat2))))
-    dl = F.radians(_c(lon2)) - F.radians(_c(lon1))
-    h = F.pow(F.sin((b2 - b1) / 2), 2) + F.cos(b1) * F.cos(b2) * F.pow(F.sin(dl / 2), 2)
+    h = F.pow(F.sin((b2 - b1) / 2), 2) + cb1 * cb2 * F.pow(F.sin((l2 - l1) / 2), 2)
     sigma = 2 * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
     p = (b1 + b2) / 2
     q = (b2 - b1) / 2
@@ -37,3 +39,14 @@ def geodesic_miles(lat1, lon1, lat2, lon2) -> Column:
     y = (sigma + F.sin(sigma)) * F.pow(F.cos(p) * F.sin(q) / F.sin(sigma / 2), 2)
     d = F.lit(WGS84_A_KM) * (sigma - f / 2 * (x + y)) / F.lit(KM_PER_MILE)
     return F.when(sigma == 0, F.lit(0.0)).otherwise(d)
+
+
+def geodesic_miles(lat1, lon1, lat2, lon2) -> Column:
+    """Ellipsoidal distance in miles by Lambert's formula for long lines.
+
+    Reduced latitudes beta = atan((1-f) tan phi); sigma is the central angle
+    (haversine on the reduced latitudes); the flattening correction uses
+    P = (b1+b2)/2 and Q = (b2-b1)/2. Error is far below a metre at the
+    distances the donor cap uses. Identical points give 0.
+    """
+    return geodesic_from_terms(*point_terms(lat1, lon1), *point_terms(lat2, lon2))

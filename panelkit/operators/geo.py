@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import KM_PER_MILE, geodesic_miles
+from ..functions.geo import KM_PER_MILE, geodesic_from_terms, point_terms
 from ..session import cut_lineage
 
 # Smallest meridional radius of curvature of WGS-84 (at the equator), km.
@@ -43,7 +43,7 @@ def _cells(lat: Column, lon: Column, dlat: float, dlon: float) -> tuple[Column,
 def nearest_within(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str,
                    block: list[str], cap_miles: float = 60.0,
                    lat: str = "lat", lon: str = "lon",
-                   refine_levels: tuple[int, ...] = (6, 3, 0),
+                   refine_levels: tuple[int, ...] | None = None,
                    max_abs_lat: float | None = None) -> DataFrame:
     """For every ``left`` row, the nearest ``right`` row of the same ``block``
     within ``cap_miles`` (ties: lowest ``right_id``).
@@ -57,16 +57,32 @@ def nearest_within(left: DataFrame, right: DataFrame, *, left_id: str, right_id:
     fine levels, so no cell neighbourhood ever holds a hot block's whole
     population. Right rows with identical coordinates collapse to the lowest
     id first (only that one can win a tie).
+
+    Levels: unless given, the finest level is chosen from the busiest
+    cap-sized cell of the right side (about one right point per cell at the
+    finest level, assuming 2-D spread), then every third level (x8 coarser)
+    down to 0. This costs two small aggregates over the right side.
     """
     if max_abs_lat is None:
         m = right.agg(F.max(F.abs(F.col(lat)))).first()[0]
         max_abs_lat = float(m) if m is not None else 0.0
+    if refine_levels is None:
+        dlat0, dlon0 = _cell_sizes(cap_miles, max_abs_lat)
+        cy0, cx0 = _cells(F.col(lat), F.col(lon), dlat0, dlon0)
+        occ = (right.groupBy(*block, cy0.alias("_cy"), cx0.alias("_cx")).agg(F.count(F.lit(1)).alias("_n"))
+                    .agg(F.max("_n")).first()[0]) or 1
+        finest = max(0, min(20, int(math.ceil(math.log(max(occ, 1), 4)))))
+        refine_levels = tuple(range(finest, 0, -3)) + (0,)
     r = (right.select(*block, F.col(right_id).alias("_rid"), F.col(lat).alias("_rlat"),
                       F.col(lon).alias("_rlon"))
          .where(F.col("_rlat").isNotNull() & F.col("_rlon").isNotNull())
          .groupBy(*block, "_rlat", "_rlon").agg(F.min("_rid").alias("_rid")))
+    rb, rcb, rl = point_terms(F.col("_rlat"), F.col("_rlon"))
+    r = r.select("*", rb.alias("_rb"), rcb.alias("_rcb"), rl.alias("_rl"))
     pending = left.select(F.col(left_id).alias("_lid"), *block,
                           F.col(lat).alias("_llat"), F.col(lon).alias("_llon"))
+    lb, lcb, ll_ = point_terms(F.col("_llat"), F.col("_llon"))
+    pending = pending.select("*", lb.alias("_lb"), lcb.alias("_lcb"), ll_.alias("_ll"))
     settled = []
     levels = sorted(set(refine_levels), reverse=True)
     if 0 not in levels:
@@ -82,12 +98,14 @@ def nearest_within(left: DataFrame, right: DataFrame, *, left_id: str, right_id:
         rr = (r.withColumn("_cy", F.explode(F.transform(offs, lambda o: ry + o)))
                .withColumn("_cx", F.explode(F.transform(offs, lambda o: F.pmod(rx + o, F.lit(n_lon))))))
         ll = pending.withColumn("_cy", ly).withColumn("_cx", lx)
+        # the distance is computed once per candidate pair; the cap test runs
+        # on the per-point minimum (same result as filtering every pair first)
         pairs = (ll.join(rr, [*block, "_cy", "_cx"], "inner")
-                   .withColumn("_d", geodesic_miles("_llat", "_llon", "_rlat", "_rlon"))
-                   .where(F.col("_d") <= F.lit(side)))
+                   .select("_lid", "_rid", geodesic_from_terms("_lb", "_lcb", "_ll", "_rb", "_rcb", "_rl").alias("_d")))
         best = (pairs.groupBy("_lid")
                 .agg(F.min(F.struct(F.col("_d"), F.col("_rid"))).alias("_b"))
-                .select("_lid", F.col("_b._rid").alias("_rid"), F.col("_b._d").alias("_d")))
+                .select("_lid", F.col("_b._rid").alias("_rid"), F.col("_b._d").alias("_d"))
+                .where(F.col("_d") <= F.lit(side)))
         if lvl == 0:
             out = pending.select("_lid").join(best, "_lid", "left")
         else:
