@@ -54,11 +54,14 @@ def fuzzy_best_match(left: DataFrame, right: DataFrame, *, left_key: str, right_
     pairs = lx.join(rk.where(F.col("_rl") > 0), "_rl")
     if exclude_same:
         pairs = pairs.where(F.col("_ln") != F.col("_rn"))
-    scored = pairs.withColumn("_s", indel_ratio(F.col("_ln"), F.col("_rn"))).where(
-        F.col("_s") >= threshold)
+    # score once per pair; the threshold applies to each name's best score (a
+    # filter on the score itself would be pushed into the join condition and
+    # evaluate the LCS twice)
+    scored = pairs.select("_lraw", "_ro", indel_ratio(F.col("_ln"), F.col("_rn")).alias("_s"))
     best = (scored.groupBy("_lraw")
                   .agg(F.min(F.struct((-F.col("_s")).alias("neg"), F.col("_ro"))).alias("_b"))
-                  .select("_lraw", (-F.col("_b.neg")).alias("match_score"), F.col("_b._ro").alias("_ro")))
+                  .select("_lraw", (-F.col("_b.neg")).alias("match_score"), F.col("_b._ro").alias("_ro"))
+                  .where(F.col("match_score") >= threshold))
     rsel = right.select(F.col(right_order).alias("_ro"), *right_cols)
     matched = best.join(rsel, "_ro", "inner").drop("_ro")
     return (left.join(matched, left[left_key].eqNullSafe(matched["_lraw"]), "left")

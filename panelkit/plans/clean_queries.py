@@ -221,8 +221,14 @@ def crosswalk_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J2 + J3 + P10 + F10: customer zip -> crosswalk -> area code -> census row
     (with a second header row to drop) -> region."""
     c = table(spark, sf_dir, "customer")
-    xwalk = c.select(F.format_string("%05d", F.col("c_custkey")).alias("zip"),
-                     F.format_string("%05d", F.col("c_nationkey")).alias("zcta"))
+    # The crosswalk sheet is exported as text and read back as strings,
+    # projecting the two key columns
+    sheet = c.select(F.format_string("%05d", F.col("c_custkey")).alias("zip"),
+                     F.format_string("%05d", F.col("c_nationkey")).alias("zcta"),
+                     F.col("c_mktsegment").alias("note"))
+    path = scratch_dir(spark, "crosswalk")
+    csvsrc.write_csv(sheet, path)
+    xwalk = csvsrc.read_text_csv(spark, path, ["zip", "zcta", "note"], use=["zip", "zcta"])
     n = table(spark, sf_dir, "nation")
     census = n.select(F.concat(F.lit("ZCTA5 "), F.format_string("%05d", F.col("n_nationkey"))).alias("NAME"),
                       "n_name", "n_regionkey")
