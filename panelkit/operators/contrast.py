@@ -21,7 +21,7 @@ def flag_worst_fraction(df: DataFrame, score: str, key: str, fraction: float = 0
     narrow = cut_lineage(df.select(F.col(key).alias("_k"), F.col(score).alias("_s"))
                            .where(F.col("_s").isNotNull()))
     n = narrow.count()
-    return top_k_flag(df, score, key, int(fraction * n), flag, narrow=narrow)
+    return top_k_flag(df, score, key, int(fraction * n), flag, narrow=narrow, n=n)
 
 
 def value_shares(df: DataFrame, col: str, flag: str) -> DataFrame:

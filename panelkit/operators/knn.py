@@ -23,7 +23,7 @@ from ..session import cut_lineage
 
 def knn_join(query: DataFrame, ref: DataFrame, *, qid: str, rid: str, features: list[str], k: int,
              payload: list[str] | None = None, block: list[str] | None = None,
-             extra_levels: int = 2) -> DataFrame:
+             extra_levels: int = 12) -> DataFrame:
     """Returns ``qid, *block, rank (1..k), rid, d2, *payload`` -- the k nearest
     ``ref`` rows of every ``query`` row (squared Euclidean distance ``d2``),
     restricted to the same ``block`` values when given."""
@@ -54,9 +54,16 @@ def knn_join(query: DataFrame, ref: DataFrame, *, qid: str, rid: str, features:
         return query.sparkSession.createDataFrame([], f"{qid} long, rank int, {rid} long, d2 double")
     lo = [st[f"lo{i}"] for i in range(d)]
     s0 = max(max(st[f"hi{i}"] - st[f"lo{i}"] for i in range(d)), 1e-12)
-    # finest level: about k reference points per cell on uniform data
-    fine = max(0, int(math.ceil(math.log2(max(1.0, (n_ref / k) ** (1.0 / d))))))
-    levels = list(range(fine + extra_levels, 0, -1)) + [0]
+    # start level: about k reference points per cell on uniform data, refined
+    # further where the busiest cell holds many more (dense clusters settle on
+    # finer grids, so no neighbourhood holds a hot spot's whole population)
+    base = max(0, int(math.ceil(math.log2(max(1.0, (n_ref / k) ** (1.0 / d))))))
+    side_b = s0 / (2 ** base)
+    occ = (r.groupBy(*block, *[F.floor((F.col(f"_y{i}") - F.lit(lo[i])) / F.lit(side_b)).alias(f"_b{i}")
+                               for i in range(d)])
+            .agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]) or 1
+    extra = min(extra_levels, max(0, int(math.ceil(math.log(max(occ / k, 1.0), 2 ** d)))))
+    levels = list(range(base + extra, 0, -2)) + [0]
     offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=d)]
     offs = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets])
 

@@ -22,9 +22,12 @@ _STEPS = 1000
 
 
 def exact_order_stats(df: DataFrame, value: str, targets: list[tuple], group_cols: list[str] | None = None,
-                      exact_limit: int = 200_000, accuracy: int = 20_000, materialize: bool = True) -> dict:
+                      exact_limit: int = 200_000, accuracy: int = 20_000, materialize: bool = True,
+                      counts: dict | None = None) -> dict:
     """``targets``: list of (target_id, group_values_tuple, rank). Returns
-    {target_id: value}. NULL values are ignored; a rank outside 1..n gives None."""
+    {target_id: value}. NULL values are ignored; a rank outside 1..n gives None.
+    ``counts`` ({target_id: non-null rows of its group}), when known, lets
+    small groups skip the sketch round and go straight to the exact pass."""
     spark = df.sparkSession
     group_cols = group_cols or []
     data = df.select(*group_cols, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
@@ -36,7 +39,20 @@ def exact_order_stats(df: DataFrame, value: str, targets: list[tuple], group_col
     state = {t: [None, None, r, g] for t, g, r in targets}
     result = {}
     rounds = 0
+    known = dict(counts or {})
     while state:
+        if known and all(t in known for t in state):
+            small = [t for t in state if known[t] <= exact_limit and 1 <= state[t][2] <= known[t]]
+            for t in list(state):
+                if not 1 <= state[t][2] <= known[t]:
+                    result[t] = None
+                    del state[t]
+            if not state:
+                break
+            if small and len(small) == len(state):
+                _exact_pass(spark, data, df, group_cols, {t: state[t] for t in small}, result)
+                break
+        known = {}
         sdf = spark.createDataFrame(
             [(t, *g, lo, hi) for t, (lo, hi, _r, g) in state.items()],
             f"_t string, {', '.join(f'{c} {dict(df.dtypes)[c]}' for c in group_cols) + ', ' if group_cols else ''}"
@@ -59,18 +75,7 @@ def exact_order_stats(df: DataFrame, value: str, targets: list[tuple], group_col
                 new_hi = q[min(_STEPS, i + 2)] if i + 2 <= _STEPS else hi
                 nxt[t] = (new_lo, new_hi)
         if small:
-            sub = {t: state[t] for t in small}
-            sdf2 = spark.createDataFrame(
-                [(t, *g, lo, hi, r) for t, (lo, hi, r, g) in sub.items()],
-                f"_t string, {', '.join(f'{c} {dict(df.dtypes)[c]}' for c in group_cols) + ', ' if group_cols else ''}"
-                "_lo double, _hi double, _r long")
-            b2 = _band(data, sdf2, group_cols, extra=["_r"])
-            w = Window.partitionBy("_t").orderBy("_v")
-            for row in (b2.withColumn("_rn", F.row_number().over(w))
-                          .where(F.col("_rn") == F.col("_r")).select("_t", "_v").collect()):
-                result[row["_t"]] = row["_v"]
-            for t in small:
-                result.setdefault(t, None)
+            _exact_pass(spark, data, df, group_cols, {t: state[t] for t in small}, result)
         if not nxt:
             break
         # exact re-count: how many band rows fall at or below the new lower bound,
@@ -105,6 +110,22 @@ def exact_order_stats(df: DataFrame, value: str, targets: list[tuple], group_col
     return result
 
 
+def _exact_pass(spark, data: DataFrame, df: DataFrame, group_cols: list[str], sub: dict, result: dict) -> None:
+    """Exact value of each target's rank inside its (small) band: one window
+    per target over at most ``exact_limit`` rows."""
+    sdf2 = spark.createDataFrame(
+        [(t, *g, lo, hi, r) for t, (lo, hi, r, g) in sub.items()],
+        f"_t string, {', '.join(f'{c} {dict(df.dtypes)[c]}' for c in group_cols) + ', ' if group_cols else ''}"
+        "_lo double, _hi double, _r long")
+    b2 = _band(data, sdf2, group_cols, extra=["_r"])
+    w = Window.partitionBy("_t").orderBy("_v")
+    for row in (b2.withColumn("_rn", F.row_number().over(w))
+                  .where(F.col("_rn") == F.col("_r")).select("_t", "_v").collect()):
+        result[row["_t"]] = row["_v"]
+    for t in sub:
+        result.setdefault(t, None)
+
+
 def _band(data: DataFrame, sdf: DataFrame, group_cols: list[str], extra: list[str] | None = None) -> DataFrame:
     """Rows of each target's current band (lo, hi]. The target table is tiny
     (one row per target), so it is broadcast; a target without groups meets
@@ -120,7 +141,7 @@ def _band(data: DataFrame, sdf: DataFrame, group_cols: list[str], extra: list[st
 
 
 def top_k_flag(df: DataFrame, score: str, key: str, k: int, flag: str = "is_extreme",
-               narrow: DataFrame | None = None) -> DataFrame:
+               narrow: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """Flag the ``k`` rows with the largest ``score`` (ties: smallest ``key``),
     exactly, without ordering the whole table. ``narrow`` may hold the already
     materialised ``(_k, _s)`` = (key, score) rows."""
@@ -130,15 +151,22 @@ def top_k_flag(df: DataFrame, score: str, key: str, k: int, flag: str = "is_extr
         narrow = cut_lineage(df.select(F.col(key).alias("_k"), F.col(score).alias("_s"))
                                .where(F.col("_s").isNotNull()))
     neg = narrow.select((-F.col("_s")).alias("_ns"))
-    v = exact_order_stats(neg, "_ns", [("k", (), k)], materialize=False).get("k")
+    v = exact_order_stats(neg, "_ns", [("k", (), k)], materialize=False,
+                          counts={"k": n} if n is not None else None).get("k")
     if v is None:  # fewer rows than k: everything is extreme
         return df.withColumn(flag, F.col(score).isNotNull())
     thr = -v
-    above = narrow.where(F.col("_s") > F.lit(thr)).count()
-    m = k - above
-    ties = narrow.where(F.col("_s") == F.lit(thr)).select(F.col("_k").cast("double").alias("_kk"))
-    kmax = exact_order_stats(ties, "_kk", [("m", (), m)], materialize=False).get("m")
-    is_top = (F.col(score) > F.lit(thr)) | ((F.col(score) == F.lit(thr)) & (F.col(key) <= F.lit(kmax)))
+    c = narrow.agg(F.count_if(F.col("_s") > F.lit(thr)).alias("above"),
+                   F.count_if(F.col("_s") == F.lit(thr)).alias("ties")).first()
+    m = k - c["above"]
+    if m == c["ties"]:
+        # the cut falls after the last tie: no key order needed
+        is_top = F.col(score) >= F.lit(thr)
+    else:
+        ties = narrow.where(F.col("_s") == F.lit(thr)).select(F.col("_k").cast("double").alias("_kk"))
+        kmax = exact_order_stats(ties, "_kk", [("m", (), m)], materialize=False,
+                                 counts={"m": c["ties"]}).get("m")
+        is_top = (F.col(score) > F.lit(thr)) | ((F.col(score) == F.lit(thr)) & (F.col(key) <= F.lit(kmax)))
     return df.withColumn(flag, F.coalesce(is_top, F.lit(False)))
 
 
@@ -153,7 +181,9 @@ def exact_medians(df: DataFrame, group_cols: list[str], value: str, counts: dict
         lo_r, hi_r = (n + 1) // 2, n // 2 + 1
         targets.append((f"{'|'.join(map(str, g))}|lo", g, lo_r))
         targets.append((f"{'|'.join(map(str, g))}|hi", g, hi_r))
-    vals = exact_order_stats(df, value, targets, group_cols, materialize=materialize) if targets else {}
+    tcounts = {t: counts[g] for t, g, _r in targets}
+    vals = exact_order_stats(df, value, targets, group_cols, materialize=materialize,
+                             counts=tcounts) if targets else {}
     out = {}
     for g, n in counts.items():
         if not n:
