@@ -122,35 +122,47 @@ def nearest_within(left: DataFrame, right: DataFrame, *, left_id: str, right_id:
 
 
 def point_in_polygon(points: DataFrame, edges: DataFrame, *, point_id: str = "point_id",
-                     poly_id: str = "poly_id", x: str = "lon", y: str = "lat") -> DataFrame:
+                     poly_id: str = "poly_id", x: str = "lon", y: str = "lat",
+                     bands_per_cell: int = 8) -> DataFrame:
     """Which polygon holds each point (ray-crossing parity). Points outside all
-    polygons get NULL.
+    polygons get NULL; when polygons overlap, the lowest ``poly_id`` wins.
 
     ``edges`` has one row per polygon edge: ``poly_id, x1, y1, x2, y2`` (a ring
-    closes on itself). Points meet only the edges whose y-span covers them,
-    via an equi-join on horizontal bands, so the work is per band, not per
-    polygon x point. When polygons overlap, the lowest ``poly_id`` wins.
+    closes on itself). Two equi-joins, no pair list:
+    1. points meet the polygons whose bounding box holds them, through the
+       grid cells each box covers (cell side = the mean box side, one small
+       aggregate over the polygons);
+    2. each (point, polygon) candidate meets only that polygon's edges in its
+       horizontal band, and counts the crossings to its right.
     """
     e = edges.select(poly_id, "x1", "y1", "x2", "y2")
-    # bounding boxes prune (point, polygon) pairs before any edge work
     bbox = e.groupBy(poly_id).agg(
         F.least(F.min("x1"), F.min("x2")).alias("_xmin"), F.greatest(F.max("x1"), F.max("x2")).alias("_xmax"),
         F.least(F.min("y1"), F.min("y2")).alias("_ymin"), F.greatest(F.max("y1"), F.max("y2")).alias("_ymax"))
-    # band height: one tenth of the mean polygon height (a fixed fan-out per edge)
+    side = bbox.agg(F.avg(F.greatest(F.col("_xmax") - F.col("_xmin"), F.col("_ymax") - F.col("_ymin")))).first()[0]
     p = points.select(F.col(point_id).alias("_pid"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    hs = bbox.agg(F.avg(F.col("_ymax") - F.col("_ymin"))).first()[0] or 1.0
-    band = max(hs / 10.0, 1e-9)
-    eb = (e.withColumn("_b", F.explode(F.sequence(
-            F.floor(F.least("y1", "y2") / band).cast("long"),
-            F.floor(F.greatest("y1", "y2") / band).cast("long")))))
-    pb = p.withColumn("_b", F.floor(F.col("_y") / band).cast("long"))
-    cand = (pb.join(eb, "_b")
-              .where((F.col("y1") > F.col("_y")) != (F.col("y2") > F.col("_y")))
-              .withColumn("_xint", F.col("x1") + (F.col("_y") - F.col("y1")) * (F.col("x2") - F.col("x1"))
-                          / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)))
-              .where(F.col("_x") < F.col("_xint")))
-    inside = (cand.groupBy("_pid", poly_id).agg(F.count(F.lit(1)).alias("_n"))
-                  .where(F.col("_n") % 2 == 1)
-                  .groupBy("_pid").agg(F.min(poly_id).alias(poly_id)))
+    if side is None:
+        return p.select(F.col("_pid").alias(point_id), F.lit(None).cast("int").alias(poly_id))
+    cell = max(float(side), 1e-9)
+    band = cell / bands_per_cell
+
+    def fl(c, w):
+        return F.floor(c / F.lit(w)).cast("long")
+
+    cells = (bbox.withColumn("_gx", F.explode(F.sequence(fl(F.col("_xmin"), cell), fl(F.col("_xmax"), cell))))
+                 .withColumn("_gy", F.explode(F.sequence(fl(F.col("_ymin"), cell), fl(F.col("_ymax"), cell)))))
+    cand = (p.withColumn("_gx", fl(F.col("_x"), cell)).withColumn("_gy", fl(F.col("_y"), cell))
+             .join(cells, ["_gx", "_gy"])
+             .where(F.col("_x").between(F.col("_xmin"), F.col("_xmax"))
+                    & F.col("_y").between(F.col("_ymin"), F.col("_ymax")))
+             .select("_pid", poly_id, "_x", "_y", fl(F.col("_y"), band).alias("_b")))
+    eb = e.withColumn("_b", F.explode(F.sequence(fl(F.least("y1", "y2"), band), fl(F.greatest("y1", "y2"), band))))
+    cross = (cand.join(eb, [poly_id, "_b"])
+                 .where((F.col("y1") > F.col("_y")) != (F.col("y2") > F.col("_y")))
+                 .where(F.col("_x") < F.col("x1") + (F.col("_y") - F.col("y1")) * (F.col("x2") - F.col("x1"))
+                        / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))))
+    inside = (cross.groupBy("_pid", poly_id).agg(F.count(F.lit(1)).alias("_n"))
+                   .where(F.col("_n") % 2 == 1)
+                   .groupBy("_pid").agg(F.min(poly_id).alias(poly_id)))
     return (p.join(inside, "_pid", "left")
              .select(F.col("_pid").alias(point_id), F.col(poly_id)))

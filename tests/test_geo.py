@@ -99,3 +99,36 @@ def test_point_in_polygon_concave(spark):
     got = {r.point_id: r.poly_id for r in point_in_polygon(pts, edges).collect()}
     assert got == {1: 7, 2: None, 3: 7, 4: None, 5: 7}
     assert F is not None
+
+
+def _inside(px, py, ring):
+    c = False
+    for i, (x1, y1) in enumerate(ring):
+        x2, y2 = ring[(i + 1) % len(ring)]
+        if (y1 > py) != (y2 > py) and px < x1 + (py - y1) * (x2 - x1) / (y2 - y1):
+            c = not c
+    return c
+
+
+def test_point_in_polygon_random_stars(spark):
+    rnd = random.Random(2)
+    polys = []
+    for pid in range(1, 13):
+        cx, cy = rnd.uniform(0, 20), rnd.uniform(0, 20)
+        n = rnd.randint(5, 14)
+        ring = []
+        for j in range(n):
+            a = 2 * math.pi * j / n
+            r = rnd.uniform(0.5, 3.0)
+            ring.append((cx + r * math.cos(a), cy + r * math.sin(a)))
+        polys.append((pid, ring))
+    edges = spark.createDataFrame(
+        [(pid, x1, y1, ring[(i + 1) % len(ring)][0], ring[(i + 1) % len(ring)][1])
+         for pid, ring in polys for i, (x1, y1) in enumerate(ring)],
+        "poly_id int, x1 double, y1 double, x2 double, y2 double")
+    pts = [(i, rnd.uniform(-2, 22), rnd.uniform(-2, 22)) for i in range(1500)]
+    got = {r.point_id: r.poly_id for r in
+           point_in_polygon(spark.createDataFrame(pts, "point_id long, lon double, lat double"), edges).collect()}
+    for i, x, y in pts:
+        hits = [pid for pid, ring in polys if _inside(x, y, ring)]
+        assert got[i] == (min(hits) if hits else None)
