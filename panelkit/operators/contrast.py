@@ -24,6 +24,25 @@ def flag_worst_fraction(df: DataFrame, score: str, key: str, fraction: float = 0
     return top_k_flag(df, score, key, int(fraction * n), flag, narrow=narrow, n=n)
 
 
+def flag_contrast_groups(df: DataFrame, score: str, key: str, fraction: float = 0.1,
+                         complement: str = "rest") -> DataFrame:
+    """``is_extreme`` = the worst ``floor(fraction n)`` rows; ``is_other`` = the
+    contrast group: every other row (``rest``), or the ``floor((1-fraction) n)``
+    rows with the smallest scores (``bottom``) -- with n not divisible by 10,
+    one row may then be in neither group, as in one source variant."""
+    narrow = cut_lineage(df.select(F.col(key).alias("_k"), F.col(score).alias("_s"))
+                           .where(F.col("_s").isNotNull()))
+    n = narrow.count()
+    out = top_k_flag(df, score, key, int(fraction * n), "is_extreme", narrow=narrow, n=n)
+    if complement == "rest":
+        return out.withColumn("is_other", ~F.col("is_extreme") & F.col(score).isNotNull())
+    if complement != "bottom":
+        raise ValueError("complement must be 'rest' or 'bottom'")
+    n_bottom = int((1 - fraction) * n + 1e-9)
+    out = top_k_flag(out, score, key, n - n_bottom, "_not_bottom", narrow=narrow, n=n)
+    return out.withColumn("is_other", ~F.col("_not_bottom") & F.col(score).isNotNull()).drop("_not_bottom")
+
+
 def value_shares(df: DataFrame, col: str, flag: str) -> DataFrame:
     """Relative frequency of each value among flagged rows and among all rows,
     for values present among the flagged rows (inner merge of the two)."""
@@ -42,13 +61,16 @@ def share_lift(df: DataFrame, col: str, flag: str, top: int = 25) -> DataFrame:
     return s.orderBy(F.col("lift").desc(), F.col(col).asc()).limit(top)
 
 
-def median_contrast(df: DataFrame, features: list[str], flag: str, round_to: int | None = 4) -> DataFrame:
+def median_contrast(df: DataFrame, features: list[str], flag: str, round_to: int | None = 4,
+                    other: str | None = None) -> DataFrame:
     """Per numeric feature: median among flagged rows, median among the others,
     and (extreme - others) / others (signed denominator kept; 0 -> NULL).
-    Medians are rounded to ``round_to`` places before the ratio when given."""
+    Medians are rounded to ``round_to`` places before the ratio when given.
+    ``other`` names an explicit contrast-group flag (default: not flagged)."""
     stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in features)
-    long = df.selectExpr(f"stack({len(features)}, {stack}) AS (feature, value)", f"`{flag}` AS ext")
-    long = cut_lineage(long.where(F.col("value").isNotNull()))
+    grp = f"`{flag}`" if other is None else f"CASE WHEN `{flag}` THEN true WHEN `{other}` THEN false END"
+    long = df.selectExpr(f"stack({len(features)}, {stack}) AS (feature, value)", f"{grp} AS ext")
+    long = cut_lineage(long.where(F.col("value").isNotNull() & F.col("ext").isNotNull()))
     counts = {(r["feature"], r["ext"]): r["n"] for r in
               long.groupBy("feature", "ext").agg(F.count(F.lit(1)).alias("n")).collect()}
     for c in features:

@@ -29,6 +29,29 @@ def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 229, col: str = "fold
     return df.withColumn(col, hash_bucket(F.col(key), seed, k).cast("int"))
 
 
+def kfold_contiguous(df: DataFrame, key: str, k: int = 5, col: str = "fold") -> DataFrame:
+    """Unshuffled k-fold in ``key`` order: fold i holds the next
+    ``n // k (+1 for the first n % k folds)`` rows, as a plain ``KFold``
+    does on an ordered table. The k-1 boundary keys are exact order
+    statistics (no global sort, no single-task row numbering); the fold is
+    then a column predicate. ``key`` must be unique and numeric."""
+    from .rank import exact_order_stats
+    n = df.where(F.col(key).isNotNull()).count()
+    q, m = divmod(n, k)
+    cuts, c = [], 0
+    for i in range(k - 1):
+        c += q + (1 if i < m else 0)
+        cuts.append(c)
+    if n == 0 or q == 0 and m == 0:
+        return df.withColumn(col, F.lit(0))
+    stats = exact_order_stats(df.select(F.col(key).cast("double").alias("_k")), "_k",
+                              [(str(i), (), r) for i, r in enumerate(cuts) if r >= 1],
+                              counts={str(i): n for i in range(len(cuts))})
+    fold = sum((F.when(F.col(key) > F.lit(stats[str(i)]), 1).otherwise(0) for i, r in enumerate(cuts) if r >= 1),
+               F.lit(0))
+    return df.withColumn(col, fold.cast("int"))
+
+
 def fit_categories(train: DataFrame, col: str, max_categories: int = 10_000) -> list:
     """Sorted distinct training values (the encoder's vocabulary). The list is
     metadata and bounded: more than ``max_categories`` values means the column

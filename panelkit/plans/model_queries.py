@@ -69,8 +69,11 @@ def hash_split_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kfold_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6: shuffled folds (hash of key and seed) and unshuffled contiguous
+    folds in key order."""
     o = table(spark, sf_dir, "orders").select("o_orderkey")
-    return fe.kfold(o, "o_orderkey", k=5, seed=SEED)
+    o = fe.kfold(o, "o_orderkey", k=5, seed=SEED)
+    return fe.kfold_contiguous(o, "o_orderkey", k=5, col="fold_contiguous")
 
 
 def one_hot_q(spark: SparkSession, sf_dir: str) -> DataFrame:

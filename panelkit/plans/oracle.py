@@ -369,7 +369,13 @@ flag AS (SELECT *, row_number() OVER (ORDER BY abs_residual DESC, row_id) <= (SE
 SQL["hash_split"] = f"""SELECT o_orderkey, CASE WHEN {_hb('o_orderkey', 229, 100)} < 80 THEN 'train' ELSE 'test' END AS part,
        {_hb('o_orderkey', 229, 100)} AS bucket FROM orders"""
 
-SQL["kfold_assign"] = f"SELECT o_orderkey, CAST({_hb('o_orderkey', 229, 5)} AS INTEGER) AS fold FROM orders"
+SQL["kfold_assign"] = f"""WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn,
+                  count(*) OVER () AS n FROM orders),
+s AS (SELECT *, n // 5 AS q, n % 5 AS m FROM r)
+SELECT o_orderkey, CAST({_hb('o_orderkey', 229, 5)} AS INTEGER) AS fold,
+       CAST(CASE WHEN rn <= m * (q + 1) THEN (rn - 1) // (q + 1)
+                 ELSE m + (rn - 1 - m * (q + 1)) // q END AS INTEGER) AS fold_contiguous
+FROM s"""
 
 SQL["one_hot"] = f"""WITH c AS (SELECT c_custkey, c_mktsegment,
    CASE WHEN {_hb('c_custkey', 229, 100)} < 80 THEN 'train' ELSE 'test' END AS part FROM customer)

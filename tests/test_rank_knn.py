@@ -41,3 +41,27 @@ def test_knn_matches_brute_force(spark):
     for qid, x, y in q:
         exp = sorted(((x - a) ** 2 + (y - b) ** 2, rid) for rid, a, b, _ in ref)[:k]
         assert [rid for _, rid in sorted(got[qid])] == [rid for _, rid in exp]
+
+
+def test_kfold_contiguous_matches_plain_kfold(spark):
+    from panelkit.operators.features import kfold_contiguous
+    df = spark.range(0, 1003).withColumnRenamed("id", "k")
+    got = {r.k: r.fold for r in kfold_contiguous(df, "k", 5).collect()}
+    sizes = [201, 201, 201, 200, 200]
+    exp, i = {}, 0
+    for f, sz in enumerate(sizes):
+        for _ in range(sz):
+            exp[i] = f
+            i += 1
+    assert got == exp
+
+
+def test_contrast_groups_bottom_variant(spark):
+    from panelkit.operators.contrast import flag_contrast_groups
+    df = spark.createDataFrame([(i, float(i % 37)) for i in range(105)], "id long, s double")
+    out = flag_contrast_groups(df, "s", "id", 0.1, complement="bottom").collect()
+    ext = {r.id for r in out if r.is_extreme}
+    oth = {r.id for r in out if r.is_other}
+    order = sorted(range(105), key=lambda i: (-(i % 37), i))
+    assert ext == set(order[:10]) and oth == set(order[-94:])
+    assert len(ext | oth) == 104   # 105 rows: one row is in neither group
