@@ -10,6 +10,10 @@ Plan (all DataFrame ops, no UDF):
 3. LCS score as a JVM expression; best per left name by a min over the
    struct (-score, right order) with map-side partial aggregation;
 4. join the winner back to every left row.
+
+Before the LCS, a pair must pass the character-multiset bound
+``LCS <= sum_c min(count_a(c), count_b(c))`` -- exact, and linear in the
+alphabet instead of quadratic in the lengths.
 """
 
 from __future__ import annotations
@@ -22,6 +26,23 @@ from pyspark.sql import functions as F
 from ..functions.text import indel_ratio, token_sort_key
 
 
+# Fixed value: the alphabet of the token-sort normal form (lower-case ASCII
+# letters, digits, underscore and the single space separator).
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789_ "
+
+
+def char_histogram(c):
+    """Counts of each ALPHABET character in a normalised text (array<int>)."""
+    chars = F.split(c, "")
+    return F.transform(F.sequence(F.lit(1), F.lit(len(ALPHABET))),
+                       lambda i: F.size(F.filter(chars, lambda ch: ch == F.substr(F.lit(ALPHABET), i, F.lit(1)))))
+
+
+def char_overlap(h1, h2):
+    """sum_c min(h1[c], h2[c]): an upper bound of the LCS length."""
+    return F.aggregate(F.zip_with(h1, h2, lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
+
+
 def _len_bounds(threshold: int):
     r = (threshold - 0.5) / 100.0
     return r
@@ -39,12 +60,14 @@ def fuzzy_best_match(left: DataFrame, right: DataFrame, *, left_key: str, right_
     ``exclude_same`` skips pairs whose normalised texts are equal (self match)."""
     lk = (left.select(F.col(left_key).alias("_lraw")).distinct()
               .withColumn("_ln", token_sort_key(F.col("_lraw")))
-              .withColumn("_ll", F.length("_ln")))
+              .withColumn("_ll", F.length("_ln"))
+              .withColumn("_lh", char_histogram(F.col("_ln"))))
     # one representative (lowest order) per distinct normalised right text:
     # equal texts score equally, and the tie rule picks the lowest order
     rk = (right.select(F.col(right_order).alias("_ro"), token_sort_key(F.col(right_key)).alias("_rn"))
                .groupBy("_rn").agg(F.min("_ro").alias("_ro"))
-               .withColumn("_rl", F.length("_rn")))
+               .withColumn("_rl", F.length("_rn"))
+               .withColumn("_rh", char_histogram(F.col("_rn"))))
     r = _len_bounds(threshold)
     # lengths compatible with the bound: lb in [ceil(la*r/(2-r)), floor(la*(2-r)/r)]
     max_len = 1 << 16
@@ -54,6 +77,9 @@ def fuzzy_best_match(left: DataFrame, right: DataFrame, *, left_key: str, right_
     pairs = lx.join(rk.where(F.col("_rl") > 0), "_rl")
     if exclude_same:
         pairs = pairs.where(F.col("_ln") != F.col("_rn"))
+    # exact pre-filter: the character-multiset overlap bounds the LCS
+    pairs = pairs.where(F.lit(200.0) * char_overlap(F.col("_lh"), F.col("_rh"))
+                        >= F.lit(threshold - 0.5) * (F.col("_ll") + F.col("_rl")))
     # score once per pair; the threshold applies to each name's best score (a
     # filter on the score itself would be pushed into the join condition and
     # evaluate the LCS twice)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lookback as lb
+from ..session import cut_lineage
 from .common import DAYS, VALUE_COLS, anchors, daily, user_coords
 
 KEY = dict(row_id="row_id", entity="user_id", anchor_date="anchor_date")
@@ -47,6 +48,9 @@ def donor_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _donors(spark, sf_dir, need):
     cls, long = _classes_and_long(spark, sf_dir)
+    # both feed several jobs (donor search levels, copies, fills): materialise
+    # them once in the shared checkpoint folder instead of re-aggregating events
+    cls, long = cut_lineage(cls), cut_lineage(long)
     donors = lb.donor_assign(cls, user_coords(spark, sf_dir), entity="user_id", row_id="row_id",
                              anchor_date="anchor_date", need=need)
     return cls, long, donors
