@@ -11,6 +11,7 @@ import json
 import random
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -35,10 +36,25 @@ def assembler(features: list[str], categorical: list[str] | None = None, out: st
     return stages
 
 
+class _Cached:
+    """Persist only the columns a fit needs for the fit's several passes
+    (MEMORY_AND_DISK; a lost block is recomputed from lineage), then release."""
+
+    def __init__(self, df: DataFrame, cols: list[str]):
+        self.df = df.select(*dict.fromkeys(cols)).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def __enter__(self) -> DataFrame:
+        return self.df
+
+    def __exit__(self, *exc):
+        self.df.unpersist()
+
+
 def ols_fit(train: DataFrame, features: list[str], label: str):
     """Exact multiple least squares (normal equations, no penalty)."""
     lr = LinearRegression(featuresCol="features", labelCol=label, solver="normal", regParam=0.0)
-    return Pipeline(stages=assembler(features) + [lr]).fit(train)
+    with _Cached(train, [*features, label]) as t:
+        return Pipeline(stages=assembler(features) + [lr]).fit(t)
 
 
 def ridge_reg_param(alpha: float, sd_y: float, n: int) -> float:
@@ -66,10 +82,11 @@ def cross_validate_linear(train: DataFrame, zfeatures: list[str], label: str, se
     lr = LinearRegression(featuresCol="features", labelCol=label, standardization=False)
     grid = [{lr.regParam: s["regParam"], lr.elasticNetParam: s["elasticNetParam"]} for s in settings]
     ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse")
-    data = Pipeline(stages=assembler(zfeatures, categorical)).fit(train).transform(train)
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col,
-                        parallelism=parallelism)
-    model = cv.fit(data.withColumn(fold_col, F.col(fold_col).cast("int")))
+    with _Cached(train, [*zfeatures, *(categorical or []), label, fold_col]) as t:
+        data = Pipeline(stages=assembler(zfeatures, categorical)).fit(t).transform(t)
+        cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col,
+                            parallelism=parallelism)
+        model = cv.fit(data.withColumn(fold_col, F.col(fold_col).cast("int")))
     rows = [dict(s, cv_rmse=float(m)) for s, m in zip(settings, model.avgMetrics)]
     return rows, model
 
@@ -96,21 +113,24 @@ def forest_cv(train: DataFrame, features: list[str], label: str, settings: list[
     rf = RandomForestRegressor(featuresCol="features", labelCol=label, seed=seed)
     ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse")
     grid = [{getattr(rf, k): v for k, v in s.items()} for s in settings]
-    data = Pipeline(stages=assembler(features)).fit(train).transform(train)
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col,
-                        parallelism=parallelism)
-    m = cv.fit(data.withColumn(fold_col, F.col(fold_col).cast("int")))
+    with _Cached(train, [*features, label, fold_col]) as t:
+        data = Pipeline(stages=assembler(features)).fit(t).transform(t)
+        cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col,
+                            parallelism=parallelism)
+        m = cv.fit(data.withColumn(fold_col, F.col(fold_col).cast("int")))
     return [dict(s, cv_rmse=float(x)) for s, x in zip(settings, m.avgMetrics)], m
 
 
 def forest_fit(train: DataFrame, features: list[str], label: str, seed: int = 6, **params):
     rf = RandomForestRegressor(featuresCol="features", labelCol=label, seed=seed, **params)
-    return Pipeline(stages=assembler(features) + [rf]).fit(train)
+    with _Cached(train, [*features, label]) as t:
+        return Pipeline(stages=assembler(features) + [rf]).fit(t)
 
 
 def gbt_fit(train: DataFrame, features: list[str], label: str, seed: int = 42, **params):
     gbt = GBTRegressor(featuresCol="features", labelCol=label, seed=seed, **params)
-    return Pipeline(stages=assembler(features) + [gbt]).fit(train)
+    with _Cached(train, [*features, label]) as t:
+        return Pipeline(stages=assembler(features) + [gbt]).fit(t)
 
 
 # The boosted-tree search space (name -> (low, high, kind)).
