@@ -114,6 +114,8 @@ def nearest_within(left: DataFrame, right: DataFrame, *, left_id: str, right_id:
             out = cut_lineage(best)
             pending = cut_lineage(pending.join(out.select("_lid"), "_lid", "left_anti"))
         settled.append(out)
+        if lvl > 0 and pending.isEmpty():
+            break
     res = settled[0]
     for s in settled[1:]:
         res = res.unionByName(s)

@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import minutes_between
 from ..functions.text import name_stem
 
 
@@ -50,5 +49,3 @@ def sibling_impute(df: DataFrame, *, name: str, start: str, end: str, duration:
         F.when(miss, F.col("_t")).otherwise(F.col(text)).alias(text),
         miss.alias("imputed"))
 
-
-__all__ = ["sibling_impute", "minutes_between"]

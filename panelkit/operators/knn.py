@@ -57,7 +57,8 @@ def knn_join(query: DataFrame, ref: DataFrame, *, qid: str, rid: str, features:
     # start level: about k reference points per cell on uniform data, refined
     # further where the busiest cell holds many more (dense clusters settle on
     # finer grids, so no neighbourhood holds a hot spot's whole population)
-    base = max(0, int(math.ceil(math.log2(max(1.0, (n_ref / k) ** (1.0 / d))))))
+    n_blk = (r.groupBy(*block).count().agg(F.max("count")).first()[0] or 1) if block else n_ref
+    base = max(0, int(math.ceil(math.log2(max(1.0, (n_blk / k) ** (1.0 / d))))))
     side_b = s0 / (2 ** base)
     occ = (r.groupBy(*block, *[F.floor((F.col(f"_y{i}") - F.lit(lo[i])) / F.lit(side_b)).alias(f"_b{i}")
                                for i in range(d)])
@@ -92,9 +93,11 @@ def knn_join(query: DataFrame, ref: DataFrame, *, qid: str, rid: str, features:
             # executor only costs the current level)
             ok = cut_lineage(ranked.where((F.col("_n") >= k) & (F.col("rank") <= k)).drop("_n"))
             pending = cut_lineage(pending.join(ok.select("_q").distinct(), "_q", "left_anti"))
+            found.append(ok)
+            if pending.isEmpty():
+                break
         else:
-            ok = ranked.where(F.col("rank") <= k).drop("_n")
-        found.append(ok)
+            found.append(ranked.where(F.col("rank") <= k).drop("_n"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

@@ -12,7 +12,7 @@ from ..operators import knn
 from ..operators import models as md
 from ..operators.evaluate import regression_metrics
 from .common import synth_lat, synth_lon, table
-from .model_queries import JOIN_KEY, SEED, Y, model_table
+from .model_queries import SEED, Y, model_table
 
 KNN_KS = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 15, 20, 25, 40, 50]
 X3 = ["l_quantity", "l_discount", "l_tax"]
@@ -202,5 +202,3 @@ def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = md.forest_fit(tr, X3, Y, numTrees=10, maxDepth=5)
     return md.permutation_importance(m, te, X3, Y, key="row_id", repeats=2)
 
-
-__all__ = ["JOIN_KEY"]
