@@ -38,18 +38,27 @@ def parse_time(c, strftime_fmt: str) -> Column:
     collapsed first.
     """
     txt = collapse_ws(_c(c))
-    tries = [F.try_to_timestamp(txt, F.lit(spark_pattern(strftime_fmt)))]
-    if "%y" in strftime_fmt:
-        tries.append(F.try_to_timestamp(txt, F.lit(spark_pattern(strftime_fmt.replace("%y", "%Y")))))
-    parsed = F.coalesce(*tries).cast("timestamp_ntz")
+    tries = [_parse_ntz(txt, spark_pattern(strftime_fmt))]
     if "%y" in strftime_fmt:
+        tries.append(_parse_ntz(txt, spark_pattern(strftime_fmt.replace("%y", "%Y"))))
         # two-digit years 69..99 belong to the 1900s (POSIX pivot); Spark reads 20yy
-        parsed = F.when(F.year(tries[0]) >= 2069, parsed - F.expr("INTERVAL 100 YEARS")).otherwise(parsed)
+        tries[0] = F.when(F.year(tries[0]) >= 2069, tries[0] - F.expr("INTERVAL 100 YEARS")).otherwise(tries[0])
+    parsed = F.coalesce(*tries)
     sentinel = F.when(txt.rlike(r"\d"), F.lit("1970-01-01 00:00:00")).otherwise(F.lit("2000-01-01 00:00:00"))
     return (F.when(txt.isNull() | txt.isin(NAT_TEXTS), F.lit(None).cast("timestamp_ntz"))
             .otherwise(F.coalesce(parsed, sentinel.cast("timestamp_ntz"))))
 
 
+def _parse_ntz(txt: Column, pattern: str) -> Column:
+    """Wall-clock text -> TIMESTAMP_NTZ without any session time zone: the text
+    is parsed with an explicit +0000 offset, and its epoch microseconds are
+    added to the NTZ epoch (a local-zone round trip would shift times that
+    fall in a daylight-saving gap). Unparseable text gives NULL."""
+    inst = F.try_to_timestamp(F.concat(txt, F.lit(" +0000")), F.lit(pattern + " xx"))
+    return F.timestamp_add("MICROSECOND", F.unix_micros(inst),
+                           F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def minutes_between(start, end) -> Column:
     """Exact minutes from ``start`` to ``end`` as double (no time zone involved)."""
     return F.timestamp_diff("MICROSECOND", _c(start), _c(end)) / F.lit(60_000_000.0)

@@ -30,3 +30,14 @@ def test_minutes(spark):
                                "s timestamp_ntz, e timestamp_ntz")
     assert df.select(minutes_between("s", "e")).first()[0] == 1530.0
     assert df.select(F.col("s")).first()[0] == dt.datetime(2020, 1, 1)
+
+
+def test_parse_is_zone_free(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        df = spark.createDataFrame([("3/10/19 2:30",), ("12/31/99 23:30",)], "v string")
+        got = [r[0] for r in df.select(parse_time("v", "%m/%d/%y %H:%M")).collect()]
+        assert got == [dt.datetime(2019, 3, 10, 2, 30), dt.datetime(1999, 12, 31, 23, 30)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
