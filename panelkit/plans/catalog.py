@@ -72,4 +72,5 @@ QUERIES = {
     "permutation_importance": ml.permutation_importance,
     "trial_best": ml.trial_best,
     "stream_clean_enrich": sq.stream_clean_enrich,
+    "stream_daily_rollup": sq.stream_daily_rollup,
 }

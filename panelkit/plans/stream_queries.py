@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import minutes_between
 from ..operators import clean as cl
 from ..session import scratch_dir
-from ..streaming.clean_stream import read_stream, run_incremental
+from ..streaming.clean_stream import daily_rollup_stream, read_stream, run_incremental
 from .clean_queries import _report_times
 from .common import table
 
@@ -32,3 +32,23 @@ def stream_clean_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_dir(spark, "stream_clean")
     run_incremental(stream, clean, f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out")
+
+
+def stream_daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily rollup of the lookback slice as a stateful stream: events
+    arrive as files, one-day event-time windows per user under a zero-lateness
+    watermark, appended to a Parquet table. Only days that the watermark has
+    closed are emitted (the newest day stays open: a later event could still
+    belong to it)."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = read_stream(spark, sf_dir, schema, glob="events.parquet")
+
+    def rollup(df: DataFrame) -> DataFrame:
+        return daily_rollup_stream(df, "user_id", "ts", {
+            "v_min": F.min("value"), "v_max": F.max("value"),
+            "v_click": F.round(F.avg(F.when(F.col("event_type") == "click", F.col("value"))), 6),
+            "n_events": F.count(F.lit(1))}, lateness="0 seconds")
+
+    base = scratch_dir(spark, "stream_daily")
+    run_incremental(stream, rollup, f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out")

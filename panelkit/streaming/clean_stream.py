@@ -42,3 +42,31 @@ def run_incremental(stream: DataFrame, transform: Callable[[DataFrame], DataFram
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
+
+
+def utc_instant(ntz):
+    """TIMESTAMP_NTZ wall clock -> TIMESTAMP instant at UTC, without the session
+    zone (watermarks need an instant; tumbling windows align to the epoch, so
+    day windows are UTC days = the wall-clock days of the NTZ values)."""
+    from pyspark.sql import functions as F
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ntz))
+
+
+def instant_to_date(ts):
+    """Inverse of ``utc_instant`` followed by a date cut, zone-free."""
+    from pyspark.sql import functions as F
+    return F.to_date(F.timestamp_add("MICROSECOND", F.unix_micros(ts),
+                                     F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")))
+
+
+def daily_rollup_stream(stream: DataFrame, entity: str, ts: str, measures: dict, lateness: str = "1 day",
+                        day: str = "day") -> DataFrame:
+    """Streaming daily rollup: tumbling one-day event-time windows per entity
+    with a watermark. Append mode emits a day once the watermark (latest event
+    time minus ``lateness``) has passed its end; state for finished days is
+    dropped, so state stays bounded by the open days x entities."""
+    from pyspark.sql import functions as F
+    ev = stream.withColumn("_et", utc_instant(F.col(ts))).withWatermark("_et", lateness)
+    agg = ev.groupBy(F.col(entity), F.window("_et", "1 day").alias("_w")).agg(
+        *[m.alias(n) for n, m in measures.items()])
+    return agg.select(entity, instant_to_date(F.col("_w.start")).alias(day), *measures.keys())
