@@ -50,14 +50,14 @@ def value_shares(df: DataFrame, col: str, flag: str) -> DataFrame:
     g = df.groupBy(col).agg(F.count_if(F.col(flag)).alias("n_extreme"), F.count(F.lit(1)).alias("n_all"))
     return (g.where(F.col("n_extreme") > 0)
              .select(col, "n_extreme", "n_all",
-                     (F.col("n_extreme") / F.lit(float(tot["k"]))).alias("share_extreme"),
-                     (F.col("n_all") / F.lit(float(tot["n"]))).alias("share_all")))
+                     F.try_divide(F.col("n_extreme").cast("double"), F.lit(float(tot["k"]))).alias("share_extreme"),
+                     F.try_divide(F.col("n_all").cast("double"), F.lit(float(tot["n"]))).alias("share_all")))
 
 
 def share_lift(df: DataFrame, col: str, flag: str, top: int = 25) -> DataFrame:
     """Share among flagged rows / share among all rows, largest first (ties by
     value), top ``top`` -- a feature top-k, planned as TakeOrderedAndProject."""
-    s = value_shares(df, col, flag).withColumn("lift", F.col("share_extreme") / F.col("share_all"))
+    s = value_shares(df, col, flag).withColumn("lift", F.try_divide(F.col("share_extreme"), F.col("share_all")))
     return s.orderBy(F.col("lift").desc(), F.col(col).asc()).limit(top)
 
 

@@ -23,7 +23,7 @@ def regression_metrics(df: DataFrame, y: str, pred: str, group_cols: list[str] |
     m = g.agg(*aggs)
     return m.select(*(group_cols or []), "n",
                     (F.lit(1.0) - F.try_divide(F.col("_sse"), F.col("_sst"))).alias("r2"),
-                    F.sqrt(F.col("_sse") / F.col("n")).alias("rmse"), "mae", "mape")
+                    F.sqrt(F.try_divide(F.col("_sse"), F.col("n").cast("double"))).alias("rmse"), "mae", "mape")
 
 
 def residuals(df: DataFrame, preds: DataFrame, key, y: str, pred: str = "prediction") -> DataFrame:

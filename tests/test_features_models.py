@@ -68,3 +68,11 @@ def test_permute_column_is_a_permutation(spark):
     p = md.permute_column(df, "v", "id", seed=3, bucket_rows=500)
     assert sorted(r.v for r in p.collect()) == list(range(0, 6000, 2))
     assert p.where(F.col("v") != F.col("id") * 2).count() > 2500
+
+
+def test_empty_inputs_do_not_raise(spark):
+    from panelkit.operators.contrast import value_shares
+    df = spark.createDataFrame([(1, False), (2, False)], "v int, ext boolean")
+    assert value_shares(df, "v", "ext").count() == 0
+    e = spark.createDataFrame([], "y double, p double")
+    assert regression_metrics(e, "y", "p").count() == 1
