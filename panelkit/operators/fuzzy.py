@@ -2,18 +2,21 @@
 
 Plan (all DataFrame ops, no UDF):
 1. distinct normalised names on both sides (the score only depends on them);
-2. candidate pairs by an equi-join on length buckets that can still reach the
-   threshold -- ratio = 200*LCS/(la+lb) <= 200*min/(la+lb), so a pair can
-   only score >= T (after half-even rounding, >= T-0.5) when
-   2*min(la,lb)/(la+lb) >= (T-0.5)/100. This bound is exact, never drops a
-   qualifying pair, and turns the cross product into a join on length;
-3. LCS score as a JVM expression; best per left name by a min over the
-   struct (-score, right order) with map-side partial aggregation;
-4. join the winner back to every left row.
-
-Before the LCS, a pair must pass the character-multiset bound
-``LCS <= sum_c min(count_a(c), count_b(c))`` -- exact, and linear in the
-alphabet instead of quadratic in the lengths.
+2. candidate pairs by prefix filtering, exact for the threshold: a pair
+   scores >= T (>= T-0.5 before half-even rounding) only if
+   LCS >= r (la+lb)/2 with r = (T-0.5)/100, and LCS <= M, the overlap of the
+   two character multisets (items = (char, k-th occurrence)). So M must reach
+   t = ceil(r (la + lb_min)/2), with lb_min the shortest partner length the
+   ratio allows. Under one global item order (rarest characters first), two
+   multisets sharing >= t items share their smallest common item inside both
+   prefixes of size |A| - t + 1. Prefix items are exploded and equi-joined;
+   a pair is kept only at its smallest shared prefix item, so each candidate
+   appears once without a distinct shuffle;
+3. the length bound (2 min(la,lb)/(la+lb) >= r) and the overlap bound
+   (M >= r (la+lb)/2) -- both exact, linear in the alphabet -- drop more
+   pairs before the quadratic LCS, which is one JVM expression per pair;
+4. best per left name by a min over the struct (-score, right order) with
+   map-side partial aggregation; the winner is joined back to every left row.
 """
 
 from __future__ import annotations
@@ -62,17 +65,37 @@ def fuzzy_best_match(left: DataFrame, right: DataFrame, *, left_key: str, right_
                .withColumn("_rl", F.length("_rn"))
                .withColumn("_rh", char_histogram(F.col("_rn"))))
     r = (threshold - 0.5) / 100.0
-    # lengths compatible with the bound: lb in [ceil(la*r/(2-r)), floor(la*(2-r)/r)]
-    max_len = 1 << 16
-    lo = F.ceil(F.col("_ll") * F.lit(r / (2 - r)) - F.lit(1e-9))
-    hi = F.least(F.floor(F.col("_ll") * F.lit((2 - r) / r) + F.lit(1e-9)), F.lit(max_len))
-    lx = lk.where(F.col("_ll") > 0).withColumn("_rl", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))))
-    pairs = lx.join(rk.where(F.col("_rl") > 0), "_rl")
+    # global item order: rarest characters first (one aggregate over the
+    # distinct names; at most len(ALPHABET) numbers reach the driver)
+    chars = (lk.select(F.explode(F.split("_ln", "")).alias("c"))
+               .unionByName(rk.select(F.explode(F.split("_rn", "")).alias("c")))
+               .groupBy("c").count().collect())
+    freq = {row["c"]: row["count"] for row in chars}
+    order = F.array(*[F.lit(ch) for ch in sorted(ALPHABET, key=lambda ch: (freq.get(ch, 0), ch))])
+
+    def prefix(text, length):
+        # items (char rank, k-th occurrence) straight from the text: building
+        # them from the histogram inside nested lambdas is far slower
+        chars = F.split(text, "")
+        items = F.transform(chars, lambda ch, k: (F.array_position(order, ch) - 1) * F.lit(1 << 20)
+                            + F.size(F.filter(F.slice(chars, 1, k + 1), lambda x: x == ch)))
+        # shortest partner length, required overlap t, prefix size |A| - t + 1
+        other_min = F.ceil(length * F.lit(r / (2 - r)) - F.lit(1e-9))
+        t = F.greatest(F.lit(1), F.ceil(F.lit(r / 2) * (length + other_min) - F.lit(1e-9)))
+        return F.slice(F.array_sort(items), 1, (length - t + 1).cast("int"))
+
+    lx = (lk.where(F.col("_ll") > 0).withColumn("_lp", prefix(F.col("_ln"), F.col("_ll")))
+            .withColumn("_item", F.explode("_lp")))
+    rx = (rk.where(F.col("_rl") > 0).withColumn("_rp", prefix(F.col("_rn"), F.col("_rl")))
+            .withColumn("_item", F.explode("_rp")))
+    pairs = (lx.join(rx, "_item")
+               .where(F.array_min(F.array_intersect("_lp", "_rp")) == F.col("_item")))
     if exclude_same:
         pairs = pairs.where(F.col("_ln") != F.col("_rn"))
-    # exact pre-filter: the character-multiset overlap bounds the LCS
-    pairs = pairs.where(F.lit(200.0) * char_overlap(F.col("_lh"), F.col("_rh"))
-                        >= F.lit(threshold - 0.5) * (F.col("_ll") + F.col("_rl")))
+    # exact length and character-overlap bounds before the LCS
+    pairs = pairs.where((F.lit(2.0) * F.least("_ll", "_rl") >= F.lit(r) * (F.col("_ll") + F.col("_rl")))
+                        & (F.lit(200.0) * char_overlap(F.col("_lh"), F.col("_rh"))
+                           >= F.lit(threshold - 0.5) * (F.col("_ll") + F.col("_rl"))))
     # score once per pair; the threshold applies to each name's best score (a
     # filter on the score itself would be pushed into the join condition and
     # evaluate the LCS twice)

@@ -21,3 +21,21 @@ def test_fuzzy_matches_brute_force(spark):
         s, neg = max(scores)
         exp = (s, -neg) if s >= 80 else (None, None)
         assert got[lid] == exp, (name, got[lid], exp)
+
+
+def test_prefix_filter_is_exact_on_near_duplicates(spark):
+    rnd = random.Random(9)
+
+    def word():
+        return "".join(rnd.choice("aab c1") for _ in range(rnd.randint(1, 14)))
+    left = [(i, word()) for i in range(80)]
+    right = [(j, word()) for j in range(80)]
+    ldf = spark.createDataFrame(left, "lid long, name string")
+    rdf = spark.createDataFrame(right, "ord long, station string")
+    for thr in (60, 80, 95):
+        out = fuzzy_best_match(ldf, rdf, left_key="name", right_key="station", right_order="ord",
+                               right_cols=["ord"], threshold=thr)
+        got = {r.lid: (r.match_score, r.ord) for r in out.collect()}
+        for lid, name in left:
+            s, neg = max((_ratio(name, st), -o) for o, st in right)
+            assert got[lid] == ((s, -neg) if s >= thr else (None, None)), (thr, name)
