@@ -149,8 +149,12 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def worst_decile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = ct.flag_worst_fraction(_test_residuals(spark, sf_dir), "abs_residual", "row_id", 0.1)
-    return r.select("row_id", F.round("abs_residual", 6).alias("abs_residual"), "is_extreme")
+    """T1 + T2: the worst 10 % by absolute residual, and the contrast group as
+    the bottom floor(0.9 n) rows (with n not divisible by 10 a row can be in
+    neither group)."""
+    r = ct.flag_contrast_groups(_test_residuals(spark, sf_dir), "abs_residual", "row_id", 0.1,
+                                complement="bottom")
+    return r.select("row_id", F.round("abs_residual", 6).alias("abs_residual"), "is_extreme", "is_other")
 
 
 def worst_row(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -432,8 +432,12 @@ SELECT model, count(*) AS n,
   round(avg(abs(y - p)), 6) AS mae
 FROM long GROUP BY model"""
 
-SQL["worst_decile"] = f"""WITH {_MT}
-SELECT row_id, round(abs_residual, 6) AS abs_residual, is_extreme FROM flag"""
+SQL["worst_decile"] = f"""WITH {_MT},
+pos AS (SELECT row_id, abs_residual, row_number() OVER (ORDER BY abs_residual DESC, row_id) AS p,
+               count(*) OVER () AS n FROM res)
+SELECT row_id, round(abs_residual, 6) AS abs_residual, p <= CAST(floor(0.1e0 * n) AS BIGINT) AS is_extreme,
+       p > n - CAST(floor(0.9e0 * n + 1e-9) AS BIGINT) AS is_other
+FROM pos"""
 
 SQL["worst_row"] = f"""WITH {_MT}
 SELECT row_id, l_quantity, l_returnflag, round(residual, 6) AS residual FROM res
