@@ -34,10 +34,33 @@ def get_spark(master: str | None = None, app: str = "panelkit",
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
+    if not spark.sparkContext.master.startswith("local"):
+        apply_cluster_defaults(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
 
+# Partition sizing for large scans and shuffles (used only where
+# the cluster has not configured its own).
+CLUSTER_DEFAULTS = {
+    # many initial shuffle partitions; AQE coalesces them to the advisory size
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    # a partition is skewed at 5x the median and above 512 MB; AQE splits it
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+}
+
+
+def apply_cluster_defaults(spark: SparkSession) -> None:
+    """Size partitions for very large inputs without overriding cluster settings."""
+    conf = spark.sparkContext.getConf()
+    for k, v in CLUSTER_DEFAULTS.items():
+        if spark.conf.get(k, None) in (None, "") and not conf.contains(k):
+            spark.conf.set(k, v)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; create a scratch one only
     when it is unset (local runs and tests)."""
