@@ -16,7 +16,7 @@ from ..operators import contrast as ct
 from ..operators import evaluate as ev
 from ..operators import features as fe
 from ..operators.clean import null_profile
-from ..session import scratch_dir
+from ..session import cut_lineage, scratch_dir
 from .common import table
 
 SEED = 229
@@ -122,7 +122,9 @@ def residuals_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _test_residuals(spark, sf_dir):
     """Test rows with prediction and residual. The prediction is a function of
     the row's own columns, so it is a projection -- no join back."""
-    mt = model_table(spark, sf_dir)
+    # several passes follow (fit, flag thresholds, output): read the narrow
+    # model table from the checkpoint folder instead of re-hashing every row
+    mt = cut_lineage(model_table(spark, sf_dir))
     pred = _ols_prediction_col(mt)
     test = mt.where(F.col("part") == fe.TEST)
     return (test.withColumn("prediction", pred)
