@@ -63,7 +63,9 @@ def knn_join(query: DataFrame, ref: DataFrame, *, qid: str, rid: str, features:
     occ = (r.groupBy(*block, *[F.floor((F.col(f"_y{i}") - F.lit(lo[i])) / F.lit(side_b)).alias(f"_b{i}")
                                for i in range(d)])
             .agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]) or 1
-    extra = min(extra_levels, max(0, int(math.ceil(math.log(max(occ / k, 1.0), 2 ** d)))))
+    # refine only for real hot spots (a cell with far more than k points);
+    # ordinary density variation settles at the base level
+    extra = min(extra_levels, max(0, int(math.ceil(math.log(max(occ / (16.0 * k), 1.0), 2 ** d)))))
     levels = list(range(base + extra, 0, -2)) + [0]
     offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=d)]
     offs = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets])

@@ -65,3 +65,20 @@ def test_contrast_groups_bottom_variant(spark):
     order = sorted(range(105), key=lambda i: (-(i % 37), i))
     assert ext == set(order[:10]) and oth == set(order[-94:])
     assert len(ext | oth) == 104   # 105 rows: one row is in neither group
+
+
+def test_knn_hot_cluster_uses_finer_levels_and_stays_exact(spark):
+    rnd = random.Random(4)
+    ref = [(j, rnd.uniform(0, 100), rnd.uniform(0, 100)) for j in range(150)]
+    ref += [(1000 + j, 50 + rnd.uniform(0, 0.5), 50 + rnd.uniform(0, 0.5)) for j in range(1500)]  # hot spot
+    q = [(i, rnd.uniform(0, 100), rnd.uniform(0, 100)) for i in range(40)]
+    q += [(500 + i, 50 + rnd.uniform(0, 0.5), 50 + rnd.uniform(0, 0.5)) for i in range(40)]
+    qdf = spark.createDataFrame(q, "qid long, x double, y double")
+    rdf = spark.createDataFrame(ref, "rid long, x double, y double")
+    k = 3
+    got = {}
+    for r in knn_join(qdf, rdf, qid="qid", rid="rid", features=["x", "y"], k=k).collect():
+        got.setdefault(r.qid, []).append((r.rank, r.rid))
+    for qid, x, y in q:
+        exp = sorted(((x - a) ** 2 + (y - b) ** 2, rid) for rid, a, b in ref)[:k]
+        assert [rid for _, rid in sorted(got[qid])] == [rid for _, rid in exp]
