@@ -233,8 +233,8 @@ SQL["left_enrich"] = """SELECT o_orderkey, o_custkey, c_mktsegment,
 FROM orders LEFT JOIN customer ON c_custkey = o_custkey"""
 
 SQL["join_integrity"] = """SELECT count(*) AS n_rows,
-       count_if(l_orderkey IS NOT DISTINCT FROM o_orderkey) AS n_key_agree,
-       count_if(CAST(l_shipdate AS DATE) >= CAST(o_orderdate AS DATE)) AS n_date_agree,
+       CAST(count_if(l_orderkey IS NOT DISTINCT FROM o_orderkey) AS BIGINT) AS n_key_agree,
+       CAST(count_if(CAST(l_shipdate AS DATE) >= CAST(o_orderdate AS DATE)) AS BIGINT) AS n_date_agree,
        bool_and(l_orderkey IS NOT DISTINCT FROM o_orderkey AND CAST(l_shipdate AS DATE) >= CAST(o_orderdate AS DATE)) AS all_agree
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 
@@ -390,7 +390,7 @@ FROM c"""
 SQL["unseen_share"] = f"""WITH p AS (SELECT p_partkey, p_name || '/' || p_brand AS cat,
    CASE WHEN {_hb('p_partkey', 229, 100)} < 80 THEN 'train' ELSE 'test' END AS part FROM part),
 t AS (SELECT p.*, p.cat NOT IN (SELECT cat FROM p WHERE part = 'train') AS unseen FROM p WHERE part = 'test')
-SELECT count(*) AS n_test, count_if(unseen) AS n_unseen, round(avg(CASE WHEN unseen THEN 1 ELSE 0 END), 6) AS unseen_share
+SELECT count(*) AS n_test, CAST(count_if(unseen) AS BIGINT) AS n_unseen, round(avg(CASE WHEN unseen THEN 1 ELSE 0 END), 6) AS unseen_share
 FROM t"""
 
 SQL["zscore"] = f"""WITH {_MT},
@@ -444,7 +444,7 @@ SELECT row_id, l_quantity, l_returnflag, round(residual, 6) AS residual FROM res
 ORDER BY abs_residual DESC, row_id LIMIT 1"""
 
 _SHARES = """sh AS (
-  SELECT {col}, count_if(is_extreme) AS n_extreme, count(*) AS n_all,
+  SELECT {col}, CAST(count_if(is_extreme) AS BIGINT) AS n_extreme, count(*) AS n_all,
          count_if(is_extreme) / (SELECT CAST(count_if(is_extreme) AS DOUBLE) FROM flag) AS share_extreme,
          count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM flag) AS share_all
   FROM flag GROUP BY {col} HAVING count_if(is_extreme) > 0)"""

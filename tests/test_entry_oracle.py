@@ -43,6 +43,11 @@ def test_oracle_match(spark, name):
     df = entry.queries()[name](spark, SF)
     cols = df.columns
     a = sorted("|".join(_norm(r[c]) for c in sorted(cols)) for r in df.collect())
+    rel = con.sql(entry.oracle_sql()[name])
+    dtypes = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    tmap = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+            "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+    assert {c: tmap.get(t, t) for c, t in df.dtypes} == dtypes
     cur = con.execute(entry.oracle_sql()[name])
     dcols = [d[0] for d in cur.description]
     assert sorted(dcols) == sorted(cols)
