@@ -127,9 +127,14 @@ def forest_fit(train: DataFrame, features: list[str], label: str, seed: int = 6,
         return Pipeline(stages=assembler(features) + [rf]).fit(t)
 
 
-def gbt_fit(train: DataFrame, features: list[str], label: str, seed: int = 42, **params):
+def gbt_fit(train: DataFrame, features: list[str], label: str, seed: int = 42,
+            validation_col: str | None = None, **params):
+    """Boosted trees; with ``validation_col`` (boolean) those rows only measure
+    the validation error and boosting stops once it no longer improves."""
+    if validation_col:
+        params["validationIndicatorCol"] = validation_col
     gbt = GBTRegressor(featuresCol="features", labelCol=label, seed=seed, **params)
-    with _Cached(train, [*features, label]) as t:
+    with _Cached(train, [*features, label, *([validation_col] if validation_col else [])]) as t:
         return Pipeline(stages=assembler(features) + [gbt]).fit(t)
 
 
