@@ -1,4 +1,4 @@
-"""Exact k-nearest-neighbour join on low-dimensional features (1 to 3 columns).
+"""Exact k-nearest-neighbour join.
 
 No pair list per block: both sides are placed on grids of halving cell side,
 searched fine to coarse. A query point is settled at a level once at least
@@ -8,6 +8,13 @@ lowest reference id) are exact. The coarsest level spans the whole data, so
 everything settles there. Reference points with identical features are cut
 to their ``k`` lowest ids first (no more can ever be chosen from one spot),
 planned as a window group limit that runs before the shuffle.
+
+Any number of features: the grid uses the first ``grid_dims`` (<= 3)
+feature columns, a coordinate projection, while distances use all of them.
+A projection never lengthens a distance, so every point within the cell side
+in the full space lies in the 3^p neighbouring cells of the projection and
+the settle rule stays exact; put the most spread-out features (or principal
+component scores) first for the best pruning.
 """
 
 from __future__ import annotations
@@ -23,24 +30,24 @@ from ..session import cut_lineage
 
 def knn_join(query: DataFrame, ref: DataFrame, *, qid: str, rid: str, features: list[str], k: int,
              payload: list[str] | None = None, block: list[str] | None = None,
-             extra_levels: int = 12) -> DataFrame:
+             extra_levels: int = 12, grid_dims: int = 3) -> DataFrame:
     """Returns ``qid, *block, rank (1..k), rid, d2, *payload`` -- the k nearest
     ``ref`` rows of every ``query`` row (squared Euclidean distance ``d2``),
     restricted to the same ``block`` values when given."""
     block = block or []
     payload = payload or []
-    d = len(features)
-    if not 1 <= d <= 3:
-        raise ValueError("grid KNN supports 1 to 3 feature columns")
+    nf = len(features)
+    if nf < 1:
+        raise ValueError("k-NN needs at least one feature column")
+    d = min(nf, max(1, min(grid_dims, 3)))     # grid dimensions (a coordinate projection)
     q = query.select(F.col(qid).alias("_q"), *block, *[F.col(f).alias(f"_x{i}") for i, f in enumerate(features)])
     r = ref.select(F.col(rid).alias("_r"), *block, *[F.col(f).alias(f"_y{i}") for i, f in enumerate(features)],
                    *payload)
-    q = q.where(F.greatest(*[F.col(f"_x{i}").isNull() for i in range(d)]) == F.lit(False)) if d > 1 else \
-        q.where(F.col("_x0").isNotNull())
-    r = r.where(F.greatest(*[F.col(f"_y{i}").isNull() for i in range(d)]) == F.lit(False)) if d > 1 else \
-        r.where(F.col("_y0").isNotNull())
+    for i in range(nf):
+        q = q.where(F.col(f"_x{i}").isNotNull())
+        r = r.where(F.col(f"_y{i}").isNotNull())
     # at most k reference rows per identical location can ever be selected
-    loc = Window.partitionBy(*block, *[f"_y{i}" for i in range(d)]).orderBy("_r")
+    loc = Window.partitionBy(*block, *[f"_y{i}" for i in range(nf)]).orderBy("_r")
     r = r.withColumn("_dup", F.row_number().over(loc)).where(F.col("_dup") <= k).drop("_dup")
 
     aggs = []
@@ -81,7 +88,7 @@ def knn_join(query: DataFrame, ref: DataFrame, *, qid: str, rid: str, features:
                                + F.col("_o")[i]).alias(f"_c{i}") for i in range(d)])
                .drop("_o"))
         pairs = qc.join(rc, [*block, *[f"_c{i}" for i in range(d)]], "inner")
-        d2 = sum(((F.col(f"_x{i}") - F.col(f"_y{i}")) * (F.col(f"_x{i}") - F.col(f"_y{i}")) for i in range(d)),
+        d2 = sum(((F.col(f"_x{i}") - F.col(f"_y{i}")) * (F.col(f"_x{i}") - F.col(f"_y{i}")) for i in range(nf)),
                  F.lit(0.0))
         pairs = pairs.select("_q", *block, "_r", d2.alias("d2"), *payload)
         if lvl > 0:

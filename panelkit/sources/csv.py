@@ -17,10 +17,14 @@ def string_schema(columns: list[str]) -> T.StructType:
 
 
 def read_text_csv(spark: SparkSession, path: str, columns: list[str],
-                  use: list[str] | None = None, header: bool = True) -> DataFrame:
-    """All-string CSV scan; ``use`` is the column subset (usecols)."""
+                  use: list[str] | None = None, header: bool = True, multi_line: bool = True) -> DataFrame:
+    """All-string CSV scan; ``use`` is the column subset (usecols).
+
+    ``multi_line`` keeps quoted fields with embedded CR/LF intact (report
+    headers and community lists have them) but makes each file one task;
+    turn it off for large, splittable files without such fields."""
     df = (spark.read.schema(string_schema(columns)).option("header", header)
-          .option("multiLine", True).csv(path))
+          .option("multiLine", multi_line).csv(path))
     return df.select(*(use or columns))
 
 

@@ -82,3 +82,20 @@ def test_knn_hot_cluster_uses_finer_levels_and_stays_exact(spark):
     for qid, x, y in q:
         exp = sorted(((x - a) ** 2 + (y - b) ** 2, rid) for rid, a, b in ref)[:k]
         assert [rid for _, rid in sorted(got[qid])] == [rid for _, rid in exp]
+
+
+def test_knn_many_features_exact(spark):
+    rnd = random.Random(8)
+    nf = 6
+    ref = [(j, *[round(rnd.gauss(0, 1), 2) for _ in range(nf)]) for j in range(400)]
+    q = [(i, *[round(rnd.gauss(0, 1), 2) for _ in range(nf)]) for i in range(60)]
+    cols = [f"f{i}" for i in range(nf)]
+    qdf = spark.createDataFrame(q, "qid long, " + ", ".join(f"{c} double" for c in cols))
+    rdf = spark.createDataFrame(ref, "rid long, " + ", ".join(f"{c} double" for c in cols))
+    k = 5
+    got = {}
+    for r in knn_join(qdf, rdf, qid="qid", rid="rid", features=cols, k=k).collect():
+        got.setdefault(r.qid, []).append((r.rank, r.rid))
+    for row in q:
+        exp = sorted((sum((a - b) ** 2 for a, b in zip(row[1:], rr[1:])), rr[0]) for rr in ref)[:k]
+        assert [rid for _, rid in sorted(got[row[0]])] == [rid for _, rid in exp]
