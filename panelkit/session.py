@@ -30,6 +30,8 @@ def get_spark(master: str | None = None, app: str = "panelkit",
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
           .config("spark.sql.session.timeZone", "UTC")
+          # lineage-cut files go away once their DataFrame is garbage-collected
+          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
