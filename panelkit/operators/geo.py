@@ -79,8 +79,13 @@ def nearest_within(left: DataFrame, right: DataFrame, *, left_id: str, right_id:
          .groupBy(*block, "_rlat", "_rlon").agg(F.min("_rid").alias("_rid")))
     rb, rcb, rl = point_terms(F.col("_rlat"), F.col("_rlon"))
     r = r.select("*", rb.alias("_rb"), rcb.alias("_rcb"), rl.alias("_rl"))
-    pending = left.select(F.col(left_id).alias("_lid"), *block,
-                          F.col(lat).alias("_llat"), F.col(lon).alias("_llon"))
+    # the answer depends only on (block, location): search each distinct one
+    # once (a hot entity with many rows at one spot is one lookup) and join the
+    # result back to every left row at the end
+    loc_key = F.struct(*[F.col(b) for b in block], F.col(lat).alias("_la"), F.col(lon).alias("_lo"))
+    pending = (left.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+                   .select(loc_key.alias("_lid"), *block, F.col(lat).alias("_llat"), F.col(lon).alias("_llon"))
+                   .dropDuplicates(["_lid"]))
     lb, lcb, ll_ = point_terms(F.col("_llat"), F.col("_llon"))
     pending = pending.select("*", lb.alias("_lb"), lcb.alias("_lcb"), ll_.alias("_ll"))
     settled = []
@@ -119,8 +124,8 @@ def nearest_within(left: DataFrame, right: DataFrame, *, left_id: str, right_id:
     res = settled[0]
     for s in settled[1:]:
         res = res.unionByName(s)
-    return res.select(F.col("_lid").alias(left_id), F.col("_rid").alias(right_id),
-                      F.col("_d").alias("distance_mi"))
+    return (left.select(F.col(left_id), loc_key.alias("_lid")).join(res, "_lid", "left")
+                .select(F.col(left_id), F.col("_rid").alias(right_id), F.col("_d").alias("distance_mi")))
 
 
 def point_in_polygon(points: DataFrame, edges: DataFrame, *, point_id: str = "point_id",

@@ -132,3 +132,14 @@ def test_point_in_polygon_random_stars(spark):
     for i, x, y in pts:
         hits = [pid for pid, ring in polys if _inside(x, y, ring)]
         assert got[i] == (min(hits) if hits else None)
+
+
+def test_hot_location_and_missing_coordinates(spark):
+    left = [(i, 0, 38.0, -122.0) for i in range(500)] + [(999, 0, None, None), (998, 1, 38.0, -122.0)]
+    right = [(10, 0, 38.1, -122.0), (11, 0, 38.3, -122.0), (12, 1, 40.0, -122.0)]
+    ldf = spark.createDataFrame(left, "lid long, blk int, lat double, lon double")
+    rdf = spark.createDataFrame(right, "rid long, blk int, lat double, lon double")
+    got = {r.lid: r.rid for r in nearest_within(ldf, rdf, left_id="lid", right_id="rid", block=["blk"]).collect()}
+    assert len(got) == 502
+    assert all(got[i] == 10 for i in range(500))
+    assert got[999] is None and got[998] is None
