@@ -40,12 +40,16 @@ def knn_join(query: DataFrame, ref: DataFrame, *, qid: str, rid: str, features:
     if nf < 1:
         raise ValueError("k-NN needs at least one feature column")
     d = min(nf, max(1, min(grid_dims, 3)))     # grid dimensions (a coordinate projection)
-    q = query.select(F.col(qid).alias("_q"), *block, *[F.col(f).alias(f"_x{i}") for i, f in enumerate(features)])
+    # neighbours depend only on (block, feature vector): search each distinct
+    # query point once and join the result back to every query row at the end
+    qkey = F.struct(*[F.col(b) for b in block], *[F.col(f).alias(f"_k{i}") for i, f in enumerate(features)])
+    q = query.select(qkey.alias("_q"), *block, *[F.col(f).alias(f"_x{i}") for i, f in enumerate(features)])
     r = ref.select(F.col(rid).alias("_r"), *block, *[F.col(f).alias(f"_y{i}") for i, f in enumerate(features)],
                    *payload)
     for i in range(nf):
         q = q.where(F.col(f"_x{i}").isNotNull())
         r = r.where(F.col(f"_y{i}").isNotNull())
+    q = q.dropDuplicates(["_q"])
     # at most k reference rows per identical location can ever be selected
     loc = Window.partitionBy(*block, *[f"_y{i}" for i in range(nf)]).orderBy("_r")
     r = r.withColumn("_dup", F.row_number().over(loc)).where(F.col("_dup") <= k).drop("_dup")
@@ -110,8 +114,10 @@ def knn_join(query: DataFrame, ref: DataFrame, *, qid: str, rid: str, features:
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out.select(F.col("_q").alias(qid), *block, F.col("rank").cast("int").alias("rank"),
-                      F.col("_r").alias(rid), "d2", *payload)
+    out = out.select("_q", *block, F.col("rank").cast("int").alias("rank"), F.col("_r").alias(rid), "d2",
+                     *payload)
+    return (query.select(F.col(qid), qkey.alias("_q")).join(out, "_q", "inner")
+                 .select(qid, *block, "rank", rid, "d2", *payload))
 
 
 def knn_regress(neigh: DataFrame, qid: str, y: str, k: int, block: list[str] | None = None) -> DataFrame:

@@ -99,3 +99,12 @@ def test_knn_many_features_exact(spark):
     for row in q:
         exp = sorted((sum((a - b) ** 2 for a, b in zip(row[1:], rr[1:])), rr[0]) for rr in ref)[:k]
         assert [rid for _, rid in sorted(got[row[0]])] == [rid for _, rid in exp]
+
+
+def test_knn_duplicate_queries_each_get_neighbours(spark):
+    ref = spark.createDataFrame([(j, float(j), 0.0) for j in range(20)], "rid long, x double, y double")
+    q = spark.createDataFrame([(i, 3.2, 0.0) for i in range(50)] + [(99, None, 0.0)], "qid long, x double, y double")
+    got = {}
+    for r in knn_join(q, ref, qid="qid", rid="rid", features=["x", "y"], k=2).collect():
+        got.setdefault(r.qid, []).append((r.rank, r.rid))
+    assert len(got) == 50 and all(sorted(v) == [(1, 3), (2, 4)] for v in got.values())
