@@ -44,11 +44,20 @@ def file_name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The three report batches of the stand-in (declared strftime
 # format, and the Spark pattern the text was rendered with).
 BATCHES = [
-    {"batch": 0, "start": "%m/%d/%y %H:%M", "render": "M/d/yyyy H:mm"},
-    {"batch": 1, "start": "%d/%m/%y %H:%M", "render": "d/M/yy H:mm"},
-    {"batch": 2, "start": "%Y-%m-%d %H:%M:%S", "render": "yyyy-MM-dd HH:mm:ss"},
+    {"batch": 0, "start": "%m/%d/%y %H:%M", "render": "M/d/yyyy H:mm", "header": "Start Date and Time"},
+    {"batch": 1, "start": "%d/%m/%y %H:%M", "render": "d/M/yy H:mm",
+     "header": " De-Energization Date and Time (PDT)"},
+    {"batch": 2, "start": "%Y-%m-%d %H:%M:%S", "render": "yyyy-MM-dd HH:mm:ss",
+     "header": "DeEnergization Date and Time"},
 ]
 
+# Header variants of the start time and their canonical name.
+START_SYNONYMS = {
+    "Start Date and Time": "start_text",
+    "De-Energization Date and Time (PDT)": "start_text",
+    "DeEnergization Date and Time": "start_text",
+}
+
 
 def _batch_reader(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
@@ -57,7 +66,7 @@ def _batch_reader(spark, sf_dir):
         b = o.where(F.pmod(F.col("o_orderkey"), F.lit(3)) == cfg["batch"])
         txt = F.when(F.col("o_orderstatus") == "P", F.lit("n/a")).otherwise(
             F.date_format(F.col("o_orderdate") + F.expr("INTERVAL 7 HOURS 5 MINUTES"), cfg["render"]))
-        cols = [F.col("o_orderkey"), F.lit(cfg["batch"]).alias("batch"), txt.alias("start_text")]
+        cols = [F.col("o_orderkey"), F.lit(cfg["batch"]).alias("batch"), txt.alias(cfg["header"])]
         if cfg["batch"] == 1:
             cols.append(F.col("o_orderpriority"))
         if cfg["batch"] == 2:
@@ -67,9 +76,11 @@ def _batch_reader(spark, sf_dir):
 
 
 def batch_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S3 + U1 + F4/F5: per-batch formats (with the 4-digit-year fallback and
-    sentinels), stacked with unionByName(allowMissingColumns)."""
-    df = load_batches(BATCHES, _batch_reader(spark, sf_dir), {"start_text": "start"})
+    """S3 + U1 + P1 + F4/F5: per-batch header variants normalised, per-batch
+    formats (with the 4-digit-year fallback and sentinels), stacked with
+    unionByName(allowMissingColumns)."""
+    df = load_batches(BATCHES, _batch_reader(spark, sf_dir), {"start_text": "start"},
+                      normalise=lambda b: cl.normalise_headers(b, START_SYNONYMS))
     return df.select("o_orderkey", "batch", "o_orderpriority", "o_orderstatus",
                      F.date_format("start_text", "yyyy-MM-dd HH:mm:ss").alias("start_time"))
 

@@ -17,15 +17,18 @@ def union_batches(batches: list[DataFrame]) -> DataFrame:
 
 
 def load_batches(config: list[dict], reader: Callable[[dict], DataFrame],
-                 time_cols: dict[str, str]) -> DataFrame:
+                 time_cols: dict[str, str],
+                 normalise: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``config``: one dict per batch with its formats, e.g.
     ``{"batch": 3, "start": "%m/%d/%y %H:%M", "end": "%Y-%m-%d %H:%M:%S"}``;
-    ``time_cols`` maps a text column to the config key holding its format.
-    Each batch is parsed with its own formats (one projection per batch),
-    then all are stacked."""
+    ``time_cols`` maps a (canonical) text column to the config key holding its
+    format. Each batch gets its headers normalised (``normalise``), is parsed
+    with its own formats (one projection per batch), then all are stacked."""
     parts = []
     for cfg in config:
         df = reader(cfg)
+        if normalise is not None:
+            df = normalise(df)
         for col, key in time_cols.items():
             if col in df.columns:
                 df = df.withColumn(col, parse_time(col, cfg[key]))
