@@ -136,14 +136,15 @@ def donor_copy(lookback: DataFrame, donors: DataFrame, *, row_id: str,
     return (d.join(src, "donor_row_id", "inner")
              .select(row_id, "offset", *value_cols,
                      F.col("donor_row_id").alias("source_row_id"),
-                     F.lit(True).alias("approximated")))
+                     F.lit(True).alias("approximated"), F.lit(True).alias("from_donor")))
 
 
 def donor_fill(lookback: DataFrame, donors: DataFrame, *, row_id: str,
                value_cols: list[str]) -> DataFrame:
     """Own window rows with NULL measures filled from the donor's row of the same
-    offset (offset alignment, not position). Rows needing no fill keep
-    ``approximated = false``."""
+    offset (offset alignment, not position). As in the source, the whole
+    window counts as ``approximated`` and keeps itself as source;
+    ``from_donor`` tells which rows actually took a donor value."""
     d = donors.where(F.col("donor_row_id").isNotNull()).select(row_id, "donor_row_id")
     own = lookback.select(row_id, "offset", *value_cols).join(d, row_id, "inner")
     src = lookback.select(F.col(row_id).alias("donor_row_id"), "offset",
@@ -153,5 +154,5 @@ def donor_fill(lookback: DataFrame, donors: DataFrame, *, row_id: str,
         if len(value_cols) > 1 else (F.col(value_cols[0]).isNull() & F.col(f"_d_{value_cols[0]}").isNotNull())
     return j.select(row_id, "offset",
                     *[F.coalesce(F.col(c), F.col(f"_d_{c}")).alias(c) for c in value_cols],
-                    F.when(filled, F.col("donor_row_id")).otherwise(F.col(row_id)).alias("source_row_id"),
-                    filled.alias("approximated"))
+                    F.col(row_id).alias("source_row_id"), F.lit(True).alias("approximated"),
+                    filled.alias("from_donor"))

@@ -106,17 +106,15 @@ SELECT row_id, donor_row_id, round(dist, 6) AS distance_mi FROM donors"""
 SQL["donor_copy"] = f"""WITH {DAILY}, {ANCHORS}, {WIN}, {PROF},
 {_donor_cte("'missing','partial'")}
 SELECT d.row_id, w."offset", w.v_min, w.v_max, w.v_click, d.donor_row_id AS source_row_id,
-       true AS approximated
+       true AS approximated, true AS from_donor
 FROM donors d JOIN win w ON w.row_id = d.donor_row_id"""
 
 _FILL_SELECT = """SELECT o.row_id, o."offset",
        coalesce(o.v_min, s.v_min) AS v_min, coalesce(o.v_max, s.v_max) AS v_max,
        coalesce(o.v_click, s.v_click) AS v_click,
-       CASE WHEN (o.v_min IS NULL AND s.v_min IS NOT NULL) OR (o.v_max IS NULL AND s.v_max IS NOT NULL)
-                 OR (o.v_click IS NULL AND s.v_click IS NOT NULL) THEN d.donor_row_id ELSE o.row_id END
-         AS source_row_id,
+       o.row_id AS source_row_id, true AS approximated,
        ((o.v_min IS NULL AND s.v_min IS NOT NULL) OR (o.v_max IS NULL AND s.v_max IS NOT NULL)
-         OR (o.v_click IS NULL AND s.v_click IS NOT NULL)) AS approximated
+         OR (o.v_click IS NULL AND s.v_click IS NOT NULL)) AS from_donor
 FROM win o JOIN donors d ON d.row_id = o.row_id AND d.donor_row_id IS NOT NULL
 LEFT JOIN win s ON s.row_id = d.donor_row_id AND s."offset" = o."offset\""""
 
@@ -126,10 +124,11 @@ SQL["donor_fill"] = f"""WITH {DAILY}, {ANCHORS}, {WIN}, {PROF},
 
 SQL["repair_union"] = f"""WITH {DAILY}, {ANCHORS}, {WIN}, {PROF},
 {_donor_cte("'missing','partial','has_nulls'")}
-SELECT w.row_id, w."offset", w.v_min, w.v_max, w.v_click, w.row_id AS source_row_id, false AS approximated
+SELECT w.row_id, w."offset", w.v_min, w.v_max, w.v_click, w.row_id AS source_row_id, false AS approximated,
+       false AS from_donor
 FROM win w JOIN cls c ON c.row_id = w.row_id AND c.completeness = 'complete'
 UNION ALL
-SELECT d.row_id, w."offset", w.v_min, w.v_max, w.v_click, d.donor_row_id, true
+SELECT d.row_id, w."offset", w.v_min, w.v_max, w.v_click, d.donor_row_id, true, true
 FROM donors d JOIN cls c ON c.row_id = d.row_id AND c.completeness IN ('missing', 'partial')
 JOIN win w ON w.row_id = d.donor_row_id
 UNION ALL

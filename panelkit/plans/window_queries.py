@@ -73,7 +73,7 @@ def repair_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     donors = donors.join(cls.select("row_id", "completeness"), "row_id")
     complete = (long.join(cls.where(F.col("completeness") == lb.COMPLETE).select("row_id"), "row_id", "left_semi")
                     .select("row_id", "offset", *VALUE_COLS, F.col("row_id").alias("source_row_id"),
-                            F.lit(False).alias("approximated")))
+                            F.lit(False).alias("approximated"), F.lit(False).alias("from_donor")))
     copied = lb.donor_copy(long, donors.where(F.col("completeness").isin(lb.MISSING, lb.PARTIAL)),
                            row_id="row_id", value_cols=VALUE_COLS)
     filled = lb.donor_fill(long, donors.where(F.col("completeness") == lb.HAS_NULLS),

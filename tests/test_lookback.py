@@ -61,8 +61,8 @@ def test_donor_fill_and_copy(spark):
     assert d == {16: 11, 14: 11}
     filled = lb.donor_fill(long, donors, row_id="row_id", value_cols=["a", "b", "c"])
     f = {r.offset: r for r in filled.where("row_id = 16").collect()}
-    assert f[3].c == 3.0 and f[3].approximated and f[3].source_row_id == 11
-    assert f[2].c == 1.0 and not f[2].approximated
+    assert f[3].c == 3.0 and f[3].from_donor and f[3].approximated and f[3].source_row_id == 16
+    assert f[2].c == 1.0 and not f[2].from_donor and f[2].approximated
     copied = lb.donor_copy(long, donors, row_id="row_id", value_cols=["a"])
     assert sorted((r.offset, r.a) for r in copied.where("row_id = 14").collect()) == [(k, 1.0 * k) for k in range(1, 6)]
     assert copied.where(F.col("approximated") == F.lit(False)).count() == 0
