@@ -60,7 +60,12 @@ def knn_join(query: DataFrame, ref: DataFrame, *, qid: str, rid: str, features:
     both = (q.select(*[F.col(f"_x{i}").alias(f"_v{i}") for i in range(d)])
              .unionByName(r.select(*[F.col(f"_y{i}").alias(f"_v{i}") for i in range(d)])))
     st = both.agg(*aggs, ).first()
-    n_ref = r.count()
+    if block:
+        c = r.groupBy(*block).count().agg(F.sum("count").alias("n"), F.max("count").alias("m")).first()
+        n_ref, n_blk = (c["n"] or 0), (c["m"] or 1)
+    else:
+        n_ref = r.count()
+        n_blk = n_ref
     if st["lo0"] is None or n_ref == 0:
         return query.sparkSession.createDataFrame([], f"{qid} long, rank int, {rid} long, d2 double")
     lo = [st[f"lo{i}"] for i in range(d)]
@@ -68,7 +73,6 @@ def knn_join(query: DataFrame, ref: DataFrame, *, qid: str, rid: str, features:
     # start level: about k reference points per cell on uniform data, refined
     # further where the busiest cell holds many more (dense clusters settle on
     # finer grids, so no neighbourhood holds a hot spot's whole population)
-    n_blk = (r.groupBy(*block).count().agg(F.max("count")).first()[0] or 1) if block else n_ref
     base = max(0, int(math.ceil(math.log2(max(1.0, (n_blk / k) ** (1.0 / d))))))
     side_b = s0 / (2 ** base)
     occ = (r.groupBy(*block, *[F.floor((F.col(f"_y{i}") - F.lit(lo[i])) / F.lit(side_b)).alias(f"_b{i}")
