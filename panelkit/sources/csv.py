@@ -22,9 +22,13 @@ def read_text_csv(spark: SparkSession, path: str, columns: list[str],
 
     ``multi_line`` keeps quoted fields with embedded CR/LF intact (report
     headers and community lists have them) but makes each file one task;
-    turn it off for large, splittable files without such fields."""
+    turn it off for large, splittable files without such fields. Records end
+    at LF: left to auto-detection, a quoted CR LF in the header makes the
+    parser split records on CR LF and lose rows; a CR before the LF of
+    Windows files is trimmed with the other trailing whitespace."""
     df = (spark.read.schema(string_schema(columns)).option("header", header)
-          .option("multiLine", multi_line).csv(path))
+          .option("multiLine", multi_line).option("lineSep", "\n")
+          .option("ignoreTrailingWhiteSpace", True).csv(path))
     return df.select(*(use or columns))
 
 
