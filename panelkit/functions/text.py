@@ -32,8 +32,9 @@ def entity_name(c) -> Column:
     ``SONOMA 1107*`` -> ``SONOMA``; ``BELL`` -> ``BELL``; NULL stays NULL.
     """
     c = _c(c)
+    # (?d): '.' stops only at LF, as in Python and RE2 (Java's '.' also stops at CR)
     return F.when(c.rlike(r"\s\d{4,}"),
-                  strip_all(F.regexp_extract(c, r"(.*?)(?=\s\d{4,}\*?)", 1))).otherwise(c)
+                  strip_all(F.regexp_extract(c, r"(?d)(.*?)(?=\s\d{4,}\*?)", 1))).otherwise(c)
 
 
 def max_digit(c) -> Column:
@@ -48,8 +49,9 @@ def first_5digit(c) -> Column:
 
 
 def name_stem(c) -> Column:
-    """Sibling stem: drop a trailing ``-?digits`` and strip."""
-    return strip_all(F.regexp_replace(_c(c), r"-?\d+$", ""))
+    """Sibling stem: drop a trailing ``-?digits`` and strip. (?d): '$' may sit
+    before a final LF only, as in Python (Java also accepts a final CR)."""
+    return strip_all(F.regexp_replace(_c(c), r"(?d)-?\d+$", ""))
 
 
 def join_key_clean(c) -> Column:

@@ -12,8 +12,9 @@ def _one(spark, col_expr, values, dtype="string"):
 
 
 def test_entity_name(spark):
-    got = _one(spark, tx.entity_name, ["SONOMA 1107*", "BIG BEND 1101", "BELL", "LINE\r\nX 22051", None, "A 123"])
-    assert got == ["SONOMA", "BIG BEND", "BELL", "X", None, "A 123"]
+    got = _one(spark, tx.entity_name, ["SONOMA 1107*", "BIG BEND 1101", "BELL", "LINE\r\nX 22051", None, "A 123",
+                                       "BIG\rBEND 1101"])
+    assert got == ["SONOMA", "BIG BEND", "BELL", "X", None, "A 123", "BIG\rBEND"]
 
 
 def test_max_digit(spark):
@@ -27,7 +28,8 @@ def test_numbers(spark):
 
 
 def test_stem_and_keys(spark):
-    assert _one(spark, tx.name_stem, ["ALPHA-12", "ALPHA 3", "BETA"]) == ["ALPHA", "ALPHA", "BETA"]
+    assert _one(spark, tx.name_stem, ["ALPHA-12", "ALPHA 3", "BETA", "A-12\r", "A-12\n"]) == \
+        ["ALPHA", "ALPHA", "BETA", "A-12", "A"]
     assert _one(spark, tx.join_key_clean, ["BIG BEND 1101*", "X\r\n 7"]) == ["BIG BEND1101", "X7"]
     assert _one(spark, tx.match_key_left, ["SONOMA NO. 1107", " A.B 2 "]) == ["SONOMA", "AB"]
     assert _one(spark, tx.match_key_right, ["BIG BEND TAP", "A & B 12"]) == ["BIG BEND", "A  B"]
