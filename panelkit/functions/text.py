@@ -15,15 +15,21 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Regex flags: (?U) makes \s and \d Unicode-aware like Python 3's re on text
+# (report text carries no-break spaces); (?d) lets '.' and '$' treat only LF as
+# a line end, as Python does. The single-digit rule stays ASCII because its
+# digits are cast to int.
+
+
 def strip_all(c) -> Column:
     """Python ``str.strip()``: remove leading and trailing whitespace of any kind
     (Spark's ``trim`` only removes spaces)."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
 
 
 def collapse_ws(c) -> Column:
     """Runs of whitespace, CR and LF become one space."""
-    return F.regexp_replace(_c(c), r"[\r\n\s]+", " ")
+    return F.regexp_replace(_c(c), r"(?U)[\r\n\s]+", " ")
 
 
 def entity_name(c) -> Column:
@@ -33,8 +39,8 @@ def entity_name(c) -> Column:
     """
     c = _c(c)
     # (?d): '.' stops only at LF, as in Python and RE2 (Java's '.' also stops at CR)
-    return F.when(c.rlike(r"\s\d{4,}"),
-                  strip_all(F.regexp_extract(c, r"(?d)(.*?)(?=\s\d{4,}\*?)", 1))).otherwise(c)
+    return F.when(c.rlike(r"(?U)\s\d{4,}"),
+                  strip_all(F.regexp_extract(c, r"(?dU)(.*?)(?=\s\d{4,}\*?)", 1))).otherwise(c)
 
 
 def max_digit(c) -> Column:
@@ -51,26 +57,26 @@ def first_5digit(c) -> Column:
 def name_stem(c) -> Column:
     """Sibling stem: drop a trailing ``-?digits`` and strip. (?d): '$' may sit
     before a final LF only, as in Python (Java also accepts a final CR)."""
-    return strip_all(F.regexp_replace(_c(c), r"(?d)-?\d+$", ""))
+    return strip_all(F.regexp_replace(_c(c), r"(?dU)-?\d+$", ""))
 
 
 def join_key_clean(c) -> Column:
     """Key cleaning before an outer join: drop CR/LF, ``*`` and whitespace before a digit."""
     c = F.regexp_replace(_c(c), r"[\r\n]+", "")
     c = F.regexp_replace(c, r"\*", "")
-    return F.regexp_replace(c, r"\s(?=\d)", "")
+    return F.regexp_replace(c, r"(?U)\s(?=\d)", "")
 
 
 def match_key_left(c) -> Column:
     """Left side of the fuzzy match: drop '.', ' NO', digits; strip."""
     c = F.regexp_replace(_c(c), r"\.", "")
     c = F.regexp_replace(c, " NO", "")
-    return strip_all(F.regexp_replace(c, r"\d", ""))
+    return strip_all(F.regexp_replace(c, r"(?U)\d", ""))
 
 
 def match_key_right(c) -> Column:
     """Right side of the fuzzy match: drop digits and '&', then ' TAP'; strip."""
-    c = F.regexp_replace(_c(c), r"[\d&]", "")
+    c = F.regexp_replace(_c(c), r"(?U)[\d&]", "")
     return strip_all(F.regexp_replace(c, " TAP", ""))
 
 

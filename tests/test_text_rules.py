@@ -68,3 +68,10 @@ def test_token_sort_ratio(spark):
     assert got == [_ratio(a, b) for a, b in pairs]
     lcs = [r[0] for r in df.select(tx.lcs_length("a", "b")).collect()]
     assert lcs == [_lcs(a, b) for a, b in pairs]
+
+
+def test_unicode_whitespace_like_python(spark):
+    nbsp = " "
+    assert _one(spark, tx.collapse_ws, [f"a{nbsp}{nbsp}b"]) == ["a b"]
+    assert _one(spark, tx.strip_all, [f"{nbsp}x{nbsp}"]) == ["x"]
+    assert _one(spark, tx.entity_name, [f"BIG BEND{nbsp}1101"]) == ["BIG BEND"]
