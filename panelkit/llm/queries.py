@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from panelkit.session import read_table
 
-from . import bpe, exact_dedup, packing, quality_ledger, simhash
+from . import bpe, exact_dedup, packing, quality_ledger, sharding, simhash, suffix_dedup
+from .common import materialise
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,12 +30,25 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes inside repeated 400-byte strings removed."""
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of 4096 ids."""
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), length=4096).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 shards under the law of rows."""
+    t = sharding.label_propagation_shards(read_table(spark, sf_dir, "documents"), shards=24)
+    return sharding.with_slots(materialise(t, "shards")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger of rule bits, with the base and the current policy applied."""
     ledger = quality_ledger.quality_ledger(read_table(spark, sf_dir, "documents"))
@@ -44,7 +58,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("failed").alias("failed_rules"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op4_exact_dedup, op8_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op4_exact_dedup, op5_suffix_dedup, op8_packing, op9_sharding,
+                                 op10_quality_rules)}
 
 ORACLE: dict[str, str] = {
     "op4_exact_dedup": """
