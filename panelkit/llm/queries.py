@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelkit.session import read_table
 
-from . import bpe, exact_dedup, packing, quality_ledger, sharding, simhash, suffix_dedup
+from . import bpe, exact_dedup, license_scan, packing, quality_ledger, sharding, simhash, suffix_dedup, toxicity
 from .common import materialise
 
 
@@ -24,6 +24,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classifier chain over all documents, trained on the labels."""
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("carried")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies; the largest doc_id of a group stays."""
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents")).select(
@@ -36,6 +41,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in whole texts."""
+    return license_scan.license_scan(read_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of 4096 ids."""
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), length=4096).select(
@@ -58,7 +68,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("failed").alias("failed_rules"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op4_exact_dedup, op5_suffix_dedup, op8_packing, op9_sharding,
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_toxicity, op4_exact_dedup, op5_suffix_dedup,
+                                 op7_license_scan, op8_packing, op9_sharding,
                                  op10_quality_rules)}
 
 ORACLE: dict[str, str] = {
