@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelkit.session import read_table
 
-from . import bpe, exact_dedup, license_scan, packing, quality_ledger, sharding, simhash, suffix_dedup, toxicity
+from . import attention_lm, bpe, exact_dedup, license_scan, packing, quality_ledger, sharding, simhash, suffix_dedup, toxicity
 from .common import materialise
 
 
@@ -41,6 +41,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attention-model and word-count scores of all documents."""
+    return attention_lm.lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in whole texts."""
     return license_scan.license_scan(read_table(spark, sf_dir, "documents"))
@@ -69,7 +74,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_toxicity, op4_exact_dedup, op5_suffix_dedup,
-                                 op7_license_scan, op8_packing, op9_sharding,
+                                 op6_lm_scoring, op7_license_scan, op8_packing, op9_sharding,
                                  op10_quality_rules)}
 
 ORACLE: dict[str, str] = {
