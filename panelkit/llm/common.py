@@ -62,8 +62,14 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def with_row_id(docs: DataFrame, name: str, row_id: str) -> DataFrame:
-    """The table with a unique, non-NULL row id, fixed by writing it down."""
+def with_row_id(docs: DataFrame, name: str, row_id: str, stored: bool = False) -> DataFrame:
+    """The table with a unique, non-NULL row id that is the same in every read.
+
+    `stored`: the table is Parquet files read as they are (maybe filtered), so a
+    row's file and place name it. Otherwise the rows are numbered and written.
+    """
+    if stored:
+        return docs.select("*", F.concat(F.col("_metadata.file_path"), F.lit("#"), F.col("_metadata.row_index").cast("string")).alias(row_id))
     return materialise(docs.withColumn(row_id, F.monotonically_increasing_id()), name)
 
 

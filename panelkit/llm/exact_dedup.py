@@ -20,11 +20,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, shuffle_width, texts
+from .common import col, discard, fresh, materialise, shuffle_width, texts, with_row_id
 
 CELLS_PER_ROW = 16
 MOST_CELLS = 1 << 28
@@ -41,6 +42,12 @@ def cells(h: np.ndarray, size: int) -> np.ndarray:
         return (a[:, None] + b[:, None] * np.arange(PROBES, dtype=np.uint64)) >> np.uint64(64 - size.bit_length() + 1)
 
 
+def hits(h: np.ndarray, size: int, bits: np.ndarray) -> np.ndarray:
+    """Which hashes have all their bits set."""
+    c = cells(h, size).astype(np.int64)
+    return ((bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1).all(axis=1)
+
+
 def _count(size: int) -> Callable:
     def flush(hashes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         # a row counts a cell once, however many of its probes meet there
@@ -116,8 +123,7 @@ def flag_repeated(rows: DataFrame, size: int, bits: np.ndarray, flag: str = "may
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = shared.value
         for b in batches:
-            c = cells(b.column("h").to_numpy(zero_copy_only=False).view(np.uint64), size).astype(np.int64)
-            hit = ((got[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1).all(axis=1)
+            hit = hits(b.column("h").to_numpy(zero_copy_only=False).view(np.uint64), size, got)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit)], [*b.schema.names, flag])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(flag, T.BooleanType())]))
@@ -154,21 +160,41 @@ def _groups(rows: DataFrame) -> DataFrame:
     return alone.select(out).union(together.select(out))
 
 
-def drop_exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-                          most_cells: int = MOST_CELLS) -> DataFrame:
-    """The rows of `docs` that stay, all columns; `docs` must be a stored table.
+def drop_rows(docs: DataFrame, gone: DataFrame, row_id: str) -> DataFrame:
+    """`docs` without the rows whose id is in the stored one-column table `gone`.
 
-    Rows that can't have a copy pass straight through with their columns; only
-    possibly repeated rows shuffle, by their row id, against the ids that stay.
+    A Bloom filter of the ids lets rows that can't be among them pass straight
+    through; only the others shuffle, for an exact anti join by the unique id.
     """
-    from .common import col, fresh, with_row_id
+    h = F.xxhash64(col(row_id))
+    ids = gone.select(h.alias("h"))
+    size, bits = repeated_hash_filter(ids.union(ids), gone.count())  # each id twice: "seen" is "seen twice"
+    test = membership(docs.sparkSession, size, bits)
+    names = [col(c) for c in docs.columns]
+    return docs.where(~test(h)).select(names).union(docs.where(test(h)).join(gone, row_id, "left_anti").select(names))
+
+
+def membership(spark: SparkSession, size: int, bits: np.ndarray) -> Callable[[Column], Column]:
+    """A Column -> Column test of 64-bit hashes against a filter."""
+    shared = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def test(h: pd.Series) -> pd.Series:
+        return pd.Series(hits(h.to_numpy(np.int64).view(np.uint64), size, shared.value))
+
+    return test
+
+
+def drop_exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
+                          most_cells: int = MOST_CELLS, stored: bool = False) -> DataFrame:
+    """The rows of `docs` that stay, all columns (`stored`: see `with_row_id`)."""
     rid = fresh(docs.columns, "row_id")
-    stored = with_row_id(docs, "exact-docs", rid)
-    t = stored.select(col(rid).alias("row"), col(id_col).cast("long").alias("doc_id"),
-                      F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
+    named = with_row_id(docs, "exact-docs", rid, stored)
+    t = named.select(col(rid).alias("row"), col(id_col).cast("long").alias("doc_id"),
+                     F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
     size, bits = repeated_hash_filter(t.select(F.xxhash64("text").alias("h")), t.count(), most_cells)
     rows = materialise(flag_repeated(t.select("row", "doc_id", F.sha2("text", 256).alias("text_sha256"),
                                               F.xxhash64("text").alias("h")), size, bits), "exact-rows")
     gone = materialise(_groups(rows).where("not kept").select(col("row").alias(rid)), "exact-gone")
     discard(rows)
-    return stored.join(gone, rid, "left_anti").select([col(c) for c in docs.columns])
+    return drop_rows(named, gone, rid).select([col(c) for c in docs.columns])

@@ -31,8 +31,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import col, connected_components, discard, fresh, materialise, slices, with_row_id
+from .exact_dedup import drop_rows
 
 PIVOTS = 16
 MEET = 64
@@ -65,7 +67,8 @@ def fingerprints(rows: DataFrame, shingle: int = 3) -> DataFrame:
             fp = np.array([fingerprint(t, shingle) for t in b.column("text").cast(pa.binary()).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(fp.view(np.int64))], ["row", "doc_id", "fp"])
 
-    return rows.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, fp long")
+    schema = T.StructType([rows.schema["row"], T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
+    return rows.select("row", "doc_id", "text").mapInArrow(run, schema)
 
 
 def signed(x: int) -> int:
@@ -164,16 +167,18 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col: str
     return rows.join(_components(rows, bits), "fp").select("row", "doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, all columns: the first of each component (smallest doc_id)."""
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text",
+                         stored: bool = False) -> DataFrame:
+    """The rows of `docs` that stay, all columns: the first of each component
+    (smallest doc_id). `stored`: see `with_row_id`."""
     rid = fresh(docs.columns, "row_id")
-    stored = with_row_id(docs, "near-docs", rid)
-    t = stored.select(col(rid).alias("row"), col(id_col).cast("long").alias("doc_id"),
-                      F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
+    named = with_row_id(docs, "near-docs", rid, stored)
+    t = named.select(col(rid).alias("row"), col(id_col).cast("long").alias("doc_id"),
+                     F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = materialise(fingerprints(t, shingle), "fingerprints")
     gone = materialise(rows.join(_components(rows, bits), "fp").where("row <> keep_row").select(F.col("row").alias(rid)), "near-gone")
     discard(rows)
-    return stored.join(gone, rid, "left_anti").select([col(c) for c in docs.columns])
+    return drop_rows(named, gone, rid).select([col(c) for c in docs.columns])
 
 
 def hex_fingerprint(fp: Column) -> Column:

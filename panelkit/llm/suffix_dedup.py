@@ -338,18 +338,19 @@ def covered(size: int, spans: list[dict]) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None,
-                   most: int = MOST_IN_GROUP) -> DataFrame:
+                   most: int = MOST_IN_GROUP, as_text: bool = False) -> DataFrame:
     """(doc_id, kept binary, n_bytes, n_removed, n_spans, spans) and the `carry`
     columns, one row per input row. kept is what is left, spans are the removed
-    [begin, end) byte ranges. `docs` must be a stored table."""
+    [begin, end) byte ranges. `as_text`: kept is a string, and characters of
+    which a part is removed go as a whole. `docs` must be a stored table."""
     from pyspark.sql import types as T
     extra = carry or []
-    packed = F.struct(*[col(c) for c in extra]).alias("carried") if extra else F.lit(None).cast("string").alias("carried")
+    packed = F.struct(*[(col(c) if c != text_col else col(c).isNotNull().alias(c)) for c in extra]).alias("carried") if extra else F.lit(None).cast("string").alias("carried")
     t = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"), packed)
     t = t.withColumn("key", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
     spans = materialise(covered_spans(t.select("key", "text"), most), "suffix-spans")
     joined = t.join(spans, "key", "left").select("doc_id", "text", "spans", "carried")
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("kept", T.BinaryType())]
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("kept", T.StringType() if as_text else T.BinaryType())]
                           + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
                           + [T.StructField("spans", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))),
                              joined.schema["carried"]])
@@ -364,12 +365,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     edges = np.flatnonzero(np.diff(c, prepend=False, append=False)).tolist()
                     runs = [{"begin": x, "end": y} for x, y in zip(edges[0::2], edges[1::2])]
                     kept, gone = np.frombuffer(text, np.uint8)[~c].tobytes(), int(c.sum())
+                if as_text:
+                    kept = kept.decode("utf-8", "ignore")
                 for to, x in zip(rows, (kept, len(text), gone, len(runs), runs)):
                     to.append(x)
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))]
+            kinds = [pa.string() if as_text else pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(x, k) for x, k in zip(rows, kinds)], b.column("carried")],
                                              ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "spans", "carried"])
 
     return joined.mapInArrow(run, schema)
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars",
+                    most: int = MOST_IN_GROUP) -> DataFrame:
+    """`docs` with the same columns and rows, the text without its repeats, and
+    `chars_col` (where there is one) its new length."""
+    out = remove_repeats(docs, id_col, text_col, carry=docs.columns, most=most, as_text=True)
+    old = F.col("carried")
+
+    def value(c: str):
+        if c == text_col:
+            return F.when(old.getField(c), F.col("kept")).alias(c)
+        if c == chars_col:
+            return F.length("kept").cast(docs.schema[c].dataType).alias(c)
+        return old.getField(c).alias(c)
+
+    return out.select([value(c) for c in docs.columns])

@@ -45,7 +45,7 @@ SIGNAL = 3.0
 STEMS = (4, 5, 7)
 ROWS_PER_TASK = 2_500
 #: Probability from which a document is rejected.
-REJECT_FROM = 0.3
+REJECT_FROM = 0.4
 
 
 def words(text: Column) -> Column:
