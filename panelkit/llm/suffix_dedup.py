@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from .common import col, discard, materialise, shuffle_width, slices
 
 LENGTH, GRAM, STEPS = 400, 48, 64
-MOST_IN_GROUP = 50_000
+MOST_IN_GROUP = 4_096
 PIECE = 1 << 22
 SEEN = 200_000
 
