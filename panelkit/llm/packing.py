@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,43 +27,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, slices, texts
+from .word_ids import word_ids
 
-REMEMBERED = 200_000
-#: Chunks longer than this are tokenised but not remembered.
-LONG = 64
+REMEMBERED = 250_000
 
 
-class ChunkIds(dict):
+class ChunkIds:
     """White-space chunk -> its ids as little-endian unsigned 32-bit bytes.
 
     The vocabulary's normaliser and splitter work within white-space chunks,
-    so a text's ids are those of its chunks, one after another.
+    so a text's ids are those of its chunks, one after another. Case is folded
+    first (the vocabulary folds it too), unless a special token may be there.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+    def __init__(self, vocab: str):
+        self.vocab = vocab
+        self.known: dict[bytes, bytes] = {}
 
-    def fetch(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.fetch(chunk)
-        if len(chunk) <= LONG:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-    def text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+    def texts(self, texts: list[bytes]) -> list[bytes]:
+        chunks = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        new = list({c for x in chunks for c in x if c not in self.known})
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = list({c for x in chunks for c in x})
+        ids = word_ids(self.vocab, new)
+        ends = np.append(0, 4 * np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))).tolist()
+        data = np.fromiter(chain.from_iterable(ids), "<u4", ends[-1] // 4).tobytes()
+        known = self.known
+        known.update(zip(new, [data[a:b] for a, b in zip(ends, ends[1:])]))
+        return [b"".join(map(known.__getitem__, x)) for x in chunks]
 
 
 @lru_cache(maxsize=2)
-def chunk_ids(path: str) -> ChunkIds:
-    return ChunkIds(path)
+def chunk_ids(vocab: str) -> ChunkIds:
+    return ChunkIds(vocab)
 
 
 def token_pieces(docs: DataFrame, length: int = 4096, end_id: int = 1, vocab: str = "word_bpe_49k.json",
@@ -71,15 +69,14 @@ def token_pieces(docs: DataFrame, length: int = 4096, end_id: int = 1, vocab: st
     `length` ids; a document's ids end with `end_id`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-        table = chunk_ids(vocab if "/" in vocab else public_tokenizers.path(vocab))
+        table = chunk_ids(vocab)
         end = np.array([end_id], "<u4").tobytes()
-        for b in slices(batches):
+        for b in slices(batches, most=8 << 20):
             rows: list[list] = [[] for _ in range(6)]
             ids = []
-            for row, doc, text in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(),
-                                      b.column("text").to_pylist()):
-                data = table.text(text) + end
+            for row, doc, data in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(),
+                                      table.texts(b.column("text").cast(pa.binary()).to_pylist())):
+                data += end
                 for k, at in enumerate(range(0, len(data), 4 * length)):
                     part = data[at:at + 4 * length]
                     for to, x in zip(rows, (row, doc, k, at // 4, len(part) // 4, zlib.crc32(part))):

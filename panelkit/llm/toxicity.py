@@ -48,14 +48,15 @@ ROWS_PER_TASK = 2_500
 REJECT_FROM = 0.4
 
 
-def words(text: Column) -> Column:
-    """The different words, and the beginnings of longer ones as stems (marked "^")."""
-    own = F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != ""))
+def with_words(df: DataFrame, out: str = "tokens_") -> DataFrame:
+    """Adds the different words of `text`, and the beginnings of longer ones as stems (marked "^")."""
+    own = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != ""))
 
     def stems(n: int) -> Column:
-        return F.transform(F.filter(own, lambda w: F.length(w) > n), lambda w: F.concat(F.lit("^"), F.substring(w, 1, n)))
+        return F.transform(F.filter("own_", lambda w: F.length(w) > n), lambda w: F.concat(F.lit("^"), F.substring(w, 1, n)))
 
-    return F.array_distinct(F.concat(own, *map(stems, STEMS)))
+    # a column of its own, so that a text is split once
+    return df.withColumn("own_", own).withColumn(out, F.array_distinct(F.concat("own_", *map(stems, STEMS)))).drop("own_")
 
 
 @dataclass
@@ -68,7 +69,7 @@ class Chain:
 
     def features(self, docs: DataFrame) -> DataFrame:
         """Adds the feature vector `words_` of a column `text`."""
-        return self.vocabulary.transform(docs.withColumn("tokens_", words(F.col("text")))).drop("tokens_")
+        return self.vocabulary.transform(with_words(docs)).drop("tokens_")
 
     def score(self, featured: DataFrame) -> DataFrame:
         """Adds p_<category> for each category, each from the ones before."""
@@ -96,7 +97,7 @@ def vocabulary(labelled: DataFrame, categories: list[str], n: int) -> CountVecto
     """The features that go with some category: a word's count among the category's
     rows is `SIGNAL` standard deviations or more from chance."""
     rates = labelled.agg(*[F.avg(c).alias(c) for c in categories]).first()
-    seen = labelled.select(F.explode(words(F.col("text"))).alias("word"), *categories).groupBy("word").agg(
+    seen = with_words(labelled).select(F.explode("tokens_").alias("word"), *categories).groupBy("word").agg(
         F.count("*").alias("df"), *[F.sum(c).alias(c) for c in categories])
     least, most = min(max(MIN_DOCS, n // 1000), max(1, n // 50)), MOST_SHARE * n if n >= 50 else n
     signal = F.greatest(F.lit(0.0), *[
