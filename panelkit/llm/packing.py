@@ -16,6 +16,7 @@ one sequence are cut.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import materialise, slices, texts
 from .word_ids import word_ids
 
-REMEMBERED = 250_000
+#: Chunks a Python worker remembers, about 150 MB.
+REMEMBERED = 800_000
 
 
 class ChunkIds:
@@ -71,6 +73,7 @@ def token_pieces(docs: DataFrame, length: int = 4096, end_id: int = 1, vocab: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = chunk_ids(vocab)
         end = np.array([end_id], "<u4").tobytes()
+        gc.disable()  # many small lists and no cycles
         for b in slices(batches, most=8 << 20):
             rows: list[list] = [[] for _ in range(6)]
             ids = []
@@ -90,6 +93,7 @@ def token_pieces(docs: DataFrame, length: int = 4096, end_id: int = 1, vocab: st
                 cols.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
+        gc.enable()
 
     schema = "row long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return texts(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, schema)
