@@ -91,7 +91,8 @@ def median_contrast(df: DataFrame, features: list[str], flag: str, round_to: int
 
 def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
     """Equal-width histogram: bounds from one min/max pass, then
-    ``floor((x - lo) / w)`` with the top edge clamped into the last bin."""
+    ``floor((x - lo) / w)`` with the top edge clamped into the last bin;
+    empty bins have a count of 0."""
     r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
     lo, hi = r["lo"], r["hi"]
     if lo is None:
@@ -99,5 +100,7 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
     w = (hi - lo) / bins if hi > lo else 1.0
     b = F.least(F.floor((F.col(col) - F.lit(lo)) / F.lit(w)).cast("int"), F.lit(bins - 1))
     h = df.where(F.col(col).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    h = every.join(F.broadcast(h), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))  # bins rows
     return h.select("bin", (F.lit(lo) + F.col("bin") * F.lit(w)).alias("lo"),
                     (F.lit(lo) + (F.col("bin") + 1) * F.lit(w)).alias("hi"), "n")

@@ -12,11 +12,12 @@ EPS = 2.220446049250313e-16
 
 def regression_metrics(df: DataFrame, y: str, pred: str, group_cols: list[str] | None = None) -> DataFrame:
     """n, R^2 (total sum of squares about the evaluated set's own mean), RMSE,
-    MAE and MAPE (denominator max(|y|, eps)) per group."""
+    MAE and MAPE (denominator max(|y|, eps)) per group, over the rows where both
+    values are known (n counts those)."""
     e = F.col(y) - F.col(pred)
-    aggs = [F.count(F.lit(1)).alias("n"),
+    aggs = [F.count(e).alias("n"),
             F.sum(e * e).alias("_sse"),
-            (F.var_pop(F.col(y)) * F.count(F.lit(1))).alias("_sst"),
+            (F.var_pop(F.when(e.isNotNull(), F.col(y))) * F.count(e)).alias("_sst"),
             F.avg(F.abs(e)).alias("mae"),
             F.avg(F.abs(e) / F.greatest(F.abs(F.col(y)), F.lit(EPS))).alias("mape")]
     g = df.groupBy(*group_cols) if group_cols else df

@@ -25,14 +25,15 @@ from .features import hash_bucket
 
 
 def assembler(features: list[str], categorical: list[str] | None = None, out: str = "features"):
-    """Stages turning numeric + categorical columns into one vector. Categories
-    unseen in training encode to an all-zero block (keep + dropLast)."""
+    """Stages turning numeric + categorical columns into one vector. A NULL or NaN
+    feature is an error, never a dropped row (drop such rows before the fit).
+    Categories unseen in training encode to an all-zero block (keep + dropLast)."""
     stages, cols = [], list(features)
     for c in categorical or []:
         stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep"))
         stages.append(OneHotEncoder(inputCol=f"{c}_idx", outputCol=f"{c}_ohe", dropLast=True))
         cols.append(f"{c}_ohe")
-    stages.append(VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="skip"))
+    stages.append(VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="error"))
     return stages
 
 
@@ -63,14 +64,21 @@ def ridge_reg_param(alpha: float, sd_y: float, n: int) -> float:
     return alpha * sd_y / n
 
 
+def elastic_net_params(alpha: float, ratio: float, sd_y: float) -> dict:
+    """An L1 weight alpha * ratio and an L2 weight alpha * (1 - ratio) as MLlib's
+    parameters; MLlib divides the L2 part by the label's deviation."""
+    reg = alpha * ratio + alpha * (1 - ratio) * sd_y
+    return {"regParam": reg, "elasticNetParam": alpha * ratio / reg if reg else 0.0}
+
+
 def lasso_path(train: DataFrame, zfeatures: list[str], label: str, n_alphas: int = 100,
-               eps: float = 1e-3) -> list[float]:
-    """Geometric path from alpha_max = max_j |x_j . (y - mean y)| / n down to
-    eps * alpha_max -- one aggregation pass for every feature."""
+               eps: float = 1e-3, ratio: float = 1.0) -> list[float]:
+    """Geometric path from alpha_max = max_j |x_j . (y - mean y)| / n over the
+    L1 ratio down to eps * alpha_max -- one aggregation pass for every feature."""
     ym = train.agg(F.avg(label)).first()[0]
     r = train.agg(F.count(F.lit(1)).alias("n"),
                   *[F.sum(F.col(c) * (F.col(label) - F.lit(ym))).alias(c) for c in zfeatures]).first()
-    amax = max(abs(r[c]) for c in zfeatures) / r["n"]
+    amax = max(abs(r[c]) for c in zfeatures) / (r["n"] * ratio)
     return [float(a) for a in np.geomspace(amax, amax * eps, n_alphas)]
 
 

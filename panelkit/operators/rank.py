@@ -59,14 +59,16 @@ def exact_order_stats(df: DataFrame, value: str, targets: list[tuple], group_col
             "_lo double, _hi double")
         band = _band(data, sdf, group_cols)
         pcts = [i / _STEPS for i in range(_STEPS + 1)]
-        stats = {r["_t"]: (r["n"], r["q"]) for r in band.groupBy("_t").agg(
-            F.count(F.lit(1)).alias("n"),
+        stats = {r["_t"]: (r["n"], r["q"], r["lo"], r["hi"]) for r in band.groupBy("_t").agg(
+            F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"),
             F.percentile_approx("_v", pcts, accuracy).alias("q")).collect()}
         small, nxt = [], {}
         for t, (lo, hi, r, g) in state.items():
-            n, q = stats.get(t, (0, None))
+            n, q, least, most = stats.get(t, (0, None, None, None))
             if r < 1 or r > n:
                 result[t] = None
+            elif least == most:
+                result[t] = least  # a run of equal values, of whatever length
             elif n <= exact_limit:
                 small.append(t)
             else:

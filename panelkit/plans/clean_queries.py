@@ -92,9 +92,8 @@ def reject_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = table(spark, sf_dir, "labels")
     j = d.join(lab, "doc_id", "left")
     base = scratch_dir(spark, "reject_split")
-    write_split(j, F.col("quality").isNotNull(), f"{base}/main", f"{base}/rejects")
-    return (spark.read.parquet(f"{base}/main").withColumn("status", F.lit("labelled"))
-            .unionByName(spark.read.parquet(f"{base}/rejects").withColumn("status", F.lit("rejected"))))
+    write_split(j, F.col("quality").isNotNull(), base, good="labelled")
+    return spark.read.parquet(base)
 
 
 # Messy report headers and their canonical names.

@@ -91,9 +91,10 @@ def ridge_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     tr = z.where(F.col("part") == fe.TRAIN)
     st = tr.agg(F.stddev_pop(Y).alias("sd"), F.count(F.lit(1)).alias("n")).first()
     alphas = [1e-3, 1.0, 1e3]
-    settings = [{"alpha": a, "regParam": md.ridge_reg_param(a, st["sd"], st["n"]), "elasticNetParam": 0.0}
+    # a fold's fit sees two of the three folds' rows
+    settings = [{"alpha": a, "regParam": md.ridge_reg_param(a, st["sd"], st["n"] * 2 / 3), "elasticNetParam": 0.0}
                 for a in alphas]
-    rows, _ = md.cross_validate_linear(tr, zf, Y, settings, categorical=["l_returnflag"])
+    rows, _ = md.cross_validate_linear(tr, zf, Y, settings)
     return _cv_table(spark, rows)
 
 
@@ -110,8 +111,9 @@ def elastic_net_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M9: l1-ratio x alpha grid."""
     z, zf = _linear_data(spark, sf_dir)
     tr = z.where(F.col("part") == fe.TRAIN)
-    path = md.lasso_path(tr, zf, Y, n_alphas=2)
-    settings = [{"alpha": a, "regParam": a, "elasticNetParam": r} for r in (0.2, 0.8) for a in path]
+    sd = tr.agg(F.stddev_samp(Y)).first()[0]
+    settings = [{"alpha": a, **md.elastic_net_params(a, r, sd)} for r in (0.2, 0.8)
+                for a in md.lasso_path(tr, zf, Y, n_alphas=2, ratio=r)]
     rows, _ = md.cross_validate_linear(tr, zf, Y, settings)
     return _cv_table(spark, rows)
 

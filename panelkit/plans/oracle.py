@@ -466,7 +466,8 @@ SQL["histogram"] = f"""WITH {_MT},
 b AS (SELECT min(residual) AS lo, max(residual) AS hi FROM res),
 w AS (SELECT lo, CASE WHEN hi > lo THEN (hi - lo) / 20 ELSE 1e0 END AS w FROM b),
 h AS (SELECT CAST(least(floor((residual - w.lo) / w.w), 19) AS INTEGER) AS bin, count(*) AS n FROM res, w GROUP BY 1)
-SELECT h.bin, round(w.lo + h.bin * w.w, 6) AS lo, round(w.lo + (h.bin + 1) * w.w, 6) AS hi, h.n FROM h, w"""
+SELECT b.bin, round(w.lo + b.bin * w.w, 6) AS lo, round(w.lo + (b.bin + 1) * w.w, 6) AS hi, coalesce(h.n, 0) AS n
+FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(20)) b CROSS JOIN w LEFT JOIN h ON h.bin = b.bin"""
 
 SQL["category_count"] = "SELECT p_type, count(*) AS n FROM part GROUP BY p_type"
 

@@ -12,12 +12,10 @@ def split_rejects(df: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
     return df.where(flag), df.where(~flag)
 
 
-def write_split(df: DataFrame, ok: Column, good_path: str, reject_path: str) -> None:
-    """Write main and reject outputs from one status column; the status is computed
-    once per row, and each write is an independent, restartable job."""
-    good, bad = split_rejects(df, ok)
-    good.write.mode("overwrite").parquet(good_path)
-    bad.write.mode("overwrite").parquet(reject_path)
+def write_split(df: DataFrame, ok: Column, path: str, good: str = "ok", bad: str = "rejected") -> None:
+    """Write main and reject rows as two folders (status=...) of one table in one
+    job: the input is computed once, and a retry writes both anew."""
+    with_status(df, ok, good, bad).write.mode("overwrite").partitionBy("status").parquet(path)
 
 
 def with_status(df: DataFrame, ok: Column, good: str = "ok", bad: str = "rejected") -> DataFrame:
