@@ -82,4 +82,25 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op10_quality_rules": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+        t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+        g AS (SELECT doc_id, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS win FROM t),
+        twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM g WHERE len(win) = 8) WHERE c > 1),
+        rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT range AS k FROM range(8)) GROUP BY doc_id),
+        l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+              FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+              WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+        s AS (SELECT doc_id, count(*) AS n_words, sum(length(word)) AS word_chars, max(strlen(word)) AS longest FROM t GROUP BY doc_id),
+        m AS (SELECT d.doc_id, coalesce(s.n_words, 0) AS n_words, CAST(coalesce(s.word_chars, 0) AS BIGINT) AS word_chars,
+                     CAST(len(regexp_extract_all(d.text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+                     coalesce(l.n_dup_lines, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+                     coalesce(l.n_lines, 0) AS n_lines, coalesce(s.longest, 0) AS longest
+              FROM d LEFT JOIN s USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id)),
+        f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+                     CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (100 * n_symbols > 40 * n_words)::INT
+                     + 8 * (n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines)::INT + 16 * (n_words >= 20 AND word_chars < 2 * n_words)::INT
+                     + 32 * (n_words >= 20 AND word_chars > 15 * n_words)::INT + 64 * (longest > 1000)::INT AS BIGINT) AS failed_rules FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_rules = 0 AS kept, failed_rules FROM f""",
 }
