@@ -524,9 +524,7 @@ FROM orders LEFT JOIN customer ON c_custkey = o_custkey
 WHERE o_orderstatus <> 'P' AND o_orderdate > TIMESTAMP '2000-01-01 00:00:00'
   AND o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0"""
 
-# a day is final once the watermark (latest event time) reaches its end
 SQL["stream_daily_rollup"] = """SELECT user_id, CAST(ts AS DATE) AS day, min(value) AS v_min, max(value) AS v_max,
        round(avg(CASE WHEN event_type = 'click' THEN value END), 6) AS v_click, count(*) AS n_events
 FROM events
-GROUP BY user_id, CAST(ts AS DATE)
-HAVING CAST(CAST(ts AS DATE) + 1 AS TIMESTAMP) <= (SELECT max(ts) FROM events)"""
+GROUP BY user_id, CAST(ts AS DATE)"""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime, time, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import minutes_between
+from ..operators.lookback import daily_rollup
 from ..operators import clean as cl
 from ..session import scratch_dir
 from ..streaming.clean_stream import daily_rollup_stream, read_stream, run_incremental
@@ -19,7 +22,7 @@ def stream_clean_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     exactly once to a Parquet table, which is returned."""
     schema = table(spark, sf_dir, "orders").schema
     cust = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    stream = read_stream(spark, sf_dir, schema, glob="orders.parquet")
+    stream = read_stream(spark, f"{sf_dir}/orders.parque[t]", schema)  # a pattern: a file or a folder of part files
 
     def clean(df: DataFrame) -> DataFrame:
         t = _report_times(df, keep=("o_custkey",))
@@ -36,19 +39,25 @@ def stream_clean_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The daily rollup of the lookback slice as a stateful stream: events
-    arrive as files, one-day event-time windows per user under a zero-lateness
-    watermark, appended to a Parquet table. Only days that the watermark has
-    closed are emitted (the newest day stays open: a later event could still
-    belong to it)."""
-    schema = table(spark, sf_dir, "events").schema
-    stream = read_stream(spark, sf_dir, schema, glob="events.parquet")
-
-    def rollup(df: DataFrame) -> DataFrame:
-        return daily_rollup_stream(df, "user_id", "ts", {
-            "v_min": F.min("value"), "v_max": F.max("value"),
-            "v_click": F.round(F.avg(F.when(F.col("event_type") == "click", F.col("value"))), 6),
-            "n_events": F.count(F.lit(1))}, lateness="0 seconds")
+    arrive as files, one-day event-time windows per user under a watermark one
+    day behind the newest event, appended to a Parquet table as days close.
+    The days still open (the newest one or two) are rolled up from the table
+    itself, so the result holds every day."""
+    events = table(spark, sf_dir, "events")
+    stream = read_stream(spark, f"{sf_dir}/events.parque[t]", events.schema)
+    measures = {
+        "v_min": F.min("value"), "v_max": F.max("value"),
+        "v_click": F.round(F.avg(F.when(F.col("event_type") == "click", F.col("value"))), 6),
+        "n_events": F.count(F.lit(1))}
 
     base = scratch_dir(spark, "stream_daily")
-    run_incremental(stream, rollup, f"{base}/out", f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/out")
+    run_incremental(stream, lambda df: daily_rollup_stream(df, "user_id", "ts", measures, lateness="1 day"),
+                    f"{base}/out", f"{base}/checkpoint")
+    newest = events.agg(F.max("ts")).first()[0]
+    if newest is None:
+        return daily_rollup(events, "user_id", "ts", measures)
+    # closed: days that end at or before the watermark, newest - 1 day
+    open_from = datetime.combine((newest - timedelta(days=1)).date(), time())
+    still_open = daily_rollup(events.where(F.col("ts") >= F.lit(str(open_from)).cast("timestamp_ntz")), "user_id", "ts", measures)
+    closed = spark.read.schema(still_open.schema).parquet(f"{base}/out")
+    return closed.unionByName(still_open)
