@@ -8,10 +8,13 @@ Plan (all DataFrame ops, no UDF):
    two character multisets (items = (char, k-th occurrence)). So M must reach
    t = ceil(r (la + lb_min)/2), with lb_min the shortest partner length the
    ratio allows. Under one global item order (rarest characters first), two
-   multisets sharing >= t items share their smallest common item inside both
-   prefixes of size |A| - t + 1. Prefix items are exploded and equi-joined;
-   a pair is kept only at its smallest shared prefix item, so each candidate
-   appears once without a distinct shuffle;
+   multisets sharing >= t items share their COMBINED smallest common items
+   inside both prefixes of size |A| - t + COMBINED. Every ascending
+   combination of COMBINED prefix items is one equi-join key: single
+   characters are so few that they would join nearly all pairs. A pair is kept
+   only at its smallest shared combination, so each candidate appears once
+   without a distinct shuffle. Names so short that t < COMBINED, and their
+   possible partners, also meet on single items;
 3. the length bound (2 min(la,lb)/(la+lb) >= r) and the overlap bound
    (M >= r (la+lb)/2) -- both exact, linear in the alphabet -- drop more
    pairs before the quadratic LCS, which is one JVM expression per pair;
@@ -21,6 +24,9 @@ Plan (all DataFrame ops, no UDF):
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +36,7 @@ from ..functions.text import indel_ratio, token_sort_key
 # Fixed value: the alphabet of the token-sort normal form (lower-case ASCII
 # letters, digits, underscore and the single space separator).
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789_ "
+COMBINED = 3
 
 
 def char_histogram(c):
@@ -73,23 +80,42 @@ def fuzzy_best_match(left: DataFrame, right: DataFrame, *, left_key: str, right_
     freq = {row["c"]: row["count"] for row in chars}
     order = F.array(*[F.lit(ch) for ch in sorted(ALPHABET, key=lambda ch: (freq.get(ch, 0), ch))])
 
+    # names up to `short` characters need fewer than COMBINED shared items (t grows with the length)
+    def required(length: int) -> int:
+        return max(1, math.ceil(r / 2 * (length + math.ceil(length * r / (2 - r) - 1e-9)) - 1e-9))
+
+    short = next(n for n in itertools.count() if required(n + 1) >= COMBINED)
+    partner = math.floor(short * (2 - r) / r + 1e-9)
+
     def prefix(text, length):
         # items (char rank, k-th occurrence) straight from the text: building
         # them from the histogram inside nested lambdas is far slower
         chars = F.split(text, "")
         items = F.transform(chars, lambda ch, k: (F.array_position(order, ch) - 1) * F.lit(1 << 20)
                             + F.size(F.filter(F.slice(chars, 1, k + 1), lambda x: x == ch)))
-        # shortest partner length, required overlap t, prefix size |A| - t + 1
+        # shortest partner length, required overlap t, prefix size |A| - t + COMBINED
         other_min = F.ceil(length * F.lit(r / (2 - r)) - F.lit(1e-9))
         t = F.greatest(F.lit(1), F.ceil(F.lit(r / 2) * (length + other_min) - F.lit(1e-9)))
-        return F.slice(F.array_sort(items), 1, (length - t + 1).cast("int"))
-
-    lx = (lk.where(F.col("_ll") > 0).withColumn("_lp", prefix(F.col("_ln"), F.col("_ll")))
-            .withColumn("_item", F.explode("_lp")))
-    rx = (rk.where(F.col("_rl") > 0).withColumn("_rp", prefix(F.col("_rn"), F.col("_rl")))
-            .withColumn("_item", F.explode("_rp")))
-    pairs = (lx.join(rx, "_item")
-               .where(F.array_min(F.array_intersect("_lp", "_rp")) == F.col("_item")))
+        return F.slice(F.array_sort(items), 1, (length - t + COMBINED).cast("int"))
+
+    def keyed(names, items, length):
+        none = names.withColumn("_key", F.array().cast("array<int>")).withColumn("_from", F.lit(1))
+
+        def longer(df):
+            return (df.select("*", F.posexplode(F.slice(items, F.col("_from"), F.size(items))).alias("_pos", "_item"))
+                      .withColumn("_key", F.concat("_key", F.array(F.col("_item").cast("int"))))
+                      .withColumn("_from", F.col("_from") + F.col("_pos") + 1).drop("_pos", "_item"))
+
+        combined = none.where(F.col(length) > short)
+        for _ in range(COMBINED):
+            combined = longer(combined)
+        return combined.unionByName(longer(none.where(F.col(length) <= partner))).drop("_from")
+
+    lx = keyed(lk.where(F.col("_ll") > 0).withColumn("_lp", prefix(F.col("_ln"), F.col("_ll"))), "_lp", "_ll")
+    rx = keyed(rk.where(F.col("_rl") > 0).withColumn("_rp", prefix(F.col("_rn"), F.col("_rl"))), "_rp", "_rl")
+    pairs = (lx.join(rx, "_key")
+               .where((F.size("_key") == COMBINED) | (F.least("_ll", "_rl") <= short))
+               .where(F.slice(F.array_intersect(F.col("_lp"), F.col("_rp")), 1, F.size("_key")).cast("array<int>") == F.col("_key")))
     if exclude_same:
         pairs = pairs.where(F.col("_ln") != F.col("_rn"))
     # exact length and character-overlap bounds before the LCS
