@@ -285,3 +285,25 @@ def test_lm_gradient_is_the_loss_slope():
             loss.append(-a.log_probs(w, x, y).mean())
         w[name][at] += 1e-4
         assert abs((loss[0] - loss[1]) / 2e-4 - g[name][at]) < 2e-3 * max(1, abs(g[name][at]))
+
+
+def test_lm_windows_of_several_texts_are_those_of_each():
+    a, r = attention_lm, np.random.default_rng(4)
+    kind = (np.arange(a.INPUTS) % a.CLASSES).astype(np.uint8)
+    sizes = np.array([0, 1, a.SCORED - 1, a.SCORED, 0, 100, 0])
+    s = r.integers(1, a.INPUTS, sizes.sum()).astype(np.uint16)
+    one_by_one = [a.windows_of(t, kind) for t in np.split(s, np.cumsum(sizes)[:-1])]
+    for got, want in zip(a.windows_of(s, kind, sizes), zip(*one_by_one)):
+        assert np.array_equal(got, np.concatenate(want))
+
+
+def test_lm_forgotten_words_are_learned_again(monkeypatch):
+    monkeypatch.setattr(attention_lm, "REMEMBERED", 3)
+    symbol = np.arange(60000).astype(np.uint16)
+    table = attention_lm.WordTable("word_bpe_49k.json", symbol, np.zeros(60000), {b"river": 1.5})
+    first = {}
+    for words in ({b"river", b"stone", b"xqzzw"}, {b"hill", b"park", b"oak"}, {b"stone", b"river", b"xqzzw"}):
+        for w, i in table.learn(words).items():
+            got = list(table.data[table.begin[i]:table.begin[i] + table.size[i]]), float(table.log[i])
+            assert str(first.setdefault(w, got)) == str(got)
+    assert first[b"river"][1] == 1.5 and np.isnan(first[b"stone"][1])
