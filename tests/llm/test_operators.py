@@ -297,6 +297,53 @@ def test_lm_windows_of_several_texts_are_those_of_each():
         assert np.array_equal(got, np.concatenate(want))
 
 
+def test_lm_trains_on_every_symbol_of_every_training_text(docs, monkeypatch):
+    a, got = attention_lm, {}
+
+    def train(windows, count, bigram, rounds):
+        got["targets"] = sum(sum(r.m) for r in windows.collect())
+        got["seen"] = real(windows, count, bigram, 1)
+        return got["seen"]
+
+    real = a.train
+    monkeypatch.setattr(a, "train", train)
+    a.lm_scores(docs, rounds=1).count()
+    learned = [t for i, t in ROWS if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1]
+    words = [w for t in learned for w in a.lower_words(utf8(t))]
+    assert got["targets"] == sum(map(len, a.word_ids("word_bpe_49k.json", words))) + len(learned)
+    assert np.isfinite(got["seen"]).all()
+
+
+def test_lm_round_goes_over_every_batch():
+    import types
+
+    import pyarrow as pa
+    a, seen = attention_lm, Counter()
+    r = np.random.default_rng(6)
+    flat = a.pack(random_weights(7))
+
+    def batch(ids):
+        x = np.repeat(np.array(ids, np.uint16)[:, None], a.WINDOW, axis=1)
+        y, m = r.integers(0, a.CLASSES, (2, len(ids), a.SCORED)).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([z.tobytes() for z in t], pa.binary()) for t in (x, y, np.ones_like(m))], ["x", "y", "m"])
+
+    def adam(w, batches, **_):
+        for x, _, _ in batches:
+            seen.update(x[:, 0].tolist())
+        return w
+
+    real, a.adam = a.adam, adam
+    try:
+        parts = list(a._round(types.SimpleNamespace(value=flat))(iter([batch(range(100)), batch([]), batch(range(100, 1000))])))
+        assert set(seen) == set(range(1000)) and {p.column("weight")[0].as_py() for p in parts} == {1000.0}
+        assert list(a._round(types.SimpleNamespace(value=flat))(iter([]))) == []
+        few = Counter(seen)
+        list(a._round(types.SimpleNamespace(value=flat))(iter([batch([5])])))
+        assert seen[5] - few[5] == a.LEAST_STEPS * a.BATCH
+    finally:
+        a.adam = real
+
+
 def test_lm_forgotten_words_are_learned_again(monkeypatch):
     monkeypatch.setattr(attention_lm, "REMEMBERED", 3)
     symbol = np.arange(60000).astype(np.uint16)
