@@ -270,6 +270,22 @@ def test_lm_windows_score_each_token_once_and_causally():
     assert np.allclose(one[:, :-1], a.log_probs(w, late.astype(np.intp), y.astype(np.intp))[:, :-1])
 
 
+def test_lm_each_token_is_scored_with_sixteen_before_it():
+    a, w = attention_lm, random_weights(8)
+    kind = (np.arange(a.INPUTS) % a.CLASSES).astype(np.uint8)
+    s = np.random.default_rng(9).integers(1, a.INPUTS, 120).astype(np.uint16)
+
+    def by_token(symbols):
+        x, y, m = a.windows_of(symbols, kind)
+        return a.log_probs(w, x.astype(np.intp), y.astype(np.intp))[m > 0]
+
+    want = by_token(s)
+    for t in range(17, 120):
+        other = s.copy()
+        other[t - 17] = s[t - 17] % (a.INPUTS - 1) + 1
+        assert by_token(other)[t] != want[t]
+
+
 def test_lm_gradient_is_the_loss_slope():
     a, w = attention_lm, {k: v.astype(np.float64) for k, v in random_weights(2).items()}
     r = np.random.default_rng(3)
