@@ -99,6 +99,59 @@ def cross_validate_linear(train: DataFrame, zfeatures: list[str], label: str, se
     return rows, model
 
 
+def fold_moments(train: DataFrame, zfeatures: list[str], label: str, fold_col: str = "fold") -> dict[int, np.ndarray]:
+    """Sums of products of (1, features, label - its mean) per fold, from one pass. A
+    NULL or NaN value is an error, never a dropped row."""
+    ym = train.agg(F.avg(label)).first()[0]
+    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in zfeatures], F.col(label).cast("double") - F.lit(ym)]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    bad = F.lit(False)
+    for c in cols[1:]:
+        bad = bad | c.isNull() | F.isnan(c)
+    out = {}
+    for r in train.groupBy(fold_col).agg(F.count_if(bad).alias("bad"), *[F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i, j in pairs]).collect():  # one row a fold
+        if r["bad"]:
+            raise ValueError(f"{r['bad']} rows have a NULL or NaN feature or label")
+        m = np.zeros((len(cols), len(cols)))
+        for i, j in pairs:
+            m[i, j] = m[j, i] = r[f"s{i}_{j}"]
+        out[r[fold_col]] = m
+    return out
+
+
+def penalised_fit(m: np.ndarray, l1: float, l2: float, start: np.ndarray | None = None) -> np.ndarray:
+    """Coefficients that minimise RSS / 2n + l1 |b|_1 + l2 |b|^2 / 2 with a free
+    intercept, by coordinate descent on the moments of (1, features, label)."""
+    n, means = m[0, 0], m[0, 1:] / m[0, 0]
+    c = m[1:, 1:] / n - np.outer(means, means)
+    g, r = c[:-1, :-1], c[:-1, -1]
+    b = np.zeros(len(r)) if start is None else start.copy()
+    for _ in range(100_000):
+        before = b.copy()
+        for j in range(len(b)):
+            t = r[j] - g[j] @ b + g[j, j] * b[j]
+            d = g[j, j] + l2
+            b[j] = np.sign(t) * max(abs(t) - l1, 0.0) / d if d > 0 else 0.0
+        if np.abs(b - before).max(initial=0.0) <= 1e-10 * max(1.0, np.abs(b).max(initial=0.0)):
+            break
+    return b
+
+
+def cross_validate_moments(folds: dict[int, np.ndarray], settings: list[dict]) -> list[dict]:
+    """Mean held-out RMSE of every setting; l1 and l2 as in `penalised_fit`, or `ridge`,
+    a penalty on the plain sum of squares. No further pass over the rows."""
+    total, errors = sum(folds.values()), np.zeros((len(settings), len(folds)))
+    for f, (_, held) in enumerate(sorted(folds.items())):
+        m, b = total - held, None
+        for i, s in enumerate(settings):
+            l1, l2 = (0.0, s["ridge"] / m[0, 0]) if "ridge" in s else (s["l1"], s["l2"])
+            b = penalised_fit(m, l1, l2, b)
+            intercept = (m[0, -1] - b @ m[0, 1:-1]) / m[0, 0]
+            v = np.concatenate([[-intercept], -b, [1.0]])
+            errors[i, f] = np.sqrt(max(v @ held @ v, 0.0) / held[0, 0])
+    return [dict(s, cv_rmse=float(e)) for s, e in zip(settings, errors.mean(axis=1))]
+
+
 def sample_grid(grid: dict[str, list], n: int, seed: int) -> list[dict]:
     """A seeded random subset of a full parameter grid (random search)."""
     keys = sorted(grid)
@@ -117,14 +170,14 @@ def _product(lists):
 
 
 def forest_cv(train: DataFrame, features: list[str], label: str, settings: list[dict], fold_col: str = "fold",
-              seed: int = 6, parallelism: int = 2):
+              seed: int = 6, parallelism: int = 2, folds: int = 5):
     rf = RandomForestRegressor(featuresCol="features", labelCol=label, seed=seed)
     ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse")
     grid = [{getattr(rf, k): v for k, v in s.items()} for s in settings]
     with _Cached(train, [*features, label, fold_col]) as t:
         data = Pipeline(stages=assembler(features)).fit(t).transform(t)
         cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col,
-                            parallelism=parallelism)
+                            numFolds=folds, parallelism=parallelism)
         m = cv.fit(data.withColumn(fold_col, F.col(fold_col).cast("int")))
     return [dict(s, cv_rmse=float(x)) for s, x in zip(settings, m.avgMetrics)], m
 
