@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.session import scratch_dir
@@ -90,21 +90,54 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text",
         yield b.slice(begin)
 
 
-def connected_components(edges: DataFrame, name: str) -> DataFrame:
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) -> (node, smallest node of its component among these edges)."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            u, v = root(u), root(v)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+    nodes = [x for x, up in parent.items() if x != up]
+    for i in range(0, len(nodes), 1 << 16):
+        part = nodes[i:i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["u", "v"])
+
+
+def _observed(df: DataFrame, name: str) -> tuple[DataFrame, tuple[int, int]]:
+    """A written edge table with its row count and a checksum, taken while writing."""
+    seen = Observation()
+    out = materialise(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40)).alias("sum")), name)
+    got = seen.get
+    return out, (got["n"], got["sum"] or 0)
+
+
+def connected_components(edges: DataFrame, name: str, part_edges: int = 200_000) -> DataFrame:
     """(node, label) for every node of an edge list (u, v) of longs; the label is
-    the component's smallest node.
+    the component's smallest node. Nodes without an edge aren't returned.
 
-    Alternating large-star and small-star rounds: each round is two grouped
-    minima and joins over the edges, written down between rounds. It ends when
-    a round changes no edge. Nodes without an edge aren't returned.
+    The edges are dealt to partitions of about `part_edges` and contracted there
+    by union-find to one edge per node. What several partitions hold is joined
+    by alternating large-star and small-star rounds: each is two grouped minima
+    and joins over the contracted edges, written down between rounds, until a
+    round changes no edge.
     """
-    e = materialise(edges.select("u", "v").where("u <> v").distinct(), f"{name}-edges")
-    seen = None
-    while True:
-        s = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first()
-        if s == seen or s[0] == 0:
-            break
-        seen = s
+    e, (n, _) = _observed(edges.select("u", "v").where("u <> v"), f"{name}-edges")
+    parts = -(-n // part_edges)
+    dealt = e.coalesce(max(1, parts))
+    first, seen = _observed(dealt.mapInArrow(_forest, "u long, v long"), f"{name}-forest")
+    discard(e)
+    e = first
+    while parts > 1:
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = materialise(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -113,10 +146,13 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = (down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        new = materialise(small, f"{name}-small")
+        new, now = _observed(small, f"{name}-small")
         discard(large)
         discard(e)
         e = new
+        if now == seen:
+            break
+        seen = now
     labels = e.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return labels.union(roots)
