@@ -277,7 +277,7 @@ def test_links_of_many_tiles_and_hot_cells(spark, monkeypatch):
     monkeypatch.setattr(lattice_dedup, "TILE", 8)
     monkeypatch.setattr(lattice_dedup, "HOT_CELL", 4)
     base = unit_rows(3)
-    vectors = np.concatenate([base[k] + g.normal(size=(60, 64)) * s for k, s in enumerate((0.01, 0.02, 0.025))])
+    vectors = np.concatenate([base[k] + g.normal(size=(60, 64)) * s for k, s in enumerate((0.01, 0.02, 0.022))])
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
     assert links_of(spark, rows) == brute_links(rows)
 
