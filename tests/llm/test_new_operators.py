@@ -250,10 +250,10 @@ def links_of(spark, rows, **options):
 def test_links_equal_brute_force(spark):
     base = unit_rows(60)
     tight = base[0] + g.normal(size=(150, 64)) * 0.004
-    wide = np.concatenate([at_cosine(np.repeat(base[k:k + 1], 12, axis=0), 0.97) for k in range(1, 6)])
+    wide = np.concatenate([at_cosine(np.repeat(base[k:k + 1], 12, axis=0), 0.985) for k in range(1, 6)])
     chain = [base[7]]
     for _ in range(6):
-        chain.append(at_cosine(chain[-1][None], 0.96)[0])
+        chain.append(at_cosine(chain[-1][None], 0.975)[0])
     vectors = [*base, *tight, *wide, *chain, *(3.5 * base[:4]), base[9], base[9], *(base[10] + g.normal(size=(40, 64)) * 0.02)]
     rows = [(int(i), [float(x) for x in v]) for i, v in zip(g.permutation(len(vectors)), vectors)]
     rows += [(rows[3][0], rows[3][1]), (None, rows[5][1]), (None, rows[5][1]), (7000, None), (7001, []), (7002, [0.0] * 64), (7003, [NAN] + [1.0] * 63),
