@@ -9,12 +9,15 @@ everything settles there. Reference points with identical features are cut
 to their ``k`` lowest ids first (no more can ever be chosen from one spot),
 planned as a window group limit that runs before the shuffle.
 
-Any number of features: the grid uses the first ``grid_dims`` (<= 3)
-feature columns, a coordinate projection, while distances use all of them.
-A projection never lengthens a distance, so every point within the cell side
-in the full space lies in the 3^p neighbouring cells of the projection and
-the settle rule stays exact; put the most spread-out features (or principal
-component scores) first for the best pruning.
+More than ``GRID_FEATURES`` features: a grid prunes nothing there, so the
+search goes by Voronoi cells around pivots (`knn_cells`). Blocks (with any
+number of features) always use the grid: its cells come from the first
+``grid_dims`` (<= 3) feature columns, a coordinate projection, while distances
+use all of them; a projection never lengthens a distance, so the settle rule
+stays exact.
+
+No query row is dropped: one without neighbours (a NULL or NaN feature, or
+nothing to find) comes back once with NULL rank, id and distance.
 """
 
 from __future__ import annotations
@@ -26,29 +29,74 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .knn_cells import knn_cells_join
+
+GRID_FEATURES = 3
 
 
 def knn_join(query: DataFrame, ref: DataFrame, *, qid: str, rid: str, features: list[str], k: int,
              payload: list[str] | None = None, block: list[str] | None = None,
-             extra_levels: int = 12, grid_dims: int = 3) -> DataFrame:
+             extra_levels: int = 12, grid_dims: int = 3, exclude: str | None = None) -> DataFrame:
     """Returns ``qid, *block, rank (1..k), rid, d2, *payload`` -- the k nearest
     ``ref`` rows of every ``query`` row (squared Euclidean distance ``d2``),
-    restricted to the same ``block`` values when given."""
+    restricted to the same ``block`` values, or to other values of the column
+    ``exclude``, when given (``exclude`` isn't available with blocks)."""
     block = block or []
     payload = payload or []
     nf = len(features)
     if nf < 1:
         raise ValueError("k-NN needs at least one feature column")
+    if exclude and block:
+        raise ValueError("exclude and block can't be combined")
+    if exclude or (nf > GRID_FEATURES and not block):
+        return _by_cells(query, ref, qid, rid, features, k, payload, exclude)
+    found = _by_grid(query, ref, rid, features, k, payload, block, extra_levels, grid_dims)
+    qkey = _location(block, features)
+    keyed = query.select(F.col(qid), *block, qkey.alias("_q"))
+    return keyed.join(found.drop(*block), "_q", "left").select(qid, *block, "rank", rid, "d2", *payload)
+
+
+def _location(block: list[str], features: list[str]):
+    return F.struct(*[F.col(b) for b in block], *[F.col(f).alias(f"_k{i}") for i, f in enumerate(features)])
+
+
+def _by_cells(query: DataFrame, ref: DataFrame, qid: str, rid: str, features: list[str], k: int,
+              payload: list[str], exclude: str | None) -> DataFrame:
+    names = [f"_x{i}" for i in range(len(features))]
+    values = [F.col(f).cast("double").alias(n) for f, n in zip(features, names)]
+    group = [F.col(exclude).cast("long").alias("_group")] if exclude else []
+    known = F.lit(True)
+    for n in names:
+        known = known & F.col(n).isNotNull() & ~F.isnan(n)
+    if exclude:
+        known = known & F.col("_group").isNotNull()
+    at = [*names, *(["_group"] if exclude else [])]
+    asked = query.select(F.col(qid), *values, *group)
+    # neighbours depend only on the location: each distinct one is searched once
+    points = cut_lineage(asked.where(known).select(*at).distinct().withColumn("_q", F.monotonically_increasing_id()))
+    # of equal locations at most k rows can ever be chosen
+    same = Window.partitionBy(*at).orderBy("_r")
+    refs = (ref.select(F.col(rid).alias("_r"), *values, *group, *payload).where(known)
+            .withColumn("_dup", F.row_number().over(same)).where(F.col("_dup") <= k).drop("_dup"))
+    found = knn_cells_join(points, cut_lineage(refs), names, k, payload, bool(exclude))
+    return (asked.join(points, at, "left").join(found, "_q", "left")
+            .select(qid, "rank", F.col("_r").alias(rid), "d2", *payload))
+
+
+def _by_grid(query: DataFrame, ref: DataFrame, rid: str, features: list[str], k: int, payload: list[str],
+             block: list[str], extra_levels: int, grid_dims: int) -> DataFrame:
+    """(_q, *block, rank, rid, d2, *payload) per distinct query location that has neighbours."""
+    nf = len(features)
     d = min(nf, max(1, min(grid_dims, 3)))     # grid dimensions (a coordinate projection)
     # neighbours depend only on (block, feature vector): search each distinct
     # query point once and join the result back to every query row at the end
-    qkey = F.struct(*[F.col(b) for b in block], *[F.col(f).alias(f"_k{i}") for i, f in enumerate(features)])
+    qkey = _location(block, features)
     q = query.select(qkey.alias("_q"), *block, *[F.col(f).alias(f"_x{i}") for i, f in enumerate(features)])
     r = ref.select(F.col(rid).alias("_r"), *block, *[F.col(f).alias(f"_y{i}") for i, f in enumerate(features)],
                    *payload)
     for i in range(nf):
-        q = q.where(F.col(f"_x{i}").isNotNull())
-        r = r.where(F.col(f"_y{i}").isNotNull())
+        q = q.where(F.col(f"_x{i}").isNotNull() & ~F.isnan(f"_x{i}"))
+        r = r.where(F.col(f"_y{i}").isNotNull() & ~F.isnan(f"_y{i}"))
     q = q.dropDuplicates(["_q"])
     # at most k reference rows per identical location can ever be selected
     loc = Window.partitionBy(*block, *[f"_y{i}" for i in range(nf)]).orderBy("_r")
@@ -67,7 +115,9 @@ def knn_join(query: DataFrame, ref: DataFrame, *, qid: str, rid: str, features:
         n_ref = r.count()
         n_blk = n_ref
     if st["lo0"] is None or n_ref == 0:
-        return query.sparkSession.createDataFrame([], f"{qid} long, rank int, {rid} long, d2 double")
+        none = r.select(F.lit(None).cast(q.schema["_q"].dataType).alias("_q"), *block, F.lit(None).cast("int").alias("rank"),
+                        F.col("_r").alias(rid), F.lit(None).cast("double").alias("d2"), *payload)
+        return none.limit(0)
     lo = [st[f"lo{i}"] for i in range(d)]
     s0 = max(max(st[f"hi{i}"] - st[f"lo{i}"] for i in range(d)), 1e-12)
     # start level: about k reference points per cell on uniform data, refined
@@ -118,16 +168,15 @@ def knn_join(query: DataFrame, ref: DataFrame, *, qid: str, rid: str, features:
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    out = out.select("_q", *block, F.col("rank").cast("int").alias("rank"), F.col("_r").alias(rid), "d2",
-                     *payload)
-    return (query.select(F.col(qid), qkey.alias("_q")).join(out, "_q", "inner")
-                 .select(qid, *block, "rank", rid, "d2", *payload))
+    return out.select("_q", *block, F.col("rank").cast("int").alias("rank"), F.col("_r").alias(rid), "d2", *payload)
 
 
 def knn_regress(neigh: DataFrame, qid: str, y: str, k: int, block: list[str] | None = None) -> DataFrame:
-    """Uniform-weight mean of the k nearest targets."""
-    return (neigh.where(F.col("rank") <= k).groupBy(qid, *(block or []))
-                 .agg(F.avg(y).alias("prediction"), F.count(F.lit(1)).alias("n_neighbours")))
+    """Uniform-weight mean of the k nearest targets; a query without neighbours
+    gets a NULL prediction and 0 neighbours."""
+    near = F.col("rank") <= k
+    return (neigh.groupBy(qid, *(block or []))
+                 .agg(F.avg(F.when(near, F.col(y))).alias("prediction"), F.count_if(near).alias("n_neighbours")))
 
 
 def knn_cv_curve(neigh: DataFrame, qid: str, y_query: str, y_ref: str, ks: list[int],

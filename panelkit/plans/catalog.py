@@ -58,6 +58,8 @@ QUERIES = {
     "category_count": mq.category_count,
     "null_profile": mq.null_profile_q,
     "knn_predict": ml.knn_predict,
+    "knn_wide_predict": ml.knn_wide_predict,
+    "knn_wide_cv": ml.knn_wide_cv,
     "knn_cv": ml.knn_cv,
     "multiple_ols": ml.multiple_ols,
     "ridge_cv": ml.ridge_cv,

@@ -52,13 +52,47 @@ def knn_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     nb = knn.knn_join(q, ref, qid="c_custkey", rid="rid", features=["zl", "zo"], k=max(KNN_KS),
                       payload=["y_ref"], block=["qfold"])
     nb = nb.join(z.select("c_custkey", F.col("c_acctbal").alias("y")), "c_custkey").withColumnRenamed("qfold", "fold")
-    curve = knn.knn_cv_curve(nb, "c_custkey", "y", "y_ref", KNN_KS)
+    return _curve_with_best(knn.knn_cv_curve(nb, "c_custkey", "y", "y_ref", KNN_KS))
+
+
+def _curve_with_best(curve: DataFrame) -> DataFrame:
     # 15 rows: the global window is bounded by the number of k values
     best = F.min_by(F.col("k"), F.struct(F.round("cv_mse", 2), F.col("k"))).over(Window.partitionBy())
     return curve.select(F.col("k").cast("int").alias("k"), F.round("cv_mse", 2).alias("cv_mse"),
                         (F.col("k") == best).alias("is_best"))
 
 
+WIDE = 25
+
+
+def _wide_table(spark, sf_dir):
+    """25 numeric features and a target per row: the leading vector components."""
+    e = table(spark, sf_dir, "embeddings")
+    e = e.select("vec_id", F.col("label").cast("double").alias("y"),
+                 *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(WIDE)])
+    return fe.kfold(fe.hash_split(e, "vec_id", SEED), "vec_id", k=5, seed=42)
+
+
+def knn_wide_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M10 + T7 on 25 features: mean target of the 5 nearest training rows."""
+    z = _wide_table(spark, sf_dir)
+    train, test = z.where(F.col("part") == fe.TRAIN), z.where(F.col("part") == fe.TEST)
+    nb = knn.knn_join(test, train.withColumnRenamed("vec_id", "rid"), qid="vec_id", rid="rid",
+                      features=[f"x{i}" for i in range(WIDE)], k=5, payload=["y"])
+    p = knn.knn_regress(nb, "vec_id", "y", 5)
+    return p.select("vec_id", F.round("prediction", 6).alias("prediction"), "n_neighbours")
+
+
+def knn_wide_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M11 + A16 on 25 features: 5-fold CV error for 15 values of k. One search: the
+    fold is excluded inside it, so no row is copied to the other folds."""
+    z = _wide_table(spark, sf_dir).where(F.col("part") == fe.TRAIN)
+    nb = knn.knn_join(z, z.select(F.col("vec_id").alias("rid"), F.col("y").alias("y_ref"), "fold", *[f"x{i}" for i in range(WIDE)]),
+                      qid="vec_id", rid="rid", features=[f"x{i}" for i in range(WIDE)], k=max(KNN_KS), payload=["y_ref"], exclude="fold")
+    nb = nb.join(z.select("vec_id", "y", "fold"), "vec_id")
+    return _curve_with_best(knn.knn_cv_curve(nb, "vec_id", "y", "y_ref", KNN_KS))
+
+
 def multiple_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M5: least squares of price on quantity and discount (training part)."""
     tr = model_table(spark, sf_dir).where(F.col("part") == fe.TRAIN)

@@ -508,6 +508,28 @@ pf AS (SELECT fold, rk AS k, avg((y - pred) * (y - pred)) AS mse FROM run
 cv AS (SELECT CAST(k AS INTEGER) AS k, round(avg(mse), 2) AS cv_mse FROM pf GROUP BY k)
 SELECT k, cv_mse, k = first(k ORDER BY cv_mse, k) OVER () AS is_best FROM cv"""
 
+_WIDE_D2 = " + ".join(f"(q.x{i} - r.x{i}) * (q.x{i} - r.x{i})" for i in range(25))
+_WIDE = f"""wide AS MATERIALIZED (
+    SELECT vec_id, CAST(label AS DOUBLE) AS y, {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}' for i in range(25))},
+           CASE WHEN {_hb('vec_id', 229, 100)} < 80 THEN 'train' ELSE 'test' END AS part,
+           {_hb('vec_id', 42, 5)} AS fold FROM embeddings)"""
+
+SQL["knn_wide_predict"] = f"""WITH {_WIDE},
+p AS (SELECT q.vec_id, r.y, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_WIDE_D2}, r.vec_id) AS rk
+      FROM wide q JOIN wide r ON r.part = 'train' WHERE q.part = 'test')
+SELECT vec_id, round(avg(y), 6) AS prediction, count(*) AS n_neighbours FROM p WHERE rk <= 5 GROUP BY vec_id"""
+
+SQL["knn_wide_cv"] = f"""WITH {_WIDE},
+t AS (SELECT * FROM wide WHERE part = 'train'),
+p AS (SELECT q.vec_id, q.fold, q.y, r.y AS y_ref, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_WIDE_D2}, r.vec_id) AS rk
+      FROM t q JOIN t r ON r.fold <> q.fold),
+run AS (SELECT *, sum(y_ref) OVER (PARTITION BY vec_id ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / rk AS pred
+        FROM p WHERE rk <= 50),
+pf AS (SELECT fold, rk AS k, avg((y - pred) * (y - pred)) AS mse FROM run
+       WHERE rk IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 15, 20, 25, 40, 50) GROUP BY fold, rk),
+cv AS (SELECT CAST(k AS INTEGER) AS k, round(avg(mse), 2) AS cv_mse FROM pf GROUP BY k)
+SELECT k, cv_mse, k = first(k ORDER BY cv_mse, k) OVER () AS is_best FROM cv"""
+
 SQL["multiple_ols"] = f"""WITH {_MT},
 t AS (SELECT l_quantity AS x1, l_discount AS x2, l_extendedprice AS y FROM mt WHERE part = 'train'),
 s AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, covar_pop(x1, x1) AS s11, covar_pop(x2, x2) AS s22,

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from panelkit.operators.knn import knn_join
 from panelkit.operators.rank import exact_medians, exact_order_stats, top_k_flag
@@ -107,4 +108,81 @@ def test_knn_duplicate_queries_each_get_neighbours(spark):
     got = {}
     for r in knn_join(q, ref, qid="qid", rid="rid", features=["x", "y"], k=2).collect():
         got.setdefault(r.qid, []).append((r.rank, r.rid))
+    assert got.pop(99) == [(None, None)]  # no location: kept, without neighbours
     assert len(got) == 50 and all(sorted(v) == [(1, 3), (2, 4)] for v in got.values())
+
+
+def squared(x, y):
+    total = 0.0
+    for a, b in zip(x, y):  # plain additions: sum() compensates its rounding
+        total += (a - b) * (a - b)
+    return total
+
+
+def brute_nearest(q, ref, k, group=None):
+    want = {}
+    for i, x, f in q:
+        near = sorted((squared(x, y), j) for j, y, h in ref if group is None or f != h)[:k]
+        want[i] = [(rank + 1, j) for rank, (_, j) in enumerate(near)] or [(None, None)]
+    return want
+
+
+def nearest_of(spark, q, ref, nf, k, **options):
+    cols = [f"f{i}" for i in range(nf)]
+    head = ", ".join(f"{c} double" for c in cols)
+    qdf = spark.createDataFrame([(i, *x, f) for i, x, f in q], f"qid long, {head}, fold int")
+    rdf = spark.createDataFrame([(j, *y, h, f"p{j}") for j, y, h in ref], f"rid long, {head}, fold int, note string")
+    got = {}
+    for r in knn_join(qdf, rdf, qid="qid", rid="rid", features=cols, k=k, payload=["note"], **options).collect():
+        assert r.note == (None if r.rid is None else f"p{r.rid}")
+        got.setdefault(r.qid, []).append((r.rank, r.rid))
+    return {i: sorted(v, key=lambda t: t[0] or 0) for i, v in got.items()}
+
+
+@pytest.mark.parametrize("nf,k,group", [(2, 3, "fold"), (6, 5, None), (6, 4, "fold"), (25, 7, None), (25, 50, "fold")])
+def test_cells_equal_brute_force(spark, nf, k, group):
+    """Clusters, ties (rounded values, repeated rows) and a hot spot."""
+    rnd = random.Random(nf + k)
+
+    def points(n, first):
+        out = []
+        for i in range(n):
+            c = rnd.choice([0.0, 3.0, 9.0])
+            out.append((first + i, [round(rnd.gauss(c, 1), 1) for _ in range(nf)], rnd.randrange(4)))
+        return out + [(first + n + i, [3.0] * nf, i % 4) for i in range(30)]
+    ref, q = points(500, 0), points(60, 5000)
+    assert nearest_of(spark, q, ref, nf, k, **({"exclude": group} if group else {})) == brute_nearest(q, ref, k, group)
+
+
+def test_cells_without_neighbours(spark):
+    nan = float("nan")
+    q = [(1, [1.0] * 5, 0), (2, [None] + [1.0] * 4, 0), (3, [nan] + [1.0] * 4, 0)]
+    ref = [(7, [2.0] * 5, 0), (8, [None] * 5, 0), (9, [nan] * 5, 0)]
+    assert nearest_of(spark, q, ref, 5, 3) == {1: [(1, 7)], 2: [(None, None)], 3: [(None, None)]}
+    assert nearest_of(spark, q, [], 5, 3) == {i: [(None, None)] for i in (1, 2, 3)}
+    assert nearest_of(spark, q[:1], ref, 5, 3, exclude="fold") == {1: [(None, None)]}
+
+
+def test_grid_without_references(spark):
+    q = [(1, [1.0, 2.0], 0)]
+    assert nearest_of(spark, q, [], 2, 3) == {1: [(None, None)]}
+    assert nearest_of(spark, q, [], 2, 3, block=["fold"]) == {1: [(None, None)]}
+
+
+def test_rings_skip_far_cells(spark, monkeypatch):
+    """Clustered points of 25 features: most rings are never visited, and no tile is large."""
+    from panelkit.operators import knn_cells
+    rnd = random.Random(3)
+    centres = [[rnd.uniform(-50, 50) for _ in range(25)] for _ in range(30)]
+    rows = [(j, *[c + rnd.gauss(0, 1) for c in centres[j % 30]]) for j in range(3000)]
+    names = [f"_x{i}" for i in range(25)]
+    refs = spark.createDataFrame(rows, "_r long, " + ", ".join(f"{c} double" for c in names)).cache()
+    queries = refs.where("_r % 10 = 0").withColumnRenamed("_r", "_q").cache()
+    visited = []
+    real = knn_cells._meet
+    monkeypatch.setattr(knn_cells, "TILE", 64)
+    monkeypatch.setattr(knn_cells, "_meet", lambda v, t, s, *a: visited.append((v.join(t.groupBy("_unit").count(), "_unit").agg({"count": "sum"}).first()[0],
+                                                                              t.groupBy("_unit", "_tile").count().agg({"count": "max"}).first()[0])) or real(v, t, s, *a))
+    found = knn_cells.knn_cells_join(queries, refs, names, 5, [], False)
+    assert found.count() == 1500
+    assert sum(n or 0 for n, _ in visited) < 0.2 * 300 * 3000 and max(t for _, t in visited) < 128
