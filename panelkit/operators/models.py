@@ -9,17 +9,20 @@ from __future__ import annotations
 
 import json
 import random
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import StorageLevel
+import pyarrow as pa
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage, scratch_dir
 from .evaluate import regression_metrics
 from .features import hash_bucket
 
@@ -169,17 +172,108 @@ def _product(lists):
             yield (v, *rest)
 
 
-def forest_cv(train: DataFrame, features: list[str], label: str, settings: list[dict], fold_col: str = "fold",
-              seed: int = 6, parallelism: int = 2, folds: int = 5):
-    rf = RandomForestRegressor(featuresCol="features", labelCol=label, seed=seed)
-    ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse")
-    grid = [{getattr(rf, k): v for k, v in s.items()} for s in settings]
-    with _Cached(train, [*features, label, fold_col]) as t:
-        data = Pipeline(stages=assembler(features)).fit(t).transform(t)
-        cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col,
-                            numFolds=folds, parallelism=parallelism)
-        m = cv.fit(data.withColumn(fold_col, F.col(fold_col).cast("int")))
-    return [dict(s, cv_rmse=float(x)) for s, x in zip(settings, m.avgMetrics)], m
+def tree_tables(spark: SparkSession, model) -> list[np.ndarray]:
+    """A fitted forest's trees as arrays of nodes (feature or -1, threshold, left,
+    right, prediction), read from its saved form. The model is bounded by its
+    settings (trees x 2^depth nodes) and lives on the driver anyway."""
+    path = scratch_dir(spark, "forest")
+    model.write().save(path)
+    n = F.col("nodeData")
+    rows = spark.read.parquet(path + "/data").select(
+        "treeID", n["id"].alias("id"), n["split"]["featureIndex"].alias("feature"), n["split"]["leftCategoriesOrThreshold"].alias("cut"),
+        n["leftChild"].alias("left"), n["rightChild"].alias("right"), n["prediction"].alias("prediction")).toPandas()
+    trees = []
+    for _, t in sorted(rows.groupby("treeID"), key=lambda x: x[0]):
+        t = t.sort_values("id")
+        leaf = t["left"].to_numpy() < 0
+        cut = np.array([c[0] if len(c) else 0.0 for c in t["cut"]])
+        trees.append(np.stack([np.where(leaf, -1, t["feature"]), cut, t["left"], t["right"], t["prediction"]], axis=1).astype(float))
+    return trees
+
+
+def forest_errors(rows: DataFrame, features: list[str], label: str, trees: list[np.ndarray], counts: list[int], depths: list[int]) -> dict:
+    """{(trees, depth): squared error} of a forest's first trees cut at a depth, and
+    the row count under None, from one pass.
+
+    MLlib grows a forest level by level from one seed per tree, so a smaller or
+    shallower forest is a prefix of a larger one (up to its random choice of
+    features per node): one fit scores every such setting.
+    """
+    offsets = np.cumsum([0] + [len(t) for t in trees])
+    nodes = np.concatenate(trees)
+    feature, cut, value = nodes[:, 0].astype(int), nodes[:, 1], nodes[:, 4]
+    shift = np.repeat(offsets[:-1], np.diff(offsets))
+    left, right = (np.where(feature >= 0, nodes[:, c].astype(int) + shift, np.arange(len(nodes))) for c in (2, 3))
+    root, feature = offsets[:-1], np.maximum(feature, 0)
+
+    def run(batches):
+        total, n = np.zeros((len(depths), len(counts))), 0
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                b = whole.slice(i, 1024)
+                x = np.stack([b.column(f).to_numpy(zero_copy_only=False) for f in features], axis=1).astype(float)
+                y, at = b.column(label).to_numpy(zero_copy_only=False).astype(float), np.tile(root, (b.num_rows, 1))
+                for depth in range(max(depths) + 1):
+                    if depth:
+                        go_left = np.take_along_axis(x, feature[at], 1) <= cut[at]
+                        at = np.where(go_left, left[at], right[at])
+                    if depth in depths:
+                        mean = np.cumsum(value[at], axis=1)[:, [c - 1 for c in counts]] / counts
+                        total[depths.index(depth)] += ((mean - y[:, None]) ** 2).sum(axis=0)
+                n += b.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["n", "sse"])
+
+    parts = rows.select(*features, label).mapInArrow(run, "n long, sse array<double>")
+    cells = [(c, d) for d in depths for c in counts]
+    r = parts.agg(F.sum("n").alias("n"), *[F.sum(F.get("sse", F.lit(i))).alias(f"s{i}") for i in range(len(cells))]).first()
+    return {None: r["n"], **{cell: r[f"s{i}"] for i, cell in enumerate(cells)}}
+
+
+def forest_cv(train: DataFrame, features: list[str], label: str, settings: list[dict], fold_col: str = "fold", seed: int = 6,
+              parallelism: int = 4, share: float = 1.0) -> list[dict]:
+    """Mean held-out RMSE over the folds of every setting (numTrees, maxDepth,
+    featureSubsetStrategy). Settings that differ only in trees and depth share
+    one fit per fold. `share` fits on that part of the rows (by hash) with that
+    part of the trees; the held-out rows are always all of a fold."""
+    folds = [r[0] for r in train.select(fold_col).distinct().sort(fold_col).collect()]
+    trees_of = {s["numTrees"]: max(1, round(s["numTrees"] * share)) for s in settings}
+    jobs = [(strategy, f) for strategy in sorted({s["featureSubsetStrategy"] for s in settings}) for f in folds]
+    data = train.select(*features, label, fold_col, F.pmod(F.xxhash64(*features, label, fold_col, F.lit("share")), F.lit(1 << 20)).alias("_draw"))
+    with _Cached(data, data.columns) as t:
+        def one(job):
+            strategy, f = job
+            own = [s for s in settings if s["featureSubsetStrategy"] == strategy]
+            part = t.where((F.col(fold_col) != f) & (F.col("_draw") < int(share * (1 << 20))))
+            fit = forest_fit(part, features, label, seed, numTrees=max(trees_of[s["numTrees"]] for s in own),
+                             maxDepth=max(s["maxDepth"] for s in own), featureSubsetStrategy=strategy)
+            got = forest_errors(t.where(F.col(fold_col) == f), features, label, tree_tables(train.sparkSession, fit.stages[-1]),
+                                sorted({trees_of[s["numTrees"]] for s in own}), sorted({s["maxDepth"] for s in own}))
+            return {(trees, depth): (sse / got[None]) ** 0.5 for (trees, depth), sse in ((c, v) for c, v in got.items() if c)}
+
+        with ThreadPool(parallelism) as pool:
+            errors = dict(zip(jobs, pool.map(inheritable_thread_target(train.sparkSession)(one), jobs, chunksize=1)))
+    return [dict(s, cv_rmse=float(np.mean([errors[s["featureSubsetStrategy"], f][trees_of[s["numTrees"]], s["maxDepth"]] for f in folds])))
+            for s in settings]
+
+
+def forest_halving(train: DataFrame, features: list[str], label: str, settings: list[dict],
+                   rungs: list[tuple[float, int]], **options) -> list[dict]:
+    """Successive halving: each rung (share, keep) scores the settings left by
+    `forest_cv` on a share of rows and trees and keeps the best `keep`. Each
+    setting comes back with its last rung (from 0) and score. [(1.0, 1)] is the
+    exact full search."""
+    left, out = list(range(len(settings))), [dict(s) for s in settings]
+    for k, (share, keep) in enumerate(rungs):
+        scored = forest_cv(train, features, label, [settings[i] for i in left], share=share, **options)
+        for i, s in zip(left, scored):
+            out[i].update(rung=k, cv_rmse=s["cv_rmse"])
+        left = sorted(left, key=lambda i: (out[i]["cv_rmse"], i))[:keep]
+    return out
+
+
+def best_of_search(rows: list[dict]) -> dict:
+    """The best setting among those that reached the last rung."""
+    return min(rows, key=lambda r: (-r["rung"], r["cv_rmse"]))
 
 
 def forest_fit(train: DataFrame, features: list[str], label: str, seed: int = 6, **params):
@@ -240,34 +334,43 @@ def best_trial(log: DataFrame) -> DataFrame:
         "model", "b.trial", "b.params", "b.rmse")
 
 
-def permute_column(df: DataFrame, col: str, key: str, seed: int, bucket_rows: int = 100_000) -> DataFrame:
-    """Shuffle one column across rows without a global sort: rows go to random
-    buckets of about ``bucket_rows`` rows (hash of key and seed); inside a
-    bucket, the column's values are re-dealt in the order of a second hash.
-    Each bucket is one bounded window; the result is a random permutation
-    restricted to random buckets, which is what a permutation test needs."""
-    n = df.count()
-    nb = max(1, n // bucket_rows)
-    b = hash_bucket(F.col(key), seed, nb)
-    h1 = hash_bucket(F.col(key), seed + 1, 1 << 30)
-    h2 = hash_bucket(F.col(key), seed + 2, 1 << 30)
-    d = df.withColumn("_b", b).withColumn("_h1", h1).withColumn("_h2", h2)
-    w1 = Window.partitionBy("_b").orderBy("_h1", key)
-    w2 = Window.partitionBy("_b").orderBy("_h2", key)
-    rows = d.withColumn("_i", F.row_number().over(w1)).drop(col)
-    vals = d.select("_b", F.col(col), F.row_number().over(w2).alias("_i"))
-    return rows.join(vals, ["_b", "_i"]).drop("_b", "_i", "_h1", "_h2")
+def random_place(df: DataFrame, key: str, seed: int, n: int, bucket_rows: int = 100_000) -> DataFrame:
+    """Adds _place, a gapless random place from 0: rows are numbered within hash
+    buckets of about `bucket_rows` rows, and the buckets' counts give the offsets."""
+    buckets = max(1, -(-n // bucket_rows))
+    d = df.withColumn("_b", hash_bucket(F.col(key), seed, buckets)).withColumn("_h", hash_bucket(F.col(key), seed + 1, 1 << 30))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    offsets = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_b").orderBy("_h", key)
+    return d.join(offsets, "_b").withColumn("_place", F.col("_before") + F.row_number().over(within) - 1).drop("_b", "_h", "_before")
 
 
 def permutation_importance(model, test: DataFrame, features: list[str], label: str, key: str,
                            repeats: int = 10, seed: int = 24) -> DataFrame:
-    """Drop in R^2 when one feature is permuted, per feature and repeat."""
+    """Drop in R^2 when one feature is permuted, per feature and repeat.
+
+    One deal serves all: rows get random places in a circle, and in a repeat a
+    row takes the values of the row a random number of places ahead, a
+    permutation of all rows. Every row sends its feature values to its takers
+    in one shuffle; the rows with one feature replaced are scored together, and
+    one aggregation gives every R^2.
+    """
     spark = test.sparkSession
-    base = regression_metrics(model.transform(test), label, "prediction").first()["r2"]
-    rows = []
-    for f in features:
-        for rep in range(repeats):
-            p = permute_column(test, f, key, seed + 1000 * rep)
-            r2 = regression_metrics(model.transform(p), label, "prediction").first()["r2"]
-            rows.append((f, rep, float(base - r2)))
-    return spark.createDataFrame(rows, "feature string, repeat int, r2_drop double")
+    rows = test.select(key, label, *features)
+    n = rows.count()
+    if n < 2:
+        raise ValueError("a permutation needs at least two rows")
+    ahead = random.Random(seed).sample(range(1, n), repeats) if n > repeats else [1 + i % (n - 1) for i in range(repeats)]
+    placed = cut_lineage(random_place(rows, key, seed, n))
+    values = F.struct(*[F.col(f) for f in features])
+    sent = placed.select(values.alias("_v"), F.posexplode(F.array(*[F.pmod(F.col("_place") - F.lit(a), F.lit(n)) for a in ahead]))
+                         .alias("repeat", "_place"))
+    dealt = sent.join(placed, "_place")
+    swapped = [F.struct(F.lit(f).alias("feature"), *[(F.col("_v")[g] if g == f else F.col(g)).alias(g) for g in features]) for f in features]
+    every = dealt.select("repeat", label, F.explode(F.array(*swapped)).alias("_s")).select("repeat", label, "_s.*")
+    plain = placed.select(F.lit(-1).alias("repeat"), label, F.lit("").alias("feature"), *features)
+    r2 = regression_metrics(model.transform(every.unionByName(plain)), label, "prediction", ["feature", "repeat"])
+    got = {(r["feature"], r["repeat"]): r["r2"] for r in r2.collect()}  # features x repeats + 1 rows
+    base = got["", -1]
+    return spark.createDataFrame([(f, k, float(base - got[f, k])) for f in features for k in range(repeats)],
+                                 "feature string, repeat int, r2_drop double")

@@ -63,11 +63,71 @@ def test_metrics(spark):
     assert F is not None
 
 
-def test_permute_column_is_a_permutation(spark):
-    df = spark.range(0, 3000).withColumn("v", F.col("id") * 2)
-    p = md.permute_column(df, "v", "id", seed=3, bucket_rows=500)
-    assert sorted(r.v for r in p.collect()) == list(range(0, 6000, 2))
-    assert p.where(F.col("v") != F.col("id") * 2).count() > 2500
+def test_random_places_are_a_permutation(spark):
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    p = md.random_place(df, "k", 3, 5000, bucket_rows=700).toPandas()
+    assert sorted(p["_place"]) == list(range(5000))
+    assert abs(np.corrcoef(p["k"], p["_place"])[0, 1]) < 0.06
+
+
+def test_permutation_importance_of_a_known_model(spark):
+    """y = 3 a + b + noise: the drops agree with permutations made row by row."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(4000, 3))
+    y = 3 * x[:, 0] + x[:, 1] + r.normal(size=4000)
+    df = spark.createDataFrame([(i, *map(float, v), float(t)) for i, (v, t) in enumerate(zip(x, y))], "k long, a double, b double, c double, y double")
+    m = md.ols_fit(df, ["a", "b", "c"], "y")
+    got = md.permutation_importance(m, df, ["a", "b", "c"], "y", key="k", repeats=10).toPandas()
+    assert sorted(zip(got.feature, got["repeat"])) == [(f, i) for f in "abc" for i in range(10)]
+    w, b = m.stages[-1].coefficients.toArray(), m.stages[-1].intercept
+
+    def r2(z):
+        return 1 - ((y - z @ w - b) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+    for k, f in enumerate("abc"):
+        drops = []
+        for _ in range(60):
+            z = x.copy()
+            z[:, k] = r.permutation(z[:, k])
+            drops.append(r2(x) - r2(z))
+        own = got[got.feature == f].r2_drop
+        assert abs(own.mean() - np.mean(drops)) < 4 * np.std(drops) / 10 ** 0.5 + 1e-4
+        assert own.std() < 3 * np.std(drops) + 1e-4
+
+
+def test_one_fit_scores_all_tree_counts_and_depths(spark):
+    r = np.random.default_rng(6)
+    x = r.uniform(0, 1, (600, 2))
+    rows = [(float(a), float(b), float(np.sin(9 * a) + b * b + r.normal(0, 0.1))) for a, b in x]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    fit = md.forest_fit(df, ["a", "b"], "y", numTrees=12, maxDepth=6, featureSubsetStrategy="all")
+    trees = md.tree_tables(spark, fit.stages[-1])
+    got = md.forest_errors(df.repartition(3), ["a", "b"], "y", trees, [1, 5, 12], [0, 3, 6])
+    pred = fit.transform(df).select("y", "prediction").toPandas()
+    assert got[None] == 600 and np.isclose(got[12, 6], ((pred.y - pred.prediction) ** 2).sum())
+    assert got[12, 0] > got[12, 3] > got[12, 6] and got[1, 6] > got[12, 6]
+
+    def cut(t, row, depth):
+        n = 0
+        for _ in range(depth):
+            if t[n, 0] >= 0:
+                n = int(t[n, 2] if row[int(t[n, 0])] <= t[n, 1] else t[n, 3])
+        return t[n, 4]
+    by_hand = sum((np.mean([cut(t, v, 3) for t in trees[:5]]) - v[2]) ** 2 for v in rows)
+    assert np.isclose(got[5, 3], by_hand)
+
+
+def test_halving_finds_the_planted_setting(spark):
+    """Only deep trees can follow the steps of y; halving agrees with the full search."""
+    r = np.random.default_rng(7)
+    rows = [(i, float(a), float(b), float(int(a * 16) % 2 * 10 + b)) for i, (a, b) in enumerate(r.uniform(0, 1, (1600, 2)))]
+    df = fe.kfold(spark.createDataFrame(rows, "k long, a double, b double, y double"), "k", k=3)
+    grid = {"numTrees": [4, 8], "maxDepth": [1, 2, 7], "featureSubsetStrategy": ["all"]}
+    settings = md.sample_grid(grid, 6, seed=1)
+    halved = md.forest_halving(df, ["a", "b"], "y", settings, [(0.25, 2), (1.0, 1)])
+    whole = md.forest_halving(df, ["a", "b"], "y", settings, [(1.0, 1)])
+    assert len(halved) == 6 and sorted(s["rung"] for s in halved) == [0] * 4 + [1] * 2
+    best, full = md.best_of_search(halved), md.best_of_search(whole)
+    assert best["maxDepth"] == full["maxDepth"] == 7 and best["cv_rmse"] <= 1.02 * full["cv_rmse"]
 
 
 def test_empty_inputs_do_not_raise(spark):

@@ -50,11 +50,18 @@ def test_linear_searches_run_the_whole_grid(spark):
     assert len({(r.reg_param, r.elastic_net) for r in rows}) == len(rows) == 1100 and all(np.isfinite(r.cv_rmse) for r in rows)
 
 
+def test_forest_search_draws_a_quarter_of_the_reference_grid():
+    assert int(np.prod([len(v) for v in mq.FOREST_GRID.values()])) == 72 and mq.FOREST_DRAWS == 54
+    assert mq.FOREST_RUNGS[-1][0] == 1.0  # the last rung sees all rows and trees
+    assert len(md.sample_grid(mq.FOREST_GRID, mq.FOREST_DRAWS, seed=229)) == 54
+
+
 def test_forest_predict_refits_the_best_of_the_search(spark, monkeypatch):
     seen = {}
-    trials = [{"numTrees": 3, "maxDepth": 2, "featureSubsetStrategy": "sqrt", "cv_rmse": 1.0},
-              {"numTrees": 4, "maxDepth": 3, "featureSubsetStrategy": "log2", "cv_rmse": 0.5}]
-    monkeypatch.setattr(mq.md, "forest_cv", lambda *a, **k: (trials, None))
+    trials = [{"numTrees": 2, "maxDepth": 2, "featureSubsetStrategy": "sqrt", "cv_rmse": 0.1, "rung": 0},
+              {"numTrees": 3, "maxDepth": 2, "featureSubsetStrategy": "sqrt", "cv_rmse": 1.0, "rung": 1},
+              {"numTrees": 4, "maxDepth": 3, "featureSubsetStrategy": "log2", "cv_rmse": 0.5, "rung": 1}]
+    monkeypatch.setattr(mq.md, "forest_halving", lambda *a, **k: trials)
     real = mq.md.forest_fit
     monkeypatch.setattr(mq.md, "forest_fit", lambda *a, **k: seen.update(k) or real(*a, **k))
     assert mq.forest_predict(spark, SF).count() == 1
@@ -63,11 +70,13 @@ def test_forest_predict_refits_the_best_of_the_search(spark, monkeypatch):
 
 def test_forest_search_uses_five_folds(spark, monkeypatch):
     monkeypatch.setattr(mq, "FOREST_GRID", {"numTrees": [2], "maxDepth": [2], "featureSubsetStrategy": ["sqrt"]})
+    monkeypatch.setattr(mq, "FOREST_RUNGS", [(1.0, 1)])
     train, _ = mq._tree_data(spark, SF)
     assert {r.fold for r in train.select("fold").distinct().collect()} == set(range(5))
     assert mq.forest_search(spark, SF).count() == 1
 
 
-def test_permutation_importance_repeats_ten_times(spark, monkeypatch):
-    monkeypatch.setattr(mq.md, "permutation_importance", lambda *a, repeats=10, **k: repeats)
-    assert mq.permutation_importance(spark, SF) == 10
+def test_permutation_importance_repeats_ten_times_on_the_best_forest(spark, monkeypatch):
+    monkeypatch.setattr(mq, "_best_forest", lambda tr: "best")
+    monkeypatch.setattr(mq.md, "permutation_importance", lambda model, *a, repeats=10, **k: (model, repeats))
+    assert mq.permutation_importance(spark, SF) == ("best", 10)
