@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 TRAIN, TEST = "train", "test"
 
 
@@ -34,9 +36,10 @@ def kfold_contiguous(df: DataFrame, key: str, k: int = 5, col: str = "fold") ->
     ``n // k (+1 for the first n % k folds)`` rows, as a plain ``KFold``
     does on an ordered table. The k-1 boundary keys are exact order
     statistics (no global sort, no single-task row numbering); the fold is
-    then a column predicate. ``key`` must be unique and numeric."""
-    from .rank import exact_order_stats
-    n = df.where(F.col(key).isNotNull()).count()
+    then a column predicate. ``key`` must be unique, of any orderable type."""
+    from .rank import kth_values
+    keys = cut_lineage(df.select(key).where(F.col(key).isNotNull()))
+    n = keys.count()
     q, m = divmod(n, k)
     cuts, c = [], 0
     for i in range(k - 1):
@@ -44,11 +47,8 @@ def kfold_contiguous(df: DataFrame, key: str, k: int = 5, col: str = "fold") ->
         cuts.append(c)
     if n == 0 or q == 0 and m == 0:
         return df.withColumn(col, F.lit(0))
-    stats = exact_order_stats(df.select(F.col(key).cast("double").alias("_k")), "_k",
-                              [(str(i), (), r) for i, r in enumerate(cuts) if r >= 1],
-                              counts={str(i): n for i in range(len(cuts))})
-    fold = sum((F.when(F.col(key) > F.lit(stats[str(i)]), 1).otherwise(0) for i, r in enumerate(cuts) if r >= 1),
-               F.lit(0))
+    last = kth_values(keys, key, [r for r in cuts if r >= 1])
+    fold = sum((F.when(F.col(key) > F.lit(v), 1).otherwise(0) for v in last), F.lit(0))
     return df.withColumn(col, fold.cast("int"))
 
 

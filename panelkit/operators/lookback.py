@@ -84,12 +84,19 @@ def window_profile(anchors: DataFrame, daily: DataFrame, *, entity: str, anchor_
     return prof.withColumn("completeness", _class_col(F.col("n_days"), F.col("n_null_days"), days))
 
 
+def _with_profile(anchors: DataFrame, prof: DataFrame, entity: str, anchor_date: str) -> DataFrame:
+    """Every anchor with its window's profile; one with a NULL entity or date has
+    no window and is ``missing``."""
+    j = anchors.join(prof, [entity, anchor_date], "left")
+    return j.fillna(0, ["n_days", "n_null_days"]).fillna(MISSING, ["completeness"])
+
+
 def completeness_class(anchors: DataFrame, daily: DataFrame, *, row_id: str, entity: str,
                        anchor_date: str, value_cols: list[str], days: int = 5,
                        day: str = "day") -> DataFrame:
     prof = window_profile(anchors, daily, entity=entity, anchor_date=anchor_date,
                           value_cols=value_cols, days=days, day=day, with_lags=False)
-    return anchors.select(row_id, entity, anchor_date).join(prof, [entity, anchor_date], "inner")
+    return _with_profile(anchors.select(row_id, entity, anchor_date), prof, entity, anchor_date)
 
 
 def lag_pivot(lookback: DataFrame, *, row_id: str, value_cols: list[str], days: int = 5) -> DataFrame:
@@ -105,10 +112,10 @@ def lag_features(anchors: DataFrame, daily: DataFrame, *, row_id: str, entity: s
                  anchor_date: str, value_cols: list[str], days: int = 5,
                  day: str = "day") -> DataFrame:
     """Anchors joined on their key to the window class and lag columns (anchors
-    with no day in the window are kept, with class ``missing``)."""
+    with no day in the window, or with a NULL key, are kept, with class ``missing``)."""
     prof = window_profile(anchors, daily, entity=entity, anchor_date=anchor_date,
                           value_cols=value_cols, days=days, day=day)
-    return anchors.join(prof.drop("n_days", "n_null_days"), [entity, anchor_date], "inner")
+    return _with_profile(anchors, prof, entity, anchor_date).drop("n_days", "n_null_days")
 
 
 def donor_assign(classes: DataFrame, coords: DataFrame, *, row_id: str, entity: str,
@@ -118,10 +125,10 @@ def donor_assign(classes: DataFrame, coords: DataFrame, *, row_id: str, entity:
 
     ``classes``: row_id, entity, anchor_date, completeness.
     ``coords``: entity, lat, lon. Returns row_id, donor_row_id, distance_mi
-    (NULL donor = reject)."""
-    located = classes.join(coords, entity, "inner")
+    (NULL donor = reject; so is an anchor without coordinates or date)."""
+    located = classes.join(coords, entity, "left")
     left = located.where(F.col("completeness").isin(need))
-    right = located.where(F.col("completeness") == COMPLETE).select(
+    right = located.where((F.col("completeness") == COMPLETE) & F.col("lat").isNotNull()).select(
         F.col(row_id).alias("donor_row_id"), anchor_date, "lat", "lon")
     return nearest_within(left, right, left_id=row_id, right_id="donor_row_id",
                           block=[anchor_date], cap_miles=cap_miles)

@@ -9,12 +9,20 @@ by a factor of ~300 per round, so even 10^12 rows need about four rounds;
 once a band holds at most ``exact_limit`` rows, the exact value comes from a
 per-target row_number over that band only. Only a few numbers per target
 ever reach the driver.
+
+``kth_values`` does the same for keys that a double can't hold (60-bit ids,
+decimals, texts, dates) by radix selection: keys become texts whose order is
+the keys' order, and rounds count the rows by the next four characters after
+the prefix that the band shares (65,536 counts at most).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import os
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
@@ -142,22 +150,83 @@ def _band(data: DataFrame, sdf: DataFrame, group_cols: list[str], extra: list[st
     return j.where(cond).select("_t", "_v", *extra)
 
 
+def ordered_text(c: Column, dtype: T.DataType) -> Column:
+    """A text of hexadecimal digits that sorts like the value."""
+    if isinstance(dtype, T.StringType):
+        return F.hex(F.encode(c, "UTF-8"))
+    if isinstance(dtype, T.BinaryType):
+        return F.hex(c)
+    if isinstance(dtype, T.DecimalType):
+        digits = F.lpad(F.regexp_replace(F.abs(c).cast("string"), "[.]", ""), 40, "0")
+        return F.when(c >= 0, F.concat(F.lit("1"), digits)).otherwise(F.concat(F.lit("0"), F.translate(digits, "0123456789", "9876543210")))
+    if isinstance(dtype, T.DateType):
+        c = F.unix_date(c)
+    elif isinstance(dtype, T.TimestampNTZType):
+        c = F.unix_micros(c.cast("timestamp"))
+    elif isinstance(dtype, T.TimestampType):
+        c = F.unix_micros(c)
+    return F.lpad(F.hex(c.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+
+
+def kth_values(df: DataFrame, key: str, ranks: list[int], exact_limit: int = 200_000) -> list:
+    """The non-NULL values of the given 1-based ranks, ascending, exact for any
+    orderable type (None for a rank outside 1..n). ``df`` should be stored."""
+    dtype = df.schema[key].dataType
+    rows = df.select(F.col(key).alias("_k")).where(F.col("_k").isNotNull())
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        got = exact_order_stats(rows, "_k", [(str(r), (), r) for r in ranks], exact_limit=exact_limit)
+        return [got.get(str(r)) for r in ranks]
+    coded = rows.withColumn("_t", ordered_text(F.col("_k"), dtype))
+    known: dict[str, tuple] = {}  # shared prefix -> (next characters, counts), one row per value
+
+    def counts(prefix: str) -> list:
+        if prefix not in known:
+            band = coded.where(F.col("_t").startswith(prefix))
+            at = F.substring("_t", len(prefix) + 1, 4)
+            known[prefix] = band.groupBy(at.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min("_t").alias("lo"), F.max("_t").alias("hi"),
+                                                            F.min("_k").alias("least")).orderBy("p").collect()
+        return known[prefix]
+
+    def one(rank: int):
+        prefix, left = "", rank
+        while True:
+            for c in counts(prefix):
+                if left <= c["n"]:
+                    break
+                left -= c["n"]
+            else:
+                return None
+            if left < 1 or c["lo"] == c["hi"]:
+                return c["least"] if left >= 1 else None
+            if c["n"] <= exact_limit:
+                # a shorter key ends before the next four characters and sorts first
+                inside = F.col("_t").startswith(prefix) & (F.substring("_t", len(prefix) + 1, 4) == c["p"])
+                w = Window.orderBy("_k")  # at most exact_limit rows
+                return coded.where(inside).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == left).first()["_k"]
+            prefix = os.path.commonprefix([c["lo"], c["hi"]])
+
+    return [one(r) for r in ranks]
+
+
 def top_k_flag(df: DataFrame, score: str, key: str, k: int, flag: str = "is_extreme",
                narrow: DataFrame | None = None, n: int | None = None) -> DataFrame:
-    """Flag the ``k`` rows with the largest ``score`` (ties: smallest ``key``),
-    exactly, without ordering the whole table. ``narrow`` may hold the already
-    materialised ``(_k, _s)`` = (key, score) rows."""
+    """Flag the ``k`` rows with the largest ``score`` (ties: smallest ``key``, of any
+    orderable type), exactly, without ordering the whole table. ``narrow`` may
+    hold the already materialised ``(_k, _s)`` = (key, score) rows."""
     if k <= 0:
         return df.withColumn(flag, F.lit(False))
     if narrow is None:
         narrow = cut_lineage(df.select(F.col(key).alias("_k"), F.col(score).alias("_s"))
                                .where(F.col("_s").isNotNull()))
-    neg = narrow.select((-F.col("_s")).alias("_ns"))
-    v = exact_order_stats(neg, "_ns", [("k", (), k)], materialize=False,
-                          counts={"k": n} if n is not None else None).get("k")
-    if v is None:  # fewer rows than k: everything is extreme
+    if isinstance(narrow.schema["_s"].dataType, (T.DoubleType, T.FloatType)):
+        neg = narrow.select((-F.col("_s")).alias("_ns"))
+        v = exact_order_stats(neg, "_ns", [("k", (), k)], materialize=False,
+                              counts={"k": n} if n is not None else None).get("k")
+        thr = None if v is None else -v
+    else:
+        thr = kth_values(narrow, "_s", [narrow.where(F.col("_s").isNotNull()).count() - k + 1])[0]
+    if thr is None:  # fewer rows than k: everything is extreme
         return df.withColumn(flag, F.col(score).isNotNull())
-    thr = -v
     c = narrow.agg(F.count_if(F.col("_s") > F.lit(thr)).alias("above"),
                    F.count_if(F.col("_s") == F.lit(thr)).alias("ties")).first()
     m = k - c["above"]
@@ -165,9 +234,7 @@ def top_k_flag(df: DataFrame, score: str, key: str, k: int, flag: str = "is_extr
         # the cut falls after the last tie: no key order needed
         is_top = F.col(score) >= F.lit(thr)
     else:
-        ties = narrow.where(F.col("_s") == F.lit(thr)).select(F.col("_k").cast("double").alias("_kk"))
-        kmax = exact_order_stats(ties, "_kk", [("m", (), m)], materialize=False,
-                                 counts={"m": c["ties"]}).get("m")
+        kmax = kth_values(narrow.where(F.col("_s") == F.lit(thr)), "_k", [m])[0]
         is_top = (F.col(score) > F.lit(thr)) | ((F.col(score) == F.lit(thr)) & (F.col(key) <= F.lit(kmax)))
     return df.withColumn(flag, F.coalesce(is_top, F.lit(False)))
 

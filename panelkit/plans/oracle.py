@@ -8,29 +8,29 @@ from __future__ import annotations
 
 # --- shared CTE fragments -------------------------------------------------
 
-DAILY = """daily AS (
+DAILY = """daily AS MATERIALIZED (
   SELECT user_id, CAST(ts AS DATE) AS day, min(value) AS v_min, max(value) AS v_max,
          round(avg(CASE WHEN event_type = 'click' THEN value END), 6) AS v_click
   FROM events GROUP BY user_id, CAST(ts AS DATE))"""
 
-ANCHORS = """anchors AS (
+ANCHORS = """anchors AS MATERIALIZED (
   SELECT event_id AS row_id, user_id, CAST(ts AS DATE) AS anchor_date
   FROM events WHERE event_type = 'signup')"""
 
-WIN = """win AS (
+WIN = """win AS MATERIALIZED (
   SELECT a.row_id, a.user_id, a.anchor_date, CAST(o.k AS INTEGER) AS "offset", d.day,
          d.v_min, d.v_max, d.v_click
   FROM anchors a CROSS JOIN range(1, 6) o(k)
   JOIN daily d ON d.user_id = a.user_id AND d.day = a.anchor_date - CAST(o.k AS INTEGER))"""
 
-PROF = """prof AS (
+PROF = """prof AS MATERIALIZED (
   SELECT a.row_id, a.user_id, a.anchor_date,
          count(w.day) AS n_days,
          CAST(coalesce(sum(CASE WHEN w.day IS NOT NULL AND (w.v_min IS NULL OR w.v_max IS NULL
               OR w.v_click IS NULL) THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_null_days
   FROM anchors a LEFT JOIN win w ON w.row_id = a.row_id
   GROUP BY a.row_id, a.user_id, a.anchor_date),
-cls AS (
+cls AS MATERIALIZED (
   SELECT *, CASE WHEN n_days = 0 THEN 'missing' WHEN n_days < 5 THEN 'partial'
                  WHEN n_null_days > 0 THEN 'has_nulls' ELSE 'complete' END AS completeness
   FROM prof)"""
@@ -66,16 +66,18 @@ def _user_loc(alias: str) -> str:
 
 def _donor_cte(need: str) -> str:
     d = lambert_sql("l.lat", "l.lon", "r.lat", "r.lon")
-    return f"""loc AS (SELECT c.row_id, c.anchor_date, c.completeness, {_user_loc('c')} FROM cls c),
+    return f"""loc AS MATERIALIZED (SELECT c.row_id, c.anchor_date, c.completeness, {_user_loc('c')} FROM cls c),
 pairs AS (
   SELECT l.row_id, r.row_id AS donor_row_id, {d} AS dist
-  FROM loc l JOIN loc r ON r.anchor_date = l.anchor_date AND r.completeness = 'complete'
-  WHERE l.completeness IN ({need})),
+  FROM (SELECT * FROM loc WHERE completeness IN ({need})) l
+  JOIN (SELECT * FROM loc WHERE completeness = 'complete') r
+    -- a degree of latitude is over 68 miles, so nothing within 60 is lost
+    ON r.anchor_date = l.anchor_date AND abs(r.lat - l.lat) <= 1e0),
 best AS (
   SELECT row_id, donor_row_id, dist FROM (
     SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY dist, donor_row_id) AS rn
     FROM pairs WHERE dist <= 60e0) t WHERE rn = 1),
-donors AS (
+donors AS MATERIALIZED (
   SELECT l.row_id, b.donor_row_id, b.dist FROM loc l LEFT JOIN best b ON b.row_id = l.row_id
   WHERE l.completeness IN ({need}))"""
 

@@ -66,3 +66,21 @@ def test_donor_fill_and_copy(spark):
     copied = lb.donor_copy(long, donors, row_id="row_id", value_cols=["a"])
     assert sorted((r.offset, r.a) for r in copied.where("row_id = 14").collect()) == [(k, 1.0 * k) for k in range(1, 6)]
     assert copied.where(F.col("approximated") == F.lit(False)).count() == 0
+
+
+def test_anchors_with_null_keys_or_no_place_are_kept(spark):
+    daily, anchors = _frames(spark)
+    none = spark.createDataFrame([(201, None, D), (202, 1, None), (203, None, None)], anchors.schema)
+    every = anchors.unionByName(none)
+    key = dict(row_id="row_id", entity="user_id", anchor_date="anchor_date")
+    cls = lb.completeness_class(every, daily, value_cols=["a", "b", "c"], **key)
+    got = {r.row_id: (r.n_days, r.n_null_days, r.completeness) for r in cls.collect()}
+    assert len(got) == every.count() and all(got[i] == (0, 0, "missing") for i in (201, 202, 203)) and got[11][2] == "complete"
+    lags = {r.row_id: r for r in lb.lag_features(every, daily, value_cols=["a", "b", "c"], **key).collect()}
+    assert set(lags) == set(got) and all(lags[i].completeness == "missing" and lags[i].a_lag1 is None for i in (201, 202, 203))
+    assert lags[11].a_lag1 == 1.0
+    coords = spark.createDataFrame([(u, 36.0 + u / 100, -120.0) for u in (1, 2, 3, 6)], "user_id long, lat double, lon double")
+    need = [lb.MISSING, lb.PARTIAL, lb.HAS_NULLS]
+    donors = {r.row_id: r.donor_row_id for r in lb.donor_assign(cls, coords, need=need, **key).collect()}
+    assert set(donors) == {i for i, v in got.items() if v[2] != "complete"}
+    assert all(donors[i] is None for i in (14, 15, 201, 202, 203)) and donors[12] == 11

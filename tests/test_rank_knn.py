@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from panelkit.operators.knn import knn_join
-from panelkit.operators.rank import exact_medians, exact_order_stats, top_k_flag
+from panelkit.operators.rank import exact_medians, exact_order_stats, kth_values, top_k_flag
 
 
 def test_order_stats_with_refinement(spark):
@@ -186,3 +186,45 @@ def test_rings_skip_far_cells(spark, monkeypatch):
     found = knn_cells.knn_cells_join(queries, refs, names, 5, [], False)
     assert found.count() == 1500
     assert sum(n or 0 for n, _ in visited) < 0.2 * 300 * 3000 and max(t for _, t in visited) < 128
+
+
+def key_samples():
+    import datetime as dt
+    from decimal import Decimal
+    rnd = random.Random(1)
+    big = 1 << 60
+    return [("long", [big + i for i in range(300)] + [-big - i for i in range(300)] + [0, -1, 1]),
+            ("int", [rnd.randrange(-50, 50) for _ in range(900)]),
+            ("string", ["customer#%09d" % rnd.randrange(400) for _ in range(500)] + ["", "a", "ab", "b", "Z", "é", "𝄞", "a\u0000"]),
+            ("decimal(38,6)", [Decimal(rnd.randrange(-10**30, 10**30)).scaleb(-6) for _ in range(400)] + [Decimal("0.000001"), Decimal("-0.000001"), Decimal(0)]),
+            ("date", [dt.date(1960, 1, 1) + dt.timedelta(days=rnd.randrange(40000)) for _ in range(400)]),
+            ("timestamp_ntz", [dt.datetime(1969, 12, 31, 23, 59) + dt.timedelta(microseconds=rnd.randrange(10**9)) for _ in range(400)]),
+            ("double", [rnd.gauss(0, 1) for _ in range(500)])]
+
+
+@pytest.mark.parametrize("kind,values", key_samples(), ids=lambda x: x if isinstance(x, str) else "")
+def test_ranks_of_any_key_type(spark, kind, values):
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], f"k {kind}").repartition(3).cache()
+    want = sorted(values, key=lambda v: v.encode() if isinstance(v, str) else v)
+    ranks = [1, 2, len(values) // 3, len(values) // 2, len(values) - 1, len(values)]
+    assert kth_values(df, "k", ranks, exact_limit=5) == [want[r - 1] for r in ranks]
+    assert kth_values(df, "k", [0, len(values) + 1]) == [None, None]
+    df.unpersist()
+
+
+def test_ties_are_cut_by_keys_that_a_double_cannot_hold(spark):
+    big = (1 << 59) + 1
+    df = spark.createDataFrame([(big + i, 1.0, f"name {i:03d}") for i in range(40)], "id long, s double, name string")
+    assert sorted(r.id - big for r in top_k_flag(df, "s", "id", 5).where("is_extreme").collect()) == [0, 1, 2, 3, 4]
+    assert sorted(r.name for r in top_k_flag(df, "s", "name", 3).where("is_extreme").collect()) == ["name 000", "name 001", "name 002"]
+    assert sorted(r.id - big for r in top_k_flag(df, "id", "name", 4).where("is_extreme").collect()) == [36, 37, 38, 39]
+    assert top_k_flag(df, "id", "name", 99).where("is_extreme").count() == 40
+
+
+def test_contiguous_folds_of_text_and_large_keys(spark):
+    from panelkit.operators.features import kfold_contiguous
+    big = (1 << 59) + 1
+    df = spark.createDataFrame([(big + i, f"k{i:04d}") for i in range(23)], "id long, name string")
+    for key in ("id", "name"):
+        got = [r.fold for r in kfold_contiguous(df, key, k=5).orderBy(key).collect()]
+        assert got == [0] * 5 + [1] * 5 + [2] * 5 + [3] * 4 + [4] * 4
