@@ -8,7 +8,7 @@ fitted on the training part only and applied to every part.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -63,6 +63,36 @@ def fit_categories(train: DataFrame, col: str, max_categories: int = 10_000) ->
     return [r[0] for r in vals]
 
 
+def category_ids(train: DataFrame, col: str, bucket_values: int = 100_000) -> tuple[DataFrame, int]:
+    """((value, id, n), size): ids from 0 by falling frequency in the training part
+    (ties by hash), as a table. Values are numbered within (count, hash bucket)
+    and the counts of those cells give the offsets, so no task holds the whole
+    dictionary. NULL is no category."""
+    counts = cut_lineage(train.select(F.col(col).alias("value")).where(F.col(col).isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("n")))
+    size = counts.count()
+    cell = counts.withColumn("_b", F.pmod(F.xxhash64("value"), F.lit(-(-size // bucket_values) or 1)))
+    before = Window.orderBy(F.col("n").desc(), "_b").rowsBetween(Window.unboundedPreceding, -1)  # a row per distinct count and bucket
+    offsets = cell.groupBy("n", "_b").agg(F.count(F.lit(1)).alias("_m")).select("n", "_b", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("n", "_b").orderBy(F.xxhash64("value"), "value")
+    ids = cell.join(offsets, ["n", "_b"]).select("value", (F.col("_before") + F.row_number().over(within) - 1).cast("int").alias("id"), "n")
+    return ids, size
+
+
+def encode_ids(df: DataFrame, ids: DataFrame, col: str, size: int, out: str) -> DataFrame:
+    """Adds the value's id; a value unseen in training, or NULL, gets ``size``."""
+    named = ids.select(F.col("value").alias(col), F.col("id").alias(out))
+    return df.join(named, col, "left").withColumn(out, F.coalesce(out, F.lit(size)).cast("int"))
+
+
+def sparse_one_hot(df: DataFrame, id_col: str, size: int, out: str) -> DataFrame:
+    """One sparse 0/1 vector of ``size`` per row from its id; the id ``size`` (unseen)
+    gives the empty vector. No list of labels reaches the driver."""
+    from pyspark.ml.feature import OneHotEncoder
+    known = df.sparkSession.range(size).select(F.col("id").cast("double").alias(id_col))
+    return OneHotEncoder(inputCol=id_col, outputCol=out, handleInvalid="keep", dropLast=True).fit(known).transform(
+        df.withColumn(id_col, F.col(id_col).cast("double")))
+
+
 def one_hot(df: DataFrame, col: str, categories: list, prefix: str | None = None) -> DataFrame:
     """One 0/1 column per training category; a value unseen in training encodes
     to all zeros (no column for it), on every part alike."""

@@ -15,10 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,17 +25,10 @@ from .evaluate import regression_metrics
 from .features import hash_bucket
 
 
-def assembler(features: list[str], categorical: list[str] | None = None, out: str = "features"):
-    """Stages turning numeric + categorical columns into one vector. A NULL or NaN
-    feature is an error, never a dropped row (drop such rows before the fit).
-    Categories unseen in training encode to an all-zero block (keep + dropLast)."""
-    stages, cols = [], list(features)
-    for c in categorical or []:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCol=f"{c}_idx", outputCol=f"{c}_ohe", dropLast=True))
-        cols.append(f"{c}_ohe")
-    stages.append(VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="error"))
-    return stages
+def assembler(features: list[str], out: str = "features"):
+    """Stage turning numeric and vector columns into one vector. A NULL or NaN
+    feature is an error, never a dropped row (drop such rows before the fit)."""
+    return [VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="error")]
 
 
 class _Cached:
@@ -85,74 +76,122 @@ def lasso_path(train: DataFrame, zfeatures: list[str], label: str, n_alphas: int
     return [float(a) for a in np.geomspace(amax, amax * eps, n_alphas)]
 
 
-def cross_validate_linear(train: DataFrame, zfeatures: list[str], label: str, settings: list[dict],
-                          fold_col: str = "fold", parallelism: int = 4,
-                          categorical: list[str] | None = None) -> tuple[list[dict], object]:
-    """5-fold (by ``fold_col``) RMSE of every (regParam, elasticNetParam) setting;
-    returns the per-setting table and the refit best model."""
-    lr = LinearRegression(featuresCol="features", labelCol=label, standardization=False)
-    grid = [{lr.regParam: s["regParam"], lr.elasticNetParam: s["elasticNetParam"]} for s in settings]
-    ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse")
-    with _Cached(train, [*zfeatures, *(categorical or []), label, fold_col]) as t:
-        data = Pipeline(stages=assembler(zfeatures, categorical)).fit(t).transform(t)
-        cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col,
-                            parallelism=parallelism)
-        model = cv.fit(data.withColumn(fold_col, F.col(fold_col).cast("int")))
-    rows = [dict(s, cv_rmse=float(m)) for s, m in zip(settings, model.avgMetrics)]
-    return rows, model
-
-
-def fold_moments(train: DataFrame, zfeatures: list[str], label: str, fold_col: str = "fold") -> dict[int, np.ndarray]:
-    """Sums of products of (1, features, label - its mean) per fold, from one pass. A
-    NULL or NaN value is an error, never a dropped row."""
+MOST_WIDTH = 4096  # columns of a design whose moments may reach the driver (128 MB a fold)
+
+
+def fold_moments(train: DataFrame, zfeatures: list[str], label: str, fold_col: str = "fold",
+                 category: str | None = None, size: int = 0) -> dict[int, np.ndarray]:
+    """Sums of products of (1, features, [0/1 columns of a category], label - its mean)
+    per fold, at most `MOST_WIDTH` columns. A NULL or NaN value is an error, never
+    a dropped row.
+
+    ``category``: an id column, 0 .. size - 1, or ``size`` for no column (see
+    `features.encode_ids`). Its 0/1 columns are never built: their products are
+    the counts and sums by fold and id, one grouped aggregation, and the
+    numeric block is one more.
+    """
     ym = train.agg(F.avg(label)).first()[0]
     cols = [F.lit(1.0), *[F.col(c).cast("double") for c in zfeatures], F.col(label).cast("double") - F.lit(ym)]
+    if len(cols) + size > MOST_WIDTH:
+        raise ValueError(f"{len(cols) + size} columns are over {MOST_WIDTH}")
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
     bad = F.lit(False)
     for c in cols[1:]:
         bad = bad | c.isNull() | F.isnan(c)
-    out = {}
+    out, q, width = {}, len(cols), len(cols) + size
+    place = [*range(q - 1), width - 1]  # the label comes last
     for r in train.groupBy(fold_col).agg(F.count_if(bad).alias("bad"), *[F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i, j in pairs]).collect():  # one row a fold
         if r["bad"]:
             raise ValueError(f"{r['bad']} rows have a NULL or NaN feature or label")
-        m = np.zeros((len(cols), len(cols)))
+        m = np.zeros((width, width))
         for i, j in pairs:
-            m[i, j] = m[j, i] = r[f"s{i}_{j}"]
+            m[place[i], place[j]] = m[place[j], place[i]] = r[f"s{i}_{j}"]
         out[r[fold_col]] = m
+    if category:
+        known = train.where(F.col(category) < size)
+        for r in known.groupBy(fold_col, category).agg(*[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)]).collect():  # folds x size rows
+            m, k = out[r[fold_col]], q - 1 + int(r[category])
+            for i in range(q):
+                m[place[i], k] = m[k, place[i]] = r[f"s{i}"]
+            m[k, k] = r["s0"]
     return out
 
 
-def penalised_fit(m: np.ndarray, l1: float, l2: float, start: np.ndarray | None = None) -> np.ndarray:
-    """Coefficients that minimise RSS / 2n + l1 |b|_1 + l2 |b|^2 / 2 with a free
-    intercept, by coordinate descent on the moments of (1, features, label)."""
+def alpha_path(m: np.ndarray, n_alphas: int = 100, eps: float = 1e-3) -> list[float]:
+    """`lasso_path` from the moments of all rows."""
+    most = float(np.abs(_centred(m)[1]).max())
+    return [float(a) for a in np.geomspace(most, most * eps, n_alphas)]
+
+
+def _centred(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n, means = m[0, 0], m[0, 1:] / m[0, 0]
     c = m[1:, 1:] / n - np.outer(means, means)
-    g, r = c[:-1, :-1], c[:-1, -1]
-    b = np.zeros(len(r)) if start is None else start.copy()
+    return c[:-1, :-1], c[:-1, -1]
+
+
+def penalised_paths(m: np.ndarray, l1: np.ndarray, l2: np.ndarray) -> np.ndarray:
+    """Coefficients (columns) of `penalised_fit` for many (l1, l2) at once: one sweep
+    updates a coordinate of all of them together. Settings without an L1 part are
+    solved directly."""
+    g, r = _centred(m)
+    b = np.zeros((len(r), len(l1)))
+    for k in np.flatnonzero(l1 == 0):
+        b[:, k] = np.linalg.lstsq(g + l2[k] * np.eye(len(r)), r, rcond=None)[0]
+    live = np.flatnonzero(l1 > 0)
+    left, diag = live, np.diag(g)
+    x, gradient = np.zeros((len(r), len(live))), np.repeat(r[:, None], len(live), axis=1)  # r - g x
     for _ in range(100_000):
-        before = b.copy()
-        for j in range(len(b)):
-            t = r[j] - g[j] @ b + g[j, j] * b[j]
-            d = g[j, j] + l2
-            b[j] = np.sign(t) * max(abs(t) - l1, 0.0) / d if d > 0 else 0.0
-        if np.abs(b - before).max(initial=0.0) <= 1e-10 * max(1.0, np.abs(b).max(initial=0.0)):
+        if not len(left):
             break
+        before = x.copy()
+        for j in np.flatnonzero(diag > 0):
+            t = gradient[j] + diag[j] * x[j]
+            new = np.sign(t) * np.maximum(np.abs(t) - l1[left], 0) / (diag[j] + l2[left])
+            step = new - x[j]
+            if step.any():
+                gradient -= g[:, j, None] * step
+                x[j] = new
+        moved = np.abs(x - before).max(axis=0, initial=0) > 1e-10 * np.maximum(1, np.abs(x).max(axis=0, initial=0))
+        if not moved.all():
+            b[:, left] = x
+            left, x, gradient = left[moved], x[:, moved], gradient[:, moved]
+    b[:, left] = x
     return b
 
 
-def cross_validate_moments(folds: dict[int, np.ndarray], settings: list[dict]) -> list[dict]:
+def penalised_fit(m: np.ndarray, l1: float, l2: float) -> np.ndarray:
+    """Coefficients that minimise RSS / 2n + l1 |b|_1 + l2 |b|^2 / 2 with a free
+    intercept, by coordinate descent on the moments of (1, features, label)."""
+    return penalised_paths(m, np.array([l1]), np.array([l2]))[:, 0]
+
+
+def _penalties(s: dict, n: float) -> tuple[float, float]:
+    return (0.0, s["ridge"] / n) if "ridge" in s else (s["l1"], s["l2"])
+
+
+def cross_validate_moments(spark: SparkSession, folds: dict[int, np.ndarray], settings: list[dict], group: int = 100) -> list[dict]:
     """Mean held-out RMSE of every setting; l1 and l2 as in `penalised_fit`, or `ridge`,
-    a penalty on the plain sum of squares. No further pass over the rows."""
-    total, errors = sum(folds.values()), np.zeros((len(settings), len(folds)))
-    for f, (_, held) in enumerate(sorted(folds.items())):
-        m, b = total - held, None
-        for i, s in enumerate(settings):
-            l1, l2 = (0.0, s["ridge"] / m[0, 0]) if "ridge" in s else (s["l1"], s["l2"])
-            b = penalised_fit(m, l1, l2, b)
-            intercept = (m[0, -1] - b @ m[0, 1:-1]) / m[0, 0]
-            v = np.concatenate([[-intercept], -b, [1.0]])
-            errors[i, f] = np.sqrt(max(v @ held @ v, 0.0) / held[0, 0])
-    return [dict(s, cv_rmse=float(e)) for s, e in zip(settings, errors.mean(axis=1))]
+    a penalty on the plain sum of squares. No further pass over the rows: each
+    (fold, `group` settings) is one task that solves its settings together."""
+    total, names = sum(folds.values()), sorted(folds)
+    shared = spark.sparkContext.broadcast([(total - folds[f], folds[f]) for f in names])  # at most MOST_WIDTH squared numbers a fold
+    jobs = [(f, i) for f in range(len(names)) for i in range(0, len(settings), group)]
+
+    def run(batches):
+        for batch in batches:
+            for f, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                m, held = shared.value[f]
+                l1, l2 = np.array([_penalties(s, m[0, 0]) for s in settings[first:first + group]]).T
+                b = penalised_paths(m, l1, l2)
+                intercept = (m[0, -1] - m[0, 1:-1] @ b) / m[0, 0]
+                v = np.concatenate([-intercept[None], -b, np.ones((1, len(l1)))])
+                rmse = np.sqrt(np.maximum(((held @ v) * v).sum(axis=0), 0) / held[0, 0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(l1))), pa.array(rmse)], ["setting", "rmse"])
+
+    tasks = spark.createDataFrame(jobs, "fold int, first int").repartition(len(jobs), "fold", "first")
+    got = tasks.mapInArrow(run, "setting long, rmse double").groupBy("setting").agg(F.avg("rmse").alias("rmse")).collect()  # a row per setting
+    score = {r["setting"]: r["rmse"] for r in got}
+    return [dict(s, cv_rmse=float(score[i])) for i, s in enumerate(settings)]
 
 
 def sample_grid(grid: dict[str, list], n: int, seed: int) -> list[dict]:

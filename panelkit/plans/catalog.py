@@ -60,6 +60,7 @@ QUERIES = {
     "knn_predict": ml.knn_predict,
     "knn_wide_predict": ml.knn_wide_predict,
     "knn_wide_cv": ml.knn_wide_cv,
+    "linear_wide_cv": ml.linear_wide_cv,
     "knn_cv": ml.knn_cv,
     "multiple_ols": ml.multiple_ols,
     "ridge_cv": ml.ridge_cv,

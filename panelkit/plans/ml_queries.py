@@ -3,6 +3,9 @@ forests, boosted trees, searches, importances, trial log."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from ..operators import features as fe
 from ..operators import knn
 from ..operators import models as md
 from ..operators.evaluate import regression_metrics
+from ..session import cut_lineage
 from .common import synth_lat, synth_lon, table
 from .model_queries import SEED, Y, model_table
 
@@ -131,7 +135,7 @@ def ridge_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a fold's fit sees four of the five folds' rows
     settings = [{"alpha": a, "ridge": a, "regParam": md.ridge_reg_param(a, st["sd"], st["n"] * 4 / 5), "elasticNetParam": 0.0}
                 for a in RIDGE_ALPHAS]
-    return _cv_table(spark, md.cross_validate_moments(md.fold_moments(tr, zf, Y), settings))
+    return _cv_table(spark, md.cross_validate_moments(spark, md.fold_moments(tr, zf, Y), settings))
 
 
 def lasso_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +143,7 @@ def lasso_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     z, zf = _linear_data(spark, sf_dir)
     tr = z.where(F.col("part") == fe.TRAIN)
     settings = [{"alpha": a, "l1": a, "l2": 0.0, "regParam": a, "elasticNetParam": 1.0} for a in md.lasso_path(tr, zf, Y)]
-    return _cv_table(spark, md.cross_validate_moments(md.fold_moments(tr, zf, Y), settings))
+    return _cv_table(spark, md.cross_validate_moments(spark, md.fold_moments(tr, zf, Y), settings))
 
 
 def elastic_net_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +153,38 @@ def elastic_net_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     sd = tr.agg(F.stddev_samp(Y)).first()[0]
     path = md.lasso_path(tr, zf, Y)  # of ratio 1; a ratio's path is this one over the ratio
     settings = [{"alpha": a / r, "l1": a, "l2": a / r * (1 - r), **md.elastic_net_params(a / r, r, sd)} for r in L1_RATIOS for a in path]
-    return _cv_table(spark, md.cross_validate_moments(md.fold_moments(tr, zf, Y), settings))
+    return _cv_table(spark, md.cross_validate_moments(spark, md.fold_moments(tr, zf, Y), settings))
+
+
+def _wide_linear(spark, sf_dir):
+    """18 z-scored numeric columns and a category with one 0/1 column per supplier
+    seen in training: (training part with folds, numeric names, number of suppliers)."""
+    day = F.dayofyear("ship_date") / F.lit(366.0)
+    mt = model_table(spark, sf_dir).withColumn("day", day)
+    base = [*X3, "day"]
+    made = {f"{a}_{b}": F.col(a) * F.col(b) for i, a in enumerate(base) for b in base[i:]}
+    made |= {f"{f}{k}": getattr(F, f)(F.col("day") * F.lit(2 * math.pi * k)) for f in ("sin", "cos") for k in (1, 2)}
+    mt = mt.select("row_id", "part", Y, "l_suppkey", *base, *[c.alias(n) for n, c in made.items()])
+    names = [*base, *made]
+    train = mt.where(F.col("part") == fe.TRAIN)
+    ids, size = fe.category_ids(train, "l_suppkey")
+    z = fe.kfold(fe.apply_scaler(train, fe.fit_scaler(train, names)), "row_id", k=5, seed=SEED)
+    z = fe.encode_ids(z, ids, "l_suppkey", size, "supplier")
+    return cut_lineage(z.select("fold", Y, "supplier", *[f"z_{c}" for c in names])), [f"z_{c}" for c in names], size
+
+
+def linear_wide_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7-M9 at the reference's width: 18 numeric and all supplier columns, nine ridge
+    penalties and 11 L1 ratios x 100 alphas, 5 folds, from one set of moments."""
+    tr, names, size = _wide_linear(spark, sf_dir)
+    folds = md.fold_moments(tr, names, Y, category="supplier", size=size)
+    total = sum(folds.values())
+    path = md.alpha_path(total)
+    sd = float(np.sqrt((total[-1, -1] / total[0, 0] - (total[0, -1] / total[0, 0]) ** 2) * total[0, 0] / (total[0, 0] - 1)))
+    n = total[0, 0]
+    settings = [{"alpha": a, "ridge": a, "regParam": md.ridge_reg_param(a, sd, n * 4 / 5), "elasticNetParam": 0.0} for a in RIDGE_ALPHAS]
+    settings += [{"alpha": a / r, "l1": a, "l2": a / r * (1 - r), **md.elastic_net_params(a / r, r, sd)} for r in L1_RATIOS for a in path]
+    return _cv_table(spark, md.cross_validate_moments(spark, folds, settings)).withColumn("columns", F.lit(len(names) + size))
 
 
 # The reference's forest search space (its criterion is dropped: MLlib has variance only).

@@ -22,7 +22,7 @@ def test_fits_from_moments_equal_the_row_wise_ones(xy, ratio):
     rows, names = xy.toPandas(), ["a", "b", "c"]
     alphas = [0.01, 0.5, 3.0]
     settings = [{"ridge": a} if ratio == 0 else {"l1": a * ratio, "l2": a * (1 - ratio)} for a in alphas]
-    got = [s["cv_rmse"] for s in md.cross_validate_moments(md.fold_moments(xy, names, "y"), settings)]
+    got = [s["cv_rmse"] for s in md.cross_validate_moments(xy.sparkSession, md.fold_moments(xy, names, "y"), settings)]
     for a, rmse in zip(alphas, got):
         errors = []
         for f in range(5):
@@ -80,3 +80,51 @@ def test_permutation_importance_repeats_ten_times_on_the_best_forest(spark, monk
     monkeypatch.setattr(mq, "_best_forest", lambda tr: "best")
     monkeypatch.setattr(mq.md, "permutation_importance", lambda model, *a, repeats=10, **k: (model, repeats))
     assert mq.permutation_importance(spark, SF) == ("best", 10)
+
+
+def test_sparse_moments_equal_the_dense_ones(spark):
+    """A category's 0/1 columns, an unseen value and a NULL included."""
+    r = np.random.default_rng(3)
+    rows = [(i, int(i % 3), float(r.normal()), float(r.normal()), "c%d" % min(r.integers(12), r.integers(12)) if i % 17 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "k long, fold int, a double, y double, c string")
+    ids, size = fe.category_ids(df.where("k < 400"), "c", bucket_values=5)
+    table = {x.value: (x.id, x.n) for x in ids.collect()}
+    assert sorted(i for i, _ in table.values()) == list(range(size))
+    assert [n for _, n in sorted(table.values())] == sorted((n for _, n in table.values()), reverse=True)
+    extra = spark.createDataFrame([(900, 0, 1.0, 2.0, "new")], df.schema)
+    coded = fe.encode_ids(df.unionByName(extra), ids, "c", size, "cid").cache()
+    assert {x.cid for x in coded.where("c = 'new' or c is null").collect()} == {size}
+    vectors = {x.k: x.v for x in fe.sparse_one_hot(coded, "cid", size, "v").collect()}
+    assert vectors[900].size == size and vectors[900].numNonzeros() == 0 and vectors[1].numNonzeros() == 1
+    got = md.fold_moments(coded, ["a"], "y", category="cid", size=size)
+    p = coded.toPandas()
+    x = np.column_stack([np.ones(len(p)), p.a, np.eye(size + 1)[p.cid.astype(int)][:, :size], p.y - p.y.mean()])
+    for f in range(3):
+        own = x[p.fold == f]
+        assert np.allclose(got[f], own.T @ own)
+
+
+def test_paths_meet_the_optimality_conditions():
+    """At the minimum the gradient is l1 sign(b) where b isn't 0, and at most l1 elsewhere."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(400, 60))
+    x[:, 20:] = np.eye(40)[r.integers(40, size=400)]
+    x[:, 59] = x[:, 58]  # two equal columns
+    y = x[:, :3] @ [3.0, -2.0, 1.0] + x[:, 30] + r.normal(size=400)
+    z = np.column_stack([np.ones(400), x, y])
+    m = z.T @ z
+    l1 = np.concatenate([np.geomspace(1.0, 1e-3, 20), [0.0]])
+    l2 = np.concatenate([np.geomspace(0.5, 1e-3, 20), [0.7]])
+    b = md.penalised_paths(m, l1, l2)
+    xc, yc = x - x.mean(axis=0), y - y.mean()
+    for k in range(len(l1)):
+        gradient = xc.T @ (yc - xc @ b[:, k]) / 400 - l2[k] * b[:, k]
+        on = b[:, k] != 0
+        assert np.allclose(gradient[on], l1[k] * np.sign(b[on, k]), atol=1e-6)
+        assert (np.abs(gradient[~on]) <= l1[k] + 1e-6).all()
+
+
+def test_wide_search_covers_all_penalties(spark):
+    rows = mq.linear_wide_cv(spark, SF).collect()
+    assert len(rows) == 9 + 11 * 100 and all(np.isfinite(r.cv_rmse) for r in rows)
+    assert {r.columns for r in rows} == {18 + 10}  # sf0.001 has ten suppliers
