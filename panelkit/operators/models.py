@@ -129,39 +129,67 @@ def _centred(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return c[:-1, :-1], c[:-1, -1]
 
 
+def _feature_sign(g: np.ndarray, r: np.ndarray, x: np.ndarray, l1: float, l2: float) -> np.ndarray:
+    """The minimum of x g x / 2 - r x + l1 |x|_1 + l2 |x|^2 / 2, from a start x
+    (feature-sign search: Lee, Battle, Raina and Ng 2007).
+
+    Coordinates at zero whose gradient exceeds l1 join the support with its
+    sign; the linear system of the support and its signs is solved; of the
+    points on the way there where a coordinate changes sign, the best is taken.
+    Every step lowers the objective, so no support comes twice.
+    """
+    x, slack = x.copy(), 1e-9 * max(l1, float(np.abs(r).max(initial=0)))
+    sign, widest = np.sign(x), 0.25
+    for _ in range(50 * len(r) + 100):
+        gradient = r - g @ x - l2 * x
+        off = np.flatnonzero((x == 0) & (np.abs(gradient) > l1 + slack))
+        on = x != 0
+        settled = (np.abs(gradient - l1 * np.sign(x))[on] <= slack).all()
+        if settled and not len(off):
+            break
+        if settled:
+            sign = np.sign(x)
+            join = off[np.argsort(-np.abs(gradient[off]))[:max(1, int(widest * len(off)))]]
+            sign[join] = np.sign(gradient[join])
+        live = np.flatnonzero(sign)
+        h = g[np.ix_(live, live)] + l2 * np.eye(len(live))
+        h[np.diag_indices(len(live))] += 1e-13 * np.trace(h) / len(live)
+        goal = np.linalg.solve(h, r[live] - l1 * sign[live])
+        here, move = x[live], goal - x[live]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cross = -here / move
+        stops = np.unique(np.append(cross[(cross > 0) & (cross < 1)], 1.0))
+        points = here[:, None] + move[:, None] * stops
+        points[np.abs(points) <= 1e-14 * np.abs(goal).max(initial=0)] = 0
+        cost = 0.5 * (points * (h @ points)).sum(axis=0) - r[live] @ points + l1 * np.abs(points).sum(axis=0)
+        now = 0.5 * here @ h @ here - r[live] @ here + l1 * np.abs(here).sum()
+        best = int(cost.argmin())
+        if cost[best] >= now:  # several new coordinates pulled against each other, or rounding
+            if widest == 0:
+                break
+            widest, sign = 0, np.sign(x)
+            continue
+        x[live] = points[:, best]
+        sign = np.sign(x)
+    return x
+
+
 def penalised_paths(m: np.ndarray, l1: np.ndarray, l2: np.ndarray) -> np.ndarray:
-    """Coefficients (columns) of `penalised_fit` for many (l1, l2) at once: one sweep
-    updates a coordinate of all of them together. Settings without an L1 part are
-    solved directly."""
+    """Coefficients (columns) of `penalised_fit` for many (l1, l2), each started from
+    the one with the next larger l1. Settings without an L1 part are linear systems."""
     g, r = _centred(m)
-    b = np.zeros((len(r), len(l1)))
-    for k in np.flatnonzero(l1 == 0):
-        b[:, k] = np.linalg.lstsq(g + l2[k] * np.eye(len(r)), r, rcond=None)[0]
-    live = np.flatnonzero(l1 > 0)
-    left, diag = live, np.diag(g)
-    x, gradient = np.zeros((len(r), len(live))), np.repeat(r[:, None], len(live), axis=1)  # r - g x
-    for _ in range(100_000):
-        if not len(left):
-            break
-        before = x.copy()
-        for j in np.flatnonzero(diag > 0):
-            t = gradient[j] + diag[j] * x[j]
-            new = np.sign(t) * np.maximum(np.abs(t) - l1[left], 0) / (diag[j] + l2[left])
-            step = new - x[j]
-            if step.any():
-                gradient -= g[:, j, None] * step
-                x[j] = new
-        moved = np.abs(x - before).max(axis=0, initial=0) > 1e-10 * np.maximum(1, np.abs(x).max(axis=0, initial=0))
-        if not moved.all():
-            b[:, left] = x
-            left, x, gradient = left[moved], x[:, moved], gradient[:, moved]
-    b[:, left] = x
+    b, x = np.zeros((len(r), len(l1))), np.zeros(len(r))
+    for k in np.argsort(-l1, kind="stable"):
+        if l1[k] > 0:
+            b[:, k] = x = _feature_sign(g, r, x, l1[k], l2[k])
+        else:
+            b[:, k] = np.linalg.lstsq(g + l2[k] * np.eye(len(r)), r, rcond=None)[0]
     return b
 
 
 def penalised_fit(m: np.ndarray, l1: float, l2: float) -> np.ndarray:
     """Coefficients that minimise RSS / 2n + l1 |b|_1 + l2 |b|^2 / 2 with a free
-    intercept, by coordinate descent on the moments of (1, features, label)."""
+    intercept, from the moments of (1, features, label)."""
     return penalised_paths(m, np.array([l1]), np.array([l2]))[:, 0]
 
 
