@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelkit.operators import features as fe
 from panelkit.operators import models as md
@@ -128,3 +129,30 @@ def test_wide_search_covers_all_penalties(spark):
     rows = mq.linear_wide_cv(spark, SF).collect()
     assert len(rows) == 9 + 11 * 100 and all(np.isfinite(r.cv_rmse) for r in rows)
     assert {r.columns for r in rows} == {18 + 10}  # sf0.001 has ten suppliers
+
+
+def test_boosted_trials_are_pruned_by_the_stop_rows(spark):
+    """A step too small to learn anything is pruned; the scoring rows choose nothing."""
+    r = np.random.default_rng(9)
+    rows = [(float(a), float(b), float(5 * a + np.sin(8 * b) + r.normal(0, 0.1)), ["fit", "fit", "fit", "stop", "score"][i % 5])
+            for i, (a, b) in enumerate(r.uniform(0, 1, (800, 2)))]
+    df = spark.createDataFrame(rows, "a double, b double, y double, role string")
+    base = {"maxDepth": 3, "maxIter": 30, "minInstancesPerNode": 2}
+    trials = [dict(base, stepSize=s) for s in (0.001, 0.4, 0.002, 0.3)] + [dict(base, stepSize=0.5, maxIter=3)]
+    got = md.gbt_prune(df, ["a", "b"], "y", "role", trials, [2, 6, 12])
+    assert [t["rounds"] for t in got][0] == 2 and got[2]["rounds"] == 2
+    assert got[4]["rounds"] <= 3  # its own maxIter
+    assert max(t["rounds"] for t in got) == 12 and all(1 <= t["best_round"] <= t["rounds"] for t in got)
+    wrong = df.withColumn("y", F.when(F.col("role") == "score", -F.col("y")).otherwise(F.col("y")))
+    other = md.gbt_prune(wrong, ["a", "b"], "y", "role", trials, [2, 6, 12])
+    assert [(t["rounds"], t["best_round"], t["stop_rmse"]) for t in other] == [(t["rounds"], t["best_round"], t["stop_rmse"]) for t in got]
+    log = md.trial_log(spark, "gbt", got)
+    assert log.count() == 5 and "stepSize" in log.first().params and "rounds" not in log.first().params
+    best = md.best_trial(log).first()
+    assert best.rounds == 12 and best.trial in (1, 3)
+
+
+def test_boosted_search_has_the_reference_sizes():
+    trials = md.gbt_trials(mq.GBT_DRAWS, seed=24)
+    assert len(trials) == 100 and len({str(t) for t in trials}) == 100
+    assert all(3 <= t["maxDepth"] <= 10 and 50 <= t["maxIter"] <= 550 and 0.01 <= t["stepSize"] <= 1 for t in trials)
