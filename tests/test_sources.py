@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelkit.operators.clean import normalise_headers, null_profile
 from panelkit.sources.batches import union_batches
-from panelkit.sources.csv import cast_columns, read_text_csv, read_with_path_keys
+from panelkit.sources.csv import cast_columns, read_quoted_csv, read_text_csv, read_with_path_keys
 from panelkit.sources.sinks import split_rejects
 
 
@@ -65,3 +65,32 @@ def test_null_profile(spark):
     df = spark.createDataFrame([(1, None), (2, "a"), (None, None)], "k int, s string")
     got = {r.column_name: (r.dtype, r.non_null, r.nulls) for r in null_profile(df).collect()}
     assert got == {"k": ("int", 2, 1), "s": ("string", 1, 2)}
+
+
+@pytest.mark.parametrize("eol", ["\n", "\r\n"])
+@pytest.mark.parametrize("size", ["61", "700"])
+def test_quoted_line_breaks_across_splits(spark, tmp_path, eol, size):
+    """Files in many splits equal the one-task read; a record may cross several."""
+    import random
+    rnd = random.Random(int(size))
+
+    def field():
+        t = "".join(rnd.choice(['a', 'b c', ',', '""', "\r\n", "\n", "é", "x" * 20]) for _ in range(rnd.randrange(9)))
+        return f'"{t}"' if rnd.random() < 0.7 else "plain"
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k in range(3):
+        rows = [f"{k}-{i},{field()},{field()}" for i in range(60)]
+        (folder / f"f{k}.csv").write_bytes((f'key,"first{eol}part","o""k"{eol}' + eol.join(rows) + (eol if k else "")).encode())
+    cols = ["key", "a", "b"]
+    want = sorted(((r.key, r.a, r.b) for r in read_text_csv(spark, str(folder), cols).collect()), key=repr)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        df = read_quoted_csv(spark, str(folder), cols)
+        got = sorted(((r.key, r.a, r.b) for r in df.collect()), key=repr)
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 8
+        assert [r.a for r in read_quoted_csv(spark, str(folder), cols, use=["a"]).collect()].count(None) == [a for _, a, _ in want].count(None)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 180 and got == want
