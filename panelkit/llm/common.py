@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.session import scratch_dir
@@ -113,12 +113,8 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["u", "v"])
 
 
-def _observed(df: DataFrame, name: str) -> tuple[DataFrame, tuple[int, int]]:
-    """A written edge table with its row count and a checksum, taken while writing."""
-    seen = Observation()
-    out = materialise(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40)).alias("sum")), name)
-    got = seen.get
-    return out, (got["n"], got["sum"] or 0)
+def _sum_of(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first())
 
 
 def connected_components(edges: DataFrame, name: str, part_edges: int = 200_000) -> DataFrame:
@@ -131,13 +127,16 @@ def connected_components(edges: DataFrame, name: str, part_edges: int = 200_000)
     and joins over the contracted edges, written down between rounds, until a
     round changes no edge.
     """
-    e, (n, _) = _observed(edges.select("u", "v").where("u <> v"), f"{name}-edges")
-    parts = -(-n // part_edges)
-    dealt = e.coalesce(max(1, parts))
-    first, seen = _observed(dealt.mapInArrow(_forest, "u long, v long"), f"{name}-forest")
+    e = materialise(edges.select("u", "v").where("u <> v"), f"{name}-edges")
+    parts = max(1, -(-e.count() // part_edges))
+    first = materialise(e.coalesce(parts).mapInArrow(_forest, "u long, v long"), f"{name}-forest")
     discard(e)
-    e = first
+    e, seen = first, None
     while parts > 1:
+        now = _sum_of(e)
+        if now == seen:
+            break
+        seen = now
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = materialise(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -146,13 +145,10 @@ def connected_components(edges: DataFrame, name: str, part_edges: int = 200_000)
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = (down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        new, now = _observed(small, f"{name}-small")
+        new = materialise(small, f"{name}-small")
         discard(large)
         discard(e)
         e = new
-        if now == seen:
-            break
-        seen = now
     labels = e.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return labels.union(roots)

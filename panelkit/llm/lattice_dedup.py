@@ -50,6 +50,7 @@ NEAREST = 8  # lattice neighbours kept per block before the cheapest pairs are c
 SKETCH = 64
 HOT_CELL = 4096
 TILE = 128
+TILE_PAIRS = 64  # pairs of tiles in an Arrow batch
 SLACK = 1e-9  # radians: bounds decide only beyond rounding errors
 
 
@@ -318,4 +319,12 @@ def _links(nodes: DataFrame, balls: DataFrame, pairs: DataFrame, limit: float, c
         return tiles.select(F.col("ball").alias(x), F.col("nodes").alias(f"nodes_{x}"), F.col("copies").alias(f"copies_{x}"), F.col("v").alias(f"v{x}"))
 
     links = part.join(side("a"), "a").join(side("b"), "b").mapInArrow(_tiles(cosine), "kind long, x long, y long")
-    return faced.where("every").select("a", "b"), materialise(links, "lattice-links")
+    # a row holds two tiles; the links are written here, with few of them in a batch
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = nodes.sparkSession.conf.get(batch)
+    nodes.sparkSession.conf.set(batch, TILE_PAIRS)
+    try:
+        links = materialise(links, "lattice-links")
+    finally:
+        nodes.sparkSession.conf.set(batch, old)
+    return faced.where("every").select("a", "b"), links

@@ -74,26 +74,28 @@ def token_pieces(docs: DataFrame, length: int = 4096, end_id: int = 1, vocab: st
         table = chunk_ids(vocab)
         end = np.array([end_id], "<u4").tobytes()
         gc.disable()  # many small lists and no cycles
-        for b in slices(batches, most=8 << 20):
-            rows: list[list] = [[] for _ in range(6)]
-            ids = []
-            for row, doc, data in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(),
-                                      table.texts(b.column("text").cast(pa.binary()).to_pylist())):
-                data += end
-                for k, at in enumerate(range(0, len(data), 4 * length)):
-                    part = data[at:at + 4 * length]
-                    for to, x in zip(rows, (row, doc, k, at // 4, len(part) // 4, zlib.crc32(part))):
-                        to.append(x)
-                    if with_ids:
-                        ids.append(np.frombuffer(part, "<u4").astype("i4"))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            cols = [pa.array(x, k) for x, k in zip(rows, kinds)]
-            names = ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
-            if with_ids:
-                cols.append(pa.array(ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names)
-        gc.enable()
+        try:
+            for b in slices(batches, most=8 << 20):
+                rows: list[list] = [[] for _ in range(6)]
+                ids = []
+                for row, doc, data in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(),
+                                          table.texts(b.column("text").cast(pa.binary()).to_pylist())):
+                    data += end
+                    for k, at in enumerate(range(0, len(data), 4 * length)):
+                        part = data[at:at + 4 * length]
+                        for to, x in zip(rows, (row, doc, k, at // 4, len(part) // 4, zlib.crc32(part))):
+                            to.append(x)
+                        if with_ids:
+                            ids.append(np.frombuffer(part, "<u4").astype("i4"))
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                cols = [pa.array(x, k) for x, k in zip(rows, kinds)]
+                names = ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
+                if with_ids:
+                    cols.append(pa.array(ids, pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(cols, names)
+        finally:
+            gc.enable()
 
     schema = "row long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return texts(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, schema)
