@@ -128,48 +128,89 @@ def nearest_within(left: DataFrame, right: DataFrame, *, left_id: str, right_id:
                 .select(F.col(left_id), F.col("_rid").alias(right_id), F.col("_d").alias("distance_mi")))
 
 
+CELLS_ACROSS = 8  # least cells along the longer side of a polygon's box
+
+
+def polygon_cells(edges: DataFrame, poly_id: str = "poly_id") -> tuple[DataFrame, DataFrame]:
+    """A raster of each polygon at its own scale.
+
+    Returns (cells, rows). cells: ``poly_id, _level, _gx, _gy, _border`` for the
+    cells (side ``2 ** _level``, 8 to 16 along the longer side of the box) that an
+    edge touches (border) or that lie wholly inside; cells outside are left out.
+    rows: the edges by the rows of cells they reach. A cell that no edge touches
+    is inside or outside as a whole, which its centre's crossings decide.
+    """
+    e = edges.select(poly_id, "x1", "y1", "x2", "y2")
+    bbox = e.groupBy(poly_id).agg(
+        F.least(F.min("x1"), F.min("x2")).alias("_xmin"), F.greatest(F.max("x1"), F.max("x2")).alias("_xmax"),
+        F.least(F.min("y1"), F.min("y2")).alias("_ymin"), F.greatest(F.max("y1"), F.max("y2")).alias("_ymax"))
+    box = F.greatest(F.col("_xmax") - F.col("_xmin"), F.col("_ymax") - F.col("_ymin"), F.lit(1e-9))
+    bbox = cut_lineage(bbox.withColumn("_level", F.floor(F.log2(box / CELLS_ACROSS)).cast("int"))
+                       .withColumn("_side", F.pow(F.lit(2.0), F.col("_level"))))
+
+    def at(c: Column) -> Column:
+        return F.floor(c / F.col("_side")).cast("long")
+
+    slack = F.col("_side") * 1e-6  # an edge also touches cells it only nearly reaches
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = e.join(bbox.select(poly_id, "_level", "_side"), poly_id).withColumn(
+        "_gy", F.explode(F.sequence(at(low - slack), at(high + slack))))
+    rows = cut_lineage(rows)
+    slope = (F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
+
+    def x_at(y: Column) -> Column:
+        return F.col("x1") + (y - F.col("y1")) * slope
+
+    bottom = x_at(F.greatest(low, F.col("_gy") * F.col("_side") - slack))
+    top = x_at(F.least(high, (F.col("_gy") + 1) * F.col("_side") + slack))
+    left, right = F.least("x1", "x2"), F.greatest("x1", "x2")
+    # a flat edge reaches over its whole length
+    from_x = F.greatest(left, F.coalesce(F.least(bottom, top), left)) - slack
+    to_x = F.least(right, F.coalesce(F.greatest(bottom, top), right)) + slack
+    border = rows.select(poly_id, "_gy", F.explode(F.sequence(at(F.least(from_x, to_x)), at(F.greatest(from_x, to_x)))).alias("_gx")).distinct()
+    middle = (F.col("_gy") + 0.5) * F.col("_side")
+    crossings = (rows.where((F.col("y1") > middle) != (F.col("y2") > middle))
+                 .groupBy(poly_id, "_gy").agg(F.collect_list(x_at(middle)).alias("_cross")))
+    boxes = (bbox.withColumn("_gy", F.explode(F.sequence(at(F.col("_ymin")), at(F.col("_ymax")))))
+             .join(crossings, [poly_id, "_gy"])
+             .withColumn("_gx", F.explode(F.sequence(at(F.col("_xmin")), at(F.col("_xmax"))))))
+    centre = (F.col("_gx") + 0.5) * F.col("_side")
+    inside = boxes.where(F.size(F.filter("_cross", lambda c: c > centre)) % 2 == 1).select(poly_id, "_gx", "_gy")
+    inside = inside.join(border, [poly_id, "_gx", "_gy"], "left_anti")
+    cells = (border.select(poly_id, "_gx", "_gy", F.lit(True).alias("_border"))
+             .unionByName(inside.withColumn("_border", F.lit(False)))
+             .join(bbox.select(poly_id, "_level"), poly_id))
+    return cut_lineage(cells), rows.select(poly_id, "_gy", "x1", "y1", "x2", "y2")
+
+
 def point_in_polygon(points: DataFrame, edges: DataFrame, *, point_id: str = "point_id",
-                     poly_id: str = "poly_id", x: str = "lon", y: str = "lat",
-                     bands_per_cell: int = 8) -> DataFrame:
+                     poly_id: str = "poly_id", x: str = "lon", y: str = "lat") -> DataFrame:
     """Which polygon holds each point (ray-crossing parity). Points outside all
     polygons get NULL; when polygons overlap, the lowest ``poly_id`` wins.
 
     ``edges`` has one row per polygon edge: ``poly_id, x1, y1, x2, y2`` (a ring
     closes on itself). Two equi-joins, no pair list:
-    1. points meet the polygons whose bounding box holds them, through the
-       grid cells each box covers (cell side = the mean box side, one small
-       aggregate over the polygons);
-    2. each (point, polygon) candidate meets only that polygon's edges in its
-       horizontal band, and counts the crossings to its right.
+    1. points meet the cells of the polygons' rasters, one look-up per scale in
+       use (scales are powers of two, so they are few); a point in an inside
+       cell is done;
+    2. a point in a border cell meets only that polygon's edges in its row of
+       cells, and counts the crossings to its right.
     """
-    e = edges.select(poly_id, "x1", "y1", "x2", "y2")
-    bbox = e.groupBy(poly_id).agg(
-        F.least(F.min("x1"), F.min("x2")).alias("_xmin"), F.greatest(F.max("x1"), F.max("x2")).alias("_xmax"),
-        F.least(F.min("y1"), F.min("y2")).alias("_ymin"), F.greatest(F.max("y1"), F.max("y2")).alias("_ymax"))
-    side = bbox.agg(F.avg(F.greatest(F.col("_xmax") - F.col("_xmin"), F.col("_ymax") - F.col("_ymin")))).first()[0]
+    cells, rows = polygon_cells(edges, poly_id)
     p = points.select(F.col(point_id).alias("_pid"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    if side is None:
-        return p.select(F.col("_pid").alias(point_id), F.lit(None).cast("int").alias(poly_id))
-    cell = max(float(side), 1e-9)
-    band = cell / bands_per_cell
-
-    def fl(c, w):
-        return F.floor(c / F.lit(w)).cast("long")
-
-    cells = (bbox.withColumn("_gx", F.explode(F.sequence(fl(F.col("_xmin"), cell), fl(F.col("_xmax"), cell))))
-                 .withColumn("_gy", F.explode(F.sequence(fl(F.col("_ymin"), cell), fl(F.col("_ymax"), cell)))))
-    cand = (p.withColumn("_gx", fl(F.col("_x"), cell)).withColumn("_gy", fl(F.col("_y"), cell))
-             .join(cells, ["_gx", "_gy"])
-             .where(F.col("_x").between(F.col("_xmin"), F.col("_xmax"))
-                    & F.col("_y").between(F.col("_ymin"), F.col("_ymax")))
-             .select("_pid", poly_id, "_x", "_y", fl(F.col("_y"), band).alias("_b")))
-    eb = e.withColumn("_b", F.explode(F.sequence(fl(F.least("y1", "y2"), band), fl(F.greatest("y1", "y2"), band))))
-    cross = (cand.join(eb, [poly_id, "_b"])
-                 .where((F.col("y1") > F.col("_y")) != (F.col("y2") > F.col("_y")))
-                 .where(F.col("_x") < F.col("x1") + (F.col("_y") - F.col("y1")) * (F.col("x2") - F.col("x1"))
-                        / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))))
-    inside = (cross.groupBy("_pid", poly_id).agg(F.count(F.lit(1)).alias("_n"))
-                   .where(F.col("_n") % 2 == 1)
-                   .groupBy("_pid").agg(F.min(poly_id).alias(poly_id)))
+    levels = [r[0] for r in cells.select("_level").distinct().collect()]  # one number per scale
+    if not levels:
+        return p.select(F.col("_pid").alias(point_id), F.lit(None).cast(edges.schema[poly_id].dataType).alias(poly_id))
+    side = F.pow(F.lit(2.0), F.col("_level"))
+    met = (p.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels])))
+           .withColumn("_gx", F.floor(F.col("_x") / side).cast("long")).withColumn("_gy", F.floor(F.col("_y") / side).cast("long"))
+           .join(cells, ["_level", "_gx", "_gy"]))
+    done = met.where(~F.col("_border")).select("_pid", poly_id)
+    cross = (met.where("_border").select("_pid", poly_id, "_gy", "_x", "_y").join(rows, [poly_id, "_gy"])
+             .where((F.col("y1") > F.col("_y")) != (F.col("y2") > F.col("_y")))
+             .where(F.col("_x") < F.col("x1") + (F.col("_y") - F.col("y1")) * (F.col("x2") - F.col("x1"))
+                    / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))))
+    odd = cross.groupBy("_pid", poly_id).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") % 2 == 1).select("_pid", poly_id)
+    inside = done.unionByName(odd).groupBy("_pid").agg(F.min(poly_id).alias(poly_id))
     return (p.join(inside, "_pid", "left")
              .select(F.col("_pid").alias(point_id), F.col(poly_id)))

@@ -143,3 +143,42 @@ def test_hot_location_and_missing_coordinates(spark):
     assert len(got) == 502
     assert all(got[i] == 10 for i in range(500))
     assert got[999] is None and got[998] is None
+
+
+def test_ten_thousand_polygons(spark):
+    """Stars of very different sizes against brute force; few edges are tested."""
+    import numpy as np
+
+    from panelkit.operators import geo
+    r = np.random.default_rng(12)
+    rings = []
+    for _ in range(10_000):
+        n, size = int(r.integers(4, 24)), 10 ** r.uniform(-2, 0.3)
+        a = 2 * np.pi * np.arange(n) / n
+        rad = r.uniform(0.3, 1, n) * size
+        rings.append(r.uniform(0, 100, 2) + np.stack([rad * np.cos(a), rad * np.sin(a)], axis=1))
+    rings[0] = np.array([[10.0, 10], [90, 10], [90, 90], [10, 90]])  # a large one with flat edges
+    rows = [(i, *map(float, a), *map(float, b)) for i, ring in enumerate(rings) for a, b in zip(ring, np.roll(ring, -1, axis=0))]
+    edges = spark.createDataFrame(rows, "poly_id int, x1 double, y1 double, x2 double, y2 double").repartition(4)
+    centres = np.array([ring.mean(axis=0) for ring in rings[::5]])
+    pts = np.concatenate([r.uniform(-2, 102, (2000, 2)), centres + r.normal(0, 0.05, centres.shape)])
+    want = np.full(len(pts), -1)
+    for i in range(len(rings) - 1, -1, -1):
+        ring = rings[i]
+        near = np.flatnonzero(((pts >= ring.min(axis=0)) & (pts <= ring.max(axis=0))).all(axis=1))
+        x, y = pts[near].T
+        c = np.zeros(len(near), int)
+        for (x1, y1), (x2, y2) in zip(ring, np.roll(ring, -1, axis=0)):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                c += ((y1 > y) != (y2 > y)) & (x < x1 + (y - y1) * (x2 - x1) / (y2 - y1))
+        want[near[c % 2 == 1]] = i
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(pts)], "point_id long, lon double, lat double").cache()
+    got = {x.point_id: -1 if x.poly_id is None else x.poly_id for x in point_in_polygon(points, edges).collect()}
+    assert got == dict(enumerate(want.tolist()))
+    cells, by_row = geo.polygon_cells(edges)
+    side = F.pow(F.lit(2.0), F.col("_level"))
+    border = cells.where("_border").join(by_row, ["poly_id", "_gy"])
+    tests = (points.crossJoin(cells.select("_level").distinct()).withColumn("_gx", F.floor(F.col("lon") / side)).withColumn("_gy", F.floor(F.col("lat") / side))
+             .join(border, ["_level", "_gx", "_gy"]).count())
+    assert tests < 12 * len(pts)
+    points.unpersist()
