@@ -193,7 +193,7 @@ def penalised_fit(m: np.ndarray, l1: float, l2: float) -> np.ndarray:
     return penalised_paths(m, np.array([l1]), np.array([l2]))[:, 0]
 
 
-def _penalties(s: dict, n: float) -> tuple[float, float]:
+def penalties(s: dict, n: float) -> tuple[float, float]:
     return (0.0, s["ridge"] / n) if "ridge" in s else (s["l1"], s["l2"])
 
 
@@ -209,7 +209,7 @@ def cross_validate_moments(spark: SparkSession, folds: dict[int, np.ndarray], se
         for batch in batches:
             for f, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 m, held = shared.value[f]
-                l1, l2 = np.array([_penalties(s, m[0, 0]) for s in settings[first:first + group]]).T
+                l1, l2 = np.array([penalties(s, m[0, 0]) for s in settings[first:first + group]]).T
                 b = penalised_paths(m, l1, l2)
                 intercept = (m[0, -1] - m[0, 1:-1] @ b) / m[0, 0]
                 v = np.concatenate([-intercept[None], -b, np.ones((1, len(l1)))])

@@ -61,6 +61,8 @@ QUERIES = {
     "knn_wide_predict": ml.knn_wide_predict,
     "knn_wide_cv": ml.knn_wide_cv,
     "linear_wide_cv": ml.linear_wide_cv,
+    "forest_contrast": ml.forest_contrast,
+    "fitted_leaderboard": ml.fitted_leaderboard,
     "knn_cv": ml.knn_cv,
     "multiple_ols": ml.multiple_ols,
     "ridge_cv": ml.ridge_cv,

@@ -62,6 +62,7 @@ def test_forest_predict_refits_the_best_of_the_search(spark, monkeypatch):
     trials = [{"numTrees": 2, "maxDepth": 2, "featureSubsetStrategy": "sqrt", "cv_rmse": 0.1, "rung": 0},
               {"numTrees": 3, "maxDepth": 2, "featureSubsetStrategy": "sqrt", "cv_rmse": 1.0, "rung": 1},
               {"numTrees": 4, "maxDepth": 3, "featureSubsetStrategy": "log2", "cv_rmse": 0.5, "rung": 1}]
+    monkeypatch.setattr(mq, "_SEARCHED", {})
     monkeypatch.setattr(mq.md, "forest_halving", lambda *a, **k: trials)
     real = mq.md.forest_fit
     monkeypatch.setattr(mq.md, "forest_fit", lambda *a, **k: seen.update(k) or real(*a, **k))
@@ -70,6 +71,7 @@ def test_forest_predict_refits_the_best_of_the_search(spark, monkeypatch):
 
 
 def test_forest_search_uses_five_folds(spark, monkeypatch):
+    monkeypatch.setattr(mq, "_SEARCHED", {})
     monkeypatch.setattr(mq, "FOREST_GRID", {"numTrees": [2], "maxDepth": [2], "featureSubsetStrategy": ["sqrt"]})
     monkeypatch.setattr(mq, "FOREST_RUNGS", [(1.0, 1)])
     train, _ = mq._tree_data(spark, SF)
@@ -78,7 +80,7 @@ def test_forest_search_uses_five_folds(spark, monkeypatch):
 
 
 def test_permutation_importance_repeats_ten_times_on_the_best_forest(spark, monkeypatch):
-    monkeypatch.setattr(mq, "_best_forest", lambda tr: "best")
+    monkeypatch.setattr(mq, "_best_forest", lambda *a: "best")
     monkeypatch.setattr(mq.md, "permutation_importance", lambda model, *a, repeats=10, **k: (model, repeats))
     assert mq.permutation_importance(spark, SF) == ("best", 10)
 
@@ -156,3 +158,19 @@ def test_boosted_search_has_the_reference_sizes():
     trials = md.gbt_trials(mq.GBT_DRAWS, seed=24)
     assert len(trials) == 100 and len({str(t) for t in trials}) == 100
     assert all(3 <= t["maxDepth"] <= 10 and 50 <= t["maxIter"] <= 550 and 0.01 <= t["stepSize"] <= 1 for t in trials)
+
+
+def test_the_chain_runs_on_the_tuned_forest(spark, monkeypatch):
+    """One search; its forest's residuals are contrasted and its metrics ranked."""
+    calls = []
+    trials = [{"numTrees": 5, "maxDepth": 3, "featureSubsetStrategy": "all", "cv_rmse": 0.5, "rung": 1}]
+    monkeypatch.setattr(mq, "_SEARCHED", {})
+    monkeypatch.setattr(mq.md, "forest_halving", lambda *a, **k: calls.append(1) or trials)
+    contrast = {r.feature: r for r in mq.forest_contrast(spark, SF).collect()}
+    assert set(contrast) == {"abs_residual", *mq.X3} and contrast["abs_residual"].extreme > contrast["abs_residual"].others
+    board = {r.model: r for r in mq.fitted_leaderboard(spark, SF).collect()}
+    assert set(board) == {"mean", "least squares", "ridge", "lasso", "boosted trees", "forest"} and len(calls) == 1
+    forest = mq.forest_predict(spark, SF).first()
+    assert len({r.n for r in board.values()}) == 1 and forest.n == board["forest"].n
+    ols = mq.multiple_ols(spark, SF).first()
+    assert ols.intercept and board["least squares"].rmse <= board["mean"].rmse * 1.05
