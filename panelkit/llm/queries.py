@@ -76,6 +76,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("failed").alias("failed_rules"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy costs, from the stored ledger's bits."""
+    ledger = materialise(quality_ledger.quality_ledger(read_table(spark, sf_dir, "documents")), "ledger")
+    return quality_ledger.ablations(ledger, ("pretraining", 2))
+
+
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of four bytes a vector, four Lloyd rounds."""
     return vector_codes.vector_codes(read_table(spark, sf_dir, "embeddings"))
@@ -142,7 +148,7 @@ def _lloyd_sql(rounds: int = 4) -> str:
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_toxicity, op4_exact_dedup, op5_suffix_dedup,
                                  op6_lm_scoring, op7_license_scan, op8_packing, op9_sharding,
-                                 op10_quality_rules, op11_vector_codes, op12_periodic_runs, op13_lattice_dedup)}
+                                 op10_quality_rules, quality_ablations, op11_vector_codes, op12_periodic_runs, op13_lattice_dedup)}
 
 ORACLE: dict[str, str] = {
     "op4_exact_dedup": """
@@ -186,3 +192,12 @@ ORACLE: dict[str, str] = {
                coalesce(comp.component_id, e.vec_id) = e.vec_id AS kept
         FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN comp USING (vec_id)""",
 }
+
+_POLICY = ("pretraining", 2)
+_BITS = ", ".join(f"('{r}', {quality_ledger.bit(r)})" for r in quality_ledger.POLICIES[_POLICY])
+ORACLE["quality_ablations"] = f"""
+    WITH ledger AS (SELECT failed_rules & {quality_ledger.mask(_POLICY)} AS m FROM ({ORACLE["op10_quality_rules"]})),
+    rules AS (SELECT * FROM (VALUES {_BITS}) AS r(rule, b))
+    SELECT rule, count(*) FILTER (WHERE m & b <> 0) AS n_failed, count(*) FILTER (WHERE m = b) AS n_only,
+           count(*) FILTER (WHERE m & ~b = 0) AS kept_without
+    FROM ledger, rules GROUP BY rule"""
