@@ -201,18 +201,23 @@ def _tree_data(spark, sf_dir):
     return mt.where(F.col("part") == fe.TRAIN), mt.where(F.col("part") == fe.TEST)
 
 
-#: Searches made by this process, by application and table folder: the chain of
-#: queries on the tuned forest runs its search once.
-_SEARCHED: dict[tuple[str, str], list[dict]] = {}
+#: Searches made by this process, by kind, application and table folder: the
+#: queries that go on from a search's result run it once.
+_SEARCHED: dict[tuple[str, str, str], list[dict]] = {}
 
 
-def _forest_trials(spark: SparkSession, sf_dir: str, tr: DataFrame) -> list[dict]:
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _once(kind: str, spark: SparkSession, sf_dir: str, search) -> list[dict]:
+    key = (kind, spark.sparkContext.applicationId, sf_dir)
     if key not in _SEARCHED:
-        _SEARCHED[key] = md.forest_halving(tr, X3, Y, md.sample_grid(FOREST_GRID, FOREST_DRAWS, seed=229), FOREST_RUNGS)
+        _SEARCHED[key] = search()
     return _SEARCHED[key]
 
 
+def _forest_trials(spark: SparkSession, sf_dir: str, tr: DataFrame) -> list[dict]:
+    return _once("forest", spark, sf_dir, lambda: md.forest_halving(
+        tr, X3, Y, md.sample_grid(FOREST_GRID, FOREST_DRAWS, seed=229), FOREST_RUNGS))
+
+
 def forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """54 seeded draws of the forest grid, 5-fold CV by successive halving."""
     tr, _ = _tree_data(spark, sf_dir)
@@ -287,8 +292,8 @@ def _gbt_trials(spark, sf_dir):
     tr, _ = _tree_data(spark, sf_dir)
     draw = fe.hash_bucket(F.col("row_id"), 42, 100)
     tr = tr.withColumn("role", F.when(draw < 20, "stop").when(draw < 40, "score").otherwise("fit"))
-    trials = md.gbt_prune(tr, X3, Y, "role", md.gbt_trials(GBT_DRAWS, seed=24), GBT_CHECKPOINTS)
-    return md.trial_log(spark, "gbt", trials)
+    return md.trial_log(spark, "gbt", _once("boosting", spark, sf_dir, lambda: md.gbt_prune(
+        tr, X3, Y, "role", md.gbt_trials(GBT_DRAWS, seed=24), GBT_CHECKPOINTS)))
 
 
 def gbt_search(spark: SparkSession, sf_dir: str) -> DataFrame:
