@@ -274,9 +274,10 @@ def _meeting_balls(filed: DataFrame, balls: DataFrame, limit: float) -> DataFram
     one member on either side, the sign sketches must agree.
     """
     sizes = balls.groupBy("ball").agg(F.count("*").alias("members"))
-    named = filed.join(balls.select("node", "ball").join(sizes, "ball"), "node")
-    rows = named.select("ball", F.explode("keys").alias("key"), F.when(F.col("members") == 1, F.col("sketch")).alias("sketch"))
-    rows = materialise(rows.groupBy("key", "ball").agg(F.first("sketch").alias("sketch")), "lattice-filed")
+    named = materialise(filed.join(balls.select("node", "ball").join(sizes, "ball"), "node").select("ball", "members", "keys", "sketch"), "lattice-named")
+    single = F.col("members") == 1
+    rows = named.where(single).select("ball", F.explode("keys").alias("key"), "sketch").unionByName(
+        named.where(~single).select("ball", F.explode("keys").alias("key")).distinct().withColumn("sketch", F.lit(None).cast("long")))
     hot = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_CELL).select(
         "key", F.ceil(F.col("n") / HOT_CELL).cast("int").alias("salts")), "lattice-hot")
     agree = F.coalesce(F.bit_count(F.col("s").bitwiseXOR(F.col("r"))) <= sketch_bits(limit), F.lit(True))
