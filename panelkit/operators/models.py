@@ -402,6 +402,7 @@ def gbt_prune(rows: DataFrame, features: list[str], label: str, role: str, trial
     trial with `rounds` (really run), `best_round`, `stop_rmse` and `rmse`.
     """
     out: list[dict] = [{} for _ in trials]
+    models: dict[int, object] = {}
     live = list(range(len(trials)))
     data = assembler(features)[0].transform(rows).select("features", label, role)
     with _Cached(data, data.columns) as t:
@@ -414,8 +415,12 @@ def gbt_prune(rows: DataFrame, features: list[str], label: str, role: str, trial
             m = gbt.fit(fit_rows)
             curve = m.evaluateEachIteration(stop_rows, "squared")
             best = int(np.argmin(curve))
-            scored = m.evaluateEachIteration(score_rows, "squared")[best]
-            out[i] = {"rounds": rounds, "best_round": best + 1, "stop_rmse": float(curve[best]) ** 0.5, "rmse": float(scored) ** 0.5}
+            models[i] = m
+            out[i] = {"rounds": rounds, "best_round": best + 1, "stop_rmse": float(curve[best]) ** 0.5}
+
+        def rate(i: int) -> None:
+            curve = models[i].evaluateEachIteration(score_rows, "squared")
+            out[i]["rmse"] = float(curve[out[i]["best_round"] - 1]) ** 0.5
 
         with ThreadPool(parallelism) as pool:
             for most in checkpoints:
@@ -424,6 +429,7 @@ def gbt_prune(rows: DataFrame, features: list[str], label: str, role: str, trial
                 live = [i for i in live if out[i]["stop_rmse"] <= middle and trials[i]["maxIter"] > most]
                 if not live:
                     break
+            pool.map(inheritable_thread_target(rows.sparkSession)(rate), list(models), chunksize=1)
     return [dict(t, **o) for t, o in zip(trials, out)]
 
 

@@ -284,7 +284,7 @@ def gbt_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GBT_DRAWS = 100
 # every trial boosts two rounds; about half go on at each checkpoint
-GBT_CHECKPOINTS = [2, 4, 8, 16, 32]
+GBT_CHECKPOINTS = [2, 4, 8, 16]
 
 
 def _gbt_trials(spark, sf_dir):
