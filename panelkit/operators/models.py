@@ -14,13 +14,14 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_dir
+from . import cell_trees as ct
 from .evaluate import regression_metrics
 from .features import hash_bucket
 
@@ -301,18 +302,27 @@ def forest_cv(train: DataFrame, features: list[str], label: str, settings: list[
     """Mean held-out RMSE over the folds of every setting (numTrees, maxDepth,
     featureSubsetStrategy). Settings that differ only in trees and depth share
     one fit per fold. `share` fits on that part of the rows (by hash) with that
-    part of the trees; the held-out rows are always all of a fold."""
+    part of the trees; the held-out rows are always all of a fold. Tables with
+    more rows than cells grow their trees from cells' sums (see `cell_trees`)."""
     folds = [r[0] for r in train.select(fold_col).distinct().sort(fold_col).collect()]
     trees_of = {s["numTrees"]: max(1, round(s["numTrees"] * share)) for s in settings}
     jobs = [(strategy, f) for strategy in sorted({s["featureSubsetStrategy"] for s in settings}) for f in folds]
     data = train.select(*features, label, fold_col, F.pmod(F.xxhash64(*features, label, fold_col, F.lit("share")), F.lit(1 << 20)).alias("_draw"))
     with _Cached(data, data.columns) as t:
+        if cells := ct.worth_cells(t, features, label):
+            part = t.where(F.col("_draw") < int(share * (1 << 20)))
+            errors = ct.forest_cv_errors(part, ct.cell_sums(t, cells, label, fold_col), cells, label, fold_col, folds,
+                                         sorted({s["featureSubsetStrategy"] for s in settings}), sorted(set(trees_of.values())),
+                                         sorted({s["maxDepth"] for s in settings}), seed)
+            return [dict(s, cv_rmse=float(np.mean([errors[s["featureSubsetStrategy"], f][trees_of[s["numTrees"]], s["maxDepth"]] for f in folds])))
+                    for s in settings]
+
         def one(job):
             strategy, f = job
             own = [s for s in settings if s["featureSubsetStrategy"] == strategy]
             part = t.where((F.col(fold_col) != f) & (F.col("_draw") < int(share * (1 << 20))))
-            fit = forest_fit(part, features, label, seed, numTrees=max(trees_of[s["numTrees"]] for s in own),
-                             maxDepth=max(s["maxDepth"] for s in own), featureSubsetStrategy=strategy)
+            fit = _forest_on_rows(part, features, label, seed, numTrees=max(trees_of[s["numTrees"]] for s in own),
+                                  maxDepth=max(s["maxDepth"] for s in own), featureSubsetStrategy=strategy)
             got = forest_errors(t.where(F.col(fold_col) == f), features, label, tree_tables(train.sparkSession, fit.stages[-1]),
                                 sorted({trees_of[s["numTrees"]] for s in own}), sorted({s["maxDepth"] for s in own}))
             return {(trees, depth): (sse / got[None]) ** 0.5 for (trees, depth), sse in ((c, v) for c, v in got.items() if c)}
@@ -344,6 +354,16 @@ def best_of_search(rows: list[dict]) -> dict:
 
 
 def forest_fit(train: DataFrame, features: list[str], label: str, seed: int = 6, **params):
+    """A fitted forest with `transform`: from cells' sums where the rows outnumber the
+    cells and only trees, depth and subset are set, else MLlib's pipeline on the rows."""
+    if set(params) == {"numTrees", "maxDepth", "featureSubsetStrategy"}:
+        with _Cached(train, [*features, label]) as t:
+            if cells := ct.worth_cells(t, features, label):
+                return ct.forest_model(t, cells, label, params["numTrees"], params["maxDepth"], params["featureSubsetStrategy"], seed)
+    return _forest_on_rows(train, features, label, seed, **params)
+
+
+def _forest_on_rows(train: DataFrame, features: list[str], label: str, seed: int, **params):
     rf = RandomForestRegressor(featuresCol="features", labelCol=label, seed=seed, **params)
     with _Cached(train, [*features, label]) as t:
         return Pipeline(stages=assembler(features) + [rf]).fit(t)
@@ -352,7 +372,14 @@ def forest_fit(train: DataFrame, features: list[str], label: str, seed: int = 6,
 def gbt_fit(train: DataFrame, features: list[str], label: str, seed: int = 42,
             validation_col: str | None = None, **params):
     """Boosted trees; with ``validation_col`` (boolean) those rows only measure
-    the validation error and boosting stops once it no longer improves."""
+    the validation error and boosting stops once it no longer improves.
+
+    Where the rows outnumber the cells (see `cell_trees`), the trees are fitted on
+    the cells' mean labels weighted by their rows, which gives the same splits."""
+    if set(params) <= {"maxDepth", "stepSize", "maxIter"} and not validation_col:
+        with _Cached(train, [*features, label]) as t:
+            if cells := ct.worth_cells(t, features, label):
+                return _gbt_on_cells(t, cells, label, seed, params)
     if validation_col:
         params["validationIndicatorCol"] = validation_col
     gbt = GBTRegressor(featuresCol="features", labelCol=label, seed=seed, **params)
@@ -360,6 +387,44 @@ def gbt_fit(train: DataFrame, features: list[str], label: str, seed: int = 42,
         return Pipeline(stages=assembler(features) + [gbt]).fit(t)
 
 
+def _gbt_on_cells(rows: DataFrame, cells: ct.Cells, label: str, seed: int, params: dict) -> PipelineModel:
+    bins = [f"_bin_{f}" for f in cells.features]
+    # a bucket holds its lower end, a cell's bin its upper end; a constant feature has one bin
+    splits = [[-np.inf, *(np.nextafter(c, np.inf).tolist() if c else [np.finfo(float).max]), np.inf] for c in cells.cuts]
+    stages = [Bucketizer(inputCols=cells.features, outputCols=bins, splitsArray=splits), *assembler(bins)]
+    # as many bins as make MLlib look at every cell for its cuts
+    gbt = GBTRegressor(featuresCol="features", labelCol=label, seed=seed, weightCol="_n", maxBins=192, **params)
+    table = stages[1].transform(_by_bins(stages[0].transform(rows), bins, label)).select("features", label, "_n")
+    with _Cached(table, table.columns) as t:
+        return PipelineModel(stages=[*stages, gbt.fit(t)])
+
+
+def _by_bins(rows: DataFrame, bins: list[str], label: str) -> DataFrame:
+    """One row per combination of bins: rows, mean label and squared deviation from it."""
+    y = F.col(label).cast("double")
+    # without Bucketizer's metadata, which would make the bins categories
+    return rows.groupBy(*[F.col(b).alias(b, metadata={}) for b in bins]).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg(y).alias(label),
+                                   (F.var_pop(y) * F.count(F.lit(1))).alias("_within"))
+
+
+def boosting_curve(fit: PipelineModel, rows: DataFrame, label: str) -> list[float]:
+    """RMSE after each boosting round of `gbt_fit`'s model."""
+    first, model = fit.stages[0], fit.stages[-1]
+    if not isinstance(first, Bucketizer):
+        return [float(e) ** 0.5 for e in model.evaluateEachIteration(fit.transform(rows), "squared")]
+    trees, weights = model.trees, model.treeWeights
+    data = fit.stages[1].transform(_by_bins(first.transform(rows), first.getOutputCols(), label)).select("features", label, "_n", "_within")
+    at = F.lit(0.0)
+    errors = []
+    with _Cached(data, data.columns) as t:
+        for k, (tree, w) in enumerate(zip(trees, weights)):
+            t = tree.setPredictionCol(f"_p{k}").setFeaturesCol("features").transform(t)
+            at = at + F.lit(float(w)) * F.col(f"_p{k}")
+            errors.append(F.sum(F.col("_within") + F.col("_n") * (F.col(label) - at) * (F.col(label) - at)).alias(f"e{k}"))
+        r = t.agg(F.sum("_n").alias("n"), *errors).first()
+    return [(r[f"e{k}"] / r["n"]) ** 0.5 for k in range(len(trees))]
+
+
 # The reference's boosted-tree search space (name -> (low, high, kind));
 # its L1 and L2 weights have no counterpart in MLlib.
 GBT_SPACE = {
@@ -400,7 +465,13 @@ def gbt_prune(rows: DataFrame, features: list[str], label: str, role: str, trial
     trials. The rounds it keeps are those up to its best; only then do the
     score rows rate it, so they neither stop nor choose anything. Returns each
     trial with `rounds` (really run), `best_round`, `stop_rmse` and `rmse`.
+    Where the rows outnumber the cells (see `cell_trees`), one pass over the rows
+    gives every trial's curves to the last checkpoint, and the same rule prunes them.
     """
+    with _Cached(rows, [*features, label, role]) as t:
+        if cells := ct.worth_cells(t, features, label):
+            curves = ct.boost_curves(t, cells, label, role, trials, max(checkpoints), seed)
+            return _prune_curves(trials, curves, checkpoints)
     out: list[dict] = [{} for _ in trials]
     models: dict[int, object] = {}
     live = list(range(len(trials)))
@@ -413,10 +484,11 @@ def gbt_prune(rows: DataFrame, features: list[str], label: str, role: str, trial
             rounds = min(most, trials[i]["maxIter"])
             gbt = GBTRegressor(featuresCol="features", labelCol=label, seed=seed, **{**trials[i], "maxIter": rounds})
             m = gbt.fit(fit_rows)
-            curve = m.evaluateEachIteration(stop_rows, "squared")
+            # ten digits: the tasks' sums come in any order, and equal rows must give equal choices
+            curve = [float(f"{e:.10g}") for e in m.evaluateEachIteration(stop_rows, "squared")]
             best = int(np.argmin(curve))
             models[i] = m
-            out[i] = {"rounds": rounds, "best_round": best + 1, "stop_rmse": float(curve[best]) ** 0.5}
+            out[i] = {"rounds": rounds, "best_round": best + 1, "stop_rmse": curve[best] ** 0.5}
 
         def rate(i: int) -> None:
             curve = models[i].evaluateEachIteration(score_rows, "squared")
@@ -433,6 +505,23 @@ def gbt_prune(rows: DataFrame, features: list[str], label: str, role: str, trial
     return [dict(t, **o) for t, o in zip(trials, out)]
 
 
+def _prune_curves(trials: list[dict], curves: list[tuple[list[float], list[float]]], checkpoints: list[int]) -> list[dict]:
+    """The rule of `gbt_prune` on whole (stop, score) curves."""
+    out: list[dict] = [{} for _ in trials]
+    live = list(range(len(trials)))
+    for most in checkpoints:
+        for i in live:
+            rounds = min(most, trials[i]["maxIter"])
+            stop, score = curves[i]
+            best = int(np.argmin(stop[:rounds]))
+            out[i] = {"rounds": rounds, "best_round": best + 1, "stop_rmse": float(stop[best]) ** 0.5, "rmse": float(score[best]) ** 0.5}
+        middle = float(np.median([out[i]["stop_rmse"] for i in live]))
+        live = [i for i in live if out[i]["stop_rmse"] <= middle and trials[i]["maxIter"] > most]
+        if not live:
+            break
+    return [dict(t, **o) for t, o in zip(trials, out)]
+
+
 def trial_log(spark, model_name: str, trials: list[dict]) -> DataFrame:
     """One row per trial: its drawn parameters, the rounds really run and its errors."""
     result = ("rounds", "best_round", "stop_rmse", "rmse")

@@ -6,7 +6,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -310,12 +309,8 @@ def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RMSE after each boosting round on the training and the test part."""
     tr, te = _tree_data(spark, sf_dir)
     pm = md.gbt_fit(tr, X3, Y, maxDepth=4, stepSize=0.3, maxIter=5)
-    g: GBTRegressionModel = pm.stages[-1]
-    a_tr = pm.transform(tr)
-    a_te = pm.transform(te)
-    e_tr = g.evaluateEachIteration(a_tr, "squared")
-    e_te = g.evaluateEachIteration(a_te, "squared")
-    return spark.createDataFrame([(i + 1, float(a) ** 0.5, float(b) ** 0.5) for i, (a, b) in enumerate(zip(e_tr, e_te))],
+    e_tr, e_te = (md.boosting_curve(pm, d, Y) for d in (tr, te))
+    return spark.createDataFrame([(i + 1, a, b) for i, (a, b) in enumerate(zip(e_tr, e_te))],
                                  "iteration int, train_rmse double, test_rmse double")
 
 
