@@ -120,7 +120,10 @@ def fold_moments(train: DataFrame, zfeatures: list[str], label: str, fold_col: s
 
 def alpha_path(m: np.ndarray, n_alphas: int = 100, eps: float = 1e-3) -> list[float]:
     """`lasso_path` from the moments of all rows."""
-    most = float(np.abs(_centred(m)[1]).max())
+    return alphas_below(float(np.abs(_centred(m)[1]).max()), n_alphas, eps)
+
+
+def alphas_below(most: float, n_alphas: int = 100, eps: float = 1e-3) -> list[float]:
     return [float(a) for a in np.geomspace(most, most * eps, n_alphas)]
 
 

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import category_paths as cp
 from ..operators import contrast as ct
 from ..operators import features as fe
 from ..operators import knn
@@ -173,18 +174,27 @@ def _wide_linear(spark, sf_dir):
     return cut_lineage(z.select("fold", Y, "supplier", *[f"z_{c}" for c in names])), [f"z_{c}" for c in names], size
 
 
+DENSE_CATEGORIES = 512  # up to here all moments are one small matrix a fold
+
+
 def linear_wide_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7-M9 at the reference's width: 18 numeric and all supplier columns, nine ridge
     penalties and 11 L1 ratios x 100 alphas, 5 folds, from one set of moments."""
     tr, names, size = _wide_linear(spark, sf_dir)
-    folds = md.fold_moments(tr, names, Y, category="supplier", size=size)
+    narrow = size <= DENSE_CATEGORIES
+    if narrow:
+        folds = md.fold_moments(tr, names, Y, category="supplier", size=size)
+    else:
+        folds = md.fold_moments(tr, names, Y)
+        sums = cp.category_sums(tr, names, Y, tr.agg(F.avg(Y)).first()[0], "supplier", size, "fold")
     total = sum(folds.values())
-    path = md.alpha_path(total)
+    path = md.alpha_path(total) if narrow else md.alphas_below(cp.largest_product(sums, total))
     sd = float(np.sqrt((total[-1, -1] / total[0, 0] - (total[0, -1] / total[0, 0]) ** 2) * total[0, 0] / (total[0, 0] - 1)))
     n = total[0, 0]
     settings = [{"alpha": a, "ridge": a, "regParam": md.ridge_reg_param(a, sd, n * 4 / 5), "elasticNetParam": 0.0} for a in RIDGE_ALPHAS]
     settings += [{"alpha": a / r, "l1": a, "l2": a / r * (1 - r), **md.elastic_net_params(a / r, r, sd)} for r in L1_RATIOS for a in path]
-    return _cv_table(spark, md.cross_validate_moments(spark, folds, settings)).withColumn("columns", F.lit(len(names) + size))
+    rows = md.cross_validate_moments(spark, folds, settings) if narrow else cp.cross_validate_category(folds, sums, settings)
+    return _cv_table(spark, rows).withColumn("columns", F.lit(len(names) + size))
 
 
 # The reference's forest search space (its criterion is dropped: MLlib has variance only).
