@@ -122,21 +122,30 @@ def _nearest(k: int, names: list[str], exclude: bool, keep: list[str]):
         n = queries.num_rows
         out_q, out_r, out_d = [], [], []
         y = _points(refs, names) if refs.num_rows else np.zeros((0, len(names)))
+        own = (y * y).sum(axis=1)
         for i in range(0, n if len(y) else 0, 256):
             some = queries.slice(i, 256)
-            x, square = _points(some, names), np.zeros((some.num_rows, len(y)))
-            for f in range(len(names)):  # summed in the features' order
-                diff = x[:, f, None] - y[None, :, f]
-                square += diff * diff
-            allowed = square <= some.column("_radius2").to_numpy()[:, None]
+            x, radius = _points(some, names), some.column("_radius2").to_numpy()
+            with np.errstate(over="ignore", invalid="ignore"):
+                size = (x * x).sum(axis=1)[:, None]
+                near = size - 2 * x @ y.T + own  # the distance to within `off`
+                off = 1e-11 * (size + own.max())
+            if not np.isfinite(near).all():  # too large for products
+                near, off = np.zeros(near.shape), np.full(size.shape, np.inf)
+            allowed = near <= radius[:, None] + off
             if exclude:
                 allowed &= some.column("_group").to_numpy()[:, None] != refs.column("_group").to_numpy()[None, :]
-            square[~allowed] = np.inf
-            if len(y) > k:
-                bound = np.partition(square, k - 1, axis=1)[:, k - 1]
-                allowed &= square <= bound[:, None]
+            many = np.flatnonzero(allowed.sum(axis=1) > k)
+            if len(many):
+                bound = np.partition(np.where(allowed[many], near[many], np.inf), k - 1, axis=1)[:, k - 1]
+                allowed[many] &= near[many] <= bound[:, None] + 2 * off[many]
             q, r = np.nonzero(allowed)
-            d = square[q, r]
+            d = np.zeros(len(q))
+            for f in range(len(names)):  # summed in the features' order
+                diff = x[q, f] - y[r, f]
+                d += diff * diff
+            close = d <= radius[q]
+            q, r, d = q[close], r[close], d[close]
             order = np.lexsort((r, d, q))  # equal distances: the refs are in id order
             q, r, d = q[order], r[order], d[order]
             start = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, int)
