@@ -303,6 +303,53 @@ def test_lm_gradient_is_the_loss_slope():
         assert abs((loss[0] - loss[1]) / 2e-4 - g[name][at]) < 2e-3 * max(1, abs(g[name][at]))
 
 
+def test_training_steps_use_their_arrays_again():
+    """A batch after the first takes few fresh bytes, and what an earlier batch left changes nothing."""
+    import tracemalloc
+    a, r = attention_lm, np.random.default_rng(6)
+    w, used = random_weights(3), []
+
+    def batches():
+        for n in (32, 32, 5, 32):
+            if n == 32 and len(used) == 1:
+                tracemalloc.start()
+            used.append((r.integers(0, a.INPUTS, (n, a.WINDOW)), r.integers(0, a.CLASSES, (n, a.SCORED)), (r.random((n, a.SCORED)) < 0.9).astype(np.uint8)))
+            yield used[-1]
+            if len(used) == 2:
+                peak.append(tracemalloc.get_traced_memory()[1])
+                tracemalloc.stop()
+
+    peak: list[int] = []
+    got = a.adam(w, batches())
+    assert peak[0] < 2_500_000  # 4.5 MB with fresh arrays
+    assert all(np.isfinite(v).all() for v in got.values()) and np.array_equal(got["bigram"], w["bigram"])
+    room = a.Room()
+    for x, y, m in used:
+        assert all(np.array_equal(v, a.gradients(w, x, y, m)[k]) for k, v in a.gradients(w, x, y, m, room=room).items())
+        assert np.array_equal(a.log_probs(w, x, y), a.log_probs(w, x, y, room=room))
+
+
+def test_gradients_match_the_plain_softmax():
+    """Also where a logit is beyond what exp can hold."""
+    a, r = attention_lm, np.random.default_rng(7)
+    x, y = r.integers(0, a.INPUTS, (6, a.WINDOW)), r.integers(0, a.CLASSES, (6, a.SCORED))
+    m = (r.random((6, a.SCORED)) < 0.7).astype(np.uint8)
+    for scale in (1, 300):
+        w = random_weights(5)
+        w["out"] *= scale
+        late = x[:, a.CONTEXT:]
+        q, k = (np.clip(w[n][z] + w[n + "p"][at:], -1.9, 1.9).astype(float) for n, z, at in (("q", late, a.CONTEXT), ("k", x, 0)))
+        e = np.exp(q @ k.transpose(0, 2, 1)) * a.SEEN
+        o = (e / e.sum(axis=2, keepdims=True)) @ w["v"][x].astype(float)
+        logits = o @ w["out"].astype(float) + w["bigram"][late]
+        p = np.exp(logits - logits.max(axis=2, keepdims=True))
+        p /= p.sum(axis=2, keepdims=True)
+        p[np.arange(6)[:, None], np.arange(a.SCORED), y] -= 1
+        p *= m[..., None] / m.sum()
+        want = np.einsum("bsw,bsc->wc", o, p)
+        assert np.allclose(a.gradients(w, x, y, m)["out"], want, atol=1e-4 * np.abs(want).max())
+
+
 def test_lm_windows_of_several_texts_are_those_of_each():
     a, r = attention_lm, np.random.default_rng(4)
     kind = (np.arange(a.INPUTS) % a.CLASSES).astype(np.uint8)
