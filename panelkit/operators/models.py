@@ -487,8 +487,7 @@ def gbt_prune(rows: DataFrame, features: list[str], label: str, role: str, trial
             rounds = min(most, trials[i]["maxIter"])
             gbt = GBTRegressor(featuresCol="features", labelCol=label, seed=seed, **{**trials[i], "maxIter": rounds})
             m = gbt.fit(fit_rows)
-            # ten digits: the tasks' sums come in any order, and equal rows must give equal choices
-            curve = [float(f"{e:.10g}") for e in m.evaluateEachIteration(stop_rows, "squared")]
+            curve = _ten_digits(m.evaluateEachIteration(stop_rows, "squared"))
             best = int(np.argmin(curve))
             models[i] = m
             out[i] = {"rounds": rounds, "best_round": best + 1, "stop_rmse": curve[best] ** 0.5}
@@ -508,6 +507,11 @@ def gbt_prune(rows: DataFrame, features: list[str], label: str, role: str, trial
     return [dict(t, **o) for t, o in zip(trials, out)]
 
 
+def _ten_digits(curve: list[float]) -> list[float]:
+    """The tasks' sums come in any order, and equal rows must give equal choices."""
+    return [float(f"{e:.10g}") for e in curve]
+
+
 def _prune_curves(trials: list[dict], curves: list[tuple[list[float], list[float]]], checkpoints: list[int]) -> list[dict]:
     """The rule of `gbt_prune` on whole (stop, score) curves."""
     out: list[dict] = [{} for _ in trials]
@@ -515,7 +519,7 @@ def _prune_curves(trials: list[dict], curves: list[tuple[list[float], list[float
     for most in checkpoints:
         for i in live:
             rounds = min(most, trials[i]["maxIter"])
-            stop, score = curves[i]
+            stop, score = _ten_digits(curves[i][0]), curves[i][1]
             best = int(np.argmin(stop[:rounds]))
             out[i] = {"rounds": rounds, "best_round": best + 1, "stop_rmse": float(stop[best]) ** 0.5, "rmse": float(score[best]) ** 0.5}
         middle = float(np.median([out[i]["stop_rmse"] for i in live]))
