@@ -407,6 +407,18 @@ def test_lm_round_goes_over_every_batch():
         a.adam = real
 
 
+def test_lm_round_sends_only_what_is_fitted():
+    """The bigram table, two thirds of the weights, doesn't go through the shuffle of a round."""
+    import types
+
+    import pyarrow as pa
+    a, flat = attention_lm, attention_lm.pack(random_weights(7))
+    x, y = np.zeros((40, a.WINDOW), np.uint16), np.zeros((40, a.SCORED), np.uint8)
+    b = pa.RecordBatch.from_arrays([pa.array([z.tobytes() for z in t], pa.binary()) for t in (x, y, np.ones_like(y))], ["x", "y", "m"])
+    parts = [p.column("part")[0].as_py() for p in a._round(types.SimpleNamespace(value=flat))(iter([b]))]
+    assert sum(map(len, parts)) == 4 * (len(flat) - a.INPUTS * a.CLASSES)
+
+
 def test_lm_forgotten_words_are_learned_again(monkeypatch):
     monkeypatch.setattr(attention_lm, "REMEMBERED", 3)
     symbol = np.arange(60000).astype(np.uint16)
