@@ -8,23 +8,28 @@ rows. What differs by tree is kept by row: a bootstrap draws rows, and a
 boosting round draws its own share of the rows; the drawn rows are then summed
 by cell. Squared errors need only a cell's count, sum and sum of squares.
 
-It pays where the cells are few against the rows (`worth_cells`); wider designs
-stay with MLlib on the rows.
+It pays where the cells are few against the rows, or the trees are many
+(`worth_cells`); wider designs stay with MLlib on the rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_BINS = 32  # bins a feature, as MLlib's default
 MOST_CELLS = 1 << 15  # sums of all cells fit a task of one tree and a broadcast
-FEW_ROWS = 100_000  # up to here MLlib on the rows is as fast
-BLOCK = 1 << 20  # rows that draw together
+FEW_ROWS = 100_000  # up to here MLlib on the rows is as fast for a few trees
+MANY_TREES = 1000  # so many trees grow from cells whatever the rows
+BLOCK = 1 << 20  # rows held at once
+TILE = 1 << 15  # random numbers drawn at once
+HELD_SUMS = 1 << 20  # sums held before they are sent
 TREES_A_TASK = 10
 
 
@@ -63,22 +68,21 @@ def fit_cells(rows: DataFrame, features: list[str]) -> Cells:
     """Up to 32 distinct values: cuts half way between neighbours. More: cuts at the
     quantiles of all rows."""
     steps = [k / MOST_BINS for k in range(1, MOST_BINS)]
-    r = rows.agg(*[F.percentile_approx(F.col(f).cast("double"), steps, 10_000).alias(f) for f in features]).first()
-    cuts = []
-    for f in features:
-        few = sorted(float(x[0]) for x in rows.select(f).distinct().limit(MOST_BINS + 1).collect())
-        cuts.append([(a + b) / 2 for a, b in zip(few, few[1:])] if len(few) <= MOST_BINS else sorted(set(r[f])))
-    return Cells(features, cuts)
+    few = {f: sorted(float(x[0]) for x in rows.select(f).distinct().limit(MOST_BINS + 1).collect()) for f in features}
+    many = [f for f in features if len(few[f]) > MOST_BINS]
+    r = rows.agg(*[F.percentile_approx(F.col(f).cast("double"), steps, 10_000).alias(f) for f in many]).first() if many else {}
+    return Cells(features, [sorted(set(r[f])) if f in many else [(a + b) / 2 for a, b in zip(few[f], few[f][1:])] for f in features])
 
 
-def worth_cells(rows: DataFrame, features: list[str], label: str) -> Cells | None:
-    """The cells of a design whose rows outnumber them; None where trees should grow on the rows."""
+def worth_cells(rows: DataFrame, features: list[str], label: str, trees: int = 1) -> Cells | None:
+    """The cells of a design whose rows outnumber them, or that grows many trees; None
+    where trees should grow on the rows."""
     n = rows.count()
-    if n <= FEW_ROWS or len(features) > 15:
+    if n == 0 or n <= FEW_ROWS and trees < MANY_TREES or len(features) > 15:
         return None
     refuse_bad(rows, [*features, label])
     cells = fit_cells(rows, features)
-    return cells if cells.n <= min(MOST_CELLS, n) else None
+    return cells if cells.n <= (MOST_CELLS if trees >= MANY_TREES else min(MOST_CELLS, n)) else None
 
 
 def cell_sums(rows: DataFrame, cells: Cells, label: str, by: str) -> dict:
@@ -156,31 +160,85 @@ def _blocks(batches):
         yield tuple(np.concatenate(x) for x in zip(*held))
 
 
+def _by_code(batches):
+    """(code, labels) of sorted rows; a frequent code comes in several parts, one after the other."""
+    for code, y in _blocks(batches):
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(code)]):
+            yield int(code[a]), y[a:b]
+
+
 def _dealt(rows: DataFrame, code: Column, label: str) -> DataFrame:
-    """(code, label) in equal tasks of neighbouring codes, so that a code's sums come
+    """(code, label) sorted in equal tasks of neighbouring codes, so that a code's sums come
     from one or two tasks; a frequent code spans as many as it fills."""
     parts = 3 * rows.sparkSession.sparkContext.defaultParallelism
     return rows.select(code.alias("code"), F.col(label).cast("double").alias("y"), F.rand(7).alias("r")).repartitionByRange(
-        parts, "code", "r").select("code", "y")
+        parts, "code", "r").select("code", "y").sortWithinPartitions("code")
+
+
+def _summed(batches, draw, most: int):
+    """(codes, counts, sums) of up to `most` codes at once: `draw`(labels) gives a code's
+    part's arrays of counts and sums, which are added up over its parts."""
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for code, y in _by_code(batches):
+        n, s = draw(y)
+        if code in held:
+            held[code][0][...] += n
+            held[code][1][...] += s
+            continue
+        if len(held) >= most:
+            yield np.array([*held], np.int32), np.stack([n for n, _ in held.values()]), np.stack([s for _, s in held.values()])
+            held = {}
+        held[code] = n, s
+    if held:
+        yield np.array([*held], np.int32), np.stack([n for n, _ in held.values()]), np.stack([s for _, s in held.values()])
+
+
+def _tiles(rows: int, times: int):
+    """(first row, after the last, first time, after the last) of about TILE numbers."""
+    for a in range(0, rows, TILE):
+        b = min(a + TILE, rows)
+        each = max(1, TILE // (b - a))
+        for t in range(0, times, each):
+            yield a, b, t, min(t + each, times)
+
+
+def _uniform16(rng: np.random.Generator, n: int) -> np.ndarray:
+    return rng.bit_generator.random_raw(-(-n // 4)).view(np.uint16)[:n]
+
+
+def _steps16(rng: np.random.Generator, probabilities: np.ndarray) -> np.ndarray:
+    """How many of the 65,536 numbers lie below each probability: rounded up or down at
+    random, so that on average a number lies below it exactly as often as it should."""
+    return np.minimum(np.floor(65536 * probabilities + rng.random()).astype(int), 65536)
+
+
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
+
+
+def poisson_sums(y: np.ndarray, trees: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """The number and the sum of each tree's draws: a bootstrap gives every row a Poisson(1) weight."""
+    n, s = np.zeros(trees), np.zeros(trees)
+    for a, b, t, end in _tiles(len(y), trees):
+        u, w = _uniform16(rng, (end - t) * (b - a)), np.zeros((end - t) * (b - a), np.uint8)
+        steps = _steps16(rng, _POISSON)
+        for step in steps[steps < 65536].astype(np.uint16):
+            w += u >= step
+        w = w.reshape(end - t, b - a).astype(float)
+        n[t:end] += w.sum(axis=1)
+        s[t:end] += w @ y[a:b]
+    return n, s
 
 
 def bootstrap_sums(rows: DataFrame, cells: Cells, label: str, fold: Column, trees: int, seed: int) -> DataFrame:
     """(tree, code, n, s): each tree's bootstrap of the rows, summed by fold and cell
-    (code = fold * cells + cell). A block of m rows gives Poisson(m) draws with
-    replacement, which is a Poisson(1) weight for every row."""
+    (code = fold * cells + cell)."""
     def run(batches):
-        part = TaskContext.get().partitionId()
-        for b, (code, y) in enumerate(_blocks(batches)):
-            rng = np.random.default_rng([seed, part, b])
-            low = int(code.min())
-            code, width = code - low, int(code.max()) - low + 1
-            for tree in range(trees):
-                drawn = rng.integers(0, len(code), rng.poisson(len(code)))
-                at = code[drawn]
-                n, s = np.bincount(at, minlength=width), np.bincount(at, y[drawn], width)
-                have = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(have), tree, np.int32)), pa.array((have + low).astype(np.int32)),
-                                                  pa.array(n[have].astype(float)), pa.array(s[have])], ["tree", "code", "n", "s"])
+        rng = np.random.Generator(np.random.SFC64([seed, TaskContext.get().partitionId()]))
+        for codes, n, s in _summed(batches, lambda y: poisson_sums(y, trees, rng), max(1, HELD_SUMS // trees)):
+            i, tree = np.nonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(tree.astype(np.int32)), pa.array(codes[i]), pa.array(n[i, tree]), pa.array(s[i, tree])],
+                                             ["tree", "code", "n", "s"])
 
     return _dealt(rows, fold * F.lit(cells.n) + cells.column(), label).mapInArrow(run, "tree int, code int, n double, s double")
 
@@ -278,54 +336,84 @@ def forest_model(rows: DataFrame, cells: Cells, label: str, trees: int, depth: i
     return CellModel(cells, total / trees)
 
 
-def round_sums(rows: DataFrame, cells: Cells, label: str, rates: list[float], rounds: int, seed: int) -> DataFrame:
-    """(trial, round, cell, n, s): the rows a trial of sampling rate rates[trial] draws in
-    a round, summed by cell. A row has one uniform number a round, and is in the
-    round of every trial whose rate is above it."""
-    order = np.argsort(rates, kind="stable")
-    steps = np.array(rates)[order]
-
-    def run(batches):
-        part = TaskContext.get().partitionId()
-        for b, (cell, y) in enumerate(_blocks(batches)):
-            rng = np.random.default_rng([seed, part, b])
-            low = int(cell.min())
-            cell, width = cell - low, int(cell.max()) - low + 1
+def share_sums(y: np.ndarray, rates: np.ndarray, rounds: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """By round and rate (rising) the number and the sum of the rows drawn. A row has one
+    uniform number a round, and is in the round of every rate above it."""
+    width = len(rates) + 1
+    n, s = np.zeros((rounds, width)), np.zeros((rounds, width))
+    names = np.arange(width, dtype=np.uint8 if width <= 256 else np.uint16)
+    for a, b, k, end in _tiles(len(y), rounds):
+        rank = np.repeat(names, np.diff(_steps16(rng, rates), prepend=0, append=65536))  # the lowest rate above each number
+        place = rank[_uniform16(rng, (end - k) * (b - a))].reshape(end - k, b - a) + width * np.arange(end - k)[:, None]
+        size = (end - k) * width
+        n[k:end] += np.bincount(place.ravel(), minlength=size).reshape(-1, width)
+        s[k:end] += np.bincount(place.ravel(), np.tile(y[a:b], end - k), size).reshape(-1, width)
+    return n[:, :-1].cumsum(axis=1), s[:, :-1].cumsum(axis=1)
+
+
+class Boosting:
+    """Boosted trials that go on from where they are. As in MLlib: the first tree fits the
+    label and counts whole, the others fit twice the residual and count stepSize."""
+
+    def __init__(self, rows: DataFrame, cells: Cells, label: str, role: str, trials: list[dict], seed: int):
+        held = cell_sums(rows.where(F.col(role) != "fit"), cells, label, role)
+        nothing = np.zeros((3, cells.n))
+        self.cells, self.trials, self.seed = cells, trials, seed
+        self.now: dict[int, np.ndarray] = {}  # a live trial's prediction by cell
+        self.held = [held.get("stop", nothing), held.get("score", nothing)]
+        self.dealt = _dealt(rows.where(F.col(role) == "fit"), cells.column(), label).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def __enter__(self) -> Boosting:
+        return self
+
+    def __exit__(self, *exc):
+        self.dealt.unpersist()
+
+    def _sums(self, live: list[int], first: int, last: int) -> DataFrame:
+        """(trial, codes, n, s): the rows a trial draws in its rounds from `first`, summed by round and cell."""
+        rates = np.array([self.trials[i].get("subsamplingRate", 1.0) for i in live])
+        own = [min(last, self.trials[i]["maxIter"]) - first for i in live]
+        order, seed, rounds = np.argsort(rates, kind="stable"), self.seed, max(own)
+
+        def run(batches):
+            rng = np.random.Generator(np.random.SFC64([seed, TaskContext.get().partitionId(), first]))
+            for codes, n, s in _summed(batches, lambda y: share_sums(y, rates[order], rounds, rng), max(1, HELD_SUMS // (rounds * len(live)))):
+                out = [[live[j], codes.tobytes(), n[:, :own[j], k].T.astype(np.int32).tobytes(), s[:, :own[j], k].T.tobytes()] for k, j in enumerate(order)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 3))], ["trial", "codes", "n", "s"])
+
+        return self.dealt.mapInArrow(run, "trial int, codes binary, n binary, s binary")
+
+    def advance(self, live: list[int], first: int, last: int) -> dict[int, tuple[list[float], list[float]]]:
+        """Boosts each live trial from round `first` to `last` or its own maxIter: its mean
+        squared errors on the stop and on the score rows after each of these rounds."""
+        live = [i for i in live if self.trials[i]["maxIter"] > first]
+        if not live or last <= first:
+            return {}
+        sc = self.dealt.sparkSession.sparkContext
+        bins, sizes, width, trials, seed = self.cells.bins(), self.cells.sizes, self.cells.n, self.trials, self.seed
+        shared = sc.broadcast((self.held, {i: self.now[i] for i in live if i in self.now}))  # a number a cell and trial
+
+        def run(t: pd.DataFrame) -> pd.DataFrame:
+            i = int(t["trial"].iloc[0])
+            p, (held, before) = trials[i], shared.value
+            rounds, now, curves = min(last, p["maxIter"]) - first, before.get(i, np.zeros(width)), []
+            n, s = np.zeros((rounds, width)), np.zeros((rounds, width))
+            for codes, a, b in zip(t["codes"], t["n"], t["s"]):
+                codes = np.frombuffer(codes, np.int32)
+                n[:, codes] += np.frombuffer(a, np.int32).reshape(rounds, -1)
+                s[:, codes] += np.frombuffer(b).reshape(rounds, -1)
+            rng = np.random.default_rng([seed, i, first])
             for k in range(rounds):
-                u = rng.random(len(cell))
-                place = np.searchsorted(steps, u, side="right") * width + cell
-                n, s = (np.bincount(place, w, (len(steps) + 1) * width).reshape(-1, width)[:-1].cumsum(axis=0) for w in (None, y))
-                j, c = np.nonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(order[j].astype(np.int32)), pa.array(np.full(len(j), k, np.int32)), pa.array((c + low).astype(np.int32)),
-                                                  pa.array(n[j, c].astype(float)), pa.array(s[j, c])], ["trial", "round", "cell", "n", "s"])
-
-    return _dealt(rows, cells.column(), label).mapInArrow(run, "trial int, round int, cell int, n double, s double")
-
-
-def boost_curves(rows: DataFrame, cells: Cells, label: str, role: str, trials: list[dict], rounds: int, seed: int) -> list[tuple[list[float], list[float]]]:
-    """Per trial the mean squared error on the stop and on the score rows after each
-    round. As in MLlib: the first tree fits the label and counts whole, the others
-    fit twice the residual and count stepSize."""
-    held = cell_sums(rows.where(F.col(role) != "fit"), cells, label, role)
-    nothing = np.zeros((3, cells.n))
-    shared = rows.sparkSession.sparkContext.broadcast([held.get("stop", nothing), held.get("score", nothing)])
-    bins, sizes, width = cells.bins(), cells.sizes, cells.n
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        i = int(t["trial"].iloc[0])
-        p, now, curves = trials[i], np.zeros(width), []
-        rng = np.random.default_rng([seed, i])
-        for k, x in sorted(t.groupby("round"), key=lambda x: x[0])[:p["maxIter"]]:
-            n, s = (np.bincount(x["cell"].to_numpy(), x[c].to_numpy(), width) for c in ("n", "s"))
-            y = 2 * (s - n * now) if k else s
-            tree = grow(bins, sizes, n, y, p["maxDepth"], subset_size(p.get("featureSubsetStrategy", "all"), len(sizes)), rng,
-                        p.get("minInstancesPerNode", 1), p.get("minInfoGain", 0.0))[-1]
-            now = now + (p.get("stepSize", 0.1) if k else 1.0) * tree
-            curves.append([squared_error(h, now) / max(h[0].sum(), 1) for h in shared.value])
-        stop, score = zip(*curves)
-        return pd.DataFrame({"trial": [i], "stop": [list(stop)], "score": [list(score)]})
-
-    sums = round_sums(rows.where(F.col(role) == "fit"), cells, label, [t.get("subsamplingRate", 1.0) for t in trials], rounds, seed)
-    got = sums.repartition(len(trials), "trial").groupBy("trial").applyInPandas(run, "trial int, stop array<double>, score array<double>").collect()
-    curves = {r["trial"]: (r["stop"], r["score"]) for r in got}  # a row a trial
-    return [curves[i] for i in range(len(trials))]
+                y = 2 * (s[k] - n[k] * now) if first + k else s[k]
+                tree = grow(bins, sizes, n[k], y, p["maxDepth"], subset_size(p.get("featureSubsetStrategy", "all"), len(sizes)), rng,
+                            p.get("minInstancesPerNode", 1), p.get("minInfoGain", 0.0))[-1]
+                now = now + (p.get("stepSize", 0.1) if first + k else 1.0) * tree
+                curves.append([squared_error(h, now) / max(h[0].sum(), 1) for h in held])
+            stop, score = zip(*curves)
+            return pd.DataFrame({"trial": [i], "stop": [list(stop)], "score": [list(score)], "now": [now.tobytes()]})
+
+        sums = self._sums(live, first, last)
+        got = sums.repartition(len(live), "trial").groupBy("trial").applyInPandas(
+            run, "trial int, stop array<double>, score array<double>, now binary").collect()  # a row a trial, with a number a cell
+        self.now = {r["trial"]: np.frombuffer(r["now"]) for r in got}
+        return {r["trial"]: (r["stop"], r["score"]) for r in got}

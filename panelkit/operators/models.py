@@ -468,13 +468,14 @@ def gbt_prune(rows: DataFrame, features: list[str], label: str, role: str, trial
     trials. The rounds it keeps are those up to its best; only then do the
     score rows rate it, so they neither stop nor choose anything. Returns each
     trial with `rounds` (really run), `best_round`, `stop_rmse` and `rmse`.
-    Where the rows outnumber the cells (see `cell_trees`), one pass over the rows
-    gives every trial's curves to the last checkpoint, and the same rule prunes them.
+    Where the rows outnumber the cells or the rounds are many (see `cell_trees`),
+    the trees grow from the cells' sums of each round's rows, by the same rule.
     """
+    most = max(checkpoints)
     with _Cached(rows, [*features, label, role]) as t:
-        if cells := ct.worth_cells(t, features, label):
-            curves = ct.boost_curves(t, cells, label, role, trials, max(checkpoints), seed)
-            return _prune_curves(trials, curves, checkpoints)
+        if cells := ct.worth_cells(t, features, label, sum(min(most, x["maxIter"]) for x in trials)):
+            with ct.Boosting(t, cells, label, role, trials, seed) as boosting:
+                return _prune_curves(trials, boosting.advance, checkpoints)
     out: list[dict] = [{} for _ in trials]
     models: dict[int, object] = {}
     live = list(range(len(trials)))
@@ -512,16 +513,19 @@ def _ten_digits(curve: list[float]) -> list[float]:
     return [float(f"{e:.10g}") for e in curve]
 
 
-def _prune_curves(trials: list[dict], curves: list[tuple[list[float], list[float]]], checkpoints: list[int]) -> list[dict]:
-    """The rule of `gbt_prune` on whole (stop, score) curves."""
+def _prune_curves(trials: list[dict], advance, checkpoints: list[int]) -> list[dict]:
+    """The rule of `gbt_prune` on the (stop, score) curves that `advance` goes on with."""
     out: list[dict] = [{} for _ in trials]
+    curves: list[tuple[list[float], list[float]]] = [([], []) for _ in trials]
     live = list(range(len(trials)))
-    for most in checkpoints:
+    for before, most in zip([0, *checkpoints], checkpoints):
+        for i, more in advance(live, before, most).items():
+            for curve, errors in zip(curves[i], more):
+                curve.extend(errors)
         for i in live:
-            rounds = min(most, trials[i]["maxIter"])
             stop, score = _ten_digits(curves[i][0]), curves[i][1]
-            best = int(np.argmin(stop[:rounds]))
-            out[i] = {"rounds": rounds, "best_round": best + 1, "stop_rmse": float(stop[best]) ** 0.5, "rmse": float(score[best]) ** 0.5}
+            best = int(np.argmin(stop))
+            out[i] = {"rounds": len(stop), "best_round": best + 1, "stop_rmse": float(stop[best]) ** 0.5, "rmse": float(score[best]) ** 0.5}
         middle = float(np.median([out[i]["stop_rmse"] for i in live]))
         live = [i for i in live if out[i]["stop_rmse"] <= middle and trials[i]["maxIter"] > most]
         if not live:
@@ -538,10 +542,9 @@ def trial_log(spark, model_name: str, trials: list[dict]) -> DataFrame:
 
 
 def best_trial(log: DataFrame) -> DataFrame:
-    """Per model the trial with the lowest score among those that boosted longest
-    (ties: lowest trial number)."""
+    """Per model the trial with the lowest score (ties: lowest trial number)."""
     return log.groupBy("model").agg(
-        F.min_by(F.struct("trial", "params", "rounds", "best_round", "rmse"), F.struct(-F.col("rounds"), "rmse", "trial")).alias("b")).select(
+        F.min_by(F.struct("trial", "params", "rounds", "best_round", "rmse"), F.struct("rmse", "trial")).alias("b")).select(
         "model", "b.trial", "b.params", "b.rounds", "b.best_round", "b.rmse")
 
 

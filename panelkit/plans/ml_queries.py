@@ -292,8 +292,9 @@ def gbt_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GBT_DRAWS = 100
-# every trial boosts two rounds; about half go on at each checkpoint
-GBT_CHECKPOINTS = [2, 4, 8, 16]
+# every trial boosts 200 rounds or all of its own; of those with more to come, the ones up
+# to the median go on, at last to the end of the longest (see GBT_SPACE's maxIter)
+GBT_CHECKPOINTS = [200, 400, 550]
 
 
 def _gbt_trials(spark, sf_dir):
@@ -306,7 +307,8 @@ def _gbt_trials(spark, sf_dir):
 
 
 def gbt_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """100 seeded draws of boosted-tree settings with median pruning."""
+    """100 seeded draws of boosted-tree settings with median pruning; a trial that isn't
+    pruned boosts all of its own 50 to 550 rounds."""
     return _gbt_trials(spark, sf_dir)
 
 

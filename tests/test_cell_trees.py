@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from panelkit.operators import cell_trees as ct
 from panelkit.operators import features as fe
 from panelkit.operators import models as md
+from panelkit.plans import ml_queries as mq
 
 X = ["a", "b", "c"]
 
@@ -105,3 +106,37 @@ def test_cells_refuse_nulls_and_cut_many_values_at_quantiles(spark, cells_only):
     model = md.forest_fit(many, ["a", "b"], "y", numTrees=2, maxDepth=2, featureSubsetStrategy="all")
     with pytest.raises(Exception, match="NULL or NaN"):
         model.transform(bad).collect()
+
+
+def test_shares_draw_each_row_at_its_rate():
+    """By round and rate: a row is drawn with exactly the rate's probability, and a higher rate's rows hold a lower one's."""
+    y = np.random.default_rng(1).normal(3, 1, 4000)
+    rates = np.array([0.1234567, 0.5, 0.5000001, 1.0])
+    n, s = ct.share_sums(y, rates, 400, np.random.Generator(np.random.SFC64(3)))
+    assert n.shape == s.shape == (400, 4) and (np.diff(n, axis=1) >= 0).all()
+    assert (n[:, 3] == 4000).all() and np.allclose(s[:, 3], y.sum())
+    assert (abs(n.mean(axis=0) / 4000 - rates) < 5 * np.sqrt(rates * (1 - rates) / 4000 / 400) + 1e-9).all()
+    assert (abs(s.mean(axis=0) - rates * y.sum()) < 5 * np.sqrt((y * y).sum() * rates * (1 - rates) / 400) + 1e-6).all()
+    assert abs(n[:, 1].var() / 1000 - 1) < 0.45 and abs(np.corrcoef(n[:-1, 1], n[1:, 1])[0, 1]) < 0.25
+
+
+def test_unpruned_trials_boost_all_their_rounds(df, monkeypatch):
+    """Nothing but the median stops a trial, however many rounds it has; going on from a
+    checkpoint is the same as never having stopped there."""
+    monkeypatch.setattr(ct, "MANY_TREES", 0)
+    base = {"maxDepth": 2, "stepSize": 0.1, "minInstancesPerNode": 5}
+    lone = md.gbt_prune(df, X, "y", "role", [dict(base, maxIter=550)], mq.GBT_CHECKPOINTS)[0]
+    assert lone["rounds"] == 550 and lone["best_round"] > 16
+    trials = [dict(base, maxIter=m) for m in (30, 50, 60, 50)]
+    got = md.gbt_prune(df, X, "y", "role", trials, mq.GBT_CHECKPOINTS)
+    assert [t["rounds"] for t in got] == [30, 50, 60, 50]
+    for a, b in zip(got, md.gbt_prune(df, X, "y", "role", trials, [7, 8, 60])):
+        if b["rounds"] == a["rounds"]:
+            assert a["best_round"] == b["best_round"] and abs(a["rmse"] - b["rmse"]) < 1e-9
+    assert mq.GBT_CHECKPOINTS[0] >= 200 and mq.GBT_CHECKPOINTS[-1] >= md.GBT_SPACE["maxIter"][1]
+
+
+def test_the_best_trial_has_the_lowest_score_whatever_its_rounds(spark):
+    base = {"maxDepth": 3, "best_round": 40, "stop_rmse": 1.0}
+    log = md.trial_log(spark, "gbt", [dict(base, rounds=r, rmse=e) for r, e in ((550, 3.0), (60, 2.0), (400, 2.5), (70, 2.0))])
+    assert md.best_trial(log).first().trial == 1
