@@ -34,16 +34,21 @@ def assembler(features: list[str], out: str = "features"):
 
 class _Cached:
     """Persist only the columns a fit needs for the fit's several passes
-    (MEMORY_AND_DISK; a lost block is recomputed from lineage), then release."""
+    (MEMORY_AND_DISK; a lost block is recomputed from lineage), then release.
+    Rows that the caller has persisted aren't stored twice."""
 
     def __init__(self, df: DataFrame, cols: list[str]):
-        self.df = df.select(*dict.fromkeys(cols)).persist(StorageLevel.MEMORY_AND_DISK)
+        level = df.storageLevel
+        self.df, self.own = df.select(*dict.fromkeys(cols)), not (level.useMemory or level.useDisk)
+        if self.own:
+            self.df = self.df.persist(StorageLevel.MEMORY_AND_DISK)
 
     def __enter__(self) -> DataFrame:
         return self.df
 
     def __exit__(self, *exc):
-        self.df.unpersist()
+        if self.own:
+            self.df.unpersist()
 
 
 def ols_fit(train: DataFrame, features: list[str], label: str):
@@ -306,24 +311,25 @@ def forest_cv(train: DataFrame, features: list[str], label: str, settings: list[
     featureSubsetStrategy). Settings that differ only in trees and depth share
     one fit per fold. `share` fits on that part of the rows (by hash) with that
     part of the trees; the held-out rows are always all of a fold. Tables with
-    more rows than cells grow their trees from cells' sums (see `cell_trees`)."""
-    folds = [r[0] for r in train.select(fold_col).distinct().sort(fold_col).collect()]
+    more rows than cells, or many trees, grow from cells' sums (see `cell_trees`)."""
     trees_of = {s["numTrees"]: max(1, round(s["numTrees"] * share)) for s in settings}
-    jobs = [(strategy, f) for strategy in sorted({s["featureSubsetStrategy"] for s in settings}) for f in folds]
-    data = train.select(*features, label, fold_col, F.pmod(F.xxhash64(*features, label, fold_col, F.lit("share")), F.lit(1 << 20)).alias("_draw"))
-    with _Cached(data, data.columns) as t:
-        if cells := ct.worth_cells(t, features, label):
-            part = t.where(F.col("_draw") < int(share * (1 << 20)))
-            errors = ct.forest_cv_errors(part, ct.cell_sums(t, cells, label, fold_col), cells, label, fold_col, folds,
-                                         sorted({s["featureSubsetStrategy"] for s in settings}), sorted(set(trees_of.values())),
-                                         sorted({s["maxDepth"] for s in settings}), seed)
+    strategies = sorted({s["featureSubsetStrategy"] for s in settings})
+    if share < 1:
+        train = train.select(*features, label, fold_col, F.pmod(F.xxhash64(*features, label, fold_col, F.lit("share")), F.lit(1 << 20)).alias("_draw"))
+    drawn = F.col("_draw") < int(share * (1 << 20)) if share < 1 else F.lit(True)
+    with _Cached(train, [*features, label, fold_col, *(["_draw"] if share < 1 else [])]) as t:
+        folds = [r[0] for r in t.select(fold_col).distinct().sort(fold_col).collect()]
+        jobs = [(strategy, f) for strategy in strategies for f in folds]
+        if cells := ct.worth_cells(t, features, label, max(trees_of.values()) * len(jobs)):
+            errors = ct.forest_cv_errors(t.where(drawn), ct.cell_sums(t, cells, label, fold_col), cells, label, fold_col, folds,
+                                         strategies, sorted(set(trees_of.values())), sorted({s["maxDepth"] for s in settings}), seed)
             return [dict(s, cv_rmse=float(np.mean([errors[s["featureSubsetStrategy"], f][trees_of[s["numTrees"]], s["maxDepth"]] for f in folds])))
                     for s in settings]
 
         def one(job):
             strategy, f = job
             own = [s for s in settings if s["featureSubsetStrategy"] == strategy]
-            part = t.where((F.col(fold_col) != f) & (F.col("_draw") < int(share * (1 << 20))))
+            part = t.where((F.col(fold_col) != f) & drawn)
             fit = _forest_on_rows(part, features, label, seed, numTrees=max(trees_of[s["numTrees"]] for s in own),
                                   maxDepth=max(s["maxDepth"] for s in own), featureSubsetStrategy=strategy)
             got = forest_errors(t.where(F.col(fold_col) == f), features, label, tree_tables(train.sparkSession, fit.stages[-1]),

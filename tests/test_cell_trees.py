@@ -140,3 +140,13 @@ def test_the_best_trial_has_the_lowest_score_whatever_its_rounds(spark):
     base = {"maxDepth": 3, "best_round": 40, "stop_rmse": 1.0}
     log = md.trial_log(spark, "gbt", [dict(base, rounds=r, rmse=e) for r, e in ((550, 3.0), (60, 2.0), (400, 2.5), (70, 2.0))])
     assert md.best_trial(log).first().trial == 1
+
+
+def test_the_forest_search_scores_every_draw_on_all_rows_and_trees(df, monkeypatch):
+    assert mq.FOREST_RUNGS == [(1.0, 1)]
+    seen = []
+    real = ct.forest_cv_errors
+    monkeypatch.setattr(ct, "forest_cv_errors", lambda part, held, *a: seen.append((part.count(), sum(h[0].sum() for h in held.values()), a[5])) or real(part, held, *a))
+    settings = [{"numTrees": t, "maxDepth": 2, "featureSubsetStrategy": "all"} for t in (150, 200)]
+    rows = md.forest_halving(df, X, "y", settings, mq.FOREST_RUNGS)  # 1,000 trees: cells, though the rows are few
+    assert [r["rung"] for r in rows] == [0, 0] and seen == [(4000, 4000.0, [150, 200])]
