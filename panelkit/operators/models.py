@@ -35,19 +35,18 @@ def assembler(features: list[str], out: str = "features"):
 class _Cached:
     """Persist only the columns a fit needs for the fit's several passes
     (MEMORY_AND_DISK; a lost block is recomputed from lineage), then release.
-    Rows that the caller has persisted aren't stored twice."""
+    ``stored``: the caller has persisted the rows, they aren't stored twice."""
 
-    def __init__(self, df: DataFrame, cols: list[str]):
-        level = df.storageLevel
-        self.df, self.own = df.select(*dict.fromkeys(cols)), not (level.useMemory or level.useDisk)
-        if self.own:
+    def __init__(self, df: DataFrame, cols: list[str], stored: bool = False):
+        self.df, self.stored = df.select(*dict.fromkeys(cols)), stored
+        if not stored:
             self.df = self.df.persist(StorageLevel.MEMORY_AND_DISK)
 
     def __enter__(self) -> DataFrame:
         return self.df
 
     def __exit__(self, *exc):
-        if self.own:
+        if not self.stored:
             self.df.unpersist()
 
 
@@ -306,7 +305,7 @@ def forest_errors(rows: DataFrame, features: list[str], label: str, trees: list[
 
 
 def forest_cv(train: DataFrame, features: list[str], label: str, settings: list[dict], fold_col: str = "fold", seed: int = 6,
-              parallelism: int = 4, share: float = 1.0) -> list[dict]:
+              parallelism: int = 4, share: float = 1.0, stored: bool = False) -> list[dict]:
     """Mean held-out RMSE over the folds of every setting (numTrees, maxDepth,
     featureSubsetStrategy). Settings that differ only in trees and depth share
     one fit per fold. `share` fits on that part of the rows (by hash) with that
@@ -317,7 +316,7 @@ def forest_cv(train: DataFrame, features: list[str], label: str, settings: list[
     if share < 1:
         train = train.select(*features, label, fold_col, F.pmod(F.xxhash64(*features, label, fold_col, F.lit("share")), F.lit(1 << 20)).alias("_draw"))
     drawn = F.col("_draw") < int(share * (1 << 20)) if share < 1 else F.lit(True)
-    with _Cached(train, [*features, label, fold_col, *(["_draw"] if share < 1 else [])]) as t:
+    with _Cached(train, [*features, label, fold_col, *(["_draw"] if share < 1 else [])], stored and share == 1) as t:
         folds = [r[0] for r in t.select(fold_col).distinct().sort(fold_col).collect()]
         jobs = [(strategy, f) for strategy in strategies for f in folds]
         if cells := ct.worth_cells(t, features, label, max(trees_of.values()) * len(jobs)):
@@ -362,11 +361,11 @@ def best_of_search(rows: list[dict]) -> dict:
     return min(rows, key=lambda r: (-r["rung"], r["cv_rmse"]))
 
 
-def forest_fit(train: DataFrame, features: list[str], label: str, seed: int = 6, **params):
+def forest_fit(train: DataFrame, features: list[str], label: str, seed: int = 6, stored: bool = False, **params):
     """A fitted forest with `transform`: from cells' sums where the rows outnumber the
     cells and only trees, depth and subset are set, else MLlib's pipeline on the rows."""
     if set(params) == {"numTrees", "maxDepth", "featureSubsetStrategy"}:
-        with _Cached(train, [*features, label]) as t:
+        with _Cached(train, [*features, label], stored) as t:
             if cells := ct.worth_cells(t, features, label):
                 return ct.forest_model(t, cells, label, params["numTrees"], params["maxDepth"], params["featureSubsetStrategy"], seed)
     return _forest_on_rows(train, features, label, seed, **params)
@@ -464,7 +463,7 @@ def gbt_trials(n: int, seed: int) -> list[dict]:
 
 
 def gbt_prune(rows: DataFrame, features: list[str], label: str, role: str, trials: list[dict], checkpoints: list[int],
-              seed: int = 42, parallelism: int = 8) -> list[dict]:
+              seed: int = 42, parallelism: int = 8, stored: bool = False) -> list[dict]:
     """Boosted-tree trials with median pruning.
 
     ``role`` marks the rows that fit ('fit'), stop ('stop') and score ('score').
@@ -478,7 +477,7 @@ def gbt_prune(rows: DataFrame, features: list[str], label: str, role: str, trial
     the trees grow from the cells' sums of each round's rows, by the same rule.
     """
     most = max(checkpoints)
-    with _Cached(rows, [*features, label, role]) as t:
+    with _Cached(rows, [*features, label, role], stored) as t:
         if cells := ct.worth_cells(t, features, label, sum(min(most, x["maxIter"]) for x in trials)):
             with ct.Boosting(t, cells, label, role, trials, seed) as boosting:
                 return _prune_curves(trials, boosting.advance, checkpoints)

@@ -204,13 +204,26 @@ FOREST_DRAWS = 54
 FOREST_RUNGS = [(1.0, 1)]
 
 
-def _tree_data(spark, sf_dir):
+def _tree_table(spark, sf_dir):
     mt = fe.kfold(model_table(spark, sf_dir), "row_id", k=5, seed=SEED)
     if mt.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
         mt = mt.repartition("row_id")  # a small file would be one partition and one task of every fit
+    return mt
+
+
+def _parts(mt: DataFrame) -> tuple[DataFrame, DataFrame]:
     return mt.where(F.col("part") == fe.TRAIN), mt.where(F.col("part") == fe.TEST)
 
 
+def _tree_data(spark, sf_dir):
+    return _parts(_tree_table(spark, sf_dir))
+
+
+def _stored_tree_table(spark, sf_dir, *more: str):
+    """The rows of both parts, their keys' hashes worked out once for all passes of a query."""
+    return md._Cached(_tree_table(spark, sf_dir), ["part", "fold", Y, *X3, *more])
+
+
 #: Searches made by this process, by kind, application and table folder: the
 #: queries that go on from a search's result run it once.
 _SEARCHED: dict[tuple[str, str, str], list[dict]] = {}
@@ -223,24 +236,23 @@ def _once(kind: str, spark: SparkSession, sf_dir: str, search) -> list[dict]:
     return _SEARCHED[key]
 
 
-def _forest_trials(spark: SparkSession, sf_dir: str, tr: DataFrame) -> list[dict]:
+def _forest_trials(spark: SparkSession, sf_dir: str, tr: DataFrame, stored: bool = False) -> list[dict]:
     return _once("forest", spark, sf_dir, lambda: md.forest_halving(
-        tr, X3, Y, md.sample_grid(FOREST_GRID, FOREST_DRAWS, seed=229), FOREST_RUNGS))
+        tr, X3, Y, md.sample_grid(FOREST_GRID, FOREST_DRAWS, seed=229), FOREST_RUNGS, stored=stored))
 
 
 def forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random search: 54 seeded draws of the forest grid, each with 5-fold CV on all rows and trees."""
-    tr, _ = _tree_data(spark, sf_dir)
-    rows = _forest_trials(spark, sf_dir, tr)
+    with _stored_tree_table(spark, sf_dir) as mt:
+        rows = _forest_trials(spark, sf_dir, _parts(mt)[0], True)
     return spark.createDataFrame([(r["numTrees"], r["maxDepth"], r["featureSubsetStrategy"], r["rung"], r["cv_rmse"])
                                   for r in rows], "num_trees int, max_depth int, feature_subset string, rung int, cv_rmse double")
 
 
-def _best_forest(spark: SparkSession, sf_dir: str, tr: DataFrame):
+def _best_forest(spark: SparkSession, sf_dir: str, tr: DataFrame, stored: bool = False):
     """The search's best forest, refit on the whole training part."""
-    with md._Cached(tr, [*X3, Y, "fold"]) as t:  # for the search and the refit
-        best = md.best_of_search(_forest_trials(spark, sf_dir, t))
-        return md.forest_fit(t, X3, Y, **{k: best[k] for k in FOREST_GRID})
+    best = md.best_of_search(_forest_trials(spark, sf_dir, tr, stored))
+    return md.forest_fit(tr, X3, Y, 6, stored, **{k: best[k] for k in FOREST_GRID})
 
 
 def _test_metrics(pred: DataFrame, model_name: str) -> DataFrame:
@@ -249,16 +261,19 @@ def _test_metrics(pred: DataFrame, model_name: str) -> DataFrame:
 
 def forest_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Refit the search's best forest on the whole training part, score the test part."""
-    tr, te = _tree_data(spark, sf_dir)
-    return _test_metrics(_best_forest(spark, sf_dir, tr).transform(te), "random_forest")
+    with _stored_tree_table(spark, sf_dir) as mt:
+        tr, te = _parts(mt)
+        got = _test_metrics(_best_forest(spark, sf_dir, tr, True).transform(te), "random_forest")
+        return spark.createDataFrame(got.collect(), got.schema)  # a row
 
 
 def forest_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1 + A6 on the tuned model: medians of the features among the worst 10 % of
     the best forest's test residuals and among the rest."""
-    tr, te = _tree_data(spark, sf_dir)
-    scored = _best_forest(spark, sf_dir, tr).transform(te.select("row_id", Y, *X3))
-    scored = cut_lineage(scored.select("row_id", *X3, F.abs(F.col(Y) - F.col("prediction")).alias("abs_residual")))
+    with _stored_tree_table(spark, sf_dir, "row_id") as mt:
+        tr, te = _parts(mt)
+        scored = _best_forest(spark, sf_dir, tr, True).transform(te.select("row_id", Y, *X3))
+        scored = cut_lineage(scored.select("row_id", *X3, F.abs(F.col(Y) - F.col("prediction")).alias("abs_residual")))
     worst = ct.flag_worst_fraction(scored, "abs_residual", "row_id", 0.1)
     return ct.median_contrast(worst, ["abs_residual", *X3], "is_extreme")
 
@@ -301,11 +316,13 @@ GBT_CHECKPOINTS = [200, 400, 550]
 
 def _gbt_trials(spark, sf_dir):
     """Of the training part 60 % fit, 20 % stop and prune, 20 % score (hash split, seed 42)."""
-    tr, _ = _tree_data(spark, sf_dir)
-    draw = fe.hash_bucket(F.col("row_id"), 42, 100)
-    tr = tr.withColumn("role", F.when(draw < 20, "stop").when(draw < 40, "score").otherwise("fit"))
-    return md.trial_log(spark, "gbt", _once("boosting", spark, sf_dir, lambda: md.gbt_prune(
-        tr, X3, Y, "role", md.gbt_trials(GBT_DRAWS, seed=24), GBT_CHECKPOINTS)))
+    def search():
+        draw = fe.hash_bucket(F.col("row_id"), 42, 100)
+        mt = _tree_table(spark, sf_dir).withColumn("role", F.when(draw < 20, "stop").when(draw < 40, "score").otherwise("fit"))
+        with md._Cached(mt, ["part", "role", Y, *X3]) as t:
+            return md.gbt_prune(_parts(t)[0], X3, Y, "role", md.gbt_trials(GBT_DRAWS, seed=24), GBT_CHECKPOINTS, stored=True)
+
+    return md.trial_log(spark, "gbt", _once("boosting", spark, sf_dir, search))
 
 
 def gbt_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,5 +356,6 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drop in test R^2 of the search's best forest when one feature is permuted, 10 repeats."""
-    tr, te = _tree_data(spark, sf_dir)
-    return md.permutation_importance(_best_forest(spark, sf_dir, tr), te, X3, Y, key="row_id")
+    with _stored_tree_table(spark, sf_dir, "row_id") as mt:
+        tr, te = _parts(mt)
+        return md.permutation_importance(_best_forest(spark, sf_dir, tr, True), te, X3, Y, key="row_id")
