@@ -23,6 +23,8 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 MOST_BINS = 32  # bins a feature, as MLlib's default
 MOST_CELLS = 1 << 15  # sums of all cells fit a task of one tree and a broadcast
 FEW_ROWS = 100_000  # up to here MLlib on the rows is as fast for a few trees
@@ -320,14 +322,102 @@ class CellModel:
     def __init__(self, cells: Cells, prediction: np.ndarray):
         self.cells, self.prediction = cells, prediction
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Adds `prediction`; a NULL or NaN feature is an error."""
+    def cell(self) -> Column:
+        """A row's cell; a NULL or NaN feature is an error."""
         bad = F.lit(False)
         for f in self.cells.features:
             bad = bad | F.col(f).isNull() | F.isnan(F.col(f).cast("double"))
-        cell = F.when(bad, F.raise_error(F.lit("NULL or NaN feature")).cast("int")).otherwise(self.cells.column())
+        return F.when(bad, F.raise_error(F.lit("NULL or NaN feature")).cast("int")).otherwise(self.cells.column())
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds `prediction`; a NULL or NaN feature is an error."""
         table = df.sparkSession.createDataFrame(pd.DataFrame({"_cell": np.arange(self.cells.n, dtype="int32"), "prediction": self.prediction}))
-        return df.withColumn("_cell", cell).join(F.broadcast(table), "_cell", "left").drop("_cell")
+        return df.withColumn("_cell", self.cell()).join(F.broadcast(table), "_cell", "left").drop("_cell")
+
+
+def _circle_blocks(batches):
+    """One row per bucket or BLOCK rows of it: sorted (bucket, cell, label) rows become arrays."""
+    def block(bucket, part, held):
+        cell, y = (pa.concat_arrays([b.column(c) for b in held]) for c in (1, 2))
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([part], pa.int32()), pa.array([len(cell)], pa.int64()),
+                                           *[pa.array([x.tobytes()], pa.binary()) for x in (cell.to_numpy(), y.to_numpy(zero_copy_only=False),
+                                                                                            y.is_valid().to_numpy(zero_copy_only=False))]],
+                                          ["bucket", "part", "n", "cell", "y", "known"])
+
+    at, part, held, size = None, 0, [], 0
+    for b in batches:
+        bucket = b.column(0).to_numpy()
+        ends = [*(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+        for first, end in zip([0, *ends], ends):
+            if first == end:
+                continue
+            new = int(bucket[first]) != at
+            if held and (new or size >= BLOCK):
+                yield block(at, part, held)
+                part, held, size = part + 1, [], 0
+            if new:
+                at, part = int(bucket[first]), 0
+            held.append(b.slice(first, end - first))
+            size += end - first
+    if held:
+        yield block(at, part, held)
+
+
+def permuted_errors(model: CellModel, rows: DataFrame, label: str, order: list[Column], ahead: list[int]) -> dict:
+    """{(feature, repeat): squared error} of the rows with one feature taken from the row
+    `ahead`[repeat] places on in the circle of all rows by `order` (a bucket of rows
+    first), and the plain one under ("", -1).
+
+    A prediction depends on cells only, so the circle is kept as blocks of cells and
+    labels, and a repeat sends each block's cells to the one or two blocks they go to.
+    """
+    spark, cells, prediction = rows.sparkSession, model.cells, model.prediction
+    named = rows.select(F.coalesce(order[0], F.lit(-1)).cast("int").alias("bucket"), model.cell().alias("cell"), F.col(label).cast("double").alias("y"),
+                        *[o.alias(f"_o{i}") for i, o in enumerate(order[1:])])
+    named = named.repartition("bucket").sortWithinPartitions("bucket", *[f"_o{i}" for i in range(len(order) - 1)])
+    blocks = cut_lineage(named.select("bucket", "cell", "y").mapInArrow(_circle_blocks, "bucket int, part int, n long, cell binary, y binary, known binary"))
+    sizes = blocks.select("bucket", "part", "n").sort("bucket", "part").collect()  # a row per bucket or BLOCK rows
+    starts = np.cumsum([0, *[r["n"] for r in sizes]])
+    shared = spark.sparkContext.broadcast(({(r["bucket"], r["part"]): i for i, r in enumerate(sizes)}, starts))
+
+    def send(batches):
+        number, starts = shared.value
+        total = int(starts[-1])
+        for b in batches:
+            for r in b.to_pylist():
+                own = number[r["bucket"], r["part"]]
+                yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([-1], pa.int32()), pa.array([0], pa.int64()),
+                                                  *[pa.array([r[c]], pa.binary()) for c in ("cell", "y", "known")]], ["block", "repeat", "first", "cell", "y", "known"])
+                for repeat, a in enumerate(ahead):
+                    done, to = 0, (int(starts[own]) - a) % total
+                    while done < r["n"]:
+                        block = int(np.searchsorted(starts, to, side="right")) - 1
+                        take = min(r["n"] - done, int(starts[block + 1]) - to)
+                        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([repeat], pa.int32()), pa.array([to - int(starts[block])], pa.int64()),
+                                                          pa.array([r["cell"][4 * done:4 * (done + take)]], pa.binary()), *[pa.array([None], pa.binary())] * 2],
+                                                         ["block", "repeat", "first", "cell", "y", "known"])
+                        done, to = done + take, (to + take) % total
+
+    strides = np.cumprod([1, *cells.sizes[:0:-1]])[::-1].tolist()
+
+    def score(t: pa.Table) -> pa.Table:
+        got = t.to_pylist()
+        own = next(r for r in got if r["repeat"] < 0)
+        cell, y, known = np.frombuffer(own["cell"], np.int32), np.frombuffer(own["y"]), np.frombuffer(own["known"], bool)
+        taken = np.zeros((len(ahead), len(cell)), np.int32)
+        for r in got:
+            if r["repeat"] >= 0:
+                part = np.frombuffer(r["cell"], np.int32)
+                taken[r["repeat"], r["first"]:r["first"] + len(part)] = part
+        out = [("", -1, float(((y - prediction[cell])[known] ** 2).sum()))]
+        for f, size, stride in zip(cells.features, cells.sizes, strides):
+            rest = cell - cell // stride % size * stride
+            out += [(f, k, float(((y - prediction[rest + taken[k] // stride % size * stride])[known] ** 2).sum())) for k in range(len(ahead))]
+        return pa.table(dict(zip(("feature", "repeat", "sse"), map(pa.array, zip(*out)))), schema=pa.schema([("feature", pa.string()), ("repeat", pa.int32()), ("sse", pa.float64())]))
+
+    sent = blocks.mapInArrow(send, "block int, repeat int, first long, cell binary, y binary, known binary")
+    errors = sent.groupBy("block").applyInArrow(score, "feature string, repeat int, sse double").groupBy("feature", "repeat").agg(F.sum("sse").alias("sse"))
+    return {(r["feature"], r["repeat"]): r["sse"] for r in errors.collect()}  # features x repeats + 1 rows
 
 
 def forest_model(rows: DataFrame, cells: Cells, label: str, trees: int, depth: int, strategy: str, seed: int) -> CellModel:

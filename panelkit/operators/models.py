@@ -553,11 +553,16 @@ def best_trial(log: DataFrame) -> DataFrame:
         "model", "b.trial", "b.params", "b.rounds", "b.best_round", "b.rmse")
 
 
+def _places(key: str, seed: int, n: int, bucket_rows: int = 100_000) -> list:
+    """A row's bucket and its order within it."""
+    return [hash_bucket(F.col(key), seed, max(1, -(-n // bucket_rows))), hash_bucket(F.col(key), seed + 1, 1 << 30)]
+
+
 def random_place(df: DataFrame, key: str, seed: int, n: int, bucket_rows: int = 100_000) -> DataFrame:
     """Adds _place, a gapless random place from 0: rows are numbered within hash
     buckets of about `bucket_rows` rows, and the buckets' counts give the offsets."""
-    buckets = max(1, -(-n // bucket_rows))
-    d = df.withColumn("_b", hash_bucket(F.col(key), seed, buckets)).withColumn("_h", hash_bucket(F.col(key), seed + 1, 1 << 30))
+    bucket, order = _places(key, seed, n, bucket_rows)
+    d = df.withColumn("_b", bucket).withColumn("_h", order)
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
     offsets = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy("_b").orderBy("_h", key)
@@ -572,7 +577,8 @@ def permutation_importance(model, test: DataFrame, features: list[str], label: s
     row takes the values of the row a random number of places ahead, a
     permutation of all rows. Every row sends its feature values to its takers
     in one shuffle; the rows with one feature replaced are scored together, and
-    one aggregation gives every R^2.
+    one aggregation gives every R^2. A model that sees only cells gets the same
+    places, but blocks of cells are sent (see `cell_trees.permuted_errors`).
     """
     spark = test.sparkSession
     rows = test.select(key, label, *features)
@@ -580,6 +586,12 @@ def permutation_importance(model, test: DataFrame, features: list[str], label: s
     if n < 2:
         raise ValueError("a permutation needs at least two rows")
     ahead = random.Random(seed).sample(range(1, n), repeats) if n > repeats else [1 + i % (n - 1) for i in range(repeats)]
+    if isinstance(model, ct.CellModel) and sorted(features) == sorted(model.cells.features):
+        order = [*_places(key, seed, n), F.col(key)]
+        sst = test.agg(F.var_pop(label) * F.count(label)).first()[0]
+        sse = ct.permuted_errors(model, rows, label, order, ahead)
+        return spark.createDataFrame([(f, k, (sse[f, k] - sse["", -1]) / sst) for f in features for k in range(repeats)],
+                                     "feature string, repeat int, r2_drop double")
     placed = cut_lineage(random_place(rows, key, seed, n))
     values = F.struct(*[F.col(f) for f in features])
     sent = placed.select(values.alias("_v"), F.posexplode(F.array(*[F.pmod(F.col("_place") - F.lit(a), F.lit(n)) for a in ahead]))

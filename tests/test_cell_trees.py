@@ -142,6 +142,24 @@ def test_the_best_trial_has_the_lowest_score_whatever_its_rounds(spark):
     assert md.best_trial(log).first().trial == 1
 
 
+def test_permutations_on_cells_are_those_on_rows(spark, df, monkeypatch):
+    """Blocks of cells give the drops that the rows themselves give, with several buckets and blocks."""
+    cells = ct.fit_cells(df, X)
+    model = ct.CellModel(cells, np.sin(np.arange(cells.n)) * 3)
+    data = df.withColumn("y", F.when(F.col("k") % 50 == 7, None).otherwise(F.col("y")))
+    monkeypatch.setattr(ct, "BLOCK", 300)
+    places = md._places
+    monkeypatch.setattr(md, "_places", lambda key, seed, n, bucket_rows=1500: places(key, seed, n, min(bucket_rows, 1500)))
+    got = {(r.feature, r["repeat"]): r.r2_drop for r in md.permutation_importance(model, data, X, "y", key="k").collect()}
+
+    class Rows:
+        transform = staticmethod(model.transform)
+    monkeypatch.setattr(md, "random_place", lambda d, key, seed, n, f=md.random_place: f(d, key, seed, n, 1500))
+    want = {(r.feature, r["repeat"]): r.r2_drop for r in md.permutation_importance(Rows(), data, X, "y", key="k").collect()}
+    assert got.keys() == want.keys() and len(got) == 30
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_the_forest_search_scores_every_draw_on_all_rows_and_trees(df, monkeypatch):
     assert mq.FOREST_RUNGS == [(1.0, 1)]
     seen = []
