@@ -9,16 +9,20 @@ holds a whole cell, however dense it is.
 
 1. each query visits the rings of its nearest cells that together hold enough
    points; the k-th distance found is its radius;
-2. it then visits every other ring that may hold a point within the radius:
-   a ring at distances lo .. hi around pivot p is skipped if d(q, p) lies
-   outside [lo - radius, hi + radius], or if the plane between p and the
-   query's own pivot is farther away than the radius. Nothing else is skipped,
-   so the result is exact (ties: lowest reference id).
-
-Visits meet tiles by a cogroup on (ring, tile, query chunk): at most about
-`TILE` points and `CHUNK` queries at once, and only k rows per query leave the
-task. What reaches the driver and every task is one row per pivot and per ring
-(`MOST_PIVOTS` x `RINGS` rows at most).
+2. it then meets every ring that may hold a point within the radius: a ring at
+   distances lo .. hi around pivot p is skipped if d(q, p) lies outside
+   [lo - radius, hi + radius], or if the plane between p and the query's own
+   pivot is farther away than the radius. Nothing else is skipped, so the
+   result is exact (ties: lowest reference id).
+
+First visits meet tiles by a cogroup on (ring, tile, query chunk): at most about
+`TILE` points and `CHUNK` queries at once. Afterwards most rings are needed where
+features are many, and a row per query and ring would grow with the square of the
+rows: so queries of neighbouring cells and rings of neighbouring cells are cut into
+blocks, a block is sent once to each block it needs, and rings are skipped inside.
+With m rows a side, blocks of `MOST_BLOCK` rows copy a row m / `MOST_BLOCK` times at
+most. Only k rows per query leave a task. What reaches the driver and every task is one
+row per pivot and per ring (`MOST_PIVOTS` x `RINGS` rows at most).
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ RINGS = 8
 TILE = 1024
 CHUNK = 4096
 FIRST_CELLS = 8
+MOST_BLOCK = 1 << 15  # rows of a block (25 features: 7 MB)
+LEAST_BLOCK = 1 << 10
 SLACK = 1e-6  # relative: bounds must not lose a point to rounding
 
 
@@ -86,28 +92,27 @@ class _Rings:
         np.put_along_axis(chosen, near, before < enough, axis=1)
         return chosen[:, self.cell]
 
-    def rest(self, away: np.ndarray, radius: np.ndarray, enough: int) -> np.ndarray:
-        own = away.argmin(axis=1)
-        to_pivot = away[:, self.cell]
-        least = np.maximum(to_pivot - self.high, self.low - to_pivot)
-        gap = self.apart[own][:, self.cell]
+    def within(self, away: np.ndarray, radius: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Which of the rings `some` (numbers) may hold a point within the radius."""
+        own, cell = away.argmin(axis=1), self.cell[some]
+        to_pivot = away[:, cell]
+        least = np.maximum(to_pivot - self.high[some], self.low[some] - to_pivot)
+        gap = self.apart[own][:, cell]
         with np.errstate(divide="ignore", invalid="ignore"):
             plane = (to_pivot ** 2 - away.min(axis=1)[:, None] ** 2) / (2 * gap)
         least = np.maximum(least, np.where(gap > 0, plane, 0))
-        return (least <= radius[:, None] + self.slack) & ~self.first(away, enough)
+        return ~(least > radius[:, None] + self.slack)  # too large for products: not skipped
 
 
-def _visits(points: DataFrame, names: list[str], rings: _Rings, enough: int, second: bool) -> DataFrame:
-    """One row per query and ring to visit (`second`: all but the first ones, by `_radius`)."""
+def _visits(points: DataFrame, names: list[str], rings: _Rings, enough: int) -> DataFrame:
+    """One row per query and ring of its nearest cells."""
     schema = T.StructType([*points.schema.fields, T.StructField("_unit", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
                 b = whole.slice(i, 1024)
-                away = _to_pivots(_points(b, names), rings.pivots)
-                go = rings.rest(away, b.column("_radius").to_numpy(), enough) if second else rings.first(away, enough)
-                row, ring = np.nonzero(go)
+                row, ring = np.nonzero(rings.first(_to_pivots(_points(b, names), rings.pivots), enough))
                 for j in range(0, len(row), 1 << 16):
                     part = b.take(pa.array(row[j:j + (1 << 16)]))
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rings.unit[ring[j:j + (1 << 16)]], pa.int32())], schema.names)
@@ -115,17 +120,33 @@ def _visits(points: DataFrame, names: list[str], rings: _Rings, enough: int, sec
     return points.mapInArrow(run, schema)
 
 
-def _nearest(k: int, names: list[str], exclude: bool, keep: list[str]):
+def _nearest(k: int, names: list[str], exclude: bool, keep: list[str], rings: _Rings | None = None):
+    """The k nearest of a tile for each of its queries; with `rings`, of a block of rings,
+    each query meeting only the rings that it needs."""
     def run(refs: pa.Table, queries: pa.Table) -> pa.Table:
         if refs.num_rows and queries.num_rows:
             refs = refs.take(pa.array(np.argsort(refs.column("_place").to_numpy())))
+            if rings:
+                queries = queries.take(pa.array(np.argsort(queries.column("_cell").to_numpy(), kind="stable")))
         n = queries.num_rows
         out_q, out_r, out_d = [], [], []
-        y = _points(refs, names) if refs.num_rows else np.zeros((0, len(names)))
-        own = (y * y).sum(axis=1)
-        for i in range(0, n if len(y) else 0, 256):
-            some = queries.slice(i, 256)
-            x, radius = _points(some, names), some.column("_radius2").to_numpy()
+        every = _points(refs, names) if refs.num_rows else np.zeros((0, len(names)))
+        groups = refs.column("_group").to_numpy() if exclude and len(every) else None
+        if rings and len(every):
+            some, ring = np.unique(np.searchsorted(rings.unit, refs.column("_unit").to_numpy()), return_inverse=True)
+        step = min(256, max(16, (1 << 21) // max(len(every), 1)))
+        whole = (every * every).sum(axis=1)
+        for i in range(0, n if len(every) else 0, step):
+            q_rows = queries.slice(i, step)
+            x, radius = _points(q_rows, names), q_rows.column("_radius2").to_numpy()
+            y, own, live = every, whole, None
+            if rings:
+                need = rings.within(_to_pivots(x, rings.pivots), np.sqrt(radius), some)
+                live = np.flatnonzero(need.any(axis=0)[ring])
+                if not len(live):
+                    continue
+                if len(live) < len(every):
+                    y, own = every[live], whole[live]
             with np.errstate(over="ignore", invalid="ignore"):
                 size = (x * x).sum(axis=1)[:, None]
                 near = size - 2 * x @ y.T + own  # the distance to within `off`
@@ -134,7 +155,7 @@ def _nearest(k: int, names: list[str], exclude: bool, keep: list[str]):
                 near, off = np.zeros(near.shape), np.full(size.shape, np.inf)
             allowed = near <= radius[:, None] + off
             if exclude:
-                allowed &= some.column("_group").to_numpy()[:, None] != refs.column("_group").to_numpy()[None, :]
+                allowed &= q_rows.column("_group").to_numpy()[:, None] != (groups if live is None else groups[live])[None, :]
             many = np.flatnonzero(allowed.sum(axis=1) > k)
             if len(many):
                 bound = np.partition(np.where(allowed[many], near[many], np.inf), k - 1, axis=1)[:, k - 1]
@@ -152,7 +173,7 @@ def _nearest(k: int, names: list[str], exclude: bool, keep: list[str]):
             rank = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
             top = rank < k
             out_q.append(q[top] + i)
-            out_r.append(r[top])
+            out_r.append(r[top] if live is None else live[r[top]])
             out_d.append(d[top])
         q, r = (np.concatenate(o) if o else np.zeros(0, int) for o in (out_q, out_r))
         refs = refs.take(pa.array(r))
@@ -178,6 +199,57 @@ def _meet(visits: DataFrame, tiles: DataFrame, sizes: DataFrame, k: int, names:
             .applyInArrow(_nearest(k, names, exclude, keep), schema))
 
 
+def _starts(counts: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(number, rows before it, its rows) in the numbers' order."""
+    out, before = [], 0
+    for number, n in sorted(counts):
+        out.append((number, before, n))
+        before += n
+    return out
+
+
+def _in_blocks(rows: DataFrame, by: str, starts: list[tuple[int, int, int]], key: str, size: int, block: str) -> DataFrame:
+    """Adds `block`: rows of neighbouring values of `by`, about `size` of them."""
+    table = rows.sparkSession.createDataFrame(starts, f"{by} int, _before long, _rows long")  # a row per pivot or ring
+    at = F.col("_before") + F.pmod(F.xxhash64(key, F.lit("block")), F.col("_rows"))
+    return rows.join(F.broadcast(table), by).withColumn(block, F.floor(at / F.lit(size)).cast("int")).drop("_before", "_rows")
+
+
+def _meet_blocks(queries: DataFrame, ringed: DataFrame, rings: _Rings, k: int, names: list[str], exclude: bool, keep: list[str]) -> DataFrame:
+    """Top k of every query in every block of rings that may hold a point within its radius."""
+    spark, group = queries.sparkSession, ["_group"] if exclude else []
+    celled = cut_lineage(_with_cell(queries, names, rings.pivots).drop("_dist"))
+    cells = _starts([(r["_cell"], r["count"]) for r in celled.groupBy("_cell").count().collect()])
+    units = _starts(list(zip(rings.unit.tolist(), rings.count.tolist())))
+    # blocks small enough for every core to have some
+    sizes = [min(MOST_BLOCK, max(LEAST_BLOCK, -(-sum(n for *_, n in t) // spark.sparkContext.defaultParallelism))) for t in (cells, units)]
+    q = _in_blocks(celled, "_cell", cells, "_q", sizes[0], "_asks")
+    r = _in_blocks(ringed, "_unit", units, "_r", sizes[1], "_holds")
+    r = r.withColumn("_place", F.row_number().over(Window.partitionBy("_holds").orderBy("_r")))
+    first = np.array([before // sizes[1] for _, before, _ in units])
+    last = np.array([(before + n - 1) // sizes[1] for _, before, n in units])
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, every = set(), np.arange(len(rings.unit))
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                b = whole.slice(i, 256)
+                need = rings.within(_to_pivots(_points(b, names), rings.pivots), np.sqrt(b.column("_radius2").to_numpy()), every)
+                asks = b.column("_asks").to_numpy()
+                for a in np.unique(asks):
+                    some = np.flatnonzero(need[asks == a].any(axis=0))
+                    pairs.update((int(a), h) for f, e in set(zip(first[some].tolist(), last[some].tolist())) for h in range(f, e + 1))
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in zip(*sorted(pairs))], ["_asks", "_holds"])
+
+    on = ["_asks", "_holds"]
+    pairs = cut_lineage(q.select("_asks", "_radius2", *names).mapInArrow(needed, "_asks int, _holds int").distinct())  # a row per two blocks
+    schema = T.StructType([T.StructField("_q", T.LongType()), T.StructField("d2", T.DoubleType()), *[ringed.schema[c] for c in keep]])
+    return (r.join(F.broadcast(pairs), "_holds").select(*on, "_place", "_unit", *names, *group, *keep).groupBy(*on)
+            .cogroup(q.join(F.broadcast(pairs), "_asks").select(*on, "_q", "_cell", "_radius2", *names, *group).groupBy(*on))
+            .applyInArrow(_nearest(k, names, exclude, keep, rings), schema))
+
+
 def knn_cells_join(queries: DataFrame, refs: DataFrame, names: list[str], k: int, payload: list[str], exclude: bool) -> DataFrame:
     """(_q, rank, _r, d2, *payload): the k nearest of `refs` (_r, [_group,] features,
     payload) for each of `queries` (_q, [_group,] features); with `exclude` only
@@ -196,7 +268,7 @@ def knn_cells_join(queries: DataFrame, refs: DataFrame, names: list[str], k: int
     ringed = celled.join(F.broadcast(reach), "_cell").withColumn("_unit", F.col("_cell") * RINGS + ring)
     facts = ringed.groupBy("_unit").agg(F.count("*").alias("n"), F.min("_dist").alias("lo"), F.max("_dist").alias("hi"))
     facts = cut_lineage(facts.withColumn("_tiles", F.ceil(F.col("n") / TILE).cast("int")))  # MOST_PIVOTS x RINGS rows at most
-    rings = _Rings(pivots, facts.collect())
+    rings = _Rings(pivots, sorted(facts.collect(), key=lambda r: r["_unit"]))
     sizes = facts.select("_unit", "_tiles")
     # ids of any type are compared by Spark; their order inside a tile travels as a number
     tiles = ringed.join(F.broadcast(sizes), "_unit").withColumn("_tile", F.pmod(F.xxhash64("_r"), F.col("_tiles")).cast("int"))
@@ -204,12 +276,10 @@ def knn_cells_join(queries: DataFrame, refs: DataFrame, names: list[str], k: int
                         .drop("_cell", "_dist", "_reach", "_tiles"))
     enough = 3 * k
     order = Window.partitionBy("_q").orderBy("d2", "_r")
-    first = _visits(queries.withColumn("_radius2", F.lit(float("inf"))), names, rings, enough, second=False)
+    first = _visits(queries.withColumn("_radius2", F.lit(float("inf"))), names, rings, enough)
     got = _meet(cut_lineage(first), tiles, sizes, k, names, exclude, keep)
     top = cut_lineage(got.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
     radius = top.where(F.col("rank") == k).select("_q", F.col("d2").alias("_radius2"))
     known = queries.join(radius, "_q", "left").withColumn("_radius2", F.coalesce("_radius2", F.lit(float("inf"))))
-    rest = cut_lineage(_visits(known.withColumn("_radius", F.sqrt("_radius2")), names, rings, enough, second=True))
-    more = _meet(rest, tiles, sizes, k, names, exclude, keep)
-    both = top.drop("rank").unionByName(more)
-    return both.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("_q", "rank", "_r", "d2", *payload)
+    found = _meet_blocks(known, ringed, rings, k, names, exclude, keep)
+    return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("_q", "rank", "_r", "d2", *payload)
